@@ -17,7 +17,7 @@ from strata.session import table
 
 # FIXED VALUES (fixture): suffix cycle and top directory cycle for document-backed files
 FIXTURE_EXTS = [".py", ".js", ".ts", ".java", ".go", ".rb", ".php", ".c", ".cpp", ".cs",
-                ".rs", ".kt", ".swift", ".sh", ".md", ".txt", ".dart", ".json"]
+                ".rs", ".kt", ".swift", ".sh", ".md", ".txt", ".dart", ".json", ".min.js", ".lock"]
 FIXTURE_DIRS = ["src", "app", "lib", "src/core", "tests", "node_modules", "build", "vendor", ""]
 
 # FIXED VALUES (fixture): regex-engine rules that hit the generated documents.
@@ -135,6 +135,17 @@ def blame_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("repo_id", "file_path", F.transform("_s", lambda x: x["s"]).alias("segments")))
 
 
+# FIXED VALUES (fixture): event type -> commit verb, so history classification sees every case
+COMMIT_VERBS = [("click", "refactor"), ("view", "fix"), ("signup", "rename"), ("error", "remove"), ("purchase", "add")]
+
+
+def _verb(col):
+    out = F.lit("update")
+    for et, verb in reversed(COMMIT_VERBS):
+        out = F.when(col == et, F.lit(verb)).otherwise(out)
+    return out
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> commits: file = props.k, author = user, message = event type."""
     e = table(spark, sf_dir, "events")
@@ -145,7 +156,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.hex(F.col("event_id")), 40, "0").alias("commit"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("author"),
         F.col("ts"),
-        F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("message"),
+        F.concat(_verb(F.col("event_type")), F.lit(" "), F.col("event_type"), F.lit(" #"),
+                 F.col("event_id").cast("string")).alias("message"),
         F.floor("value").cast("int").alias("insertions"),
         (F.col("event_id") % 7).cast("int").alias("deletions"))
 

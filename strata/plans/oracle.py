@@ -22,3 +22,66 @@ SELECT r.repo_id,
 FROM (SELECT DISTINCT repo_id FROM files) r
 LEFT JOIN (SELECT repo_id, sum({X.penalty_sql()}) AS pen, count(*) AS n FROM findings GROUP BY repo_id) p
   ON r.repo_id = p.repo_id""")
+
+# ---------------------------------------------------------------------------
+# 2.1 / 2.2  file tree, paths, languages
+from strata import schemas as S  # noqa: E402
+
+_F = [X.files_cte()]
+
+ORACLE["scan_file_tree"] = X.with_ctes(*_F, body=f"""
+SELECT repo_id, path, language, lines, size FROM files
+WHERE NOT {X.skipped_dir_sql('path')} AND NOT {X.skipped_suffix_sql('path')} AND NOT {X.hidden_sql('path')}
+  AND size <= {S.TREE_MAX_BYTES}""")
+ORACLE["skip_dirs"] = X.with_ctes(*_F, body=f"SELECT repo_id, path FROM files WHERE NOT {X.skipped_dir_sql('path')}")
+ORACLE["skip_extensions_hidden"] = X.with_ctes(*_F, body=f"""
+SELECT repo_id, path FROM files WHERE NOT {X.skipped_suffix_sql('path')} AND NOT {X.hidden_sql('path')}""")
+ORACLE["size_limit"] = X.with_ctes(*_F, body=f"""
+SELECT repo_id, path, size FROM files WHERE size >= 1 AND size <= {S.AUTHORED_MAX_BYTES}""")
+ORACLE["detect_language"] = X.with_ctes(*_F, body="SELECT repo_id, path, language FROM files")
+ORACLE["scannable_filter"] = X.with_ctes(*_F, body=f"""
+SELECT repo_id, path, language FROM files WHERE language IN {X.in_list(S.SCANNABLE_LANGUAGES)}""")
+ORACLE["detect_binary"] = X.with_ctes(*_F, body="""
+SELECT repo_id, path, instr(substring(content, 1, 512), chr(0)) > 0 AS is_binary FROM files""")
+ORACLE["read_text_lossy"] = X.with_ctes(*_F, body="""
+SELECT repo_id, path, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest
+FROM (SELECT repo_id, path, regexp_replace(replace(content, chr(65533), ''), '\\r\\n?', chr(10), 'g') AS t FROM files)""")
+ORACLE["explode_lines"] = X.with_ctes(*_F, body=f"""
+SELECT repo_id, path, CAST(i AS INTEGER) AS line_number, arr[i] AS line
+FROM (SELECT repo_id, path, arr, unnest(generate_series(1, len(arr))) AS i
+      FROM (SELECT repo_id, path, {X.split_lines_sql('content')} AS arr FROM files))""")
+ORACLE["repo_storage_size"] = X.with_ctes(*_F, body="""
+SELECT repo_id, CAST(sum(size) AS BIGINT) AS bytes, round(sum(size) / 1048576.0, 2) AS mb FROM files GROUP BY repo_id""")
+ORACLE["language_stats"] = X.with_ctes(*_F, body="""
+SELECT repo_id, language, count(*) AS file_count FROM files WHERE language <> 'plaintext' GROUP BY ALL""")
+ORACLE["total_lines"] = X.with_ctes(*_F, body="""
+SELECT repo_id, CAST(sum(lines) AS BIGINT) AS total_lines, count(*) AS file_count FROM files GROUP BY repo_id""")
+
+_ISSUE_COUNTS = """file_counts AS (
+  SELECT f.repo_id, f.path, CAST(coalesce(c.n, 0) AS BIGINT) AS issue_count
+  FROM files f LEFT JOIN (SELECT repo_id, file_path, count(*) AS n FROM findings GROUP BY ALL) c
+    ON f.repo_id = c.repo_id AND f.path = c.file_path
+)"""
+ORACLE["attach_issue_counts"] = X.with_ctes(*X.base_scan_ctes(), _ISSUE_COUNTS,
+                                            body="SELECT repo_id, path, issue_count FROM file_counts")
+ORACLE["directory_rollup"] = X.with_ctes(*X.base_scan_ctes(), _ISSUE_COUNTS, body="""
+SELECT repo_id, directory, CAST(sum(issue_count) AS BIGINT) AS issue_count, count(*) AS file_count
+FROM (SELECT repo_id, issue_count, array_to_string(parts[1:k], '/') AS directory
+      FROM (SELECT repo_id, issue_count, parts, unnest(generate_series(1, len(parts) - 1)) AS k
+            FROM (SELECT repo_id, issue_count, string_split(path, '/') AS parts FROM file_counts)))
+GROUP BY ALL""")
+ORACLE["code_snippet"] = X.with_ctes(*X.base_scan_ctes(),
+                                     body="SELECT repo_id, file_path, line_number, rule_id, code_snippet FROM findings")
+ORACLE["clip_diff"] = """
+SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:30], chr(10))) AS clip30,
+       md5(substring(text, 1, 500)) AS clip500,
+       md5(array_to_string(CASE WHEN len(string_split(text, chr(10))) > 15
+                                THEN string_split(text, chr(10))[len(string_split(text, chr(10))) - 14:]
+                                ELSE string_split(text, chr(10)) END, chr(10))) AS last15
+FROM documents"""
+ORACLE["normalize_repo_url"] = """
+SELECT page_id, u AS url,
+       regexp_matches(u, '^https?://github\\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/?$') AS is_valid,
+       CASE WHEN len(string_split(u, '/')) >= 2
+            THEN string_split(u, '/')[-2] || '/' || string_split(u, '/')[-1] ELSE string_split(u, '/')[-1] END AS repo_name
+FROM (SELECT page_id, regexp_replace(regexp_replace(trim(url), '/+$', ''), '\\.git$', '') AS u FROM pages)"""

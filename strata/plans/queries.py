@@ -45,3 +45,103 @@ def q_dedupe_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("health_score")
 def q_health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RU.health_score(FX.findings(spark, sf_dir), FX.files(spark, sf_dir).select("repo_id"))
+
+
+# ---------------------------------------------------------------------------
+# 2.1 / 2.2  file tree, paths, languages
+from strata.sources import files as SF  # noqa: E402
+from strata.functions import paths as P  # noqa: E402
+from strata.functions import text as TX  # noqa: E402
+from strata.functions.languages import is_binary  # noqa: E402
+
+
+@register("scan_file_tree")
+def q_scan_file_tree(spark, sf_dir):
+    return SF.scan_file_tree(FX.files(spark, sf_dir))
+
+
+@register("skip_dirs")
+def q_skip_dirs(spark, sf_dir):
+    return SF.skip_dirs(FX.files(spark, sf_dir)).select("repo_id", "path")
+
+
+@register("skip_extensions_hidden")
+def q_skip_extensions_hidden(spark, sf_dir):
+    return SF.skip_extensions_hidden(FX.files(spark, sf_dir)).select("repo_id", "path")
+
+
+@register("size_limit")
+def q_size_limit(spark, sf_dir):
+    return SF.size_limit(FX.files(spark, sf_dir), S.AUTHORED_MAX_BYTES, 1).select("repo_id", "path", "size")
+
+
+@register("detect_language")
+def q_detect_language(spark, sf_dir):
+    return FX.files(spark, sf_dir).select("repo_id", "path", "language")
+
+
+@register("scannable_filter")
+def q_scannable_filter(spark, sf_dir):
+    return scannable_filter(FX.files(spark, sf_dir)).select("repo_id", "path", "language")
+
+
+@register("detect_binary")
+def q_detect_binary(spark, sf_dir):
+    return FX.files(spark, sf_dir).select("repo_id", "path", is_binary("content").alias("is_binary"))
+
+
+@register("read_text_lossy")
+def q_read_text_lossy(spark, sf_dir):
+    t = TX.read_text_lossy("content")
+    return FX.files(spark, sf_dir).select("repo_id", "path", F.length(t).alias("n_chars"), F.md5(t).alias("digest"))
+
+
+@register("explode_lines")
+def q_explode_lines(spark, sf_dir):
+    return SC.explode_lines(FX.files(spark, sf_dir))
+
+
+@register("repo_storage_size")
+def q_repo_storage_size(spark, sf_dir):
+    return SF.repo_storage_size(FX.files(spark, sf_dir))
+
+
+@register("language_stats")
+def q_language_stats(spark, sf_dir):
+    return RU.language_stats(FX.files(spark, sf_dir))
+
+
+@register("total_lines")
+def q_total_lines(spark, sf_dir):
+    return RU.total_lines(FX.files(spark, sf_dir))
+
+
+@register("attach_issue_counts")
+def q_attach_issue_counts(spark, sf_dir):
+    return RU.attach_issue_counts(FX.files(spark, sf_dir), FX.findings(spark, sf_dir)).select(
+        "repo_id", "path", "issue_count")
+
+
+@register("directory_rollup")
+def q_directory_rollup(spark, sf_dir):
+    return RU.directory_rollup(RU.attach_issue_counts(FX.files(spark, sf_dir), FX.findings(spark, sf_dir)))
+
+
+@register("code_snippet")
+def q_code_snippet(spark, sf_dir):
+    return FX.findings(spark, sf_dir).select("repo_id", "file_path", "line_number", "rule_id", "code_snippet")
+
+
+@register("clip_diff")
+def q_clip_diff(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.md5(TX.clip_lines("text", 30)).alias("clip30"),
+                    F.md5(F.substring("text", 1, 500)).alias("clip500"),
+                    F.md5(F.array_join(TX.last_lines(F.split("text", "\n", -1), 15), "\n")).alias("last15"))
+
+
+@register("normalize_repo_url")
+def q_normalize_repo_url(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", P.normalize_repo_url("url").alias("url"),
+                    P.is_valid_repo_url("url").alias("is_valid"), P.repo_name_from_url("url").alias("repo_name"))

@@ -126,3 +126,41 @@ def with_ctes(*ctes: str, body: str) -> str:
 
 def base_scan_ctes() -> list[str]:
     return [files_cte(), scan_lines_cte(), raw_findings_cte(), findings_cte()]
+
+
+def commits_cte() -> str:
+    verb = "CASE " + " ".join(f"WHEN event_type = {q(et)} THEN {q(v)}" for et, v in FX.COMMIT_VERBS) + " ELSE 'update' END"
+    return f"""commits AS (
+  SELECT 'events' AS repo_id, 'src/file_' || json_extract_string(props, '$.k') || '.py' AS file_path,
+         lpad(upper(hex(event_id)), 40, '0') AS "commit", 'user' || CAST(user_id AS VARCHAR) AS author, ts,
+         {verb} || ' ' || event_type || ' #' || CAST(event_id AS VARCHAR) AS message,
+         CAST(floor(value) AS INTEGER) AS insertions, CAST(event_id % 7 AS INTEGER) AS deletions
+  FROM events
+)"""
+
+
+def dir_parts_sql(path: str) -> str:
+    parts = f"string_split({path}, '/')"
+    return f"{parts}[1:len({parts}) - 1]"
+
+
+def name_sql(path: str) -> str:
+    return f"regexp_extract({path}, '[^/]*$', 0)"
+
+
+def skipped_dir_sql(path: str, dirs=None) -> str:
+    dirs = S.SKIP_DIRS if dirs is None else dirs
+    return f"list_has_any({dir_parts_sql(path)}, {str_list(dirs)})"
+
+
+def skipped_suffix_sql(path: str) -> str:
+    name = f"lower({name_sql(path)})"
+    multi = [s for s in S.SKIP_EXTENSIONS if s.count('.') > 1]
+    cond = f"{suffix_sql(name_sql(path))} IN {in_list(S.SKIP_EXTENSIONS)}"
+    for m in multi:
+        cond += f" OR ends_with({name}, {q(m)})"
+    return f"({cond})"
+
+
+def hidden_sql(path: str) -> str:
+    return f"starts_with({name_sql(path)}, '.')"

@@ -35,7 +35,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = builder.config("spark.driver.memory", os.environ.get("STRATA_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     for key, value in _DEFAULTS.items():
-        if key != "spark.ui.enabled":
+        if key.startswith("spark.sql."):
             spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     return spark

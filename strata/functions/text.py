@@ -19,19 +19,42 @@ def read_text_lossy(col) -> Column:
     return F.regexp_replace(F.regexp_replace(valid, "\ufffd", ""), "\r\n?", "\n")
 
 
+# Characters that end a line for ``splitlines`` besides CRLF (checked on the tail).
+BREAK_CHARS = "\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
+
+
+def _ends_with_break(text: Column) -> Column:
+    cond = text == F.lit("")
+    for ch in BREAK_CHARS:
+        cond = cond | text.endswith(ch)
+    return cond
+
+
 def split_lines(col) -> Column:
     """Text -> array of lines, with ``splitlines`` semantics.
 
     One trailing empty element (text ending in a break) is dropped, so empty
     text gives an empty array and ``"a\\n\\n"`` gives ``["a", ""]``.
+    In generator arguments prefer ``with_lines`` (binds the split once).
     """
-    parts = F.split(_c(col), LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == F.lit(""),
-                  F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    text = _c(col)
+    parts = F.split(text, LINE_BREAK, -1)
+    return F.when(_ends_with_break(text), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def with_lines(df, content_col: str = "content", out: str = "_lines", keep=None):
+    """``df`` plus an array-of-lines column, the regex split evaluated once per row."""
+    keep = list(df.columns) if keep is None else list(keep)
+    text = F.col(content_col)
+    raw = df.select(*keep, F.split(text, LINE_BREAK, -1).alias("_raw"), _ends_with_break(text).alias("_eb"))
+    return raw.select(*keep, F.when(F.col("_eb"), F.slice("_raw", 1, F.size("_raw") - 1))
+                      .otherwise(F.col("_raw")).alias(out))
 
 
 def line_count(col) -> Column:
-    return F.size(split_lines(col)).cast("int")
+    text = _c(col)
+    parts = F.size(F.split(text, LINE_BREAK, -1))
+    return (parts - F.when(_ends_with_break(text), F.lit(1)).otherwise(F.lit(0))).cast("int")
 
 
 def with_neighbours(lines) -> Column:

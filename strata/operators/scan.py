@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata import schemas as S
-from strata.functions.text import snippet_from_lines, split_lines, with_neighbours
+from strata.functions.regex_literal import required_literal
+from strata.functions.text import snippet_from_lines, split_lines, with_lines, with_neighbours
 
 # Inline at most this many rules into one projection; beyond it the join scan runs.
 MAX_INLINE_RULES = 2000
@@ -90,17 +91,26 @@ def _meta_literal(rules: list[dict]) -> Column:
         for r in rules])
 
 
-def _hit_indexes(text: Column, lang: Column, rules: list[dict]) -> Column:
-    """array<int> of 1-based rule slots whose language fits and whose pattern matches."""
+def _hit_list(text: Column, lang: Column, rules: list[dict]) -> Column:
+    """Comma-joined 1-based slots of the rules that fit the language and match.
+
+    ``concat_ws`` skips the NULL slots, so a line without hits gives ``''`` and
+    can be filtered out before any generator runs; everything stays in
+    generated code (no lambda functions).
+    """
     slots = []
     for i, r in enumerate(rules, start=1):
         hit = text.rlike(r["pattern"])
+        lit = required_literal(r["pattern"])
+        if lit:
+            hit = text.contains(lit) & hit
         if r["language"] not in ANY_LANGUAGE:
             hit = (lang == F.lit(r["language"])) & hit
-        slots.append(F.when(hit, F.lit(i)))
-    blocks = [F.array(*slots[k:k + RULE_BLOCK]) for k in range(0, len(slots), RULE_BLOCK)]
-    arr = blocks[0] if len(blocks) == 1 else F.concat(*blocks)
-    return F.array_compact(arr)
+        slots.append(F.when(hit, F.lit(str(i))))
+    blocks = [F.concat_ws(",", *slots[k:k + RULE_BLOCK]) for k in range(0, len(slots), RULE_BLOCK)]
+    if len(blocks) == 1:
+        return blocks[0]
+    return F.concat_ws(",", *[F.when(b != "", b) for b in blocks])
 
 
 def _finding_projection(engine: str) -> list[Column]:
@@ -126,7 +136,8 @@ def _finding_projection(engine: str) -> list[Column]:
 
 def explode_lines(files: DataFrame, content_col: str = "content", keep=("repo_id", "path")) -> DataFrame:
     """(repo_id, path, line_number 1-based, line); empty text gives no rows."""
-    return (files.select(*keep, F.posexplode(split_lines(content_col)).alias("_pos", "line"))
+    return (with_lines(files, content_col, keep=keep)
+            .select(*keep, F.posexplode("_lines").alias("_pos", "line"))
             .select(*keep, (F.col("_pos") + 1).cast("int").alias("line_number"), "line"))
 
 
@@ -151,14 +162,21 @@ def scan_line_rules(files: DataFrame, rules: DataFrame | list[dict], engine: str
     return out
 
 
+def _split_files(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, _lang, _lines) with the split evaluated once per file."""
+    base = files.select("repo_id", F.col("path").alias("file_path"),
+                        F.lower(F.coalesce(F.col("language"), F.lit(""))).alias("_lang"), "content")
+    return with_lines(base, keep=["repo_id", "file_path", "_lang"])
+
+
 def _inline_scan(files: DataFrame, rules: list[dict], engine: str) -> DataFrame:
-    lines = files.select(
-        "repo_id", F.col("path").alias("file_path"),
-        F.lower(F.coalesce(F.col("language"), F.lit(""))).alias("_lang"),
-        F.posexplode(with_neighbours(split_lines("content"))).alias("_pos", "_l"))
-    hits = lines.select(
-        "repo_id", "file_path", "_pos", "_l",
-        F.explode(_hit_indexes(F.col("_l.line"), F.col("_lang"), rules)).alias("_slot"))
+    lines = _split_files(files).select(
+        "repo_id", "file_path", "_lang", F.posexplode(with_neighbours("_lines")).alias("_pos", "_l"))
+    hits = (lines.select("repo_id", "file_path", "_pos", "_l",
+                         _hit_list(F.col("_l.line"), F.col("_lang"), rules).alias("_hits"))
+            .filter(F.col("_hits") != "")
+            .select("repo_id", "file_path", "_pos", "_l", F.explode(F.split("_hits", ",")).alias("_slot"))
+            .withColumn("_slot", F.col("_slot").cast("int")))
     meta = _meta_literal(rules)
     return (hits.select(
                 "repo_id", "file_path", (F.col("_pos") + 1).alias("line_number"),
@@ -187,8 +205,8 @@ def _scan_line_rules_join(files: DataFrame, rules: DataFrame, engine: str, alias
         "repo_id", F.col("path").alias("file_path"),
         F.explode(F.array(F.lower(F.coalesce(F.col("language"), F.lit(""))), F.lit("any"))).alias("_key"),
         "content")
-    lines = lines.select("repo_id", "file_path", "_key",
-                         F.posexplode(with_neighbours(split_lines("content"))).alias("_pos", "_l"))
+    lines = with_lines(lines, keep=["repo_id", "file_path", "_key"]).select(
+        "repo_id", "file_path", "_key", F.posexplode(with_neighbours("_lines")).alias("_pos", "_l"))
     both = lines.join(r, "_key").filter(F.col("_l.line").rlike(F.col("_p")))
     return (both.select("repo_id", "file_path", (F.col("_pos") + 1).alias("line_number"),
                         F.concat_ws("\n", F.col("_l.prev"), F.col("_l.line"), F.col("_l.next")).alias("code_snippet"),

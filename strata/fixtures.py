@@ -112,7 +112,7 @@ def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     paths = files(spark, sf_dir).select(
-        "repo_id", "path", F.regexp_extract("path", r"([0-9]+)\.[^./]*$", 1).cast("long").alias("_doc"))
+        "repo_id", "path", F.regexp_extract("path", r"([0-9]+)[^/]*$", 1).cast("long").alias("_doc"))
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.col(c) for c in li.columns])
     one = li.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1)
     w2 = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
@@ -183,3 +183,30 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("created_at"),
         F.when(status != "analyzing", F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("completed_at"),
         F.substring(F.sha2(F.col("o_custkey").cast("string"), 256), 1, 40).alias("commit_sha"))
+
+
+def part_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part -> commit details for the blame fixture's commits (commit = part key)."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.lpad(F.hex("p_partkey"), 40, "0").alias("commit"), F.col("p_brand").alias("author"),
+                    F.concat_ws("\n", "p_name", "p_type").alias("message"))
+
+
+def _log_block(c: DataFrame) -> DataFrame:
+    """One log block per commit: header, a hunk marker, a context line, N added lines."""
+    subject = F.when(F.col("deletions") == 0, F.concat(F.col("message"), F.lit(" | extra"))).otherwise(F.col("message"))
+    header = F.concat_ws("|", F.col("commit"), F.concat(F.col("author"), F.lit("@example.com")),
+                         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), subject)
+    n_add = (F.abs(F.col("insertions")) % 20 + 1).cast("int")
+    adds = F.transform(F.sequence(F.lit(1), n_add), lambda i: F.concat(F.lit("+add "), i.cast("string")))
+    body = F.concat(F.array(F.lit("@@ -1 +1 @@"), F.lit(" context")), adds)
+    return c.select("repo_id", "file_path", "ts", "commit",
+                    F.concat_ws("\n", header, F.array_join(body, "\n")).alias("block"))
+
+
+def commit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commits -> one log text per file, newest commit first (the logical input)."""
+    b = _log_block(commits(spark, sf_dir))
+    return (b.groupBy("repo_id", "file_path")
+            .agg(F.sort_array(F.collect_list(F.struct("ts", "commit", "block")), asc=False).alias("_b"))
+            .select("repo_id", "file_path", F.array_join(F.transform("_b", lambda x: x["block"]), "\n").alias("log_text")))

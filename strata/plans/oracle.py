@@ -85,3 +85,73 @@ SELECT page_id, u AS url,
        CASE WHEN len(string_split(u, '/')) >= 2
             THEN string_split(u, '/')[-2] || '/' || string_split(u, '/')[-1] ELSE string_split(u, '/')[-1] END AS repo_name
 FROM (SELECT page_id, regexp_replace(regexp_replace(trim(url), '/+$', ''), '\\.git$', '') AS u FROM pages)"""
+
+# ---------------------------------------------------------------------------
+# 2.4 / 2.5 / 2.6  blame and history
+_B = [X.files_cte(), X.blame_lines_cte()]
+_AT = X.base_scan_ctes() + [X.blame_lines_cte(), X.attributed_cte()]
+
+ORACLE["expand_blame"] = X.with_ctes(*_B, body=f"""
+SELECT repo_id, file_path, line_number, author_name, author_email, "commit", {X.iso_sql('ts')} AS date, content
+FROM blame_lines""")
+ORACLE["attribute_issues"] = X.with_ctes(*_AT, body="""
+SELECT repo_id, file_path, line_number, rule_id, severity, origin_author_name, origin_author_email, origin_author,
+       origin_commit, origin_date FROM attributed""")
+ORACLE["trace_line_origin"] = X.with_ctes(*X.base_scan_ctes(), X.blame_lines_cte(), X.part_commits_cte(), body=f"""
+SELECT f.repo_id, f.file_path, f.line_number, f.rule_id, substring(b."commit", 1, 8) AS origin_commit,
+       b.author_name || ' <' || b.author_email || '>' AS origin_author, {X.iso_sql('b.ts')} AS origin_date,
+       c.author AS commit_author, string_split(trim(c.message), chr(10))[1] AS summary
+FROM findings f JOIN blame_lines b ON f.repo_id = b.repo_id AND f.file_path = b.file_path AND f.line_number = b.line_number
+JOIN part_commits c ON b."commit" = c."commit\"""")
+ORACLE["blame_authors"] = X.with_ctes(*_B, body=f"""
+SELECT repo_id, file_path, author, lines, commits,
+       {X.pct_1dp_sql('lines', 'greatest(total, 1)')} AS percentage,
+       row_number() OVER (PARTITION BY repo_id, file_path ORDER BY lines DESC, first_line) AS rank
+FROM (SELECT repo_id, file_path, author, lines, commits, first_line,
+             sum(lines) OVER (PARTITION BY repo_id, file_path) AS total
+      FROM (SELECT repo_id, file_path, author_name || ' <' || author_email || '>' AS author,
+                   count(*) AS lines, count(DISTINCT "commit") AS commits, min(line_number) AS first_line
+            FROM blame_lines GROUP BY ALL))""")
+ORACLE["contributor_stats"] = X.with_ctes(*_AT, body="""
+SELECT repo_id, coalesce(origin_author_email, 'unknown@example.com') AS email,
+       arg_min(coalesce(origin_author_name, 'Unknown'), (file_path, line_number, rule_id)) AS name, count(*) AS count
+FROM attributed GROUP BY ALL""")
+ORACLE["contributor_fallback"] = X.with_ctes(*_AT, body="""
+SELECT repo_id, email, name, count, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY count DESC, first) AS rank FROM (
+    SELECT repo_id, coalesce(origin_author, 'Unknown') AS email,
+           arg_min(trim(split_part(coalesce(origin_author, 'Unknown'), '<', 1)), (file_path, line_number, rule_id)) AS name,
+           count(*) AS count, min((file_path, line_number, rule_id)) AS first
+    FROM attributed GROUP BY ALL)) WHERE rank <= 10""")
+ORACLE["issues_per_day"] = X.with_ctes(*_AT, body="""
+SELECT repo_id, CAST(origin_ts AS DATE) AS day, count(*) AS issues FROM attributed WHERE origin_ts IS NOT NULL GROUP BY ALL""")
+
+_C = [X.commits_cte()]
+_NEWEST = """newest AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY ts DESC, "commit" DESC) AS rn FROM commits
+)"""
+ORACLE["commit_timeline"] = X.with_ctes(*_C, _NEWEST, body=f"""
+SELECT repo_id, file_path, CAST(count(*) OVER (PARTITION BY repo_id, file_path) - rn + 1 AS INTEGER) AS position,
+       substring("commit", 1, 8) AS commit_hash, author, {X.iso_sql('ts')} AS date,
+       string_split(trim(message), chr(10))[1] AS message, insertions, deletions, insertions + deletions AS lines_changed
+FROM newest WHERE rn <= 50""")
+ORACLE["commit_timeline_meta"] = X.with_ctes(*_C, _NEWEST, body=f"""
+SELECT repo_id, file_path, count(*) AS total_commits, count(DISTINCT author) AS total_authors,
+       {X.iso_sql('min(ts)')} AS first_commit, {X.iso_sql('max(ts)')} AS last_commit
+FROM newest WHERE rn <= 50 GROUP BY ALL""")
+ORACLE["evolution_chain"] = X.with_ctes(*_C, _NEWEST, body="""
+SELECT repo_id, file_path, CAST(rn AS INTEGER) AS step, substring("commit", 1, 8) AS commit_hash, author,
+       string_split(trim(message), chr(10))[1] AS message,
+       CASE WHEN rn = max(rn) OVER (PARTITION BY repo_id, file_path) THEN 'introduction'
+            WHEN contains(lower(message), 'refactor') OR contains(lower(message), 'rename')
+                 OR contains(lower(message), 'move') THEN 'refactor' ELSE 'modification' END AS change_type
+FROM newest WHERE rn <= 20""")
+ORACLE["parse_commit_log"] = X.with_ctes(*_C, body="""
+SELECT repo_id, file_path, CAST(row_number() OVER (PARTITION BY repo_id, file_path ORDER BY ts DESC, "commit" DESC) - 1 AS INTEGER) AS seq,
+       "commit" AS full_hash, substring("commit", 1, 8) AS commit_hash,
+       author || '@example.com <' || author || '@example.com>' AS author,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS date,
+       trim(CASE WHEN deletions = 0 THEN message || ' | extra' ELSE message END) AS message,
+       array_to_string(CASE WHEN len(d) > 15 THEN d[len(d) - 14:] ELSE d END, chr(10)) AS diff
+FROM (SELECT *, list_concat([' context'], list_transform(range(1, CAST(abs(insertions) % 20 + 2 AS BIGINT)), lambda i: '+add ' || CAST(i AS VARCHAR))) AS d
+      FROM commits)""")

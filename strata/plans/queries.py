@@ -145,3 +145,75 @@ def q_normalize_repo_url(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return p.select("page_id", P.normalize_repo_url("url").alias("url"),
                     P.is_valid_repo_url("url").alias("is_valid"), P.repo_name_from_url("url").alias("repo_name"))
+
+
+# ---------------------------------------------------------------------------
+# 2.4 / 2.5 / 2.6  blame and history
+from strata.operators import blame as BL  # noqa: E402
+from strata.operators import history as HI  # noqa: E402
+
+
+def _attributed(spark, sf_dir):
+    return BL.attribute_issues(FX.findings(spark, sf_dir), FX.blame_lines(spark, sf_dir))
+
+
+@register("expand_blame")
+def q_expand_blame(spark, sf_dir):
+    return BL.expand_blame(FX.blame_segments(spark, sf_dir)).select(
+        "repo_id", "file_path", "line_number", "author_name", "author_email", "commit",
+        BL.iso_utc("ts").alias("date"), "content")
+
+
+@register("attribute_issues")
+def q_attribute_issues(spark, sf_dir):
+    return _attributed(spark, sf_dir).select(
+        "repo_id", "file_path", "line_number", "rule_id", "severity", "origin_author_name",
+        "origin_author_email", "origin_author", "origin_commit", "origin_date")
+
+
+@register("trace_line_origin")
+def q_trace_line_origin(spark, sf_dir):
+    req = FX.findings(spark, sf_dir).select("repo_id", "file_path", "line_number", "rule_id")
+    return BL.trace_line_origin(req, FX.blame_lines(spark, sf_dir), FX.part_commits(spark, sf_dir))
+
+
+@register("blame_authors")
+def q_blame_authors(spark, sf_dir):
+    return BL.blame_authors(FX.blame_lines(spark, sf_dir))
+
+
+@register("contributor_stats")
+def q_contributor_stats(spark, sf_dir):
+    return RU.contributor_stats(_attributed(spark, sf_dir))
+
+
+@register("contributor_fallback")
+def q_contributor_fallback(spark, sf_dir):
+    a = _attributed(spark, sf_dir).withColumn("origin_author_email", F.lit(None).cast("string")) \
+        .withColumn("origin_author_name", F.lit(None).cast("string"))
+    return RU.contributor_fallback(a)
+
+
+@register("issues_per_day")
+def q_issues_per_day(spark, sf_dir):
+    return HI.issues_per_day(_attributed(spark, sf_dir))
+
+
+@register("parse_commit_log")
+def q_parse_commit_log(spark, sf_dir):
+    return HI.parse_commit_log(FX.commit_logs(spark, sf_dir))
+
+
+@register("commit_timeline")
+def q_commit_timeline(spark, sf_dir):
+    return HI.commit_timeline(FX.commits(spark, sf_dir), 50)
+
+
+@register("commit_timeline_meta")
+def q_commit_timeline_meta(spark, sf_dir):
+    return HI.commit_timeline_meta(FX.commits(spark, sf_dir), 50)
+
+
+@register("evolution_chain")
+def q_evolution_chain(spark, sf_dir):
+    return HI.evolution_chain(FX.commits(spark, sf_dir), 20)

@@ -164,3 +164,45 @@ def skipped_suffix_sql(path: str) -> str:
 
 def hidden_sql(path: str) -> str:
     return f"starts_with({name_sql(path)}, '.')"
+
+
+def blame_lines_cte() -> str:
+    return """blame_lines AS (
+  SELECT p.repo_id, p.path AS file_path, l.line_number,
+         'Supplier ' || CAST(l.l_suppkey AS VARCHAR) AS author_name,
+         's' || CAST(l.l_suppkey AS VARCHAR) || '@example.com' AS author_email,
+         lpad(upper(hex(l.l_partkey)), 40, '0') AS "commit", l.l_shipdate AS ts,
+         concat_ws(' ', l.l_returnflag, l.l_linestatus) AS content
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INTEGER) AS line_number
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
+                         l_tax, l_returnflag, l_linestatus, l_shipdate) AS k FROM lineitem) WHERE k = 1) l
+  JOIN (SELECT repo_id, path, CAST(regexp_extract(path, '([0-9]+)[^/]*$', 1) AS BIGINT) AS doc FROM files) p
+    ON l.l_orderkey = p.doc
+)"""
+
+
+def part_commits_cte() -> str:
+    return """part_commits AS (
+  SELECT lpad(upper(hex(p_partkey)), 40, '0') AS "commit", p_brand AS author, concat_ws(chr(10), p_name, p_type) AS message
+  FROM part
+)"""
+
+
+def iso_sql(ts: str) -> str:
+    return f"(strftime({ts}, '%Y-%m-%dT%H:%M:%S') || '+00:00')"
+
+
+def attributed_cte() -> str:
+    return f"""attributed AS (
+  SELECT f.*, b.author_name AS origin_author_name, b.author_email AS origin_author_email,
+         b.author_name || ' <' || b.author_email || '>' AS origin_author, substring(b."commit", 1, 8) AS origin_commit,
+         {iso_sql('b.ts')} AS origin_date, b.ts AS origin_ts
+  FROM findings f LEFT JOIN blame_lines b
+    ON f.repo_id = b.repo_id AND f.file_path = b.file_path
+   AND (CASE WHEN f.line_number > 0 THEN f.line_number END) = b.line_number
+)"""
+
+
+def pct_1dp_sql(part: str, whole: str) -> str:
+    return f"(floor(({part} * 2000 + {whole}) / ({whole} * 2)) / 10.0)"

@@ -29,6 +29,7 @@ FIXTURE_RULES = [
     ("PII-EMAIL", "any", "secrets", "medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "regex_line", True),
     ("PII-PHONE", "javascript", "injection", "high", r"\+1 \([0-9]{3}\) 555-[0-9]{4}", "regex_line", True),
     ("STYLE-ANY-E", "any", "maintainability", "trace", r"e", "regex_line", False),
+    ("EXT-ERROR-EVENT", "any", "injection", "critical", "", "ast_semgrep", True),
 ]
 # FIXED VALUES (fixture): second engine, overlapping two rule ids at other severities
 FIXTURE_EXTERNAL_RULES = [
@@ -210,3 +211,47 @@ def commit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (b.groupBy("repo_id", "file_path")
             .agg(F.sort_array(F.collect_list(F.struct("ts", "commit", "block")), asc=False).alias("_b"))
             .select("repo_id", "file_path", F.array_join(F.transform("_b", lambda x: x["block"]), "\n").alias("log_text")))
+
+
+# FIXED VALUES (fixture): event type -> scanner category, one per cascade branch family
+EXTERNAL_CATEGORIES = [("click", "xss"), ("view", "path-traversal"), ("signup", "jwt"),
+                       ("purchase", "dependency"), ("error", "sql")]
+
+
+def external_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> one scanner report per event (JSON text), exercising every branch:
+    list and string metadata, missing severity, backslash paths, a check id that
+    names a catalogue rule (error events)."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    check = F.when(F.col("event_type") == "error", F.lit("EXT-ERROR-EVENT")).otherwise(
+        F.concat(F.lit("lang.security."), F.col("event_type"), F.lit(".check_"), k))
+    sep = F.when(F.col("event_id") % 2 == 1, F.lit("\\\\")).otherwise(F.lit("/"))
+    path = F.concat(F.lit("src"), sep, F.lit("file_"), k, F.lit(".py"))
+    sev_word = F.element_at(F.array(F.lit("ERROR"), F.lit("WARNING"), F.lit("INFO"), F.lit("")),
+                            (F.col("event_id") % 4 + 1).cast("int"))
+    cwe = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('["CWE-'), k, F.lit('"]'))).otherwise(
+        F.concat(F.lit('"CWE-'), k, F.lit('"')))
+    line = (F.col("event_id") % 50).cast("string")
+    category = F.lit("none")
+    for et, cat in reversed(EXTERNAL_CATEGORIES):
+        category = F.when(F.col("event_type") == et, F.lit(cat)).otherwise(category)
+    report = F.concat(
+        F.lit('{"results":[{"check_id":"'), check, F.lit('","path":"'), path,
+        F.lit('","start":{"line":'), line, F.lit(',"col":3},"end":{"line":'), line,
+        F.lit('},"extra":{"severity":"'), sev_word, F.lit('","message":"'), F.col("event_type"),
+        F.lit(' seen","lines":"x = '), k, F.lit('","metadata":{"category":"'), category,
+        F.lit('","cwe":'), cwe, F.lit('}}}]}'))
+    return e.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("repo_id"),
+                    F.col("event_id"), report.alias("report"))
+
+
+def fix_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> model responses: mostly JSON objects, every tenth one cut short."""
+    e = table(spark, sf_dir, "events")
+    good = F.concat(F.lit('{"root_cause": "'), F.col("event_type"), F.lit('", "code_patch": "p'),
+                    F.col("event_id").cast("string"), F.lit('", "confidence": '),
+                    F.format_string("%.4f", F.col("value") / 50), F.lit(', "reasoning": ["a", "'),
+                    F.col("event_type"), F.lit('"]}'))
+    bad = F.concat(F.lit('{"root_cause": "'), F.col("event_type"))
+    return e.select("event_id", F.when(F.col("event_id") % 10 == 0, bad).otherwise(good).alias("response"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strata import schemas as S
 from strata.functions.paths import directory_prefixes
+from strata.operators.blame import pct_1dp
 from strata.functions.severity import health_grade, penalty, risk_label, severity_rank
 
 
@@ -95,7 +96,7 @@ def family_hotspots(findings: DataFrame, top: int = 8) -> DataFrame:
     ranked = counts.withColumn("_total", F.sum("count").over(w)).withColumn(
         "rank", F.row_number().over(w.orderBy(F.col("count").desc(), F.col("family"))))
     return ranked.filter(F.col("rank") <= top).select(
-        "repo_id", "family", "count", F.round(F.col("count") / F.col("_total") * 100, 1).alias("pct"), "rank")
+        "repo_id", "family", "count", pct_1dp(F.col("count"), F.col("_total")).alias("pct"), "rank")
 
 
 def top_counts(df: DataFrame, key: str, value: str, k: int, order_col: str) -> DataFrame:

@@ -155,3 +155,166 @@ SELECT repo_id, file_path, CAST(row_number() OVER (PARTITION BY repo_id, file_pa
        array_to_string(CASE WHEN len(d) > 15 THEN d[len(d) - 14:] ELSE d END, chr(10)) AS diff
 FROM (SELECT *, list_concat([' context'], list_transform(range(1, CAST(abs(insertions) % 20 + 2 AS BIGINT)), lambda i: '+add ' || CAST(i AS VARCHAR))) AS d
       FROM commits)""")
+
+# ---------------------------------------------------------------------------
+# findings roll-ups, ranking, ids, grades, external ingest, prompts
+from strata import fixtures as FX  # noqa: E402
+from strata.operators.ranking import DISPLAY_ORDER  # noqa: E402
+from strata.operators.prompts import RESPONSE_DEFAULTS  # noqa: E402
+
+_FD = X.base_scan_ctes()
+
+
+def _disp(expr, unknown):
+    whens = " ".join(f"WHEN {expr} = {X.q(s)} THEN {i}" for i, s in enumerate(DISPLAY_ORDER))
+    return f"(CASE {whens} ELSE {unknown} END)"
+
+
+_SEV_COLS = ", ".join(f"count(*) FILTER (WHERE coalesce(severity, 'medium') = {X.q(s)}) AS {s}"
+                      for s in reversed(S.SEVERITY_ORDER))
+ORACLE["severity_summary"] = X.with_ctes(*_FD, body=f"SELECT repo_id, {_SEV_COLS} FROM findings GROUP BY repo_id")
+ORACLE["severity_breakdown_pct"] = X.with_ctes(*_FD, body="""
+SELECT repo_id, severity, count, CAST(floor(count / sum(count) OVER (PARTITION BY repo_id) * 100) AS INTEGER) AS pct
+FROM (SELECT repo_id, coalesce(severity, 'info') AS severity, count(*) AS count FROM findings GROUP BY ALL)""")
+_HOT = """hot AS (
+  SELECT repo_id, family, count, total,
+         row_number() OVER (PARTITION BY repo_id ORDER BY count DESC, family) AS rank
+  FROM (SELECT repo_id, family, count, sum(count) OVER (PARTITION BY repo_id) AS total
+        FROM (SELECT repo_id, CASE WHEN coalesce(trim(defect_family), '') = '' THEN 'unknown' ELSE defect_family END AS family,
+                     count(*) AS count FROM findings GROUP BY ALL))
+)"""
+ORACLE["family_hotspots"] = X.with_ctes(*_FD, _HOT, body=f"""
+SELECT repo_id, family, count, {X.pct_1dp_sql('count', 'total')} AS pct, rank FROM hot WHERE rank <= 8""")
+ORACLE["top_counts"] = """
+SELECT user_id, value, count, rank FROM (
+  SELECT user_id, value, count, row_number() OVER (PARTITION BY user_id ORDER BY count DESC, first) AS rank
+  FROM (SELECT user_id, trim(CAST(event_type AS VARCHAR)) AS value, count(*) AS count, min(event_id) AS first
+        FROM events WHERE trim(CAST(event_type AS VARCHAR)) <> '' GROUP BY ALL)) WHERE rank <= 3"""
+ORACLE["issues_by_file"] = X.with_ctes(*_FD, body=f"""
+SELECT repo_id, file_path, count(*) AS issue_count, max({X.sev_rank_sql('severity', -1)}) AS max_rank,
+       string_agg(CAST(line_number AS VARCHAR) || ':' || rule_id, ',' ORDER BY line_number, rule_id) AS issues
+FROM findings GROUP BY ALL""")
+ORACLE["issue_identity"] = X.with_ctes(*_FD, body=f"""
+SELECT repo_id, file_path, line_number, rule_id,
+       'issue_' || CAST(row_number() OVER (PARTITION BY repo_id ORDER BY file_path, {X.sev_rank_sql('severity')} DESC,
+                        engine_order, rule_id, line_number, end_line) - 1 AS VARCHAR)
+       || '_' || substring(md5(file_path || CAST(line_number AS VARCHAR) || rule_id), 1, 8) AS id
+FROM findings""")
+_HS = f"""hs AS (
+  SELECT r.repo_id, CAST(greatest(0, least(100, trunc(100.0 - coalesce(p.pen, 0.0)))) AS INTEGER) AS health_score,
+         CAST(coalesce(p.n, 0) AS BIGINT) AS total_issues
+  FROM (SELECT DISTINCT repo_id FROM files) r
+  LEFT JOIN (SELECT repo_id, sum({X.penalty_sql()}) AS pen, count(*) AS n FROM findings GROUP BY repo_id) p ON r.repo_id = p.repo_id
+),
+ss AS (SELECT repo_id, {_SEV_COLS} FROM findings GROUP BY repo_id)"""
+_GRADE = ("CASE WHEN health_score >= 90 THEN 'A' WHEN health_score >= 80 THEN 'B' WHEN health_score >= 70 THEN 'C' "
+          "WHEN health_score >= 60 THEN 'D' ELSE 'F' END")
+_RISK = ("CASE WHEN coalesce(blocker, 0) > 0 THEN 'Blocker risks present' WHEN coalesce(critical, 0) > 0 THEN 'Critical risks present' "
+         "WHEN coalesce(high, 0) > 0 THEN 'High-risk issues detected' WHEN coalesce(medium, 0) > 0 THEN 'Moderate-risk issues' "
+         "ELSE 'Low overall risk' END")
+ORACLE["health_grade_risk"] = X.with_ctes(*_FD, _HS, body=f"""
+SELECT hs.repo_id, health_score, {_GRADE} AS grade, {_RISK} AS risk,
+       CASE WHEN health_score >= 80 THEN 'green' WHEN health_score >= 60 THEN 'yellow' WHEN health_score >= 40 THEN 'orange' ELSE 'red' END AS report_band,
+       CASE WHEN health_score >= 90 THEN 'excellent' WHEN health_score >= 70 THEN 'good' WHEN health_score >= 50 THEN 'fair'
+            WHEN health_score >= 30 THEN 'poor' ELSE 'critical' END AS ui_band
+FROM hs LEFT JOIN ss ON hs.repo_id = ss.repo_id""")
+ORACLE["executive_summary"] = X.with_ctes(*_FD, _HS, _HOT, body=f"""
+SELECT hs.repo_id, health_score, {_GRADE} AS grade, total_issues, tl.file_count, tl.total_lines, {_RISK} AS risk,
+       coalesce(hot.family, 'none') AS top_family, coalesce(tlang.top_languages, '') AS top_languages
+FROM hs LEFT JOIN ss ON hs.repo_id = ss.repo_id
+LEFT JOIN hot ON hs.repo_id = hot.repo_id AND hot.rank = 1
+LEFT JOIN (SELECT repo_id, string_agg(language, ',' ORDER BY r) AS top_languages FROM (
+             SELECT repo_id, language, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, language) AS r
+             FROM (SELECT repo_id, language, count(*) AS n FROM files WHERE language <> 'plaintext' GROUP BY ALL))
+           WHERE r <= 3 GROUP BY repo_id) tlang ON hs.repo_id = tlang.repo_id
+LEFT JOIN (SELECT repo_id, CAST(sum(lines) AS BIGINT) AS total_lines, count(*) AS file_count FROM files GROUP BY repo_id) tl
+  ON hs.repo_id = tl.repo_id""")
+ORACLE["search_issues"] = X.with_ctes(*_FD, body=f"""
+SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY {_disp("coalesce(severity, '')", 4)}, file_path, line_number, rule_id) AS position,
+       file_path, line_number, rule_id, severity
+FROM findings WHERE contains(lower(file_path), 'token') OR contains(lower(message), 'token')
+   OR contains(lower(coalesce(defect_family, '')), 'token') OR contains(lower(coalesce(rule_id, '')), 'token')""")
+ORACLE["top_issues"] = X.with_ctes(*_FD, body=f"""
+SELECT repo_id, rank, file_path, line_number, rule_id, severity, greatest(n - 2, 0) AS remaining FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_disp("coalesce(severity, 'info')", 99)}, file_path, line_number, rule_id) AS rank,
+         count(*) OVER (PARTITION BY repo_id) AS n FROM findings) WHERE rank <= 2""")
+ORACLE["representative_issues"] = X.with_ctes(*_FD, body=f"""
+SELECT repo_id, position, file, line, severity, family, rule_id, substring(msg, 1, 180) AS message FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY rk, family, file, line, rule_id, msg) AS position FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id, family, file, line, msg ORDER BY rk, family, file, line, rule_id, msg) AS k
+    FROM (SELECT repo_id, {_disp("coalesce(severity, 'info')", 4)} AS rk, coalesce(defect_family, '') AS family,
+                 coalesce(file_path, '') AS file, coalesce(line_number, 0) AS line, coalesce(message, '') AS msg,
+                 coalesce(severity, 'low') AS severity, coalesce(rule_id, '') AS rule_id FROM findings))
+  WHERE k = 1) WHERE position <= 3""")
+
+
+def _family_cascade_sql(text):
+    out = "CASE"
+    for family, any_of, all_of in S.FAMILY_KEYWORDS:
+        if any_of:
+            cond = " OR ".join(f"contains({text}, {X.q(k)})" for k in any_of)
+        else:
+            cond = " AND ".join(f"contains({text}, {X.q(k)})" for k in all_of)
+        out += f" WHEN {cond} THEN {X.q(family)}"
+    return out + f" ELSE {X.q(S.DEFAULT_FAMILY)} END"
+
+
+_CAT = "CASE " + " ".join(f"WHEN event_type = {X.q(et)} THEN {X.q(c)}" for et, c in FX.EXTERNAL_CATEGORIES) + " ELSE 'none' END"
+_SEVW = "CASE " + " ".join(f"WHEN sev_word = {X.q(k)} THEN {X.q(v)}" for k, v in S.EXTERNAL_SEVERITY.items()) + " ELSE 'medium' END"
+_EXT = f"""ext AS (
+  SELECT repo_id, rule_id, file_path, line_number, has_rule, event_type, k,
+         CASE WHEN has_rule THEN 'critical' ELSE {_SEVW} END AS severity,
+         CASE WHEN has_rule THEN 'injection' ELSE {_family_cascade_sql("lower(rule_id || ' ' || category)")} END AS defect_family,
+         CASE WHEN has_rule THEN 'EXT-ERROR-EVENT matched' ELSE event_type || ' seen' END AS message,
+         CAST(NULL AS VARCHAR) AS fix_hint,
+         CASE WHEN has_rule THEN NULL ELSE 'CWE-' || k END AS cwe_id, CAST(NULL AS VARCHAR) AS owasp_ref,
+         'x = ' || k AS code_snippet,
+         replace(string_split(rule_id, '.')[-1], '_', '-') AS issue_type
+  FROM (SELECT 'user' || CAST(user_id AS VARCHAR) AS repo_id, event_type, json_extract_string(props, '$.k') AS k,
+               event_type = 'error' AS has_rule,
+               CASE WHEN event_type = 'error' THEN 'EXT-ERROR-EVENT'
+                    ELSE 'lang.security.' || event_type || '.check_' || json_extract_string(props, '$.k') END AS rule_id,
+               'src/file_' || json_extract_string(props, '$.k') || '.py' AS file_path,
+               CAST(event_id % 50 AS INTEGER) AS line_number,
+               ['ERROR', 'WARNING', 'INFO', ''][CAST(event_id % 4 + 1 AS INTEGER)] AS sev_word,
+               {_CAT} AS category
+        FROM events)
+)"""
+ORACLE["ingest_external_findings"] = X.with_ctes(_EXT, body="""
+SELECT repo_id, rule_id, 'external' AS engine_source, file_path, line_number, severity, defect_family, message, fix_hint,
+       cwe_id, owasp_ref, code_snippet, issue_type, line_number AS end_line, 3 AS "column" FROM ext""")
+ORACLE["map_external_severity"] = X.with_ctes(_EXT, body="SELECT repo_id, rule_id, line_number, severity FROM ext")
+ORACLE["classify_defect_family"] = X.with_ctes(_EXT, body="SELECT repo_id, rule_id, line_number, defect_family FROM ext")
+ORACLE["rule_metadata_override"] = X.with_ctes(_EXT, body="""
+SELECT repo_id, rule_id, line_number, message, cwe_id, owasp_ref, fix_hint FROM ext""")
+
+_PROMPT = ("concat_ws(chr(10), '**Defect Family:** ' || f.defect_family, '**Language:** ' || l.language, "
+           "CASE WHEN coalesce(f.file_path, '') <> '' THEN '**File:** ' || f.file_path END, "
+           "chr(10) || '**Flagged code:**' || chr(10) || '```' || l.language || chr(10) || f.code_snippet || chr(10) || '```', "
+           "chr(10) || 'Analyze this issue step-by-step and respond with your fix recommendation as a single JSON object.')")
+ORACLE["fix_prompts"] = X.with_ctes(*_FD, body=f"""
+SELECT f.repo_id, f.file_path, f.line_number, f.rule_id, md5({_PROMPT}) AS prompt_md5,
+       CAST(length({_PROMPT}) AS INTEGER) AS prompt_chars
+FROM findings f JOIN (SELECT repo_id, path, coalesce(language, 'plaintext') AS language FROM files) l
+  ON f.repo_id = l.repo_id AND f.file_path = l.path
+WHERE trim(coalesce(f.code_snippet, '')) <> '' AND length(f.code_snippet) <= 5000""")
+_REQ = f"""req AS (
+  SELECT substring(sha256('fix|' || arr[i] || '|secrets|' || lang), 1, 20) AS request_key, doc_id * 100000 + i AS request_seq
+  FROM (SELECT doc_id, lang, arr, unnest(generate_series(1, len(arr))) AS i
+        FROM (SELECT doc_id, lang, {X.split_lines_sql('text')} AS arr FROM documents))
+)"""
+ORACLE["request_dedupe"] = X.with_ctes(_REQ, body="""
+SELECT request_key, count(*) AS requests, min(request_seq) AS first_request FROM req GROUP BY request_key""")
+ORACLE["request_hit_rate"] = X.with_ctes(_REQ, body="""
+SELECT total, distinct_keys, CASE WHEN total > 0 THEN floor(((total - distinct_keys) * 2000 + total) / (total * 2)) / 1000.0 ELSE 0.0 END AS hit_rate
+FROM (SELECT count(*) AS total, count(DISTINCT request_key) AS distinct_keys FROM req)""")
+ORACLE["parse_fix_responses"] = f"""
+SELECT event_id,
+       CASE WHEN bad THEN NULL ELSE event_type END AS root_cause,
+       CASE WHEN bad THEN NULL ELSE {X.q(RESPONSE_DEFAULTS['fix_strategy'])} END AS fix_strategy,
+       CASE WHEN bad THEN NULL ELSE 'p' || CAST(event_id AS VARCHAR) END AS code_patch,
+       CASE WHEN bad THEN NULL ELSE greatest(0.0, least(1.0, CAST(printf('%.4f', value / 50) AS DOUBLE))) END AS confidence,
+       CASE WHEN bad THEN NULL ELSE 2 END AS n_reasons,
+       bad AS parse_error,
+       NOT bad AND greatest(0.0, least(1.0, CAST(printf('%.4f', value / 50) AS DOUBLE))) > 0 AS reusable
+FROM (SELECT *, event_id % 10 = 0 AS bad FROM events)"""

@@ -217,3 +217,139 @@ def q_commit_timeline_meta(spark, sf_dir):
 @register("evolution_chain")
 def q_evolution_chain(spark, sf_dir):
     return HI.evolution_chain(FX.commits(spark, sf_dir), 20)
+
+
+# ---------------------------------------------------------------------------
+# findings roll-ups, ranking, ids, grades, external ingest
+from strata.operators import ranking as RK  # noqa: E402
+from strata.operators import prompts as PR  # noqa: E402
+from strata.sources import external as EX  # noqa: E402
+from strata.functions import severity as SV  # noqa: E402
+
+
+@register("severity_summary")
+def q_severity_summary(spark, sf_dir):
+    return RU.severity_summary(FX.findings(spark, sf_dir))
+
+
+@register("severity_breakdown_pct")
+def q_severity_breakdown_pct(spark, sf_dir):
+    return RU.severity_breakdown_pct(FX.findings(spark, sf_dir))
+
+
+@register("family_hotspots")
+def q_family_hotspots(spark, sf_dir):
+    return RU.family_hotspots(FX.findings(spark, sf_dir))
+
+
+@register("top_counts")
+def q_top_counts(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return RU.top_counts(ev, "user_id", "event_type", 3, "event_id")
+
+
+@register("issues_by_file")
+def q_issues_by_file(spark, sf_dir):
+    out = RU.issues_by_file(FX.findings(spark, sf_dir))
+    return out.select("repo_id", "file_path", "issue_count", "max_rank",
+                      F.array_join(F.transform("issues", lambda x: F.concat_ws(":", x["line_number"].cast("string"),
+                                                                                  x["rule_id"])), ",").alias("issues"))
+
+
+@register("issue_identity")
+def q_issue_identity(spark, sf_dir):
+    return FD.assign_issue_ids(FX.findings(spark, sf_dir)).select("repo_id", "file_path", "line_number", "rule_id", "id")
+
+
+@register("health_grade_risk")
+def q_health_grade_risk(spark, sf_dir):
+    hs = RU.health_score(FX.findings(spark, sf_dir), FX.files(spark, sf_dir).select("repo_id"))
+    ss = RU.severity_summary(FX.findings(spark, sf_dir))
+    j = hs.join(ss, "repo_id", "left")
+    z = {s: F.coalesce(F.col(s), F.lit(0)) for s in S.SEVERITY_ORDER}
+    return j.select("repo_id", "health_score", SV.health_grade("health_score").alias("grade"),
+                    SV.risk_label(z["blocker"], z["critical"], z["high"], z["medium"]).alias("risk"),
+                    SV.report_colour_band("health_score").alias("report_band"),
+                    SV.ui_colour_band("health_score").alias("ui_band"))
+
+
+@register("executive_summary")
+def q_executive_summary(spark, sf_dir):
+    return RU.executive_summary(FX.findings(spark, sf_dir), FX.files(spark, sf_dir))
+
+
+@register("search_issues")
+def q_search_issues(spark, sf_dir):
+    return RK.search_issues(FX.findings(spark, sf_dir), "token").select(
+        "repo_id", "position", "file_path", "line_number", "rule_id", "severity")
+
+
+@register("top_issues")
+def q_top_issues(spark, sf_dir):
+    return RK.top_issues(FX.findings(spark, sf_dir), 2).select(
+        "repo_id", "rank", "file_path", "line_number", "rule_id", "severity", "remaining")
+
+
+@register("representative_issues")
+def q_representative_issues(spark, sf_dir):
+    return RK.representative_issues(FX.findings(spark, sf_dir), 3)
+
+
+@register("ingest_external_findings")
+def q_ingest_external_findings(spark, sf_dir):
+    return EX.ingest_external_findings(FX.external_reports(spark, sf_dir), FX.rules(spark))
+
+
+@register("map_external_severity")
+def q_map_external_severity(spark, sf_dir):
+    return q_ingest_external_findings(spark, sf_dir).select("repo_id", "rule_id", "line_number", "severity")
+
+
+@register("classify_defect_family")
+def q_classify_defect_family(spark, sf_dir):
+    return q_ingest_external_findings(spark, sf_dir).select("repo_id", "rule_id", "line_number", "defect_family")
+
+
+@register("rule_metadata_override")
+def q_rule_metadata_override(spark, sf_dir):
+    return q_ingest_external_findings(spark, sf_dir).select(
+        "repo_id", "rule_id", "line_number", "message", "cwe_id", "owasp_ref", "fix_hint")
+
+
+@register("fix_prompts")
+def q_fix_prompts(spark, sf_dir):
+    f = FX.findings(spark, sf_dir)
+    files = FX.files(spark, sf_dir).select("repo_id", F.col("path").alias("file_path"), "language")
+    return PR.fix_prompts(f.join(files, ["repo_id", "file_path"])).select(
+        "repo_id", "file_path", "line_number", "rule_id", F.md5("prompt").alias("prompt_md5"),
+        F.length("prompt").alias("prompt_chars"))
+
+
+def _requests(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines = SC.explode_lines(d.select("doc_id", "lang", F.col("text").alias("content")), keep=("doc_id", "lang"))
+    return lines.select(PR.request_key("fix", F.col("line"), F.lit("secrets"), F.col("lang")).alias("request_key"),
+                        (F.col("doc_id") * 100000 + F.col("line_number")).alias("request_seq"))
+
+
+@register("request_dedupe")
+def q_request_dedupe(spark, sf_dir):
+    return PR.request_dedupe(_requests(spark, sf_dir), "request_seq")
+
+
+@register("request_hit_rate")
+def q_request_hit_rate(spark, sf_dir):
+    return PR.request_hit_rate(_requests(spark, sf_dir))
+
+
+@register("parse_fix_responses")
+def q_parse_fix_responses(spark, sf_dir):
+    out = PR.parse_fix_responses(FX.fix_responses(spark, sf_dir))
+    return out.select("event_id", "root_cause", "fix_strategy", "code_patch", "confidence",
+                      F.when(F.col("reasoning").isNotNull(), F.size("reasoning")).alias("n_reasons"),
+                      "parse_error", "reusable")
+
+
+@register("summary_payload")
+def q_summary_payload(spark, sf_dir):
+    return PR.summary_payload(FX.findings(spark, sf_dir))

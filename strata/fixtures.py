@@ -255,3 +255,29 @@ def fix_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("event_type"), F.lit('"]}'))
     bad = F.concat(F.lit('{"root_cause": "'), F.col("event_type"))
     return e.select("event_id", F.when(F.col("event_id") % 10 == 0, bad).otherwise(good).alias("response"))
+
+
+# FIXED VALUES (fixture): event type -> analysis status for progress events
+PROGRESS_STATUS = [("view", "cloning"), ("click", "analyzing"), ("signup", "scanning"),
+                   ("purchase", "complete"), ("error", "failed")]
+
+
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    status = F.lit("queued")
+    for et, st in reversed(PROGRESS_STATUS):
+        status = F.when(F.col("event_type") == et, F.lit(st)).otherwise(status)
+    return e.select(
+        F.col("user_id").cast("string").alias("analysis_id"), F.col("event_id").alias("seq"),
+        F.col("event_type"), status.alias("status"),
+        F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("value")))).cast("int").alias("progress"),
+        F.concat(F.col("event_type"), F.lit(" #"), F.col("event_id").cast("string")).alias("message"),
+        F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.col("event_type")).alias("step"),
+        F.col("ts"))
+
+
+def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations -> summary chunk events: system turns mark the summary unavailable."""
+    c = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "system", F.lit("unavailable")).otherwise(F.lit("chunk"))
+    return c.select(F.col("conv_id").alias("analysis_id"), F.col("turn").alias("seq"), kind.alias("kind"), "text")

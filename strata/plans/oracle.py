@@ -318,3 +318,45 @@ SELECT event_id,
        bad AS parse_error,
        NOT bad AND greatest(0.0, least(1.0, CAST(printf('%.4f', value / 50) AS DOUBLE))) > 0 AS reusable
 FROM (SELECT *, event_id % 10 = 0 AS bad FROM events)"""
+
+# ---------------------------------------------------------------------------
+# 2.9 streaming operators (batch forms)
+from strata.plans.queries import RATE_LIMIT_N  # noqa: E402
+
+ORACLE["rate_limit"] = f"""
+WITH RECURSIVE ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request_id, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events
+),
+r(key, rn, request_id, admitted, state) AS (
+  SELECT key, rn, request_id, {RATE_LIMIT_N} > 0, CASE WHEN {RATE_LIMIT_N} > 0 THEN [t] ELSE [] END FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.key, e.rn, e.request_id,
+         len(list_filter(r.state, lambda x: e.t - x < 3600000000)) < {RATE_LIMIT_N},
+         CASE WHEN len(list_filter(r.state, lambda x: e.t - x < 3600000000)) < {RATE_LIMIT_N}
+              THEN list_append(list_filter(r.state, lambda x: e.t - x < 3600000000), e.t)
+              ELSE list_filter(r.state, lambda x: e.t - x < 3600000000) END
+  FROM r JOIN ev e ON e.key = r.key AND e.rn = r.rn + 1
+)
+SELECT key, request_id, admitted FROM r"""
+
+_PST = "CASE " + " ".join(f"WHEN event_type = {X.q(et)} THEN {X.q(st)}" for et, st in FX.PROGRESS_STATUS) + " ELSE 'queued' END"
+ORACLE["progress_state"] = f"""
+SELECT analysis_id, l.status AS status, l.progress AS progress, l.message AS message,
+       CASE WHEN coalesce(l.step, '') <> '' THEN l.step ELSE l.status END AS current_step, steps,
+       l.status IN ('complete', 'failed') AS is_complete
+FROM (SELECT CAST(user_id AS VARCHAR) AS analysis_id,
+             arg_max({{'status': {_PST}, 'progress': CAST(floor(greatest(0.0, least(100.0, value))) AS INTEGER),
+                      'message': event_type || ' #' || CAST(event_id AS VARCHAR),
+                      'step': CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END}}, event_id) AS l,
+             count(*) AS steps
+      FROM events GROUP BY user_id)"""
+ORACLE["assemble_chunks"] = """
+SELECT analysis_id, md5(summary) AS summary_md5, CAST(length(summary) AS INTEGER) AS summary_chars, chunks,
+       CASE WHEN unavail > 0 THEN 'unavailable' WHEN length(summary) > 0 THEN 'complete' ELSE 'streaming' END AS status,
+       CASE WHEN chunks > 0 THEN 75 ELSE 0 END AS progress
+FROM (SELECT conv_id AS analysis_id,
+             coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS summary,
+             count(*) FILTER (WHERE role <> 'system') AS chunks, count(*) FILTER (WHERE role = 'system') AS unavail
+      FROM conversations GROUP BY conv_id)"""

@@ -353,3 +353,29 @@ def q_parse_fix_responses(spark, sf_dir):
 @register("summary_payload")
 def q_summary_payload(spark, sf_dir):
     return PR.summary_payload(FX.findings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# 2.9 streaming operators (batch forms; stream twins are unit-tested equal)
+from strata.streaming import rate_limit as RL  # noqa: E402
+from strata.streaming import progress as PG  # noqa: E402
+
+RATE_LIMIT_N = 2  # at most 3 events per user per clock hour in the data, so N = 2 exercises rejection
+
+
+@register("rate_limit")
+def q_rate_limit(spark, sf_dir):
+    return RL.rate_limit(FX.requests(spark, sf_dir), RATE_LIMIT_N).select("key", "request_id", "admitted")
+
+
+@register("progress_state")
+def q_progress_state(spark, sf_dir):
+    return PG.progress_state(FX.progress_events(spark, sf_dir)).select(
+        "analysis_id", "status", "progress", "message", "current_step", "steps", "is_complete")
+
+
+@register("assemble_chunks")
+def q_assemble_chunks(spark, sf_dir):
+    out = PG.assemble_chunks(FX.summary_chunks(spark, sf_dir))
+    return out.select("analysis_id", F.md5("summary").alias("summary_md5"),
+                      F.length("summary").alias("summary_chars"), "chunks", "status", "progress")

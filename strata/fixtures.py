@@ -87,15 +87,10 @@ def multiline_rules(spark: SparkSession) -> DataFrame:
 def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both fixture engines over the scannable files, before de-duplication."""
     from strata.functions.languages import scannable_filter
-    from strata.operators.scan import run_engines, scan_line_rules
+    from strata.operators.scan import scan_line_engines
 
     f = scannable_filter(files(spark, sf_dir))
-    ext = external_rules(spark)
-    engines = {
-        "regex": lambda fl, r: scan_line_rules(fl, r, engine="regex"),
-        "external": lambda fl, r: scan_line_rules(fl, ext, engine="external"),
-    }
-    return run_engines(f, rules(spark), engines)
+    return scan_line_engines(f, {"regex": rules(spark), "external": external_rules(spark)})
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +109,13 @@ def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     paths = files(spark, sf_dir).select(
         "repo_id", "path", F.regexp_extract("path", r"([0-9]+)[^/]*$", 1).cast("long").alias("_doc"))
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.col(c) for c in li.columns])
-    one = li.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1)
-    w2 = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    numbered = one.withColumn("line_number", F.row_number().over(w2).cast("int"))
+    # One window spec does both jobs: keep the first row of each (order, line number)
+    # under a total order, and number the kept rows by dense rank of the line number.
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *[F.col(c) for c in li.columns if c != "l_orderkey"])
+    marked = li.select("*", F.lag("l_linenumber").over(w).alias("_prev"),
+                       F.dense_rank().over(w.orderBy("l_linenumber")).alias("_dr"))
+    numbered = (marked.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("l_linenumber")))
+                .withColumn("line_number", F.col("_dr").cast("int")))
     return numbered.join(paths, numbered.l_orderkey == paths._doc).select(
         "repo_id", F.col("path").alias("file_path"), "line_number",
         F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("author_name"),

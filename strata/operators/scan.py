@@ -81,7 +81,9 @@ def collect_rules(rules: DataFrame, match_types=("regex_line",), limit: int = MA
 
 def _meta_literal(rules: list[dict]) -> Column:
     return F.array(*[
-        F.struct(F.lit(r["rule_id"]).alias("rule_id"),
+        F.struct(F.lit(r.get("engine", "regex")).alias("engine"),
+                 F.lit(r.get("engine_order", 0)).alias("engine_order"),
+                 F.lit(r["rule_id"]).alias("rule_id"),
                  F.lit(r["severity"] or "low").alias("severity"),
                  F.lit(r["defect_family"] or "best_practice").alias("defect_family"),
                  F.lit(r["message"] or "Issue detected").alias("message"),
@@ -117,7 +119,7 @@ def _finding_projection(engine: str) -> list[Column]:
     return [
         F.col("repo_id"),
         F.col("_m.rule_id").alias("rule_id"),
-        F.lit(engine).alias("engine_source"),
+        (F.lit(engine) if engine else F.col("_m.engine")).alias("engine_source"),
         F.col("file_path"),
         F.col("line_number").cast("int").alias("line_number"),
         F.col("_m.severity").alias("severity"),
@@ -169,7 +171,8 @@ def _split_files(files: DataFrame) -> DataFrame:
     return with_lines(base, keep=["repo_id", "file_path", "_lang"])
 
 
-def _inline_scan(files: DataFrame, rules: list[dict], engine: str) -> DataFrame:
+def _inline_scan(files: DataFrame, rules: list[dict], engine: str | None,
+                 with_engine_order: bool = False) -> DataFrame:
     lines = _split_files(files).select(
         "repo_id", "file_path", "_lang", F.posexplode(with_neighbours("_lines")).alias("_pos", "_l"))
     hits = (lines.select("repo_id", "file_path", "_pos", "_l",
@@ -183,7 +186,36 @@ def _inline_scan(files: DataFrame, rules: list[dict], engine: str) -> DataFrame:
                 F.concat_ws("\n", F.col("_l.prev"), F.col("_l.line"), F.col("_l.next")).alias("code_snippet"),
                 F.element_at(meta, F.col("_slot")).alias("_m"))
             .withColumn("end_line", F.col("line_number"))
-            .select(*_finding_projection(engine)))
+            .select(*_finding_projection(engine), *([F.col("_m.engine_order").alias("engine_order")]
+                                                     if with_engine_order else [])))
+
+
+def scan_line_engines(files: DataFrame, engines: dict[str, DataFrame], alias_languages: bool = True) -> DataFrame:
+    """Several line-rule engines over the same files in ONE pass.
+
+    Each engine's catalogue is compiled into the same hit list (slots tagged
+    with engine name and registration order), so the text is split and the
+    lines generated once however many engines run.  Output carries
+    ``engine_order`` for the de-duplication tie-break.  Falls back to one scan
+    per engine when a catalogue is too large to inline.
+    """
+    compiled = []
+    for order, (name, rules) in enumerate(engines.items()):
+        rs = collect_rules(rules, ("regex_line",), alias_languages=alias_languages)
+        if rs is None or any(not r.get("java_ok", True) for r in rs):
+            compiled = None
+            break
+        compiled += [dict(r, engine=name, engine_order=order) for r in rs]
+    if compiled is None:
+        out = None
+        for order, (name, rules) in enumerate(engines.items()):
+            df = scan_line_rules(files, rules, engine=name, alias_languages=alias_languages) \
+                .withColumn("engine_order", F.lit(order))
+            out = df if out is None else out.unionByName(df)
+        return out
+    if not compiled:
+        return _empty_findings(files).withColumn("engine_order", F.lit(0))
+    return _inline_scan(files, compiled, None, with_engine_order=True)
 
 
 def _scan_line_rules_join(files: DataFrame, rules: DataFrame, engine: str, alias_languages: bool) -> DataFrame:

@@ -279,3 +279,84 @@ def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "system", F.lit("unavailable")).otherwise(F.lit("chunk"))
     return c.select(F.col("conv_id").alias("analysis_id"), F.col("turn").alias("seq"), kind.alias("kind"), "text")
+
+
+# ---------------------------------------------------------------------------
+# rule catalogue fixtures (derived from part and events)
+# FIXED VALUES (fixture): value cycles that put every validation branch in the import batch
+IMPORT_SEVERITIES = ["low", "HIGH", "critical", "urgent", "medium", "info", "trace", "blocker", "high"]
+IMPORT_MATCH_TYPES = ["regex_line", "regex_multiline", "ast_semgrep", "glob"]
+SEED_LANGUAGES = ["python", "javascript", "go", "java"]
+SEED_SEVERITIES = ["low", "medium", "high", "critical"]
+
+
+def _cycle(values, idx):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values) + 1).cast("int"))
+
+
+def rule_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part -> an import batch with missing ids, duplicates, blanks and bad values."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    fam = F.element_at(F.array(*[F.lit(v) for v in S.DEFECT_FAMILIES + ["perf"]]), (k % 13 + 1).cast("int"))
+    return p.select(
+        k.alias("idx"),
+        F.when(k % 97 == 0, F.lit("")).otherwise(F.concat(F.lit("P-"), (k % 1500).cast("string"))).alias("rule_id"),
+        F.col("p_name").alias("name"),
+        F.when(k % 41 == 0, F.lit("  ")).otherwise(F.col("p_brand")).alias("pattern"),
+        F.col("p_type").alias("message"),
+        _cycle(IMPORT_SEVERITIES, F.col("p_size")).alias("severity"),
+        fam.alias("defect_family"),
+        _cycle(IMPORT_MATCH_TYPES, F.col("p_size")).alias("match_type"),
+        F.lit("any").alias("language"),
+        (F.col("p_size") % 2 == 0).alias("is_active"))
+
+
+def existing_rule_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue an import runs against: the fixture rules plus ids derived from part."""
+    p = table(spark, sf_dir, "part")
+    derived = p.filter(F.col("p_partkey") % 100 == 3).select(
+        F.concat(F.lit("P-"), (F.col("p_partkey") % 1500).cast("string")).alias("rule_id"))
+    fixed = spark.createDataFrame([(r[0],) for r in FIXTURE_RULES], "rule_id string")
+    return derived.unionByName(fixed)
+
+
+def seed_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    langs = F.slice(F.array(*[F.lit(v) for v in SEED_LANGUAGES]), 1, (F.col("p_size") % 4).cast("int"))
+    return p.select(
+        F.concat(F.lit("part-"), (k % 400).cast("string")).alias("id"), k.alias("seq"), langs.alias("languages"),
+        F.concat(F.col("p_name"), F.when(k % 10 == 0, F.lit("\\n")).otherwise(F.lit(""))).alias("pattern"),
+        _cycle(SEED_SEVERITIES, k).alias("severity"), F.col("p_type").alias("message"))
+
+
+def seed_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("n")).distinct()
+    return p.select(F.concat(F.lit("part-"), F.col("n").cast("string")).alias("id"),
+                    _cycle(S.DEFECT_FAMILIES, F.col("n")).alias("defect_family"))
+
+
+def seed_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("n")).distinct()
+    return p.filter(F.col("n") % 50 == 0).select(F.concat(F.lit("part-"), F.col("n").cast("string")).alias("id"),
+                                                F.lit("trace").alias("severity"))
+
+
+def seed_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("n")).distinct()
+    return p.filter(F.col("n") % 30 == 0).select(F.concat(F.lit("REGEX-part-"), F.col("n").cast("string")).alias("rule_id"))
+
+
+def rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> a rule change feed over the seeded catalogue."""
+    e = table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    action = (F.when(et == "click", "toggle").when(et == "view", "update").when(et == "signup", "update")
+              .when(et == "purchase", "deactivate")
+              .otherwise(F.when(F.col("event_id") % 7 == 0, F.lit("delete")).otherwise(F.lit("toggle"))))
+    return e.select(
+        F.concat(F.lit("REGEX-part-"), (F.col("user_id") % 60).cast("string")).alias("rule_id"),
+        F.col("event_id").alias("seq"), action.alias("action"),
+        F.when(et == "view", _cycle(["low", "medium", "high"], F.col("event_id"))).alias("severity"),
+        F.when(et == "signup", F.concat(F.lit("msg "), F.col("event_id").cast("string"))).alias("message"))

@@ -360,3 +360,100 @@ FROM (SELECT conv_id AS analysis_id,
              coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS summary,
              count(*) FILTER (WHERE role <> 'system') AS chunks, count(*) FILTER (WHERE role = 'system') AS unavail
       FROM conversations GROUP BY conv_id)"""
+
+# ---------------------------------------------------------------------------
+# 2.7 rule catalogue
+
+
+def _cyc(values, idx):
+    return f"{X.str_list(values)}[CAST({idx} % {len(values)} + 1 AS INTEGER)]"
+
+
+_IMP = f"""imp AS (
+  SELECT p_partkey AS idx,
+         CASE WHEN p_partkey % 97 = 0 THEN '' ELSE 'P-' || CAST(p_partkey % 1500 AS VARCHAR) END AS rid,
+         trim(p_name) AS name, trim(CASE WHEN p_partkey % 41 = 0 THEN '  ' ELSE p_brand END) AS pattern, trim(p_type) AS message,
+         lower(trim({_cyc(FX.IMPORT_SEVERITIES, 'p_size')})) AS sev,
+         lower(trim({_cyc(S.DEFECT_FAMILIES + ['perf'], 'p_partkey')})) AS fam,
+         lower(trim({_cyc(FX.IMPORT_MATCH_TYPES, 'p_size')})) AS mt
+  FROM part
+),
+known AS (
+  SELECT DISTINCT rule_id FROM (
+    SELECT 'P-' || CAST(p_partkey % 1500 AS VARCHAR) AS rule_id FROM part WHERE p_partkey % 100 = 3
+    UNION ALL SELECT unnest({X.str_list([r[0] for r in FX.FIXTURE_RULES])}))
+),
+val AS (
+  SELECT imp.*, known.rule_id IS NOT NULL AS ex,
+         CASE WHEN name = '' OR pattern = '' OR message = '' THEN 'Missing required fields (name, pattern, message)'
+              WHEN sev NOT IN {X.in_list(S.SEVERITY_ORDER)} THEN 'Invalid severity: ' || sev
+              WHEN fam NOT IN {X.in_list(S.DEFECT_FAMILIES)} THEN 'Invalid defect_family: ' || fam
+              WHEN mt NOT IN {X.in_list(S.MATCH_TYPES)} THEN 'Invalid match_type: ' || mt END AS invalid
+  FROM imp LEFT JOIN known ON imp.rid = known.rule_id
+),
+stat AS (
+  SELECT *, CASE WHEN rid = '' THEN 'error'
+                 WHEN ex OR first_ok < idx THEN 'skipped'
+                 WHEN invalid IS NOT NULL THEN 'error' ELSE 'created' END AS status
+  FROM (SELECT *, min(CASE WHEN invalid IS NULL THEN idx END) OVER (PARTITION BY rid) AS first_ok FROM val)
+)"""
+ORACLE["bulk_import_rules"] = X.with_ctes(_IMP, body="""
+SELECT idx, rid AS rule_id, status,
+       CASE WHEN rid = '' THEN 'Missing rule_id' WHEN status = 'error' THEN invalid END AS error FROM stat""")
+_SUMMARY = """SELECT count(*) FILTER (WHERE status = 'created') AS created, count(*) FILTER (WHERE status = 'skipped') AS skipped,
+       count(*) FILTER (WHERE status = 'error') AS errors_count, count(*) AS total_processed FROM stat"""
+ORACLE["import_rules_csv"] = X.with_ctes(_IMP, body=_SUMMARY)
+ORACLE["import_rules_json"] = X.with_ctes(_IMP, body=_SUMMARY)
+ORACLE["list_rules"] = X.with_ctes(_IMP, body="""
+SELECT rid AS rule_id, name, 'any' AS language, fam AS defect_family, sev AS severity, mt AS match_type
+FROM stat JOIN part ON part.p_partkey = stat.idx
+WHERE status = 'created' AND sev = 'high' AND p_size % 2 = 0""")
+
+_NAME = ("array_to_string(list_transform(list_filter(string_split(replace(id, '_', '-'), '-'), lambda p: p <> ''), "
+         "lambda p: upper(substring(p, 1, 1)) || lower(substring(p, 2))), ' ')")
+_SEED = f"""specs AS (
+  SELECT 'part-' || CAST(p_partkey % 400 AS VARCHAR) AS id, p_partkey AS seq,
+         {X.str_list(FX.SEED_LANGUAGES)}[1:CAST(p_size % 4 AS INTEGER)] AS languages,
+         p_name || CASE WHEN p_partkey % 10 = 0 THEN '\\n' ELSE '' END AS pattern,
+         {_cyc(FX.SEED_SEVERITIES, 'p_partkey')} AS severity, p_type AS message
+  FROM part
+),
+fams AS (SELECT DISTINCT 'part-' || CAST(p_partkey % 400 AS VARCHAR) AS id, {_cyc(S.DEFECT_FAMILIES, 'p_partkey % 400')} AS defect_family FROM part),
+ovr AS (SELECT DISTINCT 'part-' || CAST(p_partkey % 400 AS VARCHAR) AS id, 'trace' AS severity FROM part WHERE (p_partkey % 400) % 50 = 0),
+seeded AS (
+  SELECT CASE WHEN language = 'any' THEN 'REGEX-' || s.id ELSE 'REGEX-' || language || '-' || s.id END AS rule_id,
+         {_NAME.replace('id,', 's.id,')} AS name, language, fams.defect_family,
+         coalesce(ovr.severity, s.severity, 'low') AS severity,
+         CASE WHEN contains(pattern, '\\n') THEN 'regex_multiline' ELSE 'regex_line' END AS match_type,
+         coalesce(message, '') AS message, true AS is_active
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, language ORDER BY seq) AS k
+                       FROM (SELECT *, unnest(CASE WHEN len(languages) > 0 THEN languages ELSE ['any'] END) AS language FROM specs))
+        WHERE k = 1) s
+  LEFT JOIN fams ON s.id = fams.id LEFT JOIN ovr ON s.id = ovr.id
+)"""
+ORACLE["seed_rules"] = X.with_ctes(_SEED, body="""
+SELECT * FROM seeded WHERE rule_id NOT IN (
+  SELECT DISTINCT 'REGEX-part-' || CAST(p_partkey % 400 AS VARCHAR) FROM part WHERE (p_partkey % 400) % 30 = 0)""")
+ORACLE["apply_rule_changes"] = X.with_ctes(_SEED, f"""changes AS (
+  SELECT 'REGEX-part-' || CAST(user_id % 60 AS VARCHAR) AS rule_id, event_id AS seq,
+         CASE event_type WHEN 'click' THEN 'toggle' WHEN 'view' THEN 'update' WHEN 'signup' THEN 'update'
+              WHEN 'purchase' THEN 'deactivate' ELSE CASE WHEN event_id % 7 = 0 THEN 'delete' ELSE 'toggle' END END AS action,
+         CASE WHEN event_type = 'view' THEN {_cyc(['low', 'medium', 'high'], 'event_id')} END AS severity,
+         CASE WHEN event_type = 'signup' THEN 'msg ' || CAST(event_id AS VARCHAR) END AS message
+  FROM events
+),
+folded AS (
+  SELECT rule_id, arg_max(severity, seq) FILTER (WHERE action = 'update' AND severity IS NOT NULL) AS sev,
+         arg_max(message, seq) FILTER (WHERE action = 'update' AND message IS NOT NULL) AS msg,
+         max(seq) FILTER (WHERE action = 'deactivate') AS deact, count(*) FILTER (WHERE action = 'delete') AS del
+  FROM changes GROUP BY rule_id
+),
+tc AS (
+  SELECT c.rule_id, count(*) FILTER (WHERE f.deact IS NULL OR c.seq > f.deact) AS t_after
+  FROM changes c JOIN folded f ON c.rule_id = f.rule_id WHERE c.action = 'toggle' GROUP BY c.rule_id
+)""", body="""
+SELECT r.rule_id, coalesce(f.sev, r.severity) AS severity, coalesce(f.msg, r.message) AS message,
+       CASE WHEN f.deact IS NOT NULL THEN coalesce(tc.t_after, 0) % 2 = 1
+            ELSE r.is_active <> (coalesce(tc.t_after, 0) % 2 = 1) END AS is_active
+FROM seeded r LEFT JOIN folded f ON r.rule_id = f.rule_id LEFT JOIN tc ON r.rule_id = tc.rule_id
+WHERE coalesce(f.del, 0) = 0""")

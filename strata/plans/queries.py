@@ -379,3 +379,66 @@ def q_assemble_chunks(spark, sf_dir):
     out = PG.assemble_chunks(FX.summary_chunks(spark, sf_dir))
     return out.select("analysis_id", F.md5("summary").alias("summary_md5"),
                       F.length("summary").alias("summary_chars"), "chunks", "status", "progress")
+
+
+# ---------------------------------------------------------------------------
+# 2.7 rule catalogue
+import uuid  # noqa: E402
+
+from strata.operators import catalogue as CT  # noqa: E402
+from strata.session import checkpoint_dir  # noqa: E402
+
+
+def _scratch(spark, name):
+    """A fresh folder under the shared checkpoint directory (never a machine-local temp dir)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("bulk_import_rules")
+def q_bulk_import_rules(spark, sf_dir):
+    v = CT.bulk_import_rules(FX.rule_imports(spark, sf_dir), FX.existing_rule_ids(spark, sf_dir))
+    return v.select("idx", F.col("_rid").alias("rule_id"), "status", "error")
+
+
+@register("import_rules_csv")
+def q_import_rules_csv(spark, sf_dir):
+    path = _scratch(spark, "rules-csv")
+    FX.rule_imports(spark, sf_dir).drop("idx").withColumn("is_active", F.col("is_active").cast("string")) \
+        .write.option("header", True).csv(path)
+    rows = CT.read_rules_csv(spark, path)
+    v = CT.bulk_import_rules(rows, FX.existing_rule_ids(spark, sf_dir))
+    return CT.import_summary(v)
+
+
+@register("import_rules_json")
+def q_import_rules_json(spark, sf_dir):
+    path = _scratch(spark, "rules-json")
+    FX.rule_imports(spark, sf_dir).drop("idx").write.json(path)
+    rows = CT.read_rules_json(spark, path)
+    v = CT.bulk_import_rules(rows, FX.existing_rule_ids(spark, sf_dir))
+    return CT.import_summary(v)
+
+
+@register("list_rules")
+def q_list_rules(spark, sf_dir):
+    v = CT.bulk_import_rules(FX.rule_imports(spark, sf_dir), FX.existing_rule_ids(spark, sf_dir))
+    created = CT.created_rules(v).withColumn("created_at", F.lit(FX.FIXTURE_CREATED).cast("timestamp"))
+    return CT.list_rules(created, severity="high", is_active=True).select(
+        "rule_id", "name", "language", "defect_family", "severity", "match_type")
+
+
+def _seeded(spark, sf_dir, existing=None):
+    return CT.seed_rules(FX.seed_specs(spark, sf_dir), FX.seed_families(spark, sf_dir),
+                         FX.seed_overrides(spark, sf_dir), existing)
+
+
+@register("seed_rules")
+def q_seed_rules(spark, sf_dir):
+    return _seeded(spark, sf_dir, FX.seed_existing(spark, sf_dir)).select(
+        "rule_id", "name", "language", "defect_family", "severity", "match_type", "message", "is_active")
+
+
+@register("apply_rule_changes")
+def q_apply_rule_changes(spark, sf_dir):
+    out = CT.apply_rule_changes(_seeded(spark, sf_dir), FX.rule_changes(spark, sf_dir))
+    return out.select("rule_id", "severity", "message", "is_active")

@@ -47,7 +47,21 @@ FIXTURE_CREATED = "2026-01-01 00:00:00"
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> files: repo = source, synthetic path, content = text."""
+    return files_from_documents(table(spark, sf_dir, "documents"))
+
+
+def files_snapshot_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later snapshot: every 7th document edited, every 11th removed, every 13th copied to a new path."""
     d = table(spark, sf_dir, "documents")
+    kept = d.filter(F.col("doc_id") % 11 != 0).withColumn(
+        "text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("text"), F.lit(" edited"))).otherwise(F.col("text")))
+    b = files_from_documents(kept)
+    extra = files_from_documents(d.filter(F.col("doc_id") % 13 == 0)).withColumn(
+        "path", F.concat(F.col("path"), F.lit(".bak")))
+    return b.unionByName(extra)
+
+
+def files_from_documents(d: DataFrame) -> DataFrame:
     n_ext, n_dir = len(FIXTURE_EXTS), len(FIXTURE_DIRS)
     ext = F.element_at(F.array(*[F.lit(x) for x in FIXTURE_EXTS]), (F.col("doc_id") % n_ext + 1).cast("int"))
     top = F.element_at(F.array(*[F.lit(x) for x in FIXTURE_DIRS]),
@@ -174,14 +188,16 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("o_orderstatus") == "O", "complete").otherwise("failed"))
     j = o.join(li, o.o_orderkey == li.l_orderkey, "left")
     return j.select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"),
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_custkey") % 10 == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("project_id"),
         F.concat(F.lit("https://github.com/org"), F.col("o_custkey").cast("string"), F.lit("/repo")).alias("repo_url"),
         status.alias("status"),
         F.when(status == "complete", (F.col("o_totalprice") % 101).cast("int")).alias("health_score"),
         F.coalesce(F.col("_n"), F.lit(0)).cast("int").alias("total_issues"),
         F.col("o_orderdate").alias("created_at"),
         F.when(status != "analyzing", F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("completed_at"),
-        F.substring(F.sha2(F.col("o_custkey").cast("string"), 256), 1, 40).alias("commit_sha"))
+        F.when(F.col("o_orderkey") % 6 == 0, F.lit(None).cast("string"))
+         .otherwise(F.substring(F.sha2(F.col("o_custkey").cast("string"), 256), 1, 40)).alias("commit_sha"))
 
 
 def part_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,3 +376,15 @@ def rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"), action.alias("action"),
         F.when(et == "view", _cycle(["low", "medium", "high"], F.col("event_id"))).alias("severity"),
         F.when(et == "signup", F.concat(F.lit("msg "), F.col("event_id").cast("string"))).alias("message"))
+
+
+def rescan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer -> analysis requests covering every decision branch."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    same = F.substring(F.sha2(k.cast("string"), 256), 1, 40)
+    head = F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 4 == 1, F.lit("f" * 40)).otherwise(same)
+    return c.select(k.alias("request_id"),
+                    F.concat(F.lit("https://github.com/org"), k.cast("string"), F.lit("/repo")).alias("repo_url"),
+                    F.when(k % 10 == 0, F.lit(None)).otherwise(k).alias("project_id"),
+                    (k % 3 != 0).alias("user_known"), (k % 5 == 0).alias("force"), head.alias("remote_head"))

@@ -457,3 +457,84 @@ SELECT r.rule_id, coalesce(f.sev, r.severity) AS severity, coalesce(f.msg, r.mes
             ELSE r.is_active <> (coalesce(tc.t_after, 0) % 2 = 1) END AS is_active
 FROM seeded r LEFT JOIN folded f ON r.rule_id = f.rule_id LEFT JOIN tc ON r.rule_id = tc.rule_id
 WHERE coalesce(f.del, 0) = 0""")
+
+# ---------------------------------------------------------------------------
+# incremental re-analysis
+_AN = """analyses AS (
+  SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS project_id,
+         'https://github.com/org' || CAST(o_custkey AS VARCHAR) || '/repo' AS repo_url,
+         CASE o_orderstatus WHEN 'P' THEN 'analyzing' WHEN 'O' THEN 'complete' ELSE 'failed' END AS status,
+         o_orderdate AS created_at,
+         CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE substring(sha256(CAST(o_custkey AS VARCHAR)), 1, 40) END AS commit_sha
+  FROM orders
+)"""
+
+
+def _latest(where=""):
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_url, project_id ORDER BY created_at DESC, id DESC) AS rn
+               FROM analyses {where}) WHERE rn = 1)"""
+
+
+ORACLE["latest_analysis"] = X.with_ctes(_AN, body=f"""
+SELECT repo_url, project_id, id, status, {X.iso_sql('created_at')} AS created_at FROM {_latest()}""")
+ORACLE["rescan_decision"] = X.with_ctes(_AN, body=f"""
+SELECT request_id,
+       CASE WHEN r.id IS NOT NULL THEN 'running'
+            WHEN NOT user_known AND d.id IS NOT NULL THEN 'reuse'
+            WHEN user_known AND d.id IS NOT NULL AND NOT force AND d.commit_sha IS NOT NULL
+                 AND (remote_head IS NULL OR remote_head = d.commit_sha) THEN 'reuse'
+            ELSE 'rescan' END AS decision,
+       CASE WHEN r.id IS NOT NULL THEN r.id
+            WHEN NOT user_known AND d.id IS NOT NULL THEN d.id
+            WHEN user_known AND d.id IS NOT NULL AND NOT force AND d.commit_sha IS NOT NULL
+                 AND (remote_head IS NULL OR remote_head = d.commit_sha) THEN d.id END AS analysis_id
+FROM (SELECT c_custkey AS request_id, 'https://github.com/org' || CAST(c_custkey AS VARCHAR) || '/repo' AS repo_url,
+             CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS project_id,
+             c_custkey % 3 <> 0 AS user_known, c_custkey % 5 = 0 AS force,
+             CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '{"f" * 40}'
+                  ELSE substring(sha256(CAST(c_custkey AS VARCHAR)), 1, 40) END AS remote_head FROM customer) q
+LEFT JOIN {_latest("WHERE status IN ('queued', 'cloning', 'analyzing')")} r
+  ON q.repo_url = r.repo_url AND q.project_id IS NOT DISTINCT FROM r.project_id
+LEFT JOIN {_latest("WHERE status = 'complete'")} d
+  ON q.repo_url = d.repo_url AND q.project_id IS NOT DISTINCT FROM d.project_id""")
+
+
+def _files_b_cte():
+    """Snapshot B expressed over the same files CTE shape."""
+    a = X.files_cte()
+    b = a.replace("files AS (", "files_b AS (", 1).replace(
+        "FROM documents", """FROM (SELECT doc_id, source, lang,
+                    CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0
+              UNION ALL SELECT doc_id, source, lang, text FROM documents WHERE doc_id % 13 = 0 AND false)""")
+    extra = a.replace("files AS (", "files_b_extra AS (", 1).replace("FROM documents", "FROM documents WHERE doc_id % 13 = 0")
+    return b + ",\n" + extra + """,
+snap_b AS (SELECT * FROM files_b UNION ALL SELECT repo_id, path || '.bak' AS path, content, size, language, lines FROM files_b_extra)"""
+
+
+_CHG = """chg AS (
+  SELECT coalesce(o.repo_id, n.repo_id) AS repo_id, coalesce(o.path, n.path) AS path,
+         CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'modified' END AS change
+  FROM (SELECT repo_id, path, sha256(content) AS h FROM files) o
+  FULL OUTER JOIN (SELECT repo_id, path, sha256(content) AS h FROM snap_b) n ON o.repo_id = n.repo_id AND o.path = n.path
+)"""
+ORACLE["changed_files"] = X.with_ctes(X.files_cte(), _files_b_cte(), _CHG,
+                                      body="SELECT repo_id, path, change FROM chg WHERE change IS NOT NULL")
+
+
+def _scan_over(src):
+    """The base scan CTEs re-pointed at another file table (every CTE name prefixed with b_)."""
+    lines = (X.scan_lines_cte().replace("scan_src AS", "b_scan_src AS").replace("FROM scan_src", "FROM b_scan_src")
+             .replace("scan_idx AS", "b_scan_idx AS").replace("FROM scan_idx", "FROM b_scan_idx")
+             .replace("lines AS (", "b_lines AS (").replace("FROM files WHERE", f"FROM {src} WHERE"))
+    raw = X.raw_findings_cte().replace("raw_findings AS (", "b_raw_findings AS (", 1).replace("FROM lines", "FROM b_lines")
+    fin = X.findings_cte().replace("findings AS (", "b_findings AS (", 1).replace("FROM raw_findings", "FROM b_raw_findings")
+    return [lines, raw, fin]
+
+
+ORACLE["merge_rescan"] = X.with_ctes(
+    *X.base_scan_ctes(), _files_b_cte(), _CHG,
+    "to_scan AS (SELECT s.* FROM snap_b s JOIN chg ON s.repo_id = chg.repo_id AND s.path = chg.path WHERE chg.change IN ('added', 'modified'))",
+    *_scan_over("to_scan"), body=f"""
+SELECT {FINDING_OUT} FROM findings f
+WHERE NOT EXISTS (SELECT 1 FROM chg WHERE chg.change IS NOT NULL AND chg.repo_id = f.repo_id AND chg.path = f.file_path)
+UNION ALL SELECT {FINDING_OUT} FROM b_findings""")

@@ -442,3 +442,41 @@ def q_seed_rules(spark, sf_dir):
 def q_apply_rule_changes(spark, sf_dir):
     out = CT.apply_rule_changes(_seeded(spark, sf_dir), FX.rule_changes(spark, sf_dir))
     return out.select("rule_id", "severity", "message", "is_active")
+
+
+# ---------------------------------------------------------------------------
+# incremental re-analysis
+from strata.operators import rescan as RS  # noqa: E402
+
+
+@register("latest_analysis")
+def q_latest_analysis(spark, sf_dir):
+    return RS.latest_analysis(FX.analyses(spark, sf_dir)).select(
+        "repo_url", "project_id", "id", "status", BL.iso_utc("created_at").alias("created_at"))
+
+
+@register("rescan_decision")
+def q_rescan_decision(spark, sf_dir):
+    return RS.rescan_decision(FX.rescan_requests(spark, sf_dir), FX.analyses(spark, sf_dir)).select(
+        "request_id", "decision", "analysis_id")
+
+
+@register("changed_files")
+def q_changed_files(spark, sf_dir):
+    return RS.changed_files(FX.files(spark, sf_dir), FX.files_snapshot_b(spark, sf_dir))
+
+
+def _scan_findings(spark, files):
+    from strata.operators.scan import scan_line_engines
+    raw = scan_line_engines(scannable_filter(files), {"regex": FX.rules(spark), "external": FX.external_rules(spark)})
+    return FD.dedupe_findings(raw)
+
+
+@register("merge_rescan")
+def q_merge_rescan(spark, sf_dir):
+    old, new = FX.files(spark, sf_dir), FX.files_snapshot_b(spark, sf_dir)
+    changed = RS.changed_files(old, new)
+    rescan_paths = changed.filter(F.col("change") != "removed")
+    to_scan = new.join(rescan_paths.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    merged = RS.merge_rescan(FX.findings(spark, sf_dir), _scan_findings(spark, to_scan), changed)
+    return merged.select(*FINDING_OUT)

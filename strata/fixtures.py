@@ -192,7 +192,8 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_custkey") % 10 == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("project_id"),
         F.concat(F.lit("https://github.com/org"), F.col("o_custkey").cast("string"), F.lit("/repo")).alias("repo_url"),
         status.alias("status"),
-        F.when(status == "complete", (F.col("o_totalprice") % 101).cast("int")).alias("health_score"),
+        F.when(status == "complete", F.floor(F.col("o_totalprice") % 101).cast("int")).alias("health_score"),
+        F.floor(F.col("o_totalprice") * 100).cast("long").alias("storage_bytes"),
         F.coalesce(F.col("_n"), F.lit(0)).cast("int").alias("total_issues"),
         F.col("o_orderdate").alias("created_at"),
         F.when(status != "analyzing", F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("completed_at"),
@@ -388,3 +389,46 @@ def rescan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("https://github.com/org"), k.cast("string"), F.lit("/repo")).alias("repo_url"),
                     F.when(k % 10 == 0, F.lit(None)).otherwise(k).alias("project_id"),
                     (k % 3 != 0).alias("user_known"), (k % 5 == 0).alias("force"), head.alias("remote_head"))
+
+
+# ---------------------------------------------------------------------------
+# membership fixtures (customer = project, supplier = user)
+# FIXED VALUES (fixture): membership role by (supplier + customer) mod 3
+ROLES = ["owner", "editor", "viewer"]
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"),
+                    F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@example.com")).alias("email"),
+                    (F.col("s_suppkey") % 25 == 0).alias("is_admin"),
+                    (F.lit("2024-01-01 00:00:00").cast("timestamp")
+                     + F.make_interval(days=F.col("s_suppkey").cast("int"))).alias("created_at"))
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(k.alias("id"), F.concat(F.lit("https://github.com/org"), k.cast("string"), F.lit("/repo")).alias("repo_url"),
+                    F.concat(F.lit("org"), k.cast("string"), F.lit("/repo")).alias("repo_name"),
+                    (F.lit("2023-01-01 00:00:00").cast("timestamp") + F.make_interval(hours=k.cast("int"))).alias("created_at"))
+
+
+def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (supplier, customer) pairs that share an order line."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    pairs = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("l_suppkey", "o_custkey").agg(
+        F.min("l_shipdate").alias("added_at"))
+    role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), ((F.col("l_suppkey") + F.col("o_custkey")) % 3 + 1).cast("int"))
+    return pairs.select(F.col("l_suppkey").alias("user_id"), F.col("o_custkey").alias("project_id"),
+                        role.alias("role"), "added_at")
+
+
+def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"),
+                    F.when(F.col("event_id") % 4 != 0, F.col("user_id") % 100).alias("admin_id"),
+                    F.col("event_type").alias("action"), F.lit("rule").alias("target_type"),
+                    F.get_json_object("props", "$.k").alias("target_id"), F.col("props").alias("details"),
+                    F.col("ts").alias("created_at"))

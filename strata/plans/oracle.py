@@ -538,3 +538,72 @@ ORACLE["merge_rescan"] = X.with_ctes(
 SELECT {FINDING_OUT} FROM findings f
 WHERE NOT EXISTS (SELECT 1 FROM chg WHERE chg.change IS NOT NULL AND chg.repo_id = f.repo_id AND chg.path = f.file_path)
 UNION ALL SELECT {FINDING_OUT} FROM b_findings""")
+
+# ---------------------------------------------------------------------------
+# membership and administration
+_MEM = """mem AS (
+  SELECT l_suppkey AS user_id, o_custkey AS project_id,
+         ['owner', 'editor', 'viewer'][CAST((l_suppkey + o_custkey) % 3 + 1 AS INTEGER)] AS role, min(l_shipdate) AS added_at
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey, o_custkey
+),
+an AS (
+  SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS project_id,
+         CASE o_orderstatus WHEN 'P' THEN 'analyzing' WHEN 'O' THEN 'complete' ELSE 'failed' END AS status,
+         o_orderdate AS created_at,
+         CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 1 HOUR END AS completed_at,
+         CASE WHEN o_orderstatus = 'O' THEN CAST(floor(o_totalprice % 101) AS INTEGER) END AS health_score,
+         CAST(floor(o_totalprice * 100) AS BIGINT) AS storage_bytes,
+         CAST(coalesce(n, 0) AS INTEGER) AS total_issues
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) c ON o_orderkey = c.l_orderkey
+),
+latest_p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rn
+                 FROM an WHERE project_id IS NOT NULL) WHERE rn = 1
+)"""
+ORACLE["project_listing"] = X.with_ctes(_MEM, body="""
+SELECT m.user_id, m.project_id, m.role,
+       row_number() OVER (PARTITION BY m.user_id ORDER BY m.added_at DESC, m.project_id) AS position,
+       c.collaborators, l.id AS latest_analysis_id, l.status AS latest_status
+FROM mem m JOIN customer ON customer.c_custkey = m.project_id
+JOIN (SELECT project_id, count(*) AS collaborators FROM mem GROUP BY project_id) c ON c.project_id = m.project_id
+LEFT JOIN latest_p l ON l.project_id = m.project_id""")
+ORACLE["audit_feed"] = f"""
+SELECT e.event_id AS id, coalesce(s.s_name, 'system') AS admin, e.event_type AS action,
+       json_extract_string(e.props, '$.k') AS target_id, json_extract_string(e.props, '$.k') AS detail_k,
+       {X.iso_sql('e.ts')} AS created_at
+FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 200) e
+LEFT JOIN supplier s ON s.s_suppkey = CASE WHEN e.event_id % 4 <> 0 THEN e.user_id % 100 END"""
+ORACLE["deletion_impact"] = X.with_ctes(_MEM, body="""
+SELECT m.user_id, m.project_id, m.role, others AS other_members,
+       CASE WHEN others = 0 THEN 'delete_project' ELSE 'unlink' END AS action,
+       CASE WHEN others = 0 THEN coalesce(a.n, 0) ELSE 0 END AS analyses_removed
+FROM (SELECT *, count(*) OVER (PARTITION BY project_id) - 1 AS others FROM mem) m
+LEFT JOIN (SELECT project_id, count(*) AS n FROM an WHERE project_id IS NOT NULL GROUP BY project_id) a ON a.project_id = m.project_id""")
+ORACLE["system_stats"] = X.with_ctes(X.files_cte(), _MEM, body="""
+SELECT (SELECT count(*) FROM supplier) AS users, (SELECT count(*) FROM customer) AS projects,
+       (SELECT count(*) FROM an) AS analyses, (SELECT count(*) FROM an WHERE status = 'complete') AS completed,
+       (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM files) AS storage_bytes,
+       round((SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM files) / 1048576.0, 2) AS storage_mb""")
+ORACLE["user_usage"] = X.with_ctes(_MEM, body="""
+SELECT s.s_suppkey AS user_id, s.s_name AS username, coalesce(u.projects, 0) AS projects,
+       CAST(coalesce(u.analyses, 0) AS BIGINT) AS analyses, CAST(coalesce(u.storage_bytes, 0) AS BIGINT) AS storage_bytes
+FROM supplier s LEFT JOIN (
+  SELECT m.user_id, count(*) AS projects, coalesce(sum(a.n), 0) AS analyses, coalesce(sum(a.b), 0) AS storage_bytes
+  FROM mem m LEFT JOIN (SELECT project_id, count(*) AS n, sum(storage_bytes) AS b FROM an WHERE project_id IS NOT NULL GROUP BY project_id) a
+    ON a.project_id = m.project_id GROUP BY m.user_id) u ON u.user_id = s.s_suppkey""")
+ORACLE["repo_inventory"] = X.with_ctes(_MEM, body=f"""
+SELECT c.c_custkey AS project_id, 'org' || CAST(c.c_custkey AS VARCHAR) || '/repo' AS repo_name,
+       coalesce(a.n, 0) AS analysis_count, CAST(coalesce(a.issues, 0) AS BIGINT) AS total_issues,
+       coalesce(l.status, 'none') AS status,
+       CASE WHEN l.id IS NULL THEN NULL ELSE {X.iso_sql('coalesce(l.completed_at, l.created_at)')} END AS last_analyzed,
+       coalesce(mm.members, 0) AS members
+FROM customer c
+LEFT JOIN (SELECT project_id, count(*) AS n, sum(total_issues) AS issues FROM an WHERE project_id IS NOT NULL GROUP BY project_id) a
+  ON a.project_id = c.c_custkey
+LEFT JOIN latest_p l ON l.project_id = c.c_custkey
+LEFT JOIN (SELECT project_id, count(*) AS members FROM mem GROUP BY project_id) mm ON mm.project_id = c.c_custkey""")
+ORACLE["project_tiles"] = X.with_ctes(_MEM, body="""
+SELECT m.user_id, count(*) AS total, count(*) FILTER (WHERE role = 'owner') AS owned,
+       count(*) FILTER (WHERE role <> 'owner') AS shared,
+       count(*) FILTER (WHERE coalesce(l.health_score, 0) >= 80) AS healthy
+FROM mem m LEFT JOIN latest_p l ON l.project_id = m.project_id GROUP BY m.user_id""")

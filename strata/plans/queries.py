@@ -480,3 +480,50 @@ def q_merge_rescan(spark, sf_dir):
     to_scan = new.join(rescan_paths.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     merged = RS.merge_rescan(FX.findings(spark, sf_dir), _scan_findings(spark, to_scan), changed)
     return merged.select(*FINDING_OUT)
+
+
+# ---------------------------------------------------------------------------
+# membership and administration
+from strata.operators import admin as AD  # noqa: E402
+
+
+@register("project_listing")
+def q_project_listing(spark, sf_dir):
+    out = AD.project_listing(FX.memberships(spark, sf_dir), FX.projects(spark, sf_dir), FX.analyses(spark, sf_dir))
+    return out.select("user_id", "project_id", "role", "position", "collaborators", "latest_analysis_id", "latest_status")
+
+
+@register("audit_feed")
+def q_audit_feed(spark, sf_dir):
+    out = AD.audit_feed(FX.audit_logs(spark, sf_dir), FX.users(spark, sf_dir), 200)
+    return out.select("id", "admin", "action", "target_id", F.col("details")["k"].alias("detail_k"),
+                      BL.iso_utc("created_at").alias("created_at"))
+
+
+@register("deletion_impact")
+def q_deletion_impact(spark, sf_dir):
+    return AD.deletion_impact(FX.memberships(spark, sf_dir), FX.analyses(spark, sf_dir))
+
+
+@register("system_stats")
+def q_system_stats(spark, sf_dir):
+    return AD.system_stats(FX.users(spark, sf_dir), FX.projects(spark, sf_dir), FX.analyses(spark, sf_dir),
+                           FX.files(spark, sf_dir))
+
+
+@register("user_usage")
+def q_user_usage(spark, sf_dir):
+    out = AD.user_usage(FX.users(spark, sf_dir), FX.memberships(spark, sf_dir), FX.analyses(spark, sf_dir))
+    return out.select("user_id", "username", "projects", "analyses", "storage_bytes")
+
+
+@register("repo_inventory")
+def q_repo_inventory(spark, sf_dir):
+    out = AD.repo_inventory(FX.projects(spark, sf_dir), FX.memberships(spark, sf_dir), FX.analyses(spark, sf_dir))
+    return out.select("project_id", "repo_name", "analysis_count", "total_issues", "status",
+                      BL.iso_utc("last_analyzed").alias("last_analyzed"), "members")
+
+
+@register("project_tiles")
+def q_project_tiles(spark, sf_dir):
+    return AD.project_tiles(FX.memberships(spark, sf_dir), FX.analyses(spark, sf_dir))

@@ -239,7 +239,7 @@ def _scan_line_rules_join(files: DataFrame, rules: DataFrame, engine: str, alias
         "content")
     lines = with_lines(lines, keep=["repo_id", "file_path", "_key"]).select(
         "repo_id", "file_path", "_key", F.posexplode(with_neighbours("_lines")).alias("_pos", "_l"))
-    both = lines.join(r, "_key").filter(F.col("_l.line").rlike(F.col("_p")))
+    both = lines.join(r, "_key").filter(F.regexp_like(F.col("_l.line"), F.col("_p")))
     return (both.select("repo_id", "file_path", (F.col("_pos") + 1).alias("line_number"),
                         F.concat_ws("\n", F.col("_l.prev"), F.col("_l.line"), F.col("_l.next")).alias("code_snippet"),
                         "_m")
@@ -293,7 +293,7 @@ def scan_multiline_rules(files: DataFrame, rules: DataFrame | list[dict], engine
     # prefix[k] = newlines in pieces 1..k, so match k+1 starts on line prefix[k] + 1.
     nl = F.transform(pieces, lambda p: _newlines(F.replace(p, F.lit(_CLOSE), F.lit(""))))
     prefix = F.aggregate(nl, F.array().cast("array<int>"),
-                         lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + x)))
+                         lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
     located = exploded.select(
         "repo_id", "file_path", "_text", F.col("_r.slot").alias("_slot"), prefix.alias("_prefix"),
         F.posexplode(pieces).alias("_k", "_piece"))

@@ -34,7 +34,7 @@ def step_history(events: DataFrame) -> DataFrame:
 
 def progress_state_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Streaming twin (update mode): same aggregate over an event-time watermark."""
-    return progress_state(events.withWatermark("ts", watermark))
+    return progress_state(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark))
 
 
 def assemble_chunks(chunks: DataFrame, min_progress: int = 75) -> DataFrame:

@@ -82,7 +82,7 @@ def rate_limit_stream(events: DataFrame, limit: int, key_col: str = "key", ts_co
     """Streaming twin: per-key state = admitted timestamps still inside the window."""
     window_us = int(window_seconds) * 1_000_000
     src = (events.select(F.col(key_col).cast("string").alias("key"), F.col(id_col).cast("long").alias("request_id"),
-                         F.col(ts_col).alias("ts"))
+                         F.col(ts_col).cast("timestamp").alias("ts"))  # watermarks need TIMESTAMP (not NTZ)
            .withWatermark("ts", f"{int(window_seconds)} seconds"))
 
     def step(key, pdfs, state):

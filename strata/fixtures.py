@@ -432,3 +432,26 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("event_type").alias("action"), F.lit("rule").alias("target_type"),
                     F.get_json_object("props", "$.k").alias("target_id"), F.col("props").alias("details"),
                     F.col("ts").alias("created_at"))
+
+
+# FIXED VALUES (fixture): dependency names written into manifests (hit JS keys, python,
+# Cargo and go.mod substrings)
+MANIFEST_DEPS = ["react", "fastapi", "express", "django", "tokio", "gin-gonic", "vue", "flask"]
+
+
+def files_with_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files plus one root-level manifest per selected document (first document wins a name)."""
+    d = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 97 == 5)
+    names = F.array(*[F.lit(m[0]) for m in S.MANIFESTS])
+    n = len(S.MANIFESTS)
+    dep1 = _cycle(MANIFEST_DEPS, F.col("doc_id"))
+    dep2 = _cycle(MANIFEST_DEPS, F.floor(F.col("doc_id") / 8))
+    content = F.concat(F.lit('{"dependencies": {"'), dep1, F.lit('": "1"}, "devDependencies": {"'), dep2, F.lit('": "2"}}'))
+    m = d.select(F.col("source").alias("repo_id"),
+                 F.element_at(names, (F.floor(F.col("doc_id") / 97) % n + 1).cast("int")).alias("path"),
+                 content.alias("content"), "doc_id")
+    w = Window.partitionBy("repo_id", "path").orderBy("doc_id")
+    m = m.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "doc_id")
+    m = m.select("repo_id", "path", "content", F.octet_length("content").cast("long").alias("size"))
+    m = detect_language(m).select("repo_id", "path", "content", "size", "language", line_count("content").alias("lines"))
+    return files(spark, sf_dir).unionByName(m)

@@ -607,3 +607,129 @@ SELECT m.user_id, count(*) AS total, count(*) FILTER (WHERE role = 'owner') AS o
        count(*) FILTER (WHERE role <> 'owner') AS shared,
        count(*) FILTER (WHERE coalesce(l.health_score, 0) >= 80) AS healthy
 FROM mem m LEFT JOIN latest_p l ON l.project_id = m.project_id GROUP BY m.user_id""")
+
+# ---------------------------------------------------------------------------
+# stack detection and authored files
+from strata.operators.stack import _candidate_dirs  # noqa: E402
+
+
+def _list(vals):
+    return X.str_list(vals)
+
+
+_MF_ROWS = ", ".join(f"({i}, {X.q(n)}, {X.q(l)}, {_list(e)}, {_list(d)})" for i, (n, l, e, d) in enumerate(S.MANIFESTS))
+_FIRST_BY_LANG = {}
+for _n, _l, _e, _d in S.MANIFESTS:
+    _FIRST_BY_LANG.setdefault(_l, (_e, _d))
+_BL_ROWS = ", ".join(f"({X.q(k)}, {_list(v[0])}, {_list(v[1])})" for k, v in _FIRST_BY_LANG.items())
+_FBMAP = "CASE " + " ".join(f"WHEN ext = {X.q(k)} THEN {X.q(v)}" for k, v in S.FALLBACK_EXT_LANGUAGE.items()) + " ELSE 'unknown' END"
+_N_MF = len(S.MANIFESTS)
+
+
+def _cyc_sql(values, idx):
+    return f"{X.str_list(values)}[CAST(({idx}) % {len(values)} + 1 AS INTEGER)]"
+
+
+_STACK = f"""mfiles AS (
+  SELECT repo_id, path, content, CAST(strlen(content) AS BIGINT) AS size FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY doc_id) AS k FROM (
+      SELECT source AS repo_id, doc_id,
+             {X.str_list([m[0] for m in S.MANIFESTS])}[CAST(floor(doc_id / 97) % {_N_MF} + 1 AS INTEGER)] AS path,
+             '{{"dependencies": {{"' || {_cyc_sql(FX.MANIFEST_DEPS, 'doc_id')} || '": "1"}}, "devDependencies": {{"'
+             || {_cyc_sql(FX.MANIFEST_DEPS, 'floor(doc_id / 8)')} || '": "2"}}}}' AS content
+      FROM documents WHERE doc_id % 97 = 5)) WHERE k = 1
+),
+allf AS (SELECT repo_id, path, content, size FROM files UNION ALL SELECT * FROM mfiles),
+mf AS (SELECT * FROM (VALUES {_MF_ROWS}) AS t(priority, manifest, language, extensions, src_dirs)),
+bl AS (SELECT * FROM (VALUES {_BL_ROWS}) AS t(language, m_ext, m_dirs)),
+exist_dirs AS (
+  SELECT DISTINCT repo_id, dir FROM (
+    SELECT repo_id, array_to_string(parts[1:k], '/') AS dir
+    FROM (SELECT repo_id, parts, unnest(generate_series(1, len(parts) - 1)) AS k
+          FROM (SELECT repo_id, string_split(path, '/') AS parts FROM allf)))
+  WHERE dir IN {X.in_list(_candidate_dirs())}
+),
+ms AS (
+  SELECT repo_id, manifest, language, extensions, src_dirs, content FROM (
+    SELECT f.repo_id, m.*, f.content, row_number() OVER (PARTITION BY f.repo_id ORDER BY m.priority) AS rn
+    FROM allf f JOIN mf m ON f.path = m.manifest) WHERE rn = 1
+),
+fb_dom AS (
+  SELECT repo_id, ext FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, ext) AS r FROM (
+      SELECT repo_id, ext, count(*) AS n FROM (
+        SELECT repo_id, {X.suffix_sql(X.name_sql('path'))} AS ext FROM allf WHERE len(string_split(path, '/')) <= 3)
+      WHERE ext <> '' AND ext NOT IN {X.in_list(S.IGNORE_EXTENSIONS)} GROUP BY ALL)) WHERE r = 1
+),
+fb AS (
+  SELECT x.repo_id, x.language, CAST(NULL AS VARCHAR) AS manifest,
+         CASE WHEN bl.m_ext IS NOT NULL THEN bl.m_ext WHEN x.ext IS NULL THEN {_list(S.UNKNOWN_STACK_EXTENSIONS)}
+              ELSE [x.ext] END AS extensions,
+         coalesce(bl.m_dirs, {_list(S.UNKNOWN_STACK_DIRS)}) AS src_dirs, CAST(NULL AS VARCHAR) AS content
+  FROM (SELECT r.repo_id, d.ext, CASE WHEN d.ext IS NULL THEN 'unknown' ELSE {_FBMAP.replace('ext =', 'd.ext =')} END AS language
+        FROM (SELECT DISTINCT repo_id FROM allf) r LEFT JOIN fb_dom d ON r.repo_id = d.repo_id) x
+  LEFT JOIN bl ON bl.language = x.language
+),
+both_st AS (SELECT repo_id, manifest, language, extensions, src_dirs, content FROM ms
+            UNION ALL SELECT repo_id, manifest, language, extensions, src_dirs, content FROM fb
+            WHERE repo_id NOT IN (SELECT repo_id FROM ms)),
+ex AS (
+  SELECT repo_id, list(d ORDER BY pos) AS existing FROM (
+    SELECT s.repo_id, s.pos, s.src_dirs[s.pos] AS d
+    FROM (SELECT repo_id, src_dirs, unnest(generate_series(1, len(src_dirs))) AS pos FROM both_st) s
+    JOIN exist_dirs e ON e.repo_id = s.repo_id AND e.dir = s.src_dirs[s.pos])
+  GROUP BY repo_id
+),
+stacks AS (
+  SELECT s.repo_id, s.language, s.manifest, s.extensions,
+         CASE WHEN len(coalesce(ex.existing, [])) > 0 THEN ex.existing ELSE s.src_dirs END AS src_dirs,
+         coalesce(ex.existing, []) AS existing_dirs, s.content
+  FROM both_st s LEFT JOIN ex ON s.repo_id = ex.repo_id
+)"""
+
+
+def _fw_sql():
+    keys = ("list_concat(coalesce(json_keys(content, '$.dependencies'), []), "
+            "coalesce(json_keys(content, '$.devDependencies'), []))")
+    js = ", ".join(f"CASE WHEN list_contains({keys}, {X.q(dep)}) THEN {X.q(n)} END" for n, dep in S.JS_FRAMEWORKS)
+    py = ", ".join(f"CASE WHEN contains(lower(content), {X.q(p)}) THEN {X.q(n)} END" for n, p in S.PY_FRAMEWORKS)
+    cg = ", ".join(f"CASE WHEN contains(lower(content), {X.q(p)}) THEN {X.q(n)} END" for p, n in S.CARGO_FRAMEWORKS)
+    go = ", ".join(f"CASE WHEN contains(lower(content), {X.q(p)}) THEN {X.q(n)} END" for p, n in S.GO_FRAMEWORKS)
+
+    def compact(items):
+        return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+    return (f"CASE WHEN manifest IS NULL THEN [] WHEN manifest = 'package.json' THEN {compact(js)} "
+            f"WHEN language = 'python' THEN {compact(py)} WHEN manifest = 'Cargo.toml' THEN {compact(cg)} "
+            f"WHEN manifest = 'go.mod' THEN {compact(go)} ELSE [] END")
+
+
+ORACLE["detect_stack"] = X.with_ctes(X.files_cte(), _STACK, body=f"""
+SELECT repo_id, language, manifest, array_to_string(extensions, ',') AS extensions, array_to_string(src_dirs, ',') AS src_dirs,
+       array_to_string({_fw_sql()}, ',') AS frameworks FROM stacks""")
+ORACLE["detect_frameworks"] = X.with_ctes(X.files_cte(), _STACK, body=f"""
+SELECT repo_id, manifest, array_to_string({_fw_sql()}, ',') AS frameworks FROM ms""")
+ORACLE["fallback_stack"] = X.with_ctes(X.files_cte(), _STACK, body="""
+SELECT fb.repo_id, fb.language, array_to_string(fb.extensions, ',') AS extensions,
+       array_to_string(CASE WHEN len(coalesce(e.existing, [])) > 0 THEN e.existing ELSE fb.src_dirs END, ',') AS src_dirs
+FROM fb LEFT JOIN (
+  SELECT repo_id, list(d ORDER BY pos) AS existing FROM (
+    SELECT s.repo_id, s.pos, s.src_dirs[s.pos] AS d
+    FROM (SELECT repo_id, src_dirs, unnest(generate_series(1, len(src_dirs))) AS pos FROM fb) s
+    JOIN exist_dirs x ON x.repo_id = s.repo_id AND x.dir = s.src_dirs[s.pos]) GROUP BY repo_id) e ON fb.repo_id = e.repo_id""")
+ORACLE["authored_files"] = X.with_ctes(X.files_cte(), _STACK, body=f"""
+SELECT repo_id, path, size, rank FROM (
+  SELECT repo_id, path, size, row_number() OVER (PARTITION BY repo_id ORDER BY size, path) AS rank FROM (
+    SELECT f.repo_id, f.path, f.size, f.content, s.extensions, s.existing_dirs, dparts, name,
+           len(string_split(f.path, '/')) AS depth, {X.suffix_sql('name')} AS ext
+    FROM (SELECT *, string_split(path, '/')[1:len(string_split(path, '/')) - 1] AS dparts,
+                 regexp_extract(path, '[^/]*$', 0) AS name FROM allf) f
+    JOIN stacks s ON f.repo_id = s.repo_id)
+  WHERE (len(list_filter(existing_dirs, lambda d: starts_with(path, d || '/')
+                         AND NOT list_has_any(dparts[len(string_split(d, '/')) + 1:], {_list(S.IGNORE_DIRS)}))) > 0
+         OR ((CASE WHEN len(existing_dirs) > 0 THEN depth <= 2 ELSE true END)
+             AND NOT list_has_any(dparts, {_list(S.IGNORE_DIRS)})))
+    AND ext NOT IN {X.in_list(S.IGNORE_EXTENSIONS)}
+    AND (len(extensions) = 0 OR list_contains(extensions, ext))
+    AND name NOT IN {X.in_list(S.IGNORE_FILENAMES)} AND NOT starts_with(name, '.')
+    AND size > 0 AND size <= {S.AUTHORED_MAX_BYTES} AND NOT (instr(substring(content, 1, 512), chr(0)) > 0))
+WHERE rank <= 80""")

@@ -527,3 +527,37 @@ def q_repo_inventory(spark, sf_dir):
 @register("project_tiles")
 def q_project_tiles(spark, sf_dir):
     return AD.project_tiles(FX.memberships(spark, sf_dir), FX.analyses(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# stack detection and authored files
+from strata.operators import stack as ST  # noqa: E402
+
+
+def _joined(col):
+    return F.array_join(F.col(col), ",").alias(col)
+
+
+@register("detect_stack")
+def q_detect_stack(spark, sf_dir):
+    out = ST.detect_stack(FX.files_with_manifests(spark, sf_dir))
+    return out.select("repo_id", "language", "manifest", _joined("extensions"), _joined("src_dirs"), _joined("frameworks"))
+
+
+@register("detect_frameworks")
+def q_detect_frameworks(spark, sf_dir):
+    out = ST.detect_frameworks(ST.manifest_stack(FX.files_with_manifests(spark, sf_dir)))
+    return out.select("repo_id", "manifest", _joined("frameworks"))
+
+
+@register("fallback_stack")
+def q_fallback_stack(spark, sf_dir):
+    f = FX.files_with_manifests(spark, sf_dir)
+    out = ST._restrict_dirs(ST.fallback_stack(f), ST.existing_dirs(f))
+    return out.select("repo_id", "language", _joined("extensions"), _joined("src_dirs"))
+
+
+@register("authored_files")
+def q_authored_files(spark, sf_dir):
+    f = FX.files_with_manifests(spark, sf_dir)
+    return ST.authored_files(f, ST.detect_stack(f), 80)

@@ -455,3 +455,25 @@ def files_with_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = m.select("repo_id", "path", "content", F.octet_length("content").cast("long").alias("size"))
     m = detect_language(m).select("repo_id", "path", "content", "size", "language", line_count("content").alias("lines"))
     return files(spark, sf_dir).unionByName(m)
+
+
+def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events.props as stored JSON text; every ninth row is cut short (corrupt)."""
+    e = table(spark, sf_dir, "events")
+    txt = F.when(F.col("event_id") % 9 == 0, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    return e.select("event_id", txt.alias("languages"))
+
+
+def stored_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """findings written back as JSON objects with fields dropped by a rule (line mod 4)."""
+    f = findings(spark, sf_dir)
+    m = F.col("line_number") % 4
+    full = F.to_json(F.struct("rule_id", "severity", "defect_family", "message", "file_path", "line_number",
+                              "engine_source", "issue_type"))
+    no_family = F.to_json(F.struct("rule_id", "severity", "message", "file_path", "line_number", "issue_type",
+                                   F.col("defect_family").alias("category")))
+    bare = F.to_json(F.struct("file_path", "issue_type"))
+    no_rule = F.to_json(F.struct("severity", "file_path", "line_number", "issue_type"))
+    txt = F.when(m == 0, full).when(m == 1, no_family).when(m == 2, bare).otherwise(no_rule)
+    return f.select("repo_id", F.col("file_path").alias("_path"), F.col("line_number").alias("_line"),
+                    F.col("rule_id").alias("_rule"), txt.alias("issue_json"))

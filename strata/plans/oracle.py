@@ -733,3 +733,27 @@ SELECT repo_id, path, size, rank FROM (
     AND name NOT IN {X.in_list(S.IGNORE_FILENAMES)} AND NOT starts_with(name, '.')
     AND size > 0 AND size <= {S.AUTHORED_MAX_BYTES} AND NOT (instr(substring(content, 1, 512), chr(0)) > 0))
 WHERE rank <= 80""")
+
+# ---------------------------------------------------------------------------
+# JSON columns, normalisation, incremental stream
+ORACLE["decode_analysis_json"] = """
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE 1 END AS n_keys,
+       CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k
+FROM events"""
+ORACLE["normalize_issue"] = X.with_ctes(*_FD, body="""
+SELECT repo_id, file_path AS _path, line_number AS _line, rule_id AS _rule,
+       CASE WHEN line_number % 4 IN (0, 1) THEN rule_id ELSE coalesce(nullif(issue_type, ''), 'unknown') END AS rule_id,
+       CASE WHEN line_number % 4 IN (0, 1) THEN defect_family ELSE coalesce(nullif(issue_type, ''), 'unknown') END AS defect_family,
+       CASE WHEN line_number % 4 IN (0, 1, 3) THEN severity ELSE 'medium' END AS severity,
+       CASE WHEN line_number % 4 IN (0, 1) THEN message ELSE 'Issue detected' END AS message,
+       CASE WHEN line_number % 4 = 2 THEN 0 ELSE line_number END AS line_number,
+       CASE WHEN line_number % 4 = 0 THEN engine_source ELSE 'unknown' END AS engine_source,
+       '' AS code_snippet
+FROM findings""")
+ORACLE["incremental_scan"] = X.with_ctes(
+    *X.base_scan_ctes(), _files_b_cte(), _CHG,
+    "to_scan AS (SELECT s.* FROM snap_b s JOIN chg ON s.repo_id = chg.repo_id AND s.path = chg.path WHERE chg.change IN ('added', 'modified'))",
+    *_scan_over("to_scan"), body=f"""
+SELECT {FINDING_OUT} FROM findings f
+WHERE NOT EXISTS (SELECT 1 FROM chg WHERE chg.change IN ('added', 'modified') AND chg.repo_id = f.repo_id AND chg.path = f.file_path)
+UNION ALL SELECT {FINDING_OUT} FROM b_findings""")

@@ -561,3 +561,57 @@ def q_fallback_stack(spark, sf_dir):
 def q_authored_files(spark, sf_dir):
     f = FX.files_with_manifests(spark, sf_dir)
     return ST.authored_files(f, ST.detect_stack(f), 80)
+
+
+# ---------------------------------------------------------------------------
+# JSON columns, normalisation, multiline scan, engine registry, incremental stream
+from strata.sources import json_columns as JC  # noqa: E402
+
+
+@register("decode_analysis_json")
+def q_decode_analysis_json(spark, sf_dir):
+    out = JC.decode_analysis_json(FX.props_json(spark, sf_dir), {"languages": "map<string,bigint>"})
+    return out.select("event_id", F.size("languages").alias("n_keys"), F.col("languages")["k"].alias("k"))
+
+
+ISSUE_JSON_SCHEMA = ("rule_id string, severity string, defect_family string, category string, message string, "
+                     "file_path string, line_number int, engine_source string, issue_type string")
+
+
+@register("normalize_issue")
+def q_normalize_issue(spark, sf_dir):
+    s = FX.stored_issues(spark, sf_dir)
+    dec = s.select("repo_id", "_path", "_line", "_rule", F.from_json("issue_json", ISSUE_JSON_SCHEMA).alias("i")).select(
+        "repo_id", "_path", "_line", "_rule", "i.*")
+    out = FD.normalize_issue(dec)
+    return out.select("repo_id", "_path", "_line", "_rule", "rule_id", "defect_family", "severity", "message",
+                      "line_number", "engine_source", "code_snippet")
+
+
+@register("export_report_json")
+def q_export_report_json(spark, sf_dir):
+    return JC.report_summaries(_attributed(spark, sf_dir), FX.files(spark, sf_dir))
+
+
+@register("scan_multiline_rules")
+def q_scan_multiline_rules(spark, sf_dir):
+    files = scannable_filter(FX.files(spark, sf_dir))
+    return SC.scan_multiline_rules(files, FX.multiline_rules(spark)).select(*FINDING_OUT)
+
+
+@register("run_engines")
+def q_run_engines(spark, sf_dir):
+    files = scannable_filter(FX.files(spark, sf_dir))
+    rules = FX.rules(spark, FX.FIXTURE_RULES + FX.FIXTURE_MULTILINE_RULES)
+    return SC.run_engines(files, rules).select(*FINDING_OUT, "engine_order")
+
+
+@register("incremental_scan")
+def q_incremental_scan(spark, sf_dir):
+    from strata.streaming.incremental import IncrementalScan
+    job = IncrementalScan(spark, lambda fl: _scan_findings(spark, fl).select(*FINDING_OUT))
+    job.seed(FX.files(spark, sf_dir), FX.findings(spark, sf_dir).select(*FINDING_OUT))
+    src = f"{job.root}/incoming"
+    snap_b = FX.files_snapshot_b(spark, sf_dir)
+    snap_b.write.parquet(src)
+    return job.run(spark.readStream.schema(snap_b.schema).parquet(src))

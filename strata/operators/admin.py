@@ -30,7 +30,7 @@ def project_listing(memberships: DataFrame, projects: DataFrame, analyses: DataF
     p = projects.select(F.col("id").alias("project_id"), "repo_url", "repo_name")
     j = memberships.join(p, "project_id").join(members, "project_id").join(latest, "project_id", "left")
     w = Window.partitionBy("user_id").orderBy(F.col("added_at").desc(), F.col("project_id"))
-    return j.withColumn("position", F.row_number().over(w))
+    return j.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def audit_feed(audit: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:

@@ -97,4 +97,4 @@ def blame_authors(blame_lines: DataFrame) -> DataFrame:
     return per.select(
         "repo_id", "file_path", "author", "lines", "commits",
         pct_1dp(F.col("lines"), F.greatest(F.col("_total"), F.lit(1))).alias("percentage"),
-        F.row_number().over(w.orderBy(F.col("lines").desc(), F.col("_first"))).alias("rank"))
+        F.row_number().over(w.orderBy(F.col("lines").desc(), F.col("_first"))).cast("long").alias("rank"))

@@ -39,7 +39,7 @@ def search_issues(issues: DataFrame, query: str = "", severity: str = "all") ->
             cond = hit if cond is None else cond | hit
         out = out.filter(cond)
     w = Window.partitionBy("repo_id").orderBy(display_rank(F.coalesce("severity", F.lit("")), 4), *ISSUE_ORDER)
-    return out.withColumn("position", F.row_number().over(w))
+    return out.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def top_issues(issues: DataFrame, top: int = 100) -> DataFrame:
@@ -48,7 +48,7 @@ def top_issues(issues: DataFrame, top: int = 100) -> DataFrame:
     group limit before the shuffle."""
     sev = F.coalesce(F.col("severity"), F.lit("info"))
     w = Window.partitionBy("repo_id")
-    ranked = issues.withColumn("rank", F.row_number().over(w.orderBy(display_rank(sev, 99), *ISSUE_ORDER)))
+    ranked = issues.withColumn("rank", F.row_number().over(w.orderBy(display_rank(sev, 99), *ISSUE_ORDER)).cast("long"))
     kept = ranked.filter(F.col("rank") <= top)
     totals = issues.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_n"))
     return kept.join(totals, "repo_id").withColumn(
@@ -73,6 +73,6 @@ def representative_issues(issues: DataFrame, limit: int = 18, message_chars: int
     first = keyed.withColumn("_k", F.row_number().over(
         Window.partitionBy("repo_id", "family", "file", "line", "_msg").orderBy(*order))).filter("_k = 1")
     w = Window.partitionBy("repo_id").orderBy(*order)
-    return (first.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    return (first.withColumn("position", F.row_number().over(w).cast("long")).filter(F.col("position") <= limit)
             .select("repo_id", "position", "file", "line", "severity", "family", "rule_id",
                     F.substring("_msg", 1, message_chars).alias("message")))

@@ -86,7 +86,7 @@ def contributor_fallback(issues: DataFrame, top: int = 10) -> DataFrame:
         F.min_by(name, order).alias("name"), F.count(F.lit(1)).alias("count"),
         F.min(order).alias("_first"))
     w = Window.partitionBy("repo_id").orderBy(F.col("count").desc(), F.col("_first"))
-    return agg.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("_first")
+    return agg.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top).drop("_first")
 
 
 def family_hotspots(findings: DataFrame, top: int = 8) -> DataFrame:
@@ -94,7 +94,7 @@ def family_hotspots(findings: DataFrame, top: int = 8) -> DataFrame:
     counts = findings.groupBy("repo_id", fam.alias("family")).agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("repo_id")
     ranked = counts.withColumn("_total", F.sum("count").over(w)).withColumn(
-        "rank", F.row_number().over(w.orderBy(F.col("count").desc(), F.col("family"))))
+        "rank", F.row_number().over(w.orderBy(F.col("count").desc(), F.col("family"))).cast("long"))
     return ranked.filter(F.col("rank") <= top).select(
         "repo_id", "family", "count", pct_1dp(F.col("count"), F.col("_total")).alias("pct"), "rank")
 
@@ -105,7 +105,7 @@ def top_counts(df: DataFrame, key: str, value: str, k: int, order_col: str) -> D
     counts = (df.filter(v.isNotNull() & (v != "")).groupBy(key, v.alias("value"))
               .agg(F.count(F.lit(1)).alias("count"), F.min(order_col).alias("_first")))
     w = Window.partitionBy(key).orderBy(F.col("count").desc(), F.col("_first"))
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_first")
+    return counts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).drop("_first")
 
 
 def issues_by_file(issues: DataFrame) -> DataFrame:

@@ -147,4 +147,4 @@ def authored_files(files: DataFrame, stacks: DataFrame, max_files: int = 80) ->
             & (F.col("size") > 0) & (F.col("size") <= S.AUTHORED_MAX_BYTES) & ~is_binary("content"))
     cand = j.filter(keep).select("repo_id", "path", "size")
     w = Window.partitionBy("repo_id").orderBy("size", "path")
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_files)
+    return cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= max_files)

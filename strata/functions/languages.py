@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata import schemas as S
 from strata.functions.paths import file_name, last_suffix
+from strata.session import broadcast_if_small
 
 
 def _c(col) -> Column:
@@ -30,7 +31,8 @@ def detect_language(files: DataFrame, path_col: str = "path", out_col: str = "la
     lm = lm.select(F.col(lm.columns[0]).alias("_ext"), F.col(lm.columns[1]).alias("_lang"))
     name = F.lower(file_name(path_col))
     keyed = files.withColumn("_ext", last_suffix(file_name(path_col)))
-    joined = keyed.join(F.broadcast(lm), "_ext", "left")
+    # the default map is a fixed literal table; a caller's map is broadcast only after a size check
+    joined = keyed.join(F.broadcast(lm) if language_map is None else broadcast_if_small(lm), "_ext", "left")
     lang = (F.when(name.isin(*S.DOCKERFILE_NAMES), F.lit("dockerfile"))
             .otherwise(F.coalesce(F.col("_lang"), F.lit("plaintext"))))
     cols = [c for c in files.columns if c != out_col]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.positions import positions
 from strata.operators.rescan import latest_analysis  # noqa: F401  (re-exported)
 
 HEALTHY_SCORE = 80
@@ -29,8 +30,10 @@ def project_listing(memberships: DataFrame, projects: DataFrame, analyses: DataF
         F.col("health_score").alias("latest_health_score"))
     p = projects.select(F.col("id").alias("project_id"), "repo_url", "repo_name")
     j = memberships.join(p, "project_id").join(members, "project_id").join(latest, "project_id", "left")
-    w = Window.partitionBy("user_id").orderBy(F.col("added_at").desc(), F.col("project_id"))
-    return j.withColumn("position", F.row_number().over(w).cast("long"))
+    # newest membership first; numbered per (user, day) and shifted, so a user with a
+    # third of all memberships is not ranked by a single task
+    return positions(j, ["user_id"], [("_day", F.datediff(F.lit("9999-12-31"), F.to_date("added_at")))],
+                     [F.col("added_at").desc(), F.col("project_id")])
 
 
 def audit_feed(audit: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:
@@ -50,8 +53,8 @@ def audit_feed(audit: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame
 def deletion_impact(memberships: DataFrame, analyses: DataFrame) -> DataFrame:
     """For every (user, project) membership: would deleting the user drop the
     project (no other member) with its analyses, or only unlink the user?"""
-    w = Window.partitionBy("project_id")
-    m = memberships.withColumn("_others", F.count(F.lit(1)).over(w) - 1)
+    sizes = memberships.groupBy("project_id").agg((F.count(F.lit(1)) - 1).alias("_others"))
+    m = memberships.join(sizes, "project_id")
     per_project = analyses.filter(F.col("project_id").isNotNull()).groupBy("project_id").agg(
         F.count(F.lit(1)).alias("_analyses"))
     j = m.join(per_project, "project_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata import schemas as S
+from strata.session import broadcast_if_small
 
 MAX_ERRORS_REPORTED = 20
 IMPORT_CAP = 500
@@ -44,9 +45,9 @@ def seed_rules(specs: DataFrame, families: DataFrame, overrides: DataFrame | Non
                 .withColumn("is_active", F.lit(True))
                 .withColumn("rule_id", F.when(F.col("language") == "any", F.concat(F.lit("REGEX-"), F.col("id")))
                             .otherwise(F.concat(F.lit("REGEX-"), F.col("language"), F.lit("-"), F.col("id")))))
-    rows = rows.join(F.broadcast(families.select("id", "defect_family")), "id", "left")
+    rows = rows.join(broadcast_if_small(families.select("id", "defect_family")), "id", "left")
     if overrides is not None:
-        rows = rows.join(F.broadcast(overrides.select("id", F.col("severity").alias("_ovr"))), "id", "left")
+        rows = rows.join(broadcast_if_small(overrides.select("id", F.col("severity").alias("_ovr"))), "id", "left")
     else:
         rows = rows.withColumn("_ovr", F.lit(None).cast("string"))
     pattern = F.coalesce(F.col("pattern"), F.lit(""))
@@ -89,8 +90,9 @@ def bulk_import_rules(rows: DataFrame, existing: DataFrame, order_col: str = "id
                        mt.alias("_mt"), F.lower(_txt(rows, "language", "any")).alias("_lang"))
     known = existing.select(F.col("rule_id").alias("_rid")).distinct().withColumn("_exists", F.lit(True))
     base = base.join(known, "_rid", "left")
-    w = Window.partitionBy("_rid")
-    first_ok = F.min(F.when(F.col("_invalid").isNull(), F.col(order_col))).over(w)
+    firsts = base.groupBy("_rid").agg(F.min(F.when(F.col("_invalid").isNull(), F.col(order_col))).alias("_first_ok"))
+    base = base.join(firsts, "_rid", "left")
+    first_ok = F.col("_first_ok")
     status = (F.when(F.col("_rid") == "", F.lit("error"))
               .when(F.coalesce("_exists", F.lit(False)) | (first_ok < F.col(order_col)), F.lit("skipped"))
               .when(F.col("_invalid").isNotNull(), F.lit("error"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.severity import severity_rank
+from strata.functions.severity import severity_rank  # noqa: F401
+from strata.operators.positions import positions
 
 # FIXED VALUES: display order (most severe first) used by report and prompts
 DISPLAY_ORDER = ["blocker", "critical", "high", "medium", "low", "info", "trace"]
@@ -38,8 +39,11 @@ def search_issues(issues: DataFrame, query: str = "", severity: str = "all") ->
             hit = F.lower(F.coalesce(F.col(c), F.lit(""))).contains(q)
             cond = hit if cond is None else cond | hit
         out = out.filter(cond)
-    w = Window.partitionBy("repo_id").orderBy(display_rank(F.coalesce("severity", F.lit("")), 4), *ISSUE_ORDER)
-    return out.withColumn("position", F.row_number().over(w).cast("long"))
+    # position = rank within (repo, severity rank, file) shifted by the counts before it,
+    # so a repository holding most issues is still numbered by many tasks
+    rank = display_rank(F.coalesce("severity", F.lit("")), 4)
+    return positions(out, ["repo_id"], [("_sev_rank", rank), ("_file", F.col("file_path"))],
+                     [F.col("line_number"), F.col("rule_id")])
 
 
 def top_issues(issues: DataFrame, top: int = 100) -> DataFrame:

@@ -65,3 +65,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+# Largest dimension table broadcast without a hint from the caller.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows; beyond the bound the plain
+    DataFrame is returned and Spark (AQE) chooses a shuffle join instead.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        from pyspark.sql import functions as F
+        return F.broadcast(df)
+    return df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.session import broadcast_if_small
 from strata.functions.severity import classify_defect_family, map_external_severity
 
 REPORT_SCHEMA = """results array<struct<
@@ -53,7 +54,7 @@ def ingest_external_findings(reports: DataFrame, rules: DataFrame | None = None,
                         F.col("defect_family").alias("_rfam"), F.col("message").alias("_rmsg"),
                         F.col("fix_hint").alias("_rhint"), F.col("cwe_id").alias("_rcwe"),
                         F.col("owasp_ref").alias("_rowasp"), F.lit(True).alias("_has_rule")))
-        base = base.join(F.broadcast(meta), base.rule_id == meta._rid, "left")
+        base = base.join(broadcast_if_small(meta), base.rule_id == meta._rid, "left")
     else:
         for c in ("_rsev", "_rfam", "_rmsg", "_rhint", "_rcwe", "_rowasp"):
             base = base.withColumn(c, F.lit(None).cast("string"))

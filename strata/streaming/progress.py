@@ -24,14 +24,6 @@ def progress_state(events: DataFrame) -> DataFrame:
                       F.col("_l.status").isin(*TERMINAL).alias("is_complete"))
 
 
-def step_history(events: DataFrame) -> DataFrame:
-    """The ordered step list of each analysis (bounded by its number of updates)."""
-    return events.groupBy("analysis_id").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct(F.col("seq").alias("s"),
-                                             F.struct("step", "message", "progress", "ts").alias("v")))),
-        lambda x: x["v"]).alias("steps"))
-
-
 def progress_state_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Streaming twin (update mode): same aggregate over an event-time watermark."""
     return progress_state(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark))

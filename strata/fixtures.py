@@ -70,6 +70,8 @@ def files_from_documents(d: DataFrame) -> DataFrame:
     path = F.when(top == "", name).otherwise(F.concat_ws("/", top, F.col("lang"), name))
     base = d.select(F.col("source").alias("repo_id"), path.alias("path"), F.col("text").alias("content"),
                     F.octet_length("text").cast("long").alias("size"))
+    from strata.operators.scan import spread_files
+    base = spread_files(base)  # per-file text work (line counts, scans) runs in parallel tasks
     out = detect_language(base)
     return out.select("repo_id", "path", "content", "size", "language",
                       line_count("content").alias("lines"))

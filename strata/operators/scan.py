@@ -164,10 +164,27 @@ def scan_line_rules(files: DataFrame, rules: DataFrame | list[dict], engine: str
     return out
 
 
+def spread_files(files: DataFrame) -> DataFrame:
+    """Hash-distribute file rows on (repo_id, path) when the input has fewer
+    partitions than the session can run at once.
+
+    The scan is CPU-bound per file; an input of a few large row groups would
+    otherwise run it in a few tasks.  Hashing on the path (not the repo or the
+    language) spreads a hot repository's files evenly.  Inputs that already
+    arrive in enough splits (the normal case at scale) are left alone, so no
+    extra shuffle of the text is added there.
+    """
+    target = files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() >= target:
+        return files
+    return files.repartition(target, "repo_id", "path")
+
+
 def _split_files(files: DataFrame) -> DataFrame:
     """(repo_id, file_path, _lang, _lines) with the split evaluated once per file."""
-    base = files.select("repo_id", F.col("path").alias("file_path"),
-                        F.lower(F.coalesce(F.col("language"), F.lit(""))).alias("_lang"), "content")
+    pruned = spread_files(files.select("repo_id", "path", "language", "content"))
+    base = pruned.select("repo_id", F.col("path").alias("file_path"),
+                         F.lower(F.coalesce(F.col("language"), F.lit(""))).alias("_lang"), "content")
     return with_lines(base, keep=["repo_id", "file_path", "_lang"])
 
 
@@ -278,7 +295,7 @@ def scan_multiline_rules(files: DataFrame, rules: DataFrame | list[dict], engine
     if not compiled:
         return _empty_findings(files)
     clean = F.regexp_replace(F.col("content"), f"[{_OPEN}{_CLOSE}]", "")
-    base = files.select("repo_id", F.col("path").alias("file_path"),
+    base = spread_files(files.select("repo_id", "path", "language", "content")).select("repo_id", F.col("path").alias("file_path"),
                         F.lower(F.coalesce(F.col("language"), F.lit(""))).alias("_lang"),
                         clean.alias("_text"))
     per_rule = []

@@ -125,23 +125,40 @@ def directory_rollup(files_with_counts: DataFrame) -> DataFrame:
 
 
 def executive_summary(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Score, grade, totals, risk label, top family and top three languages per repo."""
-    hs = health_score(findings, files.select("repo_id"))
-    ss = severity_summary(findings)
-    fam = family_hotspots(findings, 1).select("repo_id", F.col("family").alias("top_family"))
-    langs = language_stats(files)
-    w = Window.partitionBy("repo_id").orderBy(F.col("file_count").desc(), F.col("language"))
-    top3 = (langs.withColumn("_r", F.row_number().over(w)).filter("_r <= 3")
-            .groupBy("repo_id").agg(F.array_join(F.transform(
-                F.sort_array(F.collect_list(F.struct("_r", "language"))), lambda x: x["language"]), ",")
-                .alias("top_languages")))
-    tl = total_lines(files)
-    out = (hs.join(ss, "repo_id", "left").join(fam, "repo_id", "left").join(top3, "repo_id", "left")
-           .join(tl, "repo_id", "left"))
-    sev = {s: F.coalesce(F.col(s), F.lit(0)) for s in S.SEVERITY_ORDER}
+    """Score, grade, totals, risk label, top family and top three languages per repo.
+
+    One pass over each input: findings are pre-aggregated per (repo, family)
+    and files per (repo, language); score, severity buckets, top family and top
+    languages are then rolled up from those small tables, so neither input is
+    scanned more than once however many figures the summary carries.
+    """
+    fam = F.when(F.coalesce(F.trim("defect_family"), F.lit("")) == "", F.lit("unknown")).otherwise(F.col("defect_family"))
+    sev = F.coalesce(F.col("severity"), F.lit("medium"))
+    per_fam = findings.groupBy("repo_id", fam.alias("family")).agg(
+        F.sum(penalty("severity", "defect_family")).alias("_p"), F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(sev == s).alias(s) for s in S.SEVERITY_ORDER])
+    per_repo = per_fam.groupBy("repo_id").agg(
+        F.sum("_p").alias("_p"), F.sum("_n").alias("total_issues"), *[F.sum(s).alias(s) for s in S.SEVERITY_ORDER])
+    wf = Window.partitionBy("repo_id").orderBy(F.col("_n").desc(), F.col("family"))
+    top_fam = (per_fam.withColumn("_r", F.row_number().over(wf)).filter("_r = 1")
+               .select("repo_id", F.col("family").alias("top_family")))
+    per_lang = files.groupBy("repo_id", "language").agg(F.count(F.lit(1)).alias("_files"),
+                                                       F.sum("lines").alias("_lines"))
+    per_repo_files = per_lang.groupBy("repo_id").agg(F.sum("_files").alias("file_count"),
+                                                     F.sum("_lines").cast("long").alias("total_lines"))
+    wl = Window.partitionBy("repo_id").orderBy(F.col("_files").desc(), F.col("language"))
+    top3 = (per_lang.filter(F.col("language") != "plaintext").withColumn("_r", F.row_number().over(wl))
+            .filter("_r <= 3").groupBy("repo_id").agg(  # at most three rows per repository
+                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "language"))),
+                                         lambda x: x["language"]), ",").alias("top_languages")))
+    out = (per_repo_files.join(per_repo, "repo_id", "left").join(top_fam, "repo_id", "left")
+           .join(top3, "repo_id", "left"))
+    score = F.greatest(F.lit(0), F.least(F.lit(100), (F.lit(100.0) - F.coalesce("_p", F.lit(0.0))).cast("int")))
+    z = {s: F.coalesce(F.col(s), F.lit(0)) for s in S.SEVERITY_ORDER}
     return out.select(
-        "repo_id", "health_score", health_grade("health_score").alias("grade"), "total_issues",
+        "repo_id", score.alias("health_score"), health_grade(score).alias("grade"),
+        F.coalesce("total_issues", F.lit(0)).cast("long").alias("total_issues"),
         "file_count", "total_lines",
-        risk_label(sev["blocker"], sev["critical"], sev["high"], sev["medium"]).alias("risk"),
+        risk_label(z["blocker"], z["critical"], z["high"], z["medium"]).alias("risk"),
         F.coalesce("top_family", F.lit("none")).alias("top_family"),
         F.coalesce("top_languages", F.lit("")).alias("top_languages"))

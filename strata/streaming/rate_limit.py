@@ -4,10 +4,11 @@ An event is admitted when fewer than ``N`` *admitted* events of its key are
 younger than the window (age < 3600 s); rejected events do not count.  The
 decision depends on earlier decisions, so it is not a range-window count.
 
-Batch: the events are hash-partitioned by key and sorted by (key, ts, id)
-inside each partition (a secondary sort, no per-key collection); one pass
-over the sorted partition carries at most ``N`` admitted timestamps of the
-current key.  Memory is O(N) whatever the size of a key.
+Batch: the events are hash-partitioned by key (and idle-gap piece) and sorted
+by (key, ts, id) inside each partition (a secondary sort, no per-key
+collection); one pass over the sorted partition carries at most ``N``
+admitted timestamps of the current key.  Memory is O(N) whatever the size of
+a key, and a hot key is split at every idle gap of one window or more.
 
 Stream: ``applyInPandasWithState`` keeps the same ``N`` timestamps per key in
 the state store, with an event-time watermark of one window.
@@ -19,7 +20,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +36,16 @@ OUT_SCHEMA = T.StructType([
 ])
 
 
-def _admit_sorted(keys, ts_us, limit: int, window_us: int, state: dict):
-    """Fold over rows sorted by (key, ts); ``state`` carries the current key's deque."""
+def _admit_sorted(keys, ts_us, limit: int, window_us: int, state: dict, starts=None):
+    """Fold over rows sorted by (group, ts); ``state`` carries the current group's deque
+    across Arrow batches.  ``starts`` (optional bool array) marks rows that begin a new
+    group; without it a change of ``keys`` does."""
     out = np.zeros(len(keys), dtype=bool)
     cur_key, q = state.get("key"), state.get("q")
     for i in range(len(keys)):
-        k, t = keys[i], ts_us[i]
-        if k != cur_key:
+        t = ts_us[i]
+        k = keys[i]
+        if (starts[i] if starts is not None else False) or k != cur_key or q is None:
             cur_key, q = k, deque()
         while q and t - q[0] >= window_us:
             q.popleft()
@@ -54,13 +58,29 @@ def _admit_sorted(keys, ts_us, limit: int, window_us: int, state: dict):
 
 def rate_limit(events: DataFrame, limit: int, key_col: str = "key", ts_col: str = "ts",
                id_col: str = "request_id", window_seconds: int = WINDOW_SECONDS,
-               num_partitions: int | None = None) -> DataFrame:
-    """Admission flag for every event (batch)."""
+               num_partitions: int | None = None, split_idle_gaps: bool = True) -> DataFrame:
+    """Admission flag for every event (batch).
+
+    With ``split_idle_gaps`` a key's timeline is cut wherever two consecutive
+    events are at least one window apart: no admitted event can reach across
+    such a gap, so the pieces are independent and exact.  The fold then runs per
+    (key, piece), spreading a hot key over many tasks; the gap marks come from
+    a JVM-side ``lag`` and running sum.
+    """
     window_us = int(window_seconds) * 1_000_000
     src = events.select(F.col(key_col).cast("string").alias("key"), F.col(id_col).cast("long").alias("request_id"),
                         F.col(ts_col).alias("ts"))
-    parts = (src.repartition(num_partitions, "key") if num_partitions else src.repartition("key"))
-    ordered = parts.sortWithinPartitions("key", "ts", "request_id")
+    part_cols = ["key"]
+    if split_idle_gaps:
+        w = Window.partitionBy("key").orderBy("ts", "request_id")
+        gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
+        starts = F.when(gap.isNull() | (gap >= window_us), F.lit(1)).otherwise(F.lit(0))
+        src = src.withColumn("_start", starts).withColumn(
+            "_seg", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+        part_cols = ["key", "_seg"]
+    parts = (src.repartition(num_partitions, *part_cols) if num_partitions else src.repartition(*part_cols))
+    ordered = parts.sortWithinPartitions(*part_cols, "ts", "request_id")
+    group_col = "_seg" if split_idle_gaps else None
 
     def run(batches):
         state: dict = {}
@@ -68,8 +88,15 @@ def rate_limit(events: DataFrame, limit: int, key_col: str = "key", ts_col: str
             if pdf.empty:
                 continue
             ts_us = pdf["ts"].values.astype("datetime64[us]").astype(np.int64)
-            pdf["admitted"] = _admit_sorted(pdf["key"].to_numpy(), ts_us, limit, window_us, state)
-            yield pdf
+            keys = pdf["key"].to_numpy()
+            starts = None
+            if group_col is not None:
+                seg = pdf[group_col].to_numpy()
+                prev_seg = np.concatenate([[state.get("seg", -1)], seg[:-1]])
+                starts = seg != prev_seg
+                state["seg"] = seg[-1]
+            pdf["admitted"] = _admit_sorted(keys, ts_us, limit, window_us, state, starts)
+            yield pdf[["key", "request_id", "ts", "admitted"]]
 
     return ordered.mapInPandas(run, OUT_SCHEMA)
 

@@ -85,7 +85,8 @@ def system_stats(users: DataFrame, projects: DataFrame, analyses: DataFrame, fil
     for p in parts[1:]:
         longform = longform.unionByName(p)
     wide = longform.groupBy().pivot("metric", SYSTEM_METRICS).agg(F.first("value"))
-    return wide.withColumn("storage_mb", F.round(F.col("storage_bytes") / 1048576.0, 2))
+    from strata.sources.files import mb_2dp
+    return wide.withColumn("storage_mb", mb_2dp(F.col("storage_bytes")))
 
 
 def user_usage(users: DataFrame, memberships: DataFrame, analyses: DataFrame) -> DataFrame:

@@ -40,8 +40,15 @@ def _norm_lang(lang: str | None, alias: bool = True) -> str:
 
 
 def _java_compiles(spark, pattern: str) -> bool:
+    """Driver-side check that the JVM regex engine accepts ``pattern``.
+
+    Without JVM access (e.g. a Connect session) the pattern is assumed to compile.
+    """
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return True
     try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
+        jvm.java.util.regex.Pattern.compile(pattern)
         return True
     except Exception:
         return False
@@ -174,8 +181,12 @@ def spread_files(files: DataFrame) -> DataFrame:
     arrive in enough splits (the normal case at scale) are left alone, so no
     extra shuffle of the text is added there.
     """
-    target = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= target:
+    try:
+        target = files.sparkSession.sparkContext.defaultParallelism
+        current = files.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Connect session): leave the input as it is
+        return files
+    if current >= target:
         return files
     return files.repartition(target, "repo_id", "path")
 

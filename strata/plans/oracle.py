@@ -51,7 +51,8 @@ SELECT repo_id, path, CAST(i AS INTEGER) AS line_number, arr[i] AS line
 FROM (SELECT repo_id, path, arr, unnest(generate_series(1, len(arr))) AS i
       FROM (SELECT repo_id, path, {X.split_lines_sql('content')} AS arr FROM files))""")
 ORACLE["repo_storage_size"] = X.with_ctes(*_F, body="""
-SELECT repo_id, CAST(sum(size) AS BIGINT) AS bytes, round(sum(size) / 1048576.0, 2) AS mb FROM files GROUP BY repo_id""")
+SELECT repo_id, CAST(sum(size) AS BIGINT) AS bytes, floor((sum(size) * 200 + 1048576) / (2 * 1048576)) / 100.0 AS mb
+FROM files GROUP BY repo_id""")
 ORACLE["language_stats"] = X.with_ctes(*_F, body="""
 SELECT repo_id, language, count(*) AS file_count FROM files WHERE language <> 'plaintext' GROUP BY ALL""")
 ORACLE["total_lines"] = X.with_ctes(*_F, body="""
@@ -583,7 +584,7 @@ ORACLE["system_stats"] = X.with_ctes(X.files_cte(), _MEM, body="""
 SELECT (SELECT count(*) FROM supplier) AS users, (SELECT count(*) FROM customer) AS projects,
        (SELECT count(*) FROM an) AS analyses, (SELECT count(*) FROM an WHERE status = 'complete') AS completed,
        (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM files) AS storage_bytes,
-       round((SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM files) / 1048576.0, 2) AS storage_mb""")
+       floor(((SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM files) * 200 + 1048576) / (2 * 1048576)) / 100.0 AS storage_mb""")
 ORACLE["user_usage"] = X.with_ctes(_MEM, body="""
 SELECT s.s_suppkey AS user_id, s.s_name AS username, coalesce(u.projects, 0) AS projects,
        CAST(coalesce(u.analyses, 0) AS BIGINT) AS analyses, CAST(coalesce(u.storage_bytes, 0) AS BIGINT) AS storage_bytes

@@ -63,4 +63,9 @@ def detect_binary(files: DataFrame) -> DataFrame:
 def repo_storage_size(files: DataFrame) -> DataFrame:
     """Bytes and MB (2 dp) per repository."""
     return files.groupBy("repo_id").agg(F.sum("size").cast("long").alias("bytes")).withColumn(
-        "mb", F.round(F.col("bytes") / 1048576.0, 2))
+        "mb", mb_2dp(F.col("bytes")))
+
+
+def mb_2dp(nbytes) -> F.Column:
+    """bytes / 2^20 rounded half-up to 2 dp on the exact ratio (integer arithmetic)."""
+    return F.floor((nbytes * 200 + 1048576) / (2 * 1048576)) / 100.0

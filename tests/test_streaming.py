@@ -67,3 +67,16 @@ def test_assemble_chunks_terminal_states(spark):
     got = {r.analysis_id: (r.summary, r.status, r.progress) for r in PG.assemble_chunks(df).collect()}
     assert got["a"] == ("Hello", "complete", 75)
     assert got["b"][1] == "unavailable" and got["c"][1] == "failed"
+
+
+def test_assemble_chunks_batch_equals_stream(spark):
+    ch = FX.summary_chunks(spark, SF)
+    src = os.path.join(checkpoint_dir(spark), f"chunks-{uuid.uuid4().hex}")
+    ch.write.parquet(src)
+    stream = spark.readStream.schema(ch.schema).parquet(src)
+    name = f"ch_{uuid.uuid4().hex[:8]}"
+    got = _run_stream(spark, PG.assemble_chunks_stream(stream), name, "complete")
+    cols = ["analysis_id", "summary", "chunks", "status", "progress"]
+    a = sorted(map(tuple, PG.assemble_chunks(ch).select(cols).collect()))
+    b = sorted(map(tuple, got.select(cols).collect()))
+    assert a == b

@@ -20,7 +20,7 @@ def read_repo_files(spark: SparkSession, root: str, repo_depth: int = 1) -> Data
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
            .filter(F.col("length") <= S.TREE_MAX_BYTES))
-    rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/") + "/", "")
+    rel = F.regexp_replace(F.col("path"), "^.*?\\Q" + root.rstrip("/") + "\\E/", "")  # root quoted literally
     parts = F.split(rel, "/")
     repo = F.array_join(F.slice(parts, 1, repo_depth), "/")
     path = F.array_join(F.slice(parts, repo_depth + 1, 1 << 16), "/")

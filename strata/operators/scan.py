@@ -59,13 +59,16 @@ def active_rules(rules: DataFrame, match_types=("regex_line",)) -> DataFrame:
 
 
 def collect_rules(rules: DataFrame, match_types=("regex_line",), limit: int = MAX_INLINE_RULES,
-                  alias_languages: bool = True) -> list[dict] | None:
+                  alias_languages: bool = True, unicode_classes: bool = False) -> list[dict] | None:
     """Active rules of the given kinds as dicts, or ``None`` when more than ``limit``.
 
     The rule table is a small dimension; ``limit + 1`` rows are fetched so an
     oversized catalogue is detected without pulling it whole to the driver.
     Rules whose pattern Python cannot compile are left out (as in the source
     behaviour); rules Java cannot compile are flagged for the Python scan.
+    ``unicode_classes`` prefixes ``(?U)`` so ``\\w``, ``\\d``, ``\\s`` and ``\\b`` are
+    Unicode-aware as in Python (quirk Q12); the default keeps ASCII classes, which
+    is what the RE2-based oracle can check.
     """
     cols = RULE_META_FIELDS + ["pattern", "language", "match_type"]
     rows = (active_rules(rules, match_types).select(*cols)
@@ -81,6 +84,9 @@ def collect_rules(rules: DataFrame, match_types=("regex_line",), limit: int = MA
         except re.error:
             continue
         d["language"] = _norm_lang(d["language"], alias_languages)
+        d["literal"] = required_literal(d["pattern"] or "")
+        if unicode_classes:
+            d["pattern"] = "(?U)" + (d["pattern"] or "")
         d["java_ok"] = _java_compiles(spark, d["pattern"] or "")
         out.append(d)
     return out
@@ -110,7 +116,7 @@ def _hit_list(text: Column, lang: Column, rules: list[dict]) -> Column:
     slots = []
     for i, r in enumerate(rules, start=1):
         hit = text.rlike(r["pattern"])
-        lit = required_literal(r["pattern"])
+        lit = r["literal"] if "literal" in r else required_literal(r["pattern"])
         if lit:
             hit = text.contains(lit) & hit
         if r["language"] not in ANY_LANGUAGE:
@@ -151,13 +157,14 @@ def explode_lines(files: DataFrame, content_col: str = "content", keep=("repo_id
 
 
 def scan_line_rules(files: DataFrame, rules: DataFrame | list[dict], engine: str = "regex",
-                    alias_languages: bool = True) -> DataFrame:
+                    alias_languages: bool = True, unicode_classes: bool = False) -> DataFrame:
     """Every active line rule x every line of a file of the rule's language.
 
     One finding per (rule, line) on the first hit; snippet = lines n-1..n+1.
     """
     if isinstance(rules, DataFrame):
-        compiled = collect_rules(rules, ("regex_line",), alias_languages=alias_languages)
+        compiled = collect_rules(rules, ("regex_line",), alias_languages=alias_languages,
+                                 unicode_classes=unicode_classes)
         if compiled is None:
             return _scan_line_rules_join(files, rules, engine, alias_languages)
     else:

@@ -105,3 +105,10 @@ def test_python_fallback_engine(spark):
                   message="m", fix_hint=None, cwe_id=None, owasp_ref=None, java_ok=False)]
     out = SC.scan_line_rules(files, rules).collect()
     assert [(r.rule_id, r.line_number) for r in out] == [("LB", 1)]
+
+
+def test_unicode_classes_option(spark):
+    files = _files(spark, [("r", "a.py", "café bar", "python")])
+    spec = [("W", "any", "x", "low", r"caf\w\b", "regex_line", True)]
+    assert SC.scan_line_rules(files, _rules(spark, spec)).count() == 0          # ASCII \w (default)
+    assert SC.scan_line_rules(files, _rules(spark, spec), unicode_classes=True).count() == 1

@@ -100,19 +100,22 @@ def multiline_rules(spark: SparkSession) -> DataFrame:
     return rules(spark, FIXTURE_MULTILINE_RULES)
 
 
-def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_findings(spark: SparkSession, sf_dir: str, file_table: DataFrame | None = None) -> DataFrame:
     """Both fixture engines over the scannable files, before de-duplication."""
     from strata.functions.languages import scannable_filter
     from strata.operators.scan import scan_line_engines
 
-    f = scannable_filter(files(spark, sf_dir))
+    f = scannable_filter(files(spark, sf_dir) if file_table is None else file_table)
     return scan_line_engines(f, {"regex": rules(spark), "external": external_rules(spark)})
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """De-duplicated findings (the ``issues`` list before enrichment)."""
+def findings(spark: SparkSession, sf_dir: str, file_table: DataFrame | None = None) -> DataFrame:
+    """De-duplicated findings (the ``issues`` list before enrichment).
+
+    Pass the query's own ``file_table`` when it also reads the files, so both
+    branches share one scan (and one exchange) of the documents."""
     from strata.operators.findings import dedupe_findings
-    return dedupe_findings(raw_findings(spark, sf_dir))
+    return dedupe_findings(raw_findings(spark, sf_dir, file_table))
 
 
 def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,8 @@ def q_dedupe_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("health_score")
 def q_health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RU.health_score(FX.findings(spark, sf_dir), FX.files(spark, sf_dir).select("repo_id"))
+    files = FX.files(spark, sf_dir)
+    return RU.health_score(FX.findings(spark, sf_dir, files), files.select("repo_id"))
 
 
 # ---------------------------------------------------------------------------
@@ -275,7 +276,8 @@ def q_health_grade_risk(spark, sf_dir):
 
 @register("executive_summary")
 def q_executive_summary(spark, sf_dir):
-    return RU.executive_summary(FX.findings(spark, sf_dir), FX.files(spark, sf_dir))
+    files = FX.files(spark, sf_dir)
+    return RU.executive_summary(FX.findings(spark, sf_dir, files), files)
 
 
 @register("search_issues")

@@ -46,3 +46,36 @@ def scan_lines_python(files: DataFrame, rules: list[dict], engine: str = "regex"
             yield pd.DataFrame(out, columns=S.FINDING_COLUMNS)
 
     return files.select("repo_id", "path", "language", "content").mapInPandas(run, S.FINDINGS)
+
+
+def python_engine(analyze, name: str = "python"):
+    """Wrap ``analyze(file_path, language, content) -> iterable of dicts`` as an engine.
+
+    The returned function has the registry signature ``(files, rules) -> findings``
+    and runs ``analyze`` inside Spark tasks (``mapInPandas`` over the partitioned
+    file rows).  A call that raises yields nothing for that file, so one bad
+    file or engine bug never fails the scan.  Missing finding fields take the
+    catalogue defaults.
+    """
+    def engine(files: DataFrame, rules) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                out = []
+                for repo, path, lang, text in zip(pdf["repo_id"], pdf["path"], pdf["language"], pdf["content"]):
+                    try:
+                        found = list(analyze(path, lang, text) or [])
+                    except Exception:  # engine errors yield nothing
+                        continue
+                    for f in found:
+                        rid = str(f.get("rule_id", "unknown"))
+                        line = int(f.get("line_number", 0) or 0)
+                        out.append((repo, rid, name, path, line, f.get("severity", "low"),
+                                    f.get("defect_family", "best_practice"), f.get("message", "Issue detected"),
+                                    f.get("fix_hint"), f.get("cwe_id"), f.get("owasp_ref"), f.get("code_snippet"),
+                                    f.get("issue_type", rid), int(f.get("end_line", line) or line),
+                                    int(f.get("column", 1) or 1)))
+                yield pd.DataFrame(out, columns=S.FINDING_COLUMNS)
+
+        return files.select("repo_id", "path", "language", "content").mapInPandas(run, S.FINDINGS)
+
+    return engine

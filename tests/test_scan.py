@@ -112,3 +112,22 @@ def test_unicode_classes_option(spark):
     spec = [("W", "any", "x", "low", r"caf\w\b", "regex_line", True)]
     assert SC.scan_line_rules(files, _rules(spark, spec)).count() == 0          # ASCII \w (default)
     assert SC.scan_line_rules(files, _rules(spark, spec), unicode_classes=True).count() == 1
+
+
+def test_python_engine_helper_and_registry_guard(spark):
+    from strata.operators.python_engine import python_engine
+
+    def analyze(path, language, content):
+        if "boom" in content:
+            raise RuntimeError("engine bug")
+        return [{"rule_id": "PY-TODO", "line_number": i + 1, "severity": "info"}
+                for i, line in enumerate(content.splitlines()) if "TODO" in line]
+
+    files = _files(spark, [("r", "a.py", "x\n# TODO fix", "python"), ("r", "b.py", "boom", "python")])
+
+    def broken(fl, rl):
+        raise ValueError("cannot plan")
+
+    engines = {"py": python_engine(analyze, "py"), "broken": broken}
+    out = SC.run_engines(files, _rules(spark, []), engines).collect()
+    assert [(r.file_path, r.rule_id, r.line_number, r.engine_source) for r in out] == [("a.py", "PY-TODO", 2, "py")]

@@ -82,10 +82,10 @@ def bulk_import_rules(rows: DataFrame, existing: DataFrame, order_col: str = "id
     fam = F.lower(_txt(rows, "defect_family"))
     mt = F.lower(_txt(rows, "match_type", "regex_line"))
     name, pattern, message = _txt(rows, "name"), _txt(rows, "pattern"), _txt(rows, "message")
-    invalid = (F.when((name == "") | (pattern == "") | (message == ""), F.lit("Missing required fields (name, pattern, message)"))
-               .when(~sev.isin(*S.SEVERITY_ORDER), F.concat(F.lit("Invalid severity: "), sev))
-               .when(~fam.isin(*S.DEFECT_FAMILIES), F.concat(F.lit("Invalid defect_family: "), fam))
-               .when(~mt.isin(*S.MATCH_TYPES), F.concat(F.lit("Invalid match_type: "), mt)))
+    invalid = (F.when((name == "") | (pattern == "") | (message == ""), F.lit(S.IMPORT_ERRORS["missing_fields"]))
+               .when(~sev.isin(*S.SEVERITY_ORDER), F.concat(F.lit(S.IMPORT_ERRORS["bad_severity"]), sev))
+               .when(~fam.isin(*S.DEFECT_FAMILIES), F.concat(F.lit(S.IMPORT_ERRORS["bad_family"]), fam))
+               .when(~mt.isin(*S.MATCH_TYPES), F.concat(F.lit(S.IMPORT_ERRORS["bad_match_type"]), mt)))
     base = rows.select("*", rid.alias("_rid"), invalid.alias("_invalid"), sev.alias("_sev"), fam.alias("_fam"),
                        mt.alias("_mt"), F.lower(_txt(rows, "language", "any")).alias("_lang"))
     known = existing.select(F.col("rule_id").alias("_rid")).distinct().withColumn("_exists", F.lit(True))
@@ -97,7 +97,7 @@ def bulk_import_rules(rows: DataFrame, existing: DataFrame, order_col: str = "id
               .when(F.coalesce("_exists", F.lit(False)) | (first_ok < F.col(order_col)), F.lit("skipped"))
               .when(F.col("_invalid").isNotNull(), F.lit("error"))
               .otherwise(F.lit("created")))
-    err = (F.when(F.col("_rid") == "", F.lit("Missing rule_id"))
+    err = (F.when(F.col("_rid") == "", F.lit(S.IMPORT_ERRORS["missing_id"]))
            .when(status == "error", F.col("_invalid")))
     return base.select("*", status.alias("status"), err.alias("error"))
 

@@ -81,7 +81,7 @@ def normalize_issue(issues: DataFrame) -> DataFrame:
                                     F.when(col("issue_type") != "", col("issue_type")), F.lit("unknown")),
         "rule_id": F.coalesce(col("rule_id"), F.when(col("issue_type") != "", col("issue_type")), F.lit("unknown")),
         "severity": F.coalesce(col("severity"), F.lit("medium")),
-        "message": F.coalesce(col("message"), F.lit("Issue detected")),
+        "message": F.coalesce(col("message"), F.lit(S.DEFAULT_MESSAGE)),
         "line_number": F.coalesce(col("line_number", "int"), F.lit(0)),
         "engine_source": F.coalesce(col("engine_source"), F.lit("unknown")),
         "code_snippet": F.coalesce(col("code_snippet"), F.lit("")),

@@ -59,14 +59,15 @@ def fix_prompts(issues: DataFrame, language_col: str = "language") -> DataFrame:
     fence = F.concat(F.lit("```"), lang, F.lit("\n"))
     before = F.coalesce(F.col("context_before"), F.lit("")) if "context_before" in issues.columns else F.lit("")
     after = F.coalesce(F.col("context_after"), F.lit("")) if "context_after" in issues.columns else F.lit("")
+    L = S.FIX_PROMPT_LABELS
     parts = [
-        F.concat(F.lit("**Defect Family:** "), F.col("defect_family")),
-        F.concat(F.lit("**Language:** "), lang),
-        F.when(F.coalesce(F.col("file_path"), F.lit("")) != "", F.concat(F.lit("**File:** "), F.col("file_path"))),
-        F.when(before != "", F.concat(F.lit("\n**Context before:**\n"), fence, before, F.lit("\n```"))),
-        F.concat(F.lit("\n**Flagged code:**\n"), fence, snippet, F.lit("\n```")),
-        F.when(after != "", F.concat(F.lit("\n**Context after:**\n"), fence, after, F.lit("\n```"))),
-        F.lit("\nAnalyze this issue step-by-step and respond with your fix recommendation as a single JSON object."),
+        F.concat(F.lit(L["family"]), F.col("defect_family")),
+        F.concat(F.lit(L["language"]), lang),
+        F.when(F.coalesce(F.col("file_path"), F.lit("")) != "", F.concat(F.lit(L["file"]), F.col("file_path"))),
+        F.when(before != "", F.concat(F.lit(L["before"]), fence, before, F.lit("\n```"))),
+        F.concat(F.lit(L["flagged"]), fence, snippet, F.lit("\n```")),
+        F.when(after != "", F.concat(F.lit(L["after"]), fence, after, F.lit("\n```"))),
+        F.lit(S.FIX_PROMPT_CLOSING),
     ]
     keep = (F.trim(F.coalesce(snippet, F.lit(""))) != "") & (F.length(snippet) <= MAX_SNIPPET_CHARS)
     return issues.filter(keep).withColumn("prompt", F.concat_ws("\n", *parts))

@@ -19,8 +19,8 @@ ANY_LANGUAGE = ("", "any")
 
 
 def scan_lines_python(files: DataFrame, rules: list[dict], engine: str = "regex") -> DataFrame:
-    specs = [(r["rule_id"], r["pattern"], r["language"], r["severity"] or "low",
-              r["defect_family"] or "best_practice", r["message"] or "Issue detected",
+    specs = [(r["rule_id"], r["pattern"], r["language"], r["severity"] or S.DEFAULT_RULE_SEVERITY,
+              r["defect_family"] or S.DEFAULT_RULE_FAMILY, r["message"] or S.DEFAULT_MESSAGE,
               r["fix_hint"], r["cwe_id"], r["owasp_ref"]) for r in rules]
 
     def run(batches):
@@ -69,8 +69,8 @@ def python_engine(analyze, name: str = "python"):
                     for f in found:
                         rid = str(f.get("rule_id", "unknown"))
                         line = int(f.get("line_number", 0) or 0)
-                        out.append((repo, rid, name, path, line, f.get("severity", "low"),
-                                    f.get("defect_family", "best_practice"), f.get("message", "Issue detected"),
+                        out.append((repo, rid, name, path, line, f.get("severity", S.DEFAULT_RULE_SEVERITY),
+                                    f.get("defect_family", S.DEFAULT_RULE_FAMILY), f.get("message", S.DEFAULT_MESSAGE),
                                     f.get("fix_hint"), f.get("cwe_id"), f.get("owasp_ref"), f.get("code_snippet"),
                                     f.get("issue_type", rid), int(f.get("end_line", line) or line),
                                     int(f.get("column", 1) or 1)))

@@ -97,9 +97,9 @@ def _meta_literal(rules: list[dict]) -> Column:
         F.struct(F.lit(r.get("engine", "regex")).alias("engine"),
                  F.lit(r.get("engine_order", 0)).alias("engine_order"),
                  F.lit(r["rule_id"]).alias("rule_id"),
-                 F.lit(r["severity"] or "low").alias("severity"),
-                 F.lit(r["defect_family"] or "best_practice").alias("defect_family"),
-                 F.lit(r["message"] or "Issue detected").alias("message"),
+                 F.lit(r["severity"] or S.DEFAULT_RULE_SEVERITY).alias("severity"),
+                 F.lit(r["defect_family"] or S.DEFAULT_RULE_FAMILY).alias("defect_family"),
+                 F.lit(r["message"] or S.DEFAULT_MESSAGE).alias("message"),
                  F.lit(r["fix_hint"]).cast("string").alias("fix_hint"),
                  F.lit(r["cwe_id"]).cast("string").alias("cwe_id"),
                  F.lit(r["owasp_ref"]).cast("string").alias("owasp_ref"))

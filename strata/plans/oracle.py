@@ -289,10 +289,11 @@ ORACLE["classify_defect_family"] = X.with_ctes(_EXT, body="SELECT repo_id, rule_
 ORACLE["rule_metadata_override"] = X.with_ctes(_EXT, body="""
 SELECT repo_id, rule_id, line_number, message, cwe_id, owasp_ref, fix_hint FROM ext""")
 
-_PROMPT = ("concat_ws(chr(10), '**Defect Family:** ' || f.defect_family, '**Language:** ' || l.language, "
-           "CASE WHEN coalesce(f.file_path, '') <> '' THEN '**File:** ' || f.file_path END, "
-           "chr(10) || '**Flagged code:**' || chr(10) || '```' || l.language || chr(10) || f.code_snippet || chr(10) || '```', "
-           "chr(10) || 'Analyze this issue step-by-step and respond with your fix recommendation as a single JSON object.')")
+_PL = S.FIX_PROMPT_LABELS
+_PROMPT = (f"concat_ws(chr(10), {X.q(_PL['family'])} || f.defect_family, {X.q(_PL['language'])} || l.language, "
+           f"CASE WHEN coalesce(f.file_path, '') <> '' THEN {X.q(_PL['file'])} || f.file_path END, "
+           f"{X.q(_PL['flagged'])} || '```' || l.language || chr(10) || f.code_snippet || chr(10) || '```', "
+           f"{X.q(S.FIX_PROMPT_CLOSING)})")
 ORACLE["fix_prompts"] = X.with_ctes(*_FD, body=f"""
 SELECT f.repo_id, f.file_path, f.line_number, f.rule_id, md5({_PROMPT}) AS prompt_md5,
        CAST(length({_PROMPT}) AS INTEGER) AS prompt_chars

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata import schemas as S
+
 from strata.session import broadcast_if_small
 from strata.functions.severity import classify_defect_family, map_external_severity
 
@@ -66,7 +68,7 @@ def ingest_external_findings(reports: DataFrame, rules: DataFrame | None = None,
         F.col("line_number").cast("int").alias("line_number"),
         map_external_severity(F.col("_sev"), F.col("_rsev")).alias("severity"),
         classify_defect_family(F.col("rule_id"), F.col("_cat"), F.col("_rfam")).alias("defect_family"),
-        F.when(has, F.col("_rmsg")).otherwise(F.coalesce(F.col("_msg"), F.lit("Issue detected"))).alias("message"),
+        F.when(has, F.col("_rmsg")).otherwise(F.coalesce(F.col("_msg"), F.lit(S.DEFAULT_MESSAGE))).alias("message"),
         F.when(has, F.col("_rhint")).alias("fix_hint"),
         F.when(has, F.col("_rcwe")).otherwise(F.col("_cwe")).alias("cwe_id"),
         F.when(has, F.col("_rowasp")).otherwise(F.col("_owasp")).alias("owasp_ref"),

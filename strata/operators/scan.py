@@ -302,9 +302,10 @@ def scan_multiline_rules(files: DataFrame, rules: DataFrame | list[dict], engine
 
     line = newlines before the match + 1; end_line = line + newlines inside it.
     Matches are located by wrapping them in sentinel characters with one
-    ``regexp_replace`` and splitting on the opening sentinel; a running
-    newline count over the pieces gives each match's line.  All per file row,
-    no shuffle.
+    ``regexp_replace``: splitting the marked text on the opening sentinel gives
+    the match texts, and repeating each line's index once per opening sentinel
+    on it gives their start lines, in the same order.  Linear in the text and
+    all per file row, no shuffle.
     """
     compiled = collect_rules(rules, ("regex_multiline",), alias_languages=alias_languages) \
         if isinstance(rules, DataFrame) else rules
@@ -321,24 +322,24 @@ def scan_multiline_rules(files: DataFrame, rules: DataFrame | list[dict], engine
         marked = F.regexp_replace(F.col("_text"), r["pattern"], f"{_OPEN}$0{_CLOSE}")
         cond = F.lit(True) if r["language"] in ANY_LANGUAGE else (F.col("_lang") == F.lit(r["language"]))
         per_rule.append(F.when(cond, F.struct(F.lit(i).alias("slot"), marked.alias("marked"))))
-    exploded = base.select("repo_id", "file_path", "_text",
+    exploded = base.select("repo_id", "file_path", split_lines(F.col("_text")).alias("_lines"),
                            F.explode(F.array_compact(F.array(*per_rule))).alias("_r"))
-    pieces = F.split(F.col("_r.marked"), _OPEN, -1)
-    # piece 1 is the text before the first match; piece k >= 2 is match + CLOSE + following text.
-    # prefix[k] = newlines in pieces 1..k, so match k+1 starts on line prefix[k] + 1.
-    nl = F.transform(pieces, lambda p: _newlines(F.replace(p, F.lit(_CLOSE), F.lit(""))))
-    prefix = F.aggregate(nl, F.array().cast("array<int>"),
-                         lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
-    located = exploded.select(
-        "repo_id", "file_path", "_text", F.col("_r.slot").alias("_slot"), prefix.alias("_prefix"),
-        F.posexplode(pieces).alias("_k", "_piece"))
-    m = located.filter(F.col("_k") >= 1).select(
-        "repo_id", "file_path", "_text", "_slot",
-        (F.element_at(F.col("_prefix"), F.col("_k")) + 1).alias("line_number"),
-        F.substring_index(F.col("_piece"), _CLOSE, 1).alias("_match"))
-    m = m.withColumn("end_line", F.col("line_number") + _newlines(F.col("_match")))
-    m = m.withColumn("code_snippet", snippet_from_lines(split_lines(F.col("_text")), F.col("line_number"),
-                                                        F.col("end_line")))
+    marked = F.col("_r.marked")
+    # Start line of every match, in document order, without a running sum: each
+    # line index is repeated once per opening sentinel on that line.  Linear in
+    # the text, however many matches a file has.
+    starts = F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(
+        (i + 1).cast("int"), (F.length(line) - F.length(F.replace(line, F.lit(_OPEN), F.lit("")))).cast("int"))))
+    # Match texts in the same order: the pieces after each opening sentinel, up to the closing one.
+    pieces = F.split(marked, _OPEN, -1)
+    texts = F.transform(F.slice(pieces, 2, 1 << 30), lambda p: F.substring_index(p, _CLOSE, 1))
+    # Line span and snippet are built inside the array, so the file's lines are
+    # split once and never copied into the per-match rows.
+    found = F.transform(F.arrays_zip(starts.alias("line"), texts.alias("match")), lambda z: F.struct(
+        z["line"].alias("line_number"), (z["line"] + _newlines(z["match"])).alias("end_line"),
+        snippet_from_lines(F.col("_lines"), z["line"], z["line"] + _newlines(z["match"])).alias("code_snippet")))
+    m = exploded.select("repo_id", "file_path", F.col("_r.slot").alias("_slot"), F.explode(found).alias("_z")) \
+        .select("repo_id", "file_path", "_slot", "_z.*")
     meta = _meta_literal(compiled)
     return m.withColumn("_m", F.element_at(meta, F.col("_slot"))).select(*_finding_projection(engine))
 

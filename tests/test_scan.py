@@ -131,3 +131,24 @@ def test_python_engine_helper_and_registry_guard(spark):
     engines = {"py": python_engine(analyze, "py"), "broken": broken}
     out = SC.run_engines(files, _rules(spark, []), engines).collect()
     assert [(r.file_path, r.rule_id, r.line_number, r.engine_source) for r in out] == [("a.py", "PY-TODO", 2, "py")]
+
+
+def test_multiline_scan_equals_brute_force_on_data(spark):
+    import re as _re
+    from strata.functions.languages import scannable_filter
+    sf = "/root/testdata/sf0.001"
+    files = scannable_filter(FX.files(spark, sf))
+    spec = [("ML-A", "any", "secrets", "high", r'token = "[0-9a-f]+"[^\n]*\n[^\n]*[A-Z]', "regex_multiline", True),
+            ("ML-B", "any", "reliability", "low", r"\.\n[A-Z]", "regex_multiline", True)]
+    got = sorted((r.file_path, r.rule_id, r.line_number, r.end_line, r.code_snippet)
+                 for r in SC.scan_multiline_rules(files, _rules(spark, spec)).collect())
+    expect = []
+    for row in files.select("path", "content").collect():
+        text, lines = row.content, row.content.splitlines()
+        for rid, *_rest in spec:
+            pat = _rest[3]
+            for m in _re.finditer(pat, text):
+                line = text.count("\n", 0, m.start()) + 1
+                end = line + m.group(0).count("\n")
+                expect.append((row.path, rid, line, end, "\n".join(lines[max(0, line - 2):min(len(lines), end + 1)])))
+    assert got == sorted(expect) and len(got) > 0

@@ -6,6 +6,9 @@ scanned, and the stored issue set is rebuilt as (old issues of untouched
 files) + (new issues).  Every state table is written as a new version folder
 under the shared checkpoint directory, so a failed batch never leaves a
 half-written table and a restarted query resumes from its checkpoint.
+State tables are partitioned by ``repo_id``, so the per-batch joins against
+them can prune repositories the batch does not touch (dynamic partition
+pruning).
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ class IncrementalScan:
         return f"{self.root}/{name}/v{v:06d}"
 
     def seed(self, files: DataFrame, issues: DataFrame) -> None:
-        files.select("repo_id", "path", F.sha2("content", 256).alias("h")).write.parquet(self._path("snapshot", 0))
-        issues.write.parquet(self._path("issues", 0))
+        files.select("repo_id", "path", F.sha2("content", 256).alias("h")).write \
+            .partitionBy("repo_id").parquet(self._path("snapshot", 0))
+        issues.write.partitionBy("repo_id").parquet(self._path("issues", 0))
 
     def snapshot(self) -> DataFrame:
         return self.spark.read.parquet(self._path("snapshot", self.version))
@@ -50,8 +54,8 @@ class IncrementalScan:
         merged = merge_rescan(self.issues(), self.scan(changed.drop("_oh", "h")), change_keys)
         snap = old.join(change_keys, ["repo_id", "path"], "left_anti").unionByName(changed.select("repo_id", "path", "h"))
         nxt = self.version + 1
-        merged.write.parquet(self._path("issues", nxt))
-        snap.write.parquet(self._path("snapshot", nxt))
+        merged.write.partitionBy("repo_id").parquet(self._path("issues", nxt))
+        snap.write.partitionBy("repo_id").parquet(self._path("snapshot", nxt))
         self.version = nxt
 
     def run(self, stream: DataFrame) -> DataFrame:

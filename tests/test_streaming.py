@@ -80,3 +80,27 @@ def test_assemble_chunks_batch_equals_stream(spark):
     a = sorted(map(tuple, PG.assemble_chunks(ch).select(cols).collect()))
     b = sorted(map(tuple, got.select(cols).collect()))
     assert a == b
+
+
+def test_rule_feed_stream_equals_batch_fold(spark):
+    from strata.operators import catalogue as CT
+    from strata.plans.queries import _seeded
+    from strata.streaming.rule_feed import RuleFeed
+
+    cat = _seeded(spark, SF)
+    changes = FX.rule_changes(spark, SF)
+    src = os.path.join(checkpoint_dir(spark), f"feed-{uuid.uuid4().hex}")
+    # three files, split by sequence ranges, so later micro-batches only hold later changes
+    bounds = changes.approxQuantile("seq", [0.33, 0.66], 0.0)
+    parts = [changes.filter(F.col("seq") <= bounds[0]),
+             changes.filter((F.col("seq") > bounds[0]) & (F.col("seq") <= bounds[1])),
+             changes.filter(F.col("seq") > bounds[1])]
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(os.path.join(src, f"part{k}"))
+    stream = (spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    got = RuleFeed(spark, cat).run(stream)
+    cols = ["rule_id", "severity", "message", "is_active"]
+    a = sorted(map(tuple, CT.apply_rule_changes(cat, changes).select(cols).collect()))
+    b = sorted(map(tuple, got.select(cols).collect()))
+    assert a == b

@@ -137,22 +137,24 @@ def executive_summary(findings: DataFrame, files: DataFrame) -> DataFrame:
     per_fam = findings.groupBy("repo_id", fam.alias("family")).agg(
         F.sum(penalty("severity", "defect_family")).alias("_p"), F.count(F.lit(1)).alias("_n"),
         *[F.count_if(sev == s).alias(s) for s in S.SEVERITY_ORDER])
-    per_repo = per_fam.groupBy("repo_id").agg(
-        F.sum("_p").alias("_p"), F.sum("_n").alias("total_issues"), *[F.sum(s).alias(s) for s in S.SEVERITY_ORDER])
-    wf = Window.partitionBy("repo_id").orderBy(F.col("_n").desc(), F.col("family"))
-    top_fam = (per_fam.withColumn("_r", F.row_number().over(wf)).filter("_r = 1")
-               .select("repo_id", F.col("family").alias("top_family")))
+    # one window pass over the small per-family table gives repo totals and the top family
+    wr = Window.partitionBy("repo_id")
+    wf = wr.orderBy(F.col("_n").desc(), F.col("family"))
+    fam_side = (per_fam.select(
+        "repo_id", F.col("family").alias("top_family"), F.sum("_p").over(wr).alias("_p"),
+        F.sum("_n").over(wr).alias("total_issues"), *[F.sum(s).over(wr).alias(s) for s in S.SEVERITY_ORDER],
+        F.row_number().over(wf).alias("_r")).filter("_r = 1").drop("_r"))
+    # files: per (repo, language) counts, then one grouped pass for totals and the top three
     per_lang = files.groupBy("repo_id", "language").agg(F.count(F.lit(1)).alias("_files"),
                                                        F.sum("lines").alias("_lines"))
-    per_repo_files = per_lang.groupBy("repo_id").agg(F.sum("_files").alias("file_count"),
-                                                     F.sum("_lines").cast("long").alias("total_lines"))
-    wl = Window.partitionBy("repo_id").orderBy(F.col("_files").desc(), F.col("language"))
-    top3 = (per_lang.filter(F.col("language") != "plaintext").withColumn("_r", F.row_number().over(wl))
-            .filter("_r <= 3").groupBy("repo_id").agg(  # at most three rows per repository
-                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "language"))),
-                                         lambda x: x["language"]), ",").alias("top_languages")))
-    out = (per_repo_files.join(per_repo, "repo_id", "left").join(top_fam, "repo_id", "left")
-           .join(top3, "repo_id", "left"))
+    wl = Window.partitionBy("repo_id").orderBy(
+        (F.col("language") == "plaintext").asc(), F.col("_files").desc(), F.col("language"))
+    ranked = per_lang.withColumn("_r", F.row_number().over(wl))
+    top = F.when((F.col("_r") <= 3) & (F.col("language") != "plaintext"), F.struct("_r", "language"))
+    file_side = ranked.groupBy("repo_id").agg(  # the collect keeps at most three rows per repository
+        F.sum("_files").alias("file_count"), F.sum("_lines").cast("long").alias("total_lines"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(top)), lambda x: x["language"]), ",").alias("top_languages"))
+    out = file_side.join(fam_side, "repo_id", "left")
     score = F.greatest(F.lit(0), F.least(F.lit(100), (F.lit(100.0) - F.coalesce("_p", F.lit(0.0))).cast("int")))
     z = {s: F.coalesce(F.col(s), F.lit(0)) for s in S.SEVERITY_ORDER}
     return out.select(

@@ -50,8 +50,10 @@ def has_skipped_suffix(path, suffixes=None) -> Column:
 
 
 def is_hidden(path) -> Column:
-    """Dot-files; their suffix is empty so the config exceptions never apply (Q2, kept)."""
-    return file_name(path).startswith(".")
+    """Dot-files, except those whose last suffix is a listed config suffix
+    (``.local.env`` is kept; a bare ``.env`` has no suffix, so it is dropped: Q2, kept)."""
+    name = file_name(path)
+    return name.startswith(".") & ~last_suffix(name).isin(*S.HIDDEN_EXCEPTIONS)
 
 
 def normalize_repo_url(url) -> Column:

@@ -163,7 +163,8 @@ def skipped_suffix_sql(path: str) -> str:
 
 
 def hidden_sql(path: str) -> str:
-    return f"starts_with({name_sql(path)}, '.')"
+    return (f"(starts_with({name_sql(path)}, '.') AND "
+            f"{suffix_sql(name_sql(path))} NOT IN {in_list(S.HIDDEN_EXCEPTIONS)})")
 
 
 def blame_lines_cte() -> str:

@@ -45,3 +45,9 @@ def test_required_literal_is_conservative():
     assert required_literal(r"a|b") is None
     assert required_literal(r"ab?c") == "a"
     assert required_literal(r"x{0,2}yz") == "yz"
+
+
+def test_hidden_files_keep_config_suffixes(spark):
+    from strata.functions.paths import is_hidden
+    df = spark.createDataFrame([(".env",), (".local.env",), ("a/.gitignore",), ("a/.x.gitignore",), ("b.py",)], "p string")
+    assert [r[0] for r in df.select(is_hidden("p")).collect()] == [True, False, True, False, False]

@@ -11,7 +11,6 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strata import schemas as S
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.severity import severity_rank  # noqa: F401
 from strata.operators.positions import positions
 
 # FIXED VALUES: display order (most severe first) used by report and prompts

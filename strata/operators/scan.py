@@ -17,7 +17,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strata import schemas as S
 from strata.functions.regex_literal import required_literal

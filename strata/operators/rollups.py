@@ -38,14 +38,24 @@ def severity_summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("repo_id").agg(*aggs)
 
 
-def severity_breakdown_pct(findings: DataFrame) -> DataFrame:
-    """Count and integer percentage per severity; missing = info, unknown names kept."""
+def severity_breakdown_pct(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Per repository: all seven tiers (zero-filled) plus any unknown severity
+    names as extra buckets; missing severity counts as ``info``.
+    pct = int(count / max(total, 1) * 100) over all of the repository's issues.
+
+    The seven-row domain is generated per repository with ``explode`` of a
+    literal array (no cross join) and meets the counts in a keyed outer join.
+    """
     sev = F.coalesce(F.col("severity"), F.lit("info"))
     counts = findings.groupBy("repo_id", sev.alias("severity")).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("repo_id")
-    total = F.sum("count").over(w)
-    return counts.select("repo_id", "severity", "count",
-                         F.floor(F.col("count") / total * 100).cast("int").alias("pct"))
+    base = (repos.select("repo_id") if repos is not None else findings.select("repo_id")).distinct()
+    domain = base.select("repo_id", F.explode(F.array(*[F.lit(x) for x in reversed(S.SEVERITY_ORDER)])).alias("severity"))
+    full = domain.join(counts, ["repo_id", "severity"], "full_outer").withColumn(
+        "count", F.coalesce("count", F.lit(0)).cast("long"))
+    totals = counts.groupBy("repo_id").agg(F.sum("count").alias("_total"))
+    j = full.join(totals, "repo_id", "left")
+    total = F.greatest(F.coalesce(F.col("_total"), F.lit(0)), F.lit(1))
+    return j.select("repo_id", "severity", "count", F.floor(F.col("count") / total * 100).cast("int").alias("pct"))
 
 
 def language_stats(files: DataFrame) -> DataFrame:

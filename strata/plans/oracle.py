@@ -174,9 +174,16 @@ def _disp(expr, unknown):
 _SEV_COLS = ", ".join(f"count(*) FILTER (WHERE coalesce(severity, 'medium') = {X.q(s)}) AS {s}"
                       for s in reversed(S.SEVERITY_ORDER))
 ORACLE["severity_summary"] = X.with_ctes(*_FD, body=f"SELECT repo_id, {_SEV_COLS} FROM findings GROUP BY repo_id")
-ORACLE["severity_breakdown_pct"] = X.with_ctes(*_FD, body="""
-SELECT repo_id, severity, count, CAST(floor(count / sum(count) OVER (PARTITION BY repo_id) * 100) AS INTEGER) AS pct
-FROM (SELECT repo_id, coalesce(severity, 'info') AS severity, count(*) AS count FROM findings GROUP BY ALL)""")
+ORACLE["severity_breakdown_pct"] = X.with_ctes(*_FD, body=f"""
+SELECT coalesce(d.repo_id, c.repo_id) AS repo_id, coalesce(d.severity, c.severity) AS severity,
+       CAST(coalesce(c.count, 0) AS BIGINT) AS count,
+       CAST(floor(coalesce(c.count, 0) / greatest(coalesce(t.total, 0), 1) * 100) AS INTEGER) AS pct
+FROM (SELECT repo_id, unnest({X.str_list(list(reversed(S.SEVERITY_ORDER)))}) AS severity
+      FROM (SELECT DISTINCT repo_id FROM files)) d
+FULL OUTER JOIN (SELECT repo_id, coalesce(severity, 'info') AS severity, count(*) AS count FROM findings GROUP BY ALL) c
+  ON d.repo_id = c.repo_id AND d.severity = c.severity
+LEFT JOIN (SELECT repo_id, count(*) AS total FROM findings GROUP BY repo_id) t
+  ON t.repo_id = coalesce(d.repo_id, c.repo_id)""")
 _HOT = """hot AS (
   SELECT repo_id, family, count, total,
          row_number() OVER (PARTITION BY repo_id ORDER BY count DESC, family) AS rank

@@ -235,7 +235,8 @@ def q_severity_summary(spark, sf_dir):
 
 @register("severity_breakdown_pct")
 def q_severity_breakdown_pct(spark, sf_dir):
-    return RU.severity_breakdown_pct(FX.findings(spark, sf_dir))
+    files = FX.files(spark, sf_dir)
+    return RU.severity_breakdown_pct(FX.findings(spark, sf_dir, files), files.select("repo_id"))
 
 
 @register("family_hotspots")

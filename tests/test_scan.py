@@ -152,3 +152,14 @@ def test_multiline_scan_equals_brute_force_on_data(spark):
                 end = line + m.group(0).count("\n")
                 expect.append((row.path, rid, line, end, "\n".join(lines[max(0, line - 2):min(len(lines), end + 1)])))
     assert got == sorted(expect) and len(got) > 0
+
+
+def test_severity_breakdown_zero_fills_and_keeps_unknown(spark):
+    schema = _schema()
+    rows = [_finding("r", "A", 1, "high"), _finding("r", "B", 2, "weird"), _finding("r", "C", 3, None)]
+    repos = spark.createDataFrame([("r",), ("clean",)], "repo_id string")
+    out = {(x.repo_id, x.severity): (x["count"], x.pct)
+           for x in RU.severity_breakdown_pct(spark.createDataFrame(rows, schema), repos).collect()}
+    assert out[("r", "high")] == (1, 33) and out[("r", "info")] == (1, 33) and out[("r", "weird")] == (1, 33)
+    assert out[("r", "blocker")] == (0, 0) and out[("clean", "trace")] == (0, 0)
+    assert len([k for k in out if k[0] == "r"]) == 8 and len([k for k in out if k[0] == "clean"]) == 7

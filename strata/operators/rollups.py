@@ -99,14 +99,29 @@ def contributor_fallback(issues: DataFrame, top: int = 10) -> DataFrame:
     return agg.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top).drop("_first")
 
 
+def _family(col="defect_family"):
+    """Missing or empty family -> ``unknown`` (whitespace is kept, as in the source)."""
+    return F.when(F.coalesce(F.col(col), F.lit("")) == "", F.lit("unknown")).otherwise(F.col(col))
+
+
+def _first_seen():
+    """Position of an issue in the report's severity-sorted list (ties: issue order)."""
+    from strata.operators.ranking import display_rank
+    return F.struct(display_rank(F.coalesce(F.col("severity"), F.lit("info")), 99).alias("_sr"),
+                    F.col("file_path"), F.col("line_number"), F.col("rule_id"))
+
+
 def family_hotspots(findings: DataFrame, top: int = 8) -> DataFrame:
-    fam = F.when(F.coalesce(F.trim("defect_family"), F.lit("")) == "", F.lit("unknown")).otherwise(F.col("defect_family"))
-    counts = findings.groupBy("repo_id", fam.alias("family")).agg(F.count(F.lit(1)).alias("count"))
+    """Top families per repo with integer percentage of all issues; ties go to the
+    family seen first in the severity-sorted issue list."""
+    counts = findings.groupBy("repo_id", _family().alias("family")).agg(
+        F.count(F.lit(1)).alias("count"), F.min(_first_seen()).alias("_first"))
     w = Window.partitionBy("repo_id")
     ranked = counts.withColumn("_total", F.sum("count").over(w)).withColumn(
-        "rank", F.row_number().over(w.orderBy(F.col("count").desc(), F.col("family"))).cast("long"))
+        "rank", F.row_number().over(w.orderBy(F.col("count").desc(), F.col("_first"))).cast("long"))
     return ranked.filter(F.col("rank") <= top).select(
-        "repo_id", "family", "count", pct_1dp(F.col("count"), F.col("_total")).alias("pct"), "rank")
+        "repo_id", "family", "count",
+        F.floor(F.col("count") / F.greatest(F.col("_total"), F.lit(1)) * 100).cast("int").alias("pct"), "rank")
 
 
 def top_counts(df: DataFrame, key: str, value: str, k: int, order_col: str) -> DataFrame:
@@ -142,14 +157,14 @@ def executive_summary(findings: DataFrame, files: DataFrame) -> DataFrame:
     languages are then rolled up from those small tables, so neither input is
     scanned more than once however many figures the summary carries.
     """
-    fam = F.when(F.coalesce(F.trim("defect_family"), F.lit("")) == "", F.lit("unknown")).otherwise(F.col("defect_family"))
     sev = F.coalesce(F.col("severity"), F.lit("medium"))
-    per_fam = findings.groupBy("repo_id", fam.alias("family")).agg(
+    per_fam = findings.groupBy("repo_id", _family().alias("family")).agg(
         F.sum(penalty("severity", "defect_family")).alias("_p"), F.count(F.lit(1)).alias("_n"),
+        F.min(_first_seen()).alias("_first"),
         *[F.count_if(sev == s).alias(s) for s in S.SEVERITY_ORDER])
     # one window pass over the small per-family table gives repo totals and the top family
     wr = Window.partitionBy("repo_id")
-    wf = wr.orderBy(F.col("_n").desc(), F.col("family"))
+    wf = wr.orderBy(F.col("_n").desc(), F.col("_first"))
     fam_side = (per_fam.select(
         "repo_id", F.col("family").alias("top_family"), F.sum("_p").over(wr).alias("_p"),
         F.sum("_n").over(wr).alias("total_issues"), *[F.sum(s).over(wr).alias(s) for s in S.SEVERITY_ORDER],

@@ -184,15 +184,18 @@ FULL OUTER JOIN (SELECT repo_id, coalesce(severity, 'info') AS severity, count(*
   ON d.repo_id = c.repo_id AND d.severity = c.severity
 LEFT JOIN (SELECT repo_id, count(*) AS total FROM findings GROUP BY repo_id) t
   ON t.repo_id = coalesce(d.repo_id, c.repo_id)""")
-_HOT = """hot AS (
+_HOT = f"""hot AS (
   SELECT repo_id, family, count, total,
-         row_number() OVER (PARTITION BY repo_id ORDER BY count DESC, family) AS rank
-  FROM (SELECT repo_id, family, count, sum(count) OVER (PARTITION BY repo_id) AS total
-        FROM (SELECT repo_id, CASE WHEN coalesce(trim(defect_family), '') = '' THEN 'unknown' ELSE defect_family END AS family,
-                     count(*) AS count FROM findings GROUP BY ALL))
+         row_number() OVER (PARTITION BY repo_id ORDER BY count DESC, first) AS rank
+  FROM (SELECT repo_id, family, count, first, sum(count) OVER (PARTITION BY repo_id) AS total
+        FROM (SELECT repo_id, CASE WHEN coalesce(defect_family, '') = '' THEN 'unknown' ELSE defect_family END AS family,
+                     count(*) AS count,
+                     min(({_disp("coalesce(severity, 'info')", 99)}, file_path, line_number, rule_id)) AS first
+              FROM findings GROUP BY ALL))
 )"""
 ORACLE["family_hotspots"] = X.with_ctes(*_FD, _HOT, body=f"""
-SELECT repo_id, family, count, {X.pct_1dp_sql('count', 'total')} AS pct, rank FROM hot WHERE rank <= 8""")
+SELECT repo_id, family, count, CAST(floor(count / greatest(total, 1) * 100) AS INTEGER) AS pct, rank
+FROM hot WHERE rank <= 8""")
 ORACLE["top_counts"] = """
 SELECT user_id, value, count, rank FROM (
   SELECT user_id, value, count, row_number() OVER (PARTITION BY user_id ORDER BY count DESC, first) AS rank

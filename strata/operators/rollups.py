@@ -88,9 +88,11 @@ def contributor_stats(issues: DataFrame, order_cols=("file_path", "line_number",
 def contributor_fallback(issues: DataFrame, top: int = 10) -> DataFrame:
     """Older records: email <- legacy author string, name <- text before '<'; top 10."""
     author = F.col("origin_author")
-    email = F.coalesce(F.col("origin_author_email"), author, F.lit("Unknown"))
-    name = F.coalesce(F.col("origin_author_name"),
-                      F.trim(F.substring_index(F.coalesce(author, F.lit("Unknown")), "<", 1)))
+    given_email = F.when(F.coalesce(F.col("origin_author_email"), F.lit("")) != "", F.col("origin_author_email"))
+    email = F.coalesce(given_email, author, F.lit("Unknown"))
+    given_name = F.when(F.coalesce(F.col("origin_author_name"), F.lit("")) != "", F.col("origin_author_name"))
+    # (name or text before '<') when the e-mail field holds a '<', else the e-mail itself
+    name = F.when(email.contains("<"), F.coalesce(given_name, F.trim(F.substring_index(email, "<", 1)))).otherwise(email)
     order = F.struct("file_path", "line_number", "rule_id")
     agg = issues.groupBy("repo_id", email.alias("email")).agg(
         F.min_by(name, order).alias("name"), F.count(F.lit(1)).alias("count"),

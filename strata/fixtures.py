@@ -118,7 +118,7 @@ def findings(spark: SparkSession, sf_dir: str, file_table: DataFrame | None = No
     return dedupe_findings(raw_findings(spark, sf_dir, file_table))
 
 
-def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blame_lines(spark: SparkSession, sf_dir: str, file_table: DataFrame | None = None) -> DataFrame:
     """lineitem -> one blamed line per row.
 
     file = the document file whose doc_id equals l_orderkey (so issues and
@@ -126,7 +126,7 @@ def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     author = supplier, commit = part key, ts = ship date.
     """
     li = table(spark, sf_dir, "lineitem")
-    paths = files(spark, sf_dir).select(
+    paths = (files(spark, sf_dir) if file_table is None else file_table).select(
         "repo_id", "path", F.regexp_extract("path", r"([0-9]+)[^/]*$", 1).cast("long").alias("_doc"))
     # One window spec does both jobs: keep the first row of each (order, line number)
     # under a total order, and number the kept rows by dense rank of the line number.

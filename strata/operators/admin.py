@@ -98,9 +98,11 @@ def user_usage(users: DataFrame, memberships: DataFrame, analyses: DataFrame) ->
         F.coalesce(F.sum("_bytes"), F.lit(0)).cast("long").alias("storage_bytes"))
     u = users.select(F.col("id").alias("user_id"), "username", "created_at")
     j = u.join(m, "user_id", "left")
+    from strata.sources.files import mb_2dp
+    storage = F.coalesce("storage_bytes", F.lit(0))
     return j.select("user_id", "username", F.coalesce("projects", F.lit(0)).alias("projects"),
-                    F.coalesce("analyses", F.lit(0)).alias("analyses"),
-                    F.coalesce("storage_bytes", F.lit(0)).alias("storage_bytes"), "created_at")
+                    F.coalesce("analyses", F.lit(0)).alias("analyses"), storage.alias("storage_bytes"),
+                    mb_2dp(storage).alias("storage_mb"), "created_at")
 
 
 def repo_inventory(projects: DataFrame, memberships: DataFrame, analyses: DataFrame) -> DataFrame:

@@ -155,7 +155,8 @@ from strata.operators import history as HI  # noqa: E402
 
 
 def _attributed(spark, sf_dir):
-    return BL.attribute_issues(FX.findings(spark, sf_dir), FX.blame_lines(spark, sf_dir))
+    files = FX.files(spark, sf_dir)  # one documents scan feeds both findings and blame paths
+    return BL.attribute_issues(FX.findings(spark, sf_dir, files), FX.blame_lines(spark, sf_dir, files))
 
 
 @register("expand_blame")

@@ -23,7 +23,7 @@ def display_rank(sev, unknown: int) -> F.Column:
 ISSUE_ORDER = ["file_path", "line_number", "rule_id"]
 
 
-def search_issues(issues: DataFrame, query: str = "", severity: str = "all") -> DataFrame:
+def search_issues(issues: DataFrame, query: str = "", severity: str = "all", unknown_rank: int = 4) -> DataFrame:
     """Severity filter plus case-insensitive substring over path, message, family, rule.
 
     ``position`` orders the result by display rank (unknown 4), then issue order.
@@ -40,7 +40,7 @@ def search_issues(issues: DataFrame, query: str = "", severity: str = "all") ->
         out = out.filter(cond)
     # position = rank within (repo, severity rank, file) shifted by the counts before it,
     # so a repository holding most issues is still numbered by many tasks
-    rank = display_rank(F.coalesce("severity", F.lit("")), 4)
+    rank = display_rank(F.coalesce("severity", F.lit("")), unknown_rank)  # 4 dashboard, 9 single-file panel
     return positions(out, ["repo_id"], [("_sev_rank", rank), ("_file", F.col("file_path"))],
                      [F.col("line_number"), F.col("rule_id")])
 

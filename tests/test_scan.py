@@ -163,3 +163,13 @@ def test_severity_breakdown_zero_fills_and_keeps_unknown(spark):
     assert out[("r", "high")] == (1, 33) and out[("r", "info")] == (1, 33) and out[("r", "weird")] == (1, 33)
     assert out[("r", "blocker")] == (0, 0) and out[("clean", "trace")] == (0, 0)
     assert len([k for k in out if k[0] == "r"]) == 8 and len([k for k in out if k[0] == "clean"]) == 7
+
+
+def test_search_issues_unknown_rank(spark):
+    from strata.operators.ranking import search_issues
+    rows = [_finding("r", "A", 5, "weird"), _finding("r", "B", 1, "info"), _finding("r", "C", 9, "medium")]
+    df = spark.createDataFrame(rows, _schema())
+    dash = [r.rule_id for r in search_issues(df).orderBy("position").collect()]
+    panel = [r.rule_id for r in search_issues(df, unknown_rank=9).orderBy("position").collect()]
+    assert dash == ["C", "A", "B"]   # unknown ranks 4, ahead of info (5)
+    assert panel == ["C", "B", "A"]  # unknown ranks 9, last

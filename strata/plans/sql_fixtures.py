@@ -112,10 +112,11 @@ def penalty_sql(sev: str = "severity", fam: str = "defect_family") -> str:
 
 def findings_cte() -> str:
     return f"""findings AS (
-  SELECT * EXCLUDE (rn) FROM (
+  SELECT * EXCLUDE (rn, engine_order, first_eo), first_eo AS engine_order FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_id, file_path, rule_id, line_number
                                  ORDER BY -{sev_rank_sql('severity')}, engine_order, coalesce(end_line, 0),
-                                          coalesce(code_snippet, '')) AS rn
+                                          coalesce(code_snippet, '')) AS rn,
+           min(engine_order) OVER (PARTITION BY repo_id, file_path, rule_id, line_number) AS first_eo
     FROM raw_findings) WHERE rn = 1
 )"""
 

@@ -173,3 +173,9 @@ def test_search_issues_unknown_rank(spark):
     panel = [r.rule_id for r in search_issues(df, unknown_rank=9).orderBy("position").collect()]
     assert dash == ["C", "A", "B"]   # unknown ranks 4, ahead of info (5)
     assert panel == ["C", "B", "A"]  # unknown ranks 9, last
+
+
+def test_dedupe_keeps_first_occurrence_position(spark):
+    rows = [_finding("r", "A", 1, "medium", engine_order=0), _finding("r", "A", 1, "critical", engine_order=1)]
+    out = FD.dedupe_findings(spark.createDataFrame(rows, _schema())).first()
+    assert out.severity == "critical" and out.engine_order == 0

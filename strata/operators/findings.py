@@ -35,15 +35,16 @@ def dedupe_findings(findings: DataFrame) -> DataFrame:
     payload = F.struct(*[F.col(c) for c in cols if c not in DEDUPE_KEY])
     # the kept finding takes the list position of the key's FIRST occurrence (a
     # replaced dictionary value keeps its slot), so engine_order is the minimum
-    firsts = [F.min("engine_order").alias("_first_engine")] if "engine_order" in cols else []
+    pos_cols = _order_cols(findings)
+    firsts = [F.min(F.struct(*pos_cols)).alias("_first")] if pos_cols else []
     out = (findings.groupBy(*DEDUPE_KEY)
            .agg(F.min_by(payload, order).alias("_f"), *firsts))
 
     def pick(c):
         if c in DEDUPE_KEY:
             return F.col(c)
-        if c == "engine_order":
-            return F.col("_first_engine").alias(c)
+        if c in pos_cols:
+            return F.col(f"_first.{c}").alias(c)
         return F.col(f"_f.{c}").alias(c)
     return out.select(*[pick(c) for c in cols])
 

@@ -360,7 +360,9 @@ def registered_engines() -> dict[str, Engine]:
 
 
 def _regex_engine(files: DataFrame, rules: DataFrame) -> DataFrame:
-    return scan_line_rules(files, rules).unionByName(scan_multiline_rules(files, rules))
+    """Line rules, then multiline rules (``seq`` keeps that order for ties and ids)."""
+    return (scan_line_rules(files, rules).withColumn("seq", F.lit(0))
+            .unionByName(scan_multiline_rules(files, rules).withColumn("seq", F.lit(1))))
 
 
 register_engine("regex", _regex_engine)
@@ -375,10 +377,12 @@ def run_engines(files: DataFrame, rules: DataFrame, engines: dict[str, Engine] |
     out = None
     for order, (name, fn) in enumerate(engines.items()):
         try:
-            df = fn(files, rules).select(*S.FINDING_COLUMNS).withColumn("engine_order", F.lit(order))
+            df = fn(files, rules)
+            seq = F.col("seq").cast("int") if "seq" in df.columns else F.lit(0)
+            df = df.select(*S.FINDING_COLUMNS, F.lit(order).alias("engine_order"), seq.alias("seq"))
         except Exception:  # engine errors yield nothing
             continue
         out = df if out is None else out.unionByName(df)
     if out is None:
-        return _empty_findings(files).withColumn("engine_order", F.lit(0))
+        return _empty_findings(files).withColumn("engine_order", F.lit(0)).withColumn("seq", F.lit(0))
     return out

@@ -769,3 +769,7 @@ ORACLE["incremental_scan"] = X.with_ctes(
 SELECT {FINDING_OUT} FROM findings f
 WHERE NOT EXISTS (SELECT 1 FROM chg WHERE chg.change IN ('added', 'modified') AND chg.repo_id = f.repo_id AND chg.path = f.file_path)
 UNION ALL SELECT {FINDING_OUT} FROM b_findings""")
+
+ORACLE["import_first_errors"] = X.with_ctes(_IMP, body=f"""
+SELECT idx, rid AS rule_id, CASE WHEN rid = '' THEN {X.q(S.IMPORT_ERRORS['missing_id'])} ELSE invalid END AS error
+FROM stat WHERE status = 'error' ORDER BY idx LIMIT 20""")

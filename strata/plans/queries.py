@@ -619,3 +619,9 @@ def q_incremental_scan(spark, sf_dir):
     snap_b = FX.files_snapshot_b(spark, sf_dir)
     snap_b.write.parquet(src)
     return job.run(spark.readStream.schema(snap_b.schema).parquet(src))
+
+
+@register("import_first_errors")
+def q_import_first_errors(spark, sf_dir):
+    v = CT.bulk_import_rules(FX.rule_imports(spark, sf_dir), FX.existing_rule_ids(spark, sf_dir))
+    return CT.first_errors(v)

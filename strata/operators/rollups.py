@@ -31,11 +31,16 @@ def health_score(findings: DataFrame, repos: DataFrame | None = None) -> DataFra
                            F.coalesce("total_issues", F.lit(0)).cast("long").alias("total_issues"))
 
 
-def severity_summary(findings: DataFrame) -> DataFrame:
-    """Seven fixed buckets per repo; missing severity = medium; unknown names dropped."""
+def severity_summary(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Seven fixed buckets per repo; missing severity = medium; unknown names dropped.
+    With ``repos``, repositories without findings get seven zero buckets."""
     sev = F.coalesce(F.col("severity"), F.lit("medium"))
     aggs = [F.count_if(sev == s).cast("long").alias(s) for s in reversed(S.SEVERITY_ORDER)]
-    return findings.groupBy("repo_id").agg(*aggs)
+    out = findings.groupBy("repo_id").agg(*aggs)
+    if repos is None:
+        return out
+    j = repos.select("repo_id").distinct().join(out, "repo_id", "left")
+    return j.select("repo_id", *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s) for s in reversed(S.SEVERITY_ORDER)])
 
 
 def severity_breakdown_pct(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:

@@ -173,7 +173,11 @@ def _disp(expr, unknown):
 
 _SEV_COLS = ", ".join(f"count(*) FILTER (WHERE coalesce(severity, 'medium') = {X.q(s)}) AS {s}"
                       for s in reversed(S.SEVERITY_ORDER))
-ORACLE["severity_summary"] = X.with_ctes(*_FD, body=f"SELECT repo_id, {_SEV_COLS} FROM findings GROUP BY repo_id")
+_SEV_ZERO = ", ".join(f"CAST(coalesce(s.{c}, 0) AS BIGINT) AS {c}" for c in reversed(S.SEVERITY_ORDER))
+ORACLE["severity_summary"] = X.with_ctes(*_FD, body=f"""
+SELECT r.repo_id, {_SEV_ZERO}
+FROM (SELECT DISTINCT repo_id FROM files) r
+LEFT JOIN (SELECT repo_id, {_SEV_COLS} FROM findings GROUP BY repo_id) s ON r.repo_id = s.repo_id""")
 ORACLE["severity_breakdown_pct"] = X.with_ctes(*_FD, body=f"""
 SELECT coalesce(d.repo_id, c.repo_id) AS repo_id, coalesce(d.severity, c.severity) AS severity,
        CAST(coalesce(c.count, 0) AS BIGINT) AS count,

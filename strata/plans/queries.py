@@ -231,7 +231,8 @@ from strata.functions import severity as SV  # noqa: E402
 
 @register("severity_summary")
 def q_severity_summary(spark, sf_dir):
-    return RU.severity_summary(FX.findings(spark, sf_dir))
+    files = FX.files(spark, sf_dir)
+    return RU.severity_summary(FX.findings(spark, sf_dir, files), files.select("repo_id"))
 
 
 @register("severity_breakdown_pct")

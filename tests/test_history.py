@@ -40,3 +40,17 @@ def test_pct_half_up(spark):
     df = spark.createDataFrame([(1, 8), (1, 3), (2, 3)], "p long, w long")
     got = [r[0] for r in df.select(BL.pct_1dp("p", "w")).collect()]
     assert got == [12.5, 33.3, 66.7]
+
+
+def test_positions_equal_global_row_number(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from strata.operators.positions import positions
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    coarse = [("_type", F.col("event_type"))]
+    got = positions(ev, ["user_id"], coarse, [F.col("ts"), F.col("event_id")])
+    w = Window.partitionBy("user_id").orderBy("event_type", "ts", "event_id")
+    want = ev.withColumn("position", F.row_number().over(w).cast("long"))
+    a = sorted((r.event_id, r.position) for r in got.select("event_id", "position").collect())
+    b = sorted((r.event_id, r.position) for r in want.select("event_id", "position").collect())
+    assert a == b

@@ -40,3 +40,12 @@ def test_merge_rescan_without_changes_keeps_old(spark):
     old = spark.createDataFrame([("r", "a.py", "R", 1)], "repo_id string, file_path string, rule_id string, line_number int")
     changed = spark.createDataFrame([], "repo_id string, path string, change string")
     assert RS.merge_rescan(old, old.limit(0), changed).count() == 1
+
+
+def test_changed_files_statuses(spark):
+    old = spark.createDataFrame([("r", "a.py", "x"), ("r", "b.py", "y"), ("r", "c.py", "z")],
+                                "repo_id string, path string, content string")
+    new = spark.createDataFrame([("r", "a.py", "x"), ("r", "b.py", "y2"), ("r", "d.py", "w")],
+                                "repo_id string, path string, content string")
+    got = {r.path: r.change for r in RS.changed_files(old, new).collect()}
+    assert got == {"b.py": "modified", "c.py": "removed", "d.py": "added"}

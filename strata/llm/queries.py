@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, decontamination, line_dedup, quality_rules, simhash
+from strata.llm import bpe, decontamination, licenses, line_dedup, quality_classifier, quality_rules, simhash
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,9 +10,12 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLE = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
+    "op9_license_scan": licenses.ORACLE,
 }

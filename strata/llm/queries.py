@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, decontamination, html_extraction, licenses, line_dedup, quality_classifier, quality_rules, simhash
+from strata.llm import bpe, decontamination, html_extraction, licenses, line_dedup, quality_classifier, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_token_files": token_files.op3_token_files,
     "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_simhash": simhash.op5_simhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,

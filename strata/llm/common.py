@@ -71,6 +71,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def land(df: DataFrame, path: str) -> DataFrame:
+    """A written table: lineage ends there, and the shuffle files that made it are freed at once."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this library to the Python workers (as ``spark-submit --py-files`` would), once per application."""
     sc = spark.sparkContext
@@ -103,7 +118,8 @@ def map_columns(df: DataFrame, columns: Iterable[str], schema: str, fn: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(slices(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type)
+                                               for v, f in zip(out, arrow)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, decontamination, html_extraction, licenses, line_dedup, quality_classifier, quality_rules, simhash, token_files
+from strata.llm import bpe, decontamination, html_extraction, licenses, line_dedup, quality_classifier, quality_rules, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_simhash": simhash.op5_simhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,

@@ -41,6 +41,10 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.transform(upto(F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i + 1, n)))
 
 
+def _grams_of(n: int):
+    return lambda tokens: _grams(tokens, n)
+
+
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """item_id, len, window (its words): every window of every item."""
     worded = items.select("item_id", words(F.col("text")).alias("words"))
@@ -59,7 +63,7 @@ def _candidates(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> Data
         theirs = windows.filter(F.col("len") == n).select(
             (F.xxhash64(one) if n < WINDOW else _fingerprints(F.col("window"))[0]).alias("h")).distinct()
         ours = docs.select("doc_id", row_key().alias("key"), F.explode(F.array_distinct(
-            let(tokens, lambda w, n=n: _grams(w, n)) if n < WINDOW else _fingerprints(tokens))).alias("h"))
+            let(tokens, _grams_of(n)) if n < WINDOW else _fingerprints(tokens))).alias("h"))
         parts.append(ours.join(theirs, "h", "left_semi").groupBy("doc_id", "key")
                      .agg(F.collect_set("h").alias("hashes")).withColumn("len", F.lit(n)))
     out = parts[0]

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Words of the decontamination and licence contracts (letters, digits, everything non-ASCII).
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of the decontamination and licence contracts, in lower-cased text: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ said
+#: positively, which Java matches several times faster.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,6 +50,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_from_documents(table(spark, sf_dir, "documents"))
 
 
+def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo_id of every repository: one narrow column, pre-aggregated, without the texts."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id")).distinct()
+
+
 def files_snapshot_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later snapshot: every 7th document edited, every 11th removed, every 13th copied to a new path."""
     d = table(spark, sf_dir, "documents")
@@ -70,8 +75,9 @@ def files_from_documents(d: DataFrame) -> DataFrame:
     path = F.when(top == "", name).otherwise(F.concat_ws("/", top, F.col("lang"), name))
     base = d.select(F.col("source").alias("repo_id"), path.alias("path"), F.col("text").alias("content"),
                     F.octet_length("text").cast("long").alias("size"))
-    from strata.operators.scan import spread_files
-    base = spread_files(base)  # per-file text work (line counts, scans) runs in parallel tasks
+    # The landing job: each driver table is one file of one row group, so its rows are dealt by file once,
+    # unconditionally; text work runs in parallel and consumers share the exchange.
+    base = base.repartition("repo_id", "path")
     out = detect_language(base)
     return out.select("repo_id", "path", "content", "size", "language",
                       line_count("content").alias("lines"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strata import schemas as S
 from strata.functions.paths import file_name, last_suffix
-from strata.session import broadcast_if_small
 
 
 def _c(col) -> Column:
@@ -23,30 +22,21 @@ def detect_language(files: DataFrame, path_col: str = "path", out_col: str = "la
                     language_map: DataFrame | None = None) -> DataFrame:
     """Dockerfile names, else lower-cased last suffix looked up in the map, else ``plaintext``.
 
-    The map is a small dimension table (about a thousand rows at most), so it is
-    broadcast; the file table is never shuffled for this.
+    The fixed map is a literal table of about nine hundred rows, which the planner
+    broadcasts by its size; a caller's map is joined as its own size suggests.
     """
     spark = files.sparkSession
     lm = language_map if language_map is not None else language_map_df(spark)
     lm = lm.select(F.col(lm.columns[0]).alias("_ext"), F.col(lm.columns[1]).alias("_lang"))
     name = F.lower(file_name(path_col))
     keyed = files.withColumn("_ext", last_suffix(file_name(path_col)))
-    # the default map is a fixed literal table; a caller's map is broadcast only after a size check
-    joined = keyed.join(F.broadcast(lm) if language_map is None else broadcast_if_small(lm), "_ext", "left")
+    joined = keyed.join(lm, "_ext", "left")
     lang = (F.when(name.isin(*S.DOCKERFILE_NAMES), F.lit("dockerfile"))
             .otherwise(F.coalesce(F.col("_lang"), F.lit("plaintext"))))
     cols = [c for c in files.columns if c != out_col]
     return joined.select(*cols, lang.alias(out_col))
 
 
-def detect_language_expr(path) -> Column:
-    """Literal-map form of ``detect_language`` for the default suffix table (no join)."""
-    m = F.create_map(*[x for kv in sorted(S.DEFAULT_LANGUAGE_MAP.items()) for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    name = F.lower(file_name(path))
-    return (F.when(name.isin(*S.DOCKERFILE_NAMES), F.lit("dockerfile"))
-            .otherwise(F.coalesce(F.element_at(m, last_suffix(file_name(path))), F.lit("plaintext"))))
-
-
 def is_scannable(language) -> Column:
     return _c(language).isin(*S.SCANNABLE_LANGUAGES)
 
@@ -57,5 +47,7 @@ def scannable_filter(files: DataFrame, extra_languages=()) -> DataFrame:
 
 
 def is_binary(content) -> Column:
-    """NUL character within the first 512 characters."""
-    return F.instr(F.substring(_c(content), 1, 512), "\u0000") > 0
+    """NUL byte within the first 512 bytes (of the text's UTF-8)."""
+    # position in bytes of the first NUL: what stands before it, encoded
+    before = F.substring_index(_c(content), "\u0000", 1)
+    return _c(content).contains("\u0000") & (F.octet_length(before) < 512)

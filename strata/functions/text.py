@@ -14,9 +14,15 @@ def _c(col) -> Column:
 
 
 def read_text_lossy(col) -> Column:
-    """UTF-8 decode that drops bad bytes and applies universal newlines."""
-    valid = F.make_valid_utf8(_c(col))
-    return F.regexp_replace(F.regexp_replace(valid, "\ufffd", ""), "\r\n?", "\n")
+    """UTF-8 decode that drops bad bytes and applies universal newlines.
+
+    Replacement characters that stand in the text itself are escaped (with NUL as the escape
+    character) while the bad bytes are marked and dropped, so they stay.
+    """
+    escaped = F.replace(F.replace(_c(col), F.lit("\u0000"), F.lit("\u0000a")), F.lit("\ufffd"), F.lit("\u0000b"))
+    valid = F.replace(F.make_valid_utf8(escaped), F.lit("\ufffd"), F.lit(""))
+    text = F.replace(F.replace(valid, F.lit("\u0000b"), F.lit("\ufffd")), F.lit("\u0000a"), F.lit("\u0000"))
+    return F.regexp_replace(text, "\r\n?", "\n")
 
 
 # Characters that end a line for ``splitlines`` besides CRLF (checked on the tail).

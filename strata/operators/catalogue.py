@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata import schemas as S
-from strata.session import broadcast_if_small
 
 MAX_ERRORS_REPORTED = 20
-IMPORT_CAP = 500
 
 
 def rule_name(rule_key) -> F.Column:
@@ -29,7 +27,7 @@ def seed_rules(specs: DataFrame, families: DataFrame, overrides: DataFrame | Non
     ``any`` else ``REGEX-<lang>-<id>``.  ``collapse``: one row per spec, more
     than one language becomes ``any`` and no language makes it inactive.
     Rows whose rule_id already exists in ``existing`` are left out
-    (insert-if-absent); the small lookup tables are broadcast.
+    (insert-if-absent).  An id without a family is an error, raised when the rows are read.
     """
     if collapse:
         n = F.size(F.coalesce("languages", F.array().cast("array<string>")))
@@ -45,15 +43,16 @@ def seed_rules(specs: DataFrame, families: DataFrame, overrides: DataFrame | Non
                 .withColumn("is_active", F.lit(True))
                 .withColumn("rule_id", F.when(F.col("language") == "any", F.concat(F.lit("REGEX-"), F.col("id")))
                             .otherwise(F.concat(F.lit("REGEX-"), F.col("language"), F.lit("-"), F.col("id")))))
-    rows = rows.join(broadcast_if_small(families.select("id", "defect_family")), "id", "left")
+    rows = rows.join(families.select("id", "defect_family"), "id", "left")
     if overrides is not None:
-        rows = rows.join(broadcast_if_small(overrides.select("id", F.col("severity").alias("_ovr"))), "id", "left")
+        rows = rows.join(overrides.select("id", F.col("severity").alias("_ovr")), "id", "left")
     else:
         rows = rows.withColumn("_ovr", F.lit(None).cast("string"))
     pattern = F.coalesce(F.col("pattern"), F.lit(""))
     out = rows.select(
         "rule_id", rule_name("id").alias("name"), F.coalesce("message", F.lit("")).alias("description"),
-        "language", "defect_family",
+        "language", F.coalesce("defect_family", F.raise_error(
+            F.concat(F.lit("No defect family for rule "), F.col("id"))).cast("string")).alias("defect_family"),
         F.coalesce("_ovr", "severity", F.lit("low")).alias("severity"), pattern.alias("pattern"),
         F.when(pattern.contains("\\n"), F.lit("regex_multiline")).otherwise(F.lit("regex_line")).alias("match_type"),
         F.coalesce("message", F.lit("")).alias("message"),
@@ -88,18 +87,20 @@ def bulk_import_rules(rows: DataFrame, existing: DataFrame, order_col: str = "id
                .when(~mt.isin(*S.MATCH_TYPES), F.concat(F.lit(S.IMPORT_ERRORS["bad_match_type"]), mt)))
     base = rows.select("*", rid.alias("_rid"), invalid.alias("_invalid"), sev.alias("_sev"), fam.alias("_fam"),
                        mt.alias("_mt"), F.lower(_txt(rows, "language", "any")).alias("_lang"))
+    # rows without an id are decided already; they meet in no join
+    blank = base.filter(F.col("_rid") == "").select("*", F.lit("error").alias("status"),
+                                                    F.lit(S.IMPORT_ERRORS["missing_id"]).alias("error"))
+    base = base.filter(F.col("_rid") != "")
     known = existing.select(F.col("rule_id").alias("_rid")).distinct().withColumn("_exists", F.lit(True))
     base = base.join(known, "_rid", "left")
     firsts = base.groupBy("_rid").agg(F.min(F.when(F.col("_invalid").isNull(), F.col(order_col))).alias("_first_ok"))
     base = base.join(firsts, "_rid", "left")
     first_ok = F.col("_first_ok")
-    status = (F.when(F.col("_rid") == "", F.lit("error"))
-              .when(F.coalesce("_exists", F.lit(False)) | (first_ok < F.col(order_col)), F.lit("skipped"))
+    status = (F.when(F.coalesce("_exists", F.lit(False)) | (first_ok < F.col(order_col)), F.lit("skipped"))
               .when(F.col("_invalid").isNotNull(), F.lit("error"))
               .otherwise(F.lit("created")))
-    err = (F.when(F.col("_rid") == "", F.lit(S.IMPORT_ERRORS["missing_id"]))
-           .when(status == "error", F.col("_invalid")))
-    return base.select("*", status.alias("status"), err.alias("error"))
+    err = F.when(status == "error", F.col("_invalid"))
+    return base.select("*", status.alias("status"), err.alias("error")).drop("_exists", "_first_ok").unionByName(blank)
 
 
 def import_summary(validated: DataFrame) -> DataFrame:
@@ -128,12 +129,22 @@ def created_rules(validated: DataFrame) -> DataFrame:
 
 
 def read_rules_csv(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
-    """CSV with a header; every column read as text; is_active = lower in (true, 1, yes)."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """CSV with a header; every column read as text; is_active = lower in (true, 1, yes).
+
+    Quotes inside a field are doubled and fields may hold line breaks, as ordinary CSV writers
+    have it.  ``position`` orders the rows: by file name, then by place in the file.
+    """
+    df = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=True).csv(path)
     if "is_active" in df.columns:
-        df = df.withColumn("is_active", F.lower(F.col("is_active")).isin("true", "1", "yes"))
-    df = df.withColumn("idx", F.monotonically_increasing_id())
-    return _check_cap(df, cap)
+        df = df.withColumn("is_active", F.lower(F.trim("is_active")).isin("true", "1", "yes"))
+    return _check_cap(_with_position(df), cap)
+
+
+def _with_position(df: DataFrame) -> DataFrame:
+    """Order of the rows of read files: a file's splits by their offset, rows within a split as read."""
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
+                                   F.col("_metadata.file_block_start").alias("block"),
+                                   F.monotonically_increasing_id().alias("row")).alias("position"))
 
 
 def read_rules_json(spark: SparkSession, path: str, cap: int | None = None, multiline: bool = False) -> DataFrame:
@@ -141,8 +152,7 @@ def read_rules_json(spark: SparkSession, path: str, cap: int | None = None, mult
     df = spark.read.option("multiLine", multiline).json(path)
     if not df.columns or df.isEmpty():
         raise ValueError("No rules provided")
-    df = df.withColumn("idx", F.monotonically_increasing_id())
-    return _check_cap(df, cap)
+    return _check_cap(_with_position(df), cap)
 
 
 def _check_cap(df: DataFrame, cap: int | None) -> DataFrame:
@@ -162,31 +172,40 @@ def list_rules(rules: DataFrame, language: str | None = None, defect_family: str
     return out.orderBy(F.col("created_at").desc(), "rule_id") if admin_order else out.orderBy("rule_id")
 
 
+# Fields that an update may set, besides ``is_active``
+UPDATE_FIELDS = ["name", "description", "language", "defect_family", "severity", "pattern", "match_type", "message",
+                 "fix_hint", "cwe_id", "owasp_ref"]
+
+
 def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
-    """Fold a change feed ``(rule_id, seq, action, severity, message)`` into the catalogue.
+    """Fold a change feed ``(rule_id, seq, action, fields...)`` into the catalogue.
 
-    update: last non-null value per field wins; toggle flips ``is_active``;
-    deactivate sets it false; delete removes the rule.  One keyed aggregate
-    over the feed (partial aggregation), then one join to the catalogue.
+    update: last non-null value per field wins (``UPDATE_FIELDS`` and ``is_active``,
+    those that the feed has); toggle flips ``is_active``; deactivate sets it false;
+    delete removes the rule.  One keyed aggregate over the feed (partial
+    aggregation), then one join to the catalogue.
     """
     act = F.col("action")
-    last_deact = F.max(F.when(act == "deactivate", F.col("seq")))
+    fields = [f for f in UPDATE_FIELDS if f in changes.columns and f in rules.columns]
+    has_flag = "is_active" in changes.columns
+    flag = F.when(act == "deactivate", F.lit(False))
+    if has_flag:
+        flag = flag.when(act == "update", F.col("is_active"))
+    changes = changes.withColumn("_flag", flag)
+    last_set = F.max(F.when(F.col("_flag").isNotNull(), F.col("seq")))
     folded = changes.groupBy("rule_id").agg(
-        F.max_by("severity", F.when((act == "update") & F.col("severity").isNotNull(), F.col("seq"))).alias("_sev"),
-        F.max_by("message", F.when((act == "update") & F.col("message").isNotNull(), F.col("seq"))).alias("_msg"),
-        last_deact.alias("_deact"),
+        *[F.max_by(f, F.when((act == "update") & F.col(f).isNotNull(), F.col("seq"))).alias(f"_{f}") for f in fields],
+        F.max_by("_flag", F.when(F.col("_flag").isNotNull(), F.col("seq"))).alias("_set"),
+        last_set.alias("_set_seq"),
         F.count_if(act == "delete").alias("_del"))
     toggles = changes.filter(act == "toggle").select("rule_id", F.col("seq").alias("_tseq"))
-    # toggles after the last deactivate decide the flag; without one, parity flips the base value
-    tcount = (toggles.join(folded.select("rule_id", "_deact"), "rule_id")
+    # toggles after the last value set decide the flag; without one, parity flips the base value
+    tcount = (toggles.join(folded.select("rule_id", "_set_seq"), "rule_id")
               .groupBy("rule_id").agg(
-                  F.count(F.lit(1)).alias("_t_all"),
-                  F.count_if(F.col("_deact").isNull() | (F.col("_tseq") > F.col("_deact"))).alias("_t_after")))
+                  F.count_if(F.col("_set_seq").isNull() | (F.col("_tseq") > F.col("_set_seq"))).alias("_t_after")))
     j = rules.join(folded, "rule_id", "left").join(tcount, "rule_id", "left")
-    base = F.coalesce(F.col("is_active"), F.lit(False))
-    after = F.coalesce(F.col("_t_after"), F.lit(0)) % 2 == 1
-    active = F.when(F.col("_deact").isNotNull(), after).otherwise(base != after)
+    base = F.coalesce(F.col("_set"), F.col("is_active"), F.lit(False))
+    odd = F.coalesce(F.col("_t_after"), F.lit(0)) % 2 == 1
     out = j.filter(F.coalesce(F.col("_del"), F.lit(0)) == 0)
-    cols = [c for c in rules.columns if c not in ("severity", "message", "is_active")]
-    return out.select(*cols, F.coalesce("_sev", "severity").alias("severity"),
-                      F.coalesce("_msg", "message").alias("message"), active.alias("is_active"))
+    return out.select(*[(base != odd).alias(c) if c == "is_active" else
+                        F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in rules.columns])

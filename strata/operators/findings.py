@@ -104,13 +104,3 @@ def normalize_issue(issues: DataFrame) -> DataFrame:
     for name, expr in fills.items():
         out = out.withColumn(name, expr)
     return out
-
-
-def with_category(findings: DataFrame) -> DataFrame:
-    """``category`` mirrors the family; ``issue_type`` defaults to the rule id."""
-    return (findings.withColumn("category", F.col("defect_family"))
-            .withColumn("issue_type", F.coalesce(F.col("issue_type"), F.col("rule_id"))))
-
-
-def findings_schema_cols() -> list[str]:
-    return list(S.FINDING_COLUMNS)

@@ -43,6 +43,13 @@ def parse_commit_log(logs: DataFrame, keep_diff_lines: int = 15) -> DataFrame:
         F.array_join(last, "\n").alias("diff"))
 
 
+def _at_least_one(n: int) -> int:
+    """A caller's N is honoured whatever its size; what is no count is an error."""
+    if int(n) < 1:
+        raise ValueError(f"expected a positive number, not {n}")
+    return int(n)
+
+
 def _newest(commits: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` commits per file.  ``row_number() <= n`` lets Spark apply a
     per-partition group limit before the shuffle, so a hot file sends at most
@@ -53,7 +60,7 @@ def _newest(commits: DataFrame, n: int) -> DataFrame:
 
 def commit_timeline(commits: DataFrame, max_commits: int = 50) -> DataFrame:
     """Newest N commits of each file, numbered oldest first."""
-    kept = _newest(commits, min(max(int(max_commits), 1), 200))
+    kept = _newest(commits, _at_least_one(max_commits))
     w = Window.partitionBy("repo_id", "file_path")
     return kept.select(
         "repo_id", "file_path",
@@ -65,7 +72,7 @@ def commit_timeline(commits: DataFrame, max_commits: int = 50) -> DataFrame:
 
 def commit_timeline_meta(commits: DataFrame, max_commits: int = 50) -> DataFrame:
     """Commits kept, distinct authors, first and last date over the kept rows."""
-    kept = _newest(commits, min(max(int(max_commits), 1), 200))
+    kept = _newest(commits, _at_least_one(max_commits))
     return kept.groupBy("repo_id", "file_path").agg(
         F.count(F.lit(1)).alias("total_commits"), F.countDistinct("author").alias("total_authors"),
         iso_utc(F.min("ts")).alias("first_commit"), iso_utc(F.max("ts")).alias("last_commit"))

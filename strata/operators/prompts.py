@@ -25,9 +25,11 @@ RESPONSE_DEFAULTS = {
 }
 
 
-def summary_payload(issues: DataFrame) -> DataFrame:
+def summary_payload(issues: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Per repository JSON: total, seven severity counts, top families, top rules,
-    representative issues.  Each part is a keyed aggregate; they meet on repo_id."""
+    representative issues.  Each part is a keyed aggregate; they meet on repo_id.
+    A repository of ``repos`` without issues has zeros and empty collections.
+    ``issues`` is read once per part: pass a landed table."""
     sev = F.lower(F.coalesce(F.col("severity"), F.lit("info")))
     counts = issues.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("total_issues"),
@@ -46,14 +48,24 @@ def summary_payload(issues: DataFrame) -> DataFrame:
     reps = representative_issues(issues).groupBy("repo_id").agg(  # at most 18 rows per repository
         F.transform(F.sort_array(F.collect_list(F.struct(F.col("position").alias("p"), rep_item.alias("v")))),
                     lambda x: x["v"]).alias("representative_issues"))
+    if repos is not None:
+        zero = F.struct(*[F.lit(0).cast("long").alias(s) for s in reversed(S.SEVERITY_ORDER)])
+        counts = repos.select("repo_id").distinct().join(counts, "repo_id", "left").select(
+            "repo_id", F.coalesce("total_issues", F.lit(0)).alias("total_issues"),
+            F.coalesce("severity_counts", zero).alias("severity_counts"))
     joined = counts.join(fams, "repo_id", "left").join(rules, "repo_id", "left").join(reps, "repo_id", "left")
+    for c in ("top_defect_families", "top_rule_ids"):
+        joined = joined.withColumn(c, F.coalesce(c, F.create_map().cast("map<string,bigint>")))
+    joined = joined.withColumn("representative_issues", F.coalesce(
+        "representative_issues", F.array().cast(joined.schema["representative_issues"].dataType)))
     payload = F.to_json(F.struct("total_issues", "severity_counts", "top_defect_families", "top_rule_ids",
                                  "representative_issues"))
     return joined.select("repo_id", "total_issues", payload.alias("payload"))
 
 
 def fix_prompts(issues: DataFrame, language_col: str = "language") -> DataFrame:
-    """One user prompt per issue; blank or over-long snippets are dropped."""
+    """One user prompt per issue.  A blank or over-long snippet has ``status`` rejected with a
+    ``reason`` and no prompt, as the service answers with an error; no issue is lost."""
     lang = F.coalesce(F.col(language_col), F.lit("plaintext"))
     snippet = F.col("code_snippet")
     fence = F.concat(F.lit("```"), lang, F.lit("\n"))
@@ -69,8 +81,11 @@ def fix_prompts(issues: DataFrame, language_col: str = "language") -> DataFrame:
         F.when(after != "", F.concat(F.lit(L["after"]), fence, after, F.lit("\n```"))),
         F.lit(S.FIX_PROMPT_CLOSING),
     ]
-    keep = (F.trim(F.coalesce(snippet, F.lit(""))) != "") & (F.length(snippet) <= MAX_SNIPPET_CHARS)
-    return issues.filter(keep).withColumn("prompt", F.concat_ws("\n", *parts))
+    reason = (F.when(F.trim(F.coalesce(snippet, F.lit(""))) == "", F.lit(S.FIX_PROMPT_REJECTIONS["empty"]))
+              .when(F.length(snippet) > MAX_SNIPPET_CHARS, F.lit(S.FIX_PROMPT_REJECTIONS["too_long"])))
+    return (issues.withColumn("reason", reason)
+            .withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("rejected"))
+            .withColumn("prompt", F.when(F.col("reason").isNull(), F.concat_ws("\n", *parts))))
 
 
 def request_key(task: str, *parts) -> F.Column:

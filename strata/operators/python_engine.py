@@ -1,8 +1,8 @@
 """Python-regex scan for rules the JVM regex engine cannot take.
 
 A small per-partition helper run through ``mapInPandas``: Spark partitions the
-file rows, each task applies ``re.search`` line by line for the few rules that
-need Python semantics, and emits the same finding schema as the JVM scan.
+file rows, each task applies ``re`` for the few rules that need Python
+semantics, and emits the same finding schema as the JVM scan.
 """
 
 from __future__ import annotations
@@ -11,40 +11,76 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata import schemas as S
 
 ANY_LANGUAGE = ("", "any")
+FINDINGS_IN_ORDER = T.StructType([*S.FINDINGS.fields, T.StructField("engine_order", T.IntegerType())])
 
 
-def scan_lines_python(files: DataFrame, rules: list[dict], engine: str = "regex") -> DataFrame:
-    specs = [(r["rule_id"], r["pattern"], r["language"], r["severity"] or S.DEFAULT_RULE_SEVERITY,
-              r["defect_family"] or S.DEFAULT_RULE_FAMILY, r["message"] or S.DEFAULT_MESSAGE,
-              r["fix_hint"], r["cwe_id"], r["owasp_ref"]) for r in rules]
+def _specs(rules: list[dict]) -> list[tuple]:
+    return [(r["pattern"] or "", r["language"], r.get("literal"), r["rule_id"], r.get("engine", "regex"),
+             r.get("engine_order", 0),
+             (r["severity"] or S.DEFAULT_RULE_SEVERITY, r["defect_family"] or S.DEFAULT_RULE_FAMILY,
+              r["message"] or S.DEFAULT_MESSAGE, r["fix_hint"], r["cwe_id"], r["owasp_ref"])) for r in rules]
+
+
+def _of_languages(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """The files that some rule applies to, and the columns a scan needs."""
+    languages = {r["language"] for r in rules}
+    out = files.select("repo_id", "path", "language", "content")
+    if languages.isdisjoint(ANY_LANGUAGE):
+        out = out.filter(F.lower(F.coalesce("language", F.lit(""))).isin(*sorted(languages)))
+    return out
+
+
+def _issue_type(rule_id: str) -> str:
+    return rule_id[len("REGEX-"):] if rule_id.startswith("REGEX-") else rule_id
+
+
+def _scan_python(files: DataFrame, rules: list[dict], find) -> DataFrame:
+    """``find(regex, text, lines)`` yields (start line, end line) from 1."""
+    specs = _specs(rules)
 
     def run(batches):
-        compiled = [(re.compile(p), rest) for (*rest, p) in
-                    [(rid, lang, sev, fam, msg, hint, cwe, owasp, pat)
-                     for rid, pat, lang, sev, fam, msg, hint, cwe, owasp in specs]]
+        compiled = [(re.compile(p), *rest) for p, *rest in specs]
         for pdf in batches:
             out = []
             for repo, path, lang, text in zip(pdf["repo_id"], pdf["path"], pdf["language"], pdf["content"]):
                 if text is None:
                     continue
-                lines = text.splitlines()
-                flang = (lang or "").lower()
-                for rx, (rid, rlang, sev, fam, msg, hint, cwe, owasp) in compiled:
-                    if rlang not in ANY_LANGUAGE and rlang != flang:
+                lines, flang = text.splitlines(), (lang or "").lower()
+                for rx, rlang, literal, rid, engine, order, meta in compiled:
+                    if rlang not in ANY_LANGUAGE and rlang != flang or literal and literal not in text:
                         continue
-                    for n, line in enumerate(lines, start=1):
-                        if rx.search(line):
-                            snippet = "\n".join(lines[max(0, n - 2):min(len(lines), n + 1)])
-                            itype = rid[len("REGEX-"):] if rid.startswith("REGEX-") else rid
-                            out.append((repo, rid, engine, path, n, sev, fam, msg, hint, cwe, owasp,
-                                        snippet, itype, n, 1))
-            yield pd.DataFrame(out, columns=S.FINDING_COLUMNS)
-
-    return files.select("repo_id", "path", "language", "content").mapInPandas(run, S.FINDINGS)
+                    for start, end in find(rx, text, lines):
+                        snippet = "\n".join(lines[max(0, start - 2):min(len(lines), end + 1)])
+                        out.append((repo, rid, engine, path, start, *meta, snippet, _issue_type(rid), end, 1, order))
+            yield pd.DataFrame(out, columns=FINDINGS_IN_ORDER.names)
+
+    return _of_languages(files, rules).mapInPandas(run, FINDINGS_IN_ORDER)
+
+
+def scan_lines_python(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """One finding per (rule, line) on the first hit."""
+    def find(rx, text, lines):
+        return [(n, n) for n, line in enumerate(lines, start=1) if rx.search(line)]
+
+    return _scan_python(files, rules, find)
+
+
+def scan_texts_python(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """One finding per match over the whole text."""
+    def find(rx, text, lines):
+        at, line = 0, 1
+        for m in rx.finditer(text):
+            line += text.count("\n", at, m.start())
+            at = m.start()
+            yield line, line + m.group(0).count("\n")
+
+    return _scan_python(files, rules, find)
 
 
 def python_engine(analyze, name: str = "python"):

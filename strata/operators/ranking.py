@@ -62,7 +62,8 @@ def representative_issues(issues: DataFrame, limit: int = 18, message_chars: int
     """Severity-sorted, de-duplicated sample for the summary prompt.
 
     Sort: display rank (unknown 4), family, file, line; one issue per
-    (family, file, line, message); the first ``limit`` per repository.
+    (family, file, line, message); the first ``limit`` per repository.  An absent
+    family sorts as blank and is emitted as ``unknown``.
     """
     fam = F.coalesce(F.col("defect_family"), F.lit(""))
     line = F.coalesce(F.col("line_number"), F.lit(0))
@@ -70,6 +71,7 @@ def representative_issues(issues: DataFrame, limit: int = 18, message_chars: int
     keyed = issues.select(
         "repo_id", display_rank(F.coalesce("severity", F.lit("info")), 4).alias("_rank"),
         fam.alias("family"), F.coalesce("file_path", F.lit("")).alias("file"), line.alias("line"),
+        F.coalesce("defect_family", F.lit("unknown")).alias("_shown"),
         msg.alias("_msg"), F.coalesce("severity", F.lit("low")).alias("severity"),
         F.coalesce("rule_id", F.lit("")).alias("rule_id"))
     order = [F.col("_rank"), F.col("family"), F.col("file"), F.col("line"), F.col("rule_id"), F.col("_msg")]
@@ -77,5 +79,5 @@ def representative_issues(issues: DataFrame, limit: int = 18, message_chars: int
         Window.partitionBy("repo_id", "family", "file", "line", "_msg").orderBy(*order))).filter("_k = 1")
     w = Window.partitionBy("repo_id").orderBy(*order)
     return (first.withColumn("position", F.row_number().over(w).cast("long")).filter(F.col("position") <= limit)
-            .select("repo_id", "position", "file", "line", "severity", "family", "rule_id",
+            .select("repo_id", "position", "file", "line", "severity", F.col("_shown").alias("family"), "rule_id",
                     F.substring("_msg", 1, message_chars).alias("message")))

@@ -1,13 +1,15 @@
 """Rule scanning: line rules, multiline rules and the engine registry.
 
-Line rules are compiled on the driver into *literal* ``rlike`` predicates
-(one array slot per rule, guarded by the rule's language), so each pattern is
-compiled once per task and the scan is a narrow projection over the file
-rows: no shuffle, no join back to the content.  Each line travels with its two
-neighbours so the three-line snippet is built in the same pass.
-
-When the catalogue is too large to inline, the exact fallback is a join of
-lines with the rule table on language and a column-pattern ``rlike``.
+Line rules are compiled on the driver into *literal* ``rlike`` predicates, so
+each pattern is compiled once per task and the scan is a narrow projection over
+the file rows: no shuffle, no join back to the content, one path for any number
+of rules.  Predicates are grouped by the rules' language, so a line meets only
+the rules that apply to its file.  Each line travels with references to its two
+neighbours, so the three-line snippet is built in the same pass.
+
+Patterns that only Python compiles, and multiline rules (Spark has no
+find-all-with-offsets), run in a small ``mapInArrow`` helper with the same
+schema and defaults.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from pyspark.sql import functions as F
 
 from strata import schemas as S
 from strata.functions.regex_literal import required_literal
-from strata.functions.text import snippet_from_lines, split_lines, with_lines, with_neighbours
+from strata.functions.text import with_lines, with_neighbours
 
-# Inline at most this many rules into one projection; beyond it the join scan runs.
-MAX_INLINE_RULES = 2000
-# Rules per generated array block (keeps generated methods small).
-RULE_BLOCK = 50
+# Rules per generated expression block (keeps generated methods small).
+RULE_BLOCK = 25
+# Rules compiled into one pass over the text.
+RULES_PER_PASS = 100
 
 ANY_LANGUAGE = ("", "any")
 LANGUAGE_ALIASES = {"cpp": "c++"}
@@ -57,12 +59,10 @@ def active_rules(rules: DataFrame, match_types=("regex_line",)) -> DataFrame:
     return rules.filter(F.coalesce(F.col("is_active"), F.lit(False)) & F.col("match_type").isin(*match_types))
 
 
-def collect_rules(rules: DataFrame, match_types=("regex_line",), limit: int = MAX_INLINE_RULES,
-                  alias_languages: bool = True, unicode_classes: bool = False) -> list[dict] | None:
-    """Active rules of the given kinds as dicts, or ``None`` when more than ``limit``.
+def collect_rules(rules: DataFrame, match_types=("regex_line",), alias_languages: bool = True,
+                  unicode_classes: bool = False) -> list[dict]:
+    """Active rules of the given kinds as dicts (the catalogue is authored by hand: a dimension, not data).
 
-    The rule table is a small dimension; ``limit + 1`` rows are fetched so an
-    oversized catalogue is detected without pulling it whole to the driver.
     Rules whose pattern Python cannot compile are left out (as in the source
     behaviour); rules Java cannot compile are flagged for the Python scan.
     ``unicode_classes`` prefixes ``(?U)`` so ``\\w``, ``\\d``, ``\\s`` and ``\\b`` are
@@ -70,10 +70,8 @@ def collect_rules(rules: DataFrame, match_types=("regex_line",), limit: int = MA
     is what the RE2-based oracle can check.
     """
     cols = RULE_META_FIELDS + ["pattern", "language", "match_type"]
-    rows = (active_rules(rules, match_types).select(*cols)
-            .orderBy("rule_id", "language").limit(limit + 1).collect())
-    if len(rows) > limit:
-        return None
+    rows = sorted(active_rules(rules, match_types).select(*cols).collect(),
+                  key=lambda r: (r["rule_id"] or "", r["language"] or ""))
     spark = rules.sparkSession
     out = []
     for r in rows:
@@ -84,47 +82,52 @@ def collect_rules(rules: DataFrame, match_types=("regex_line",), limit: int = MA
             continue
         d["language"] = _norm_lang(d["language"], alias_languages)
         d["literal"] = required_literal(d["pattern"] or "")
-        if unicode_classes:
-            d["pattern"] = "(?U)" + (d["pattern"] or "")
-        d["java_ok"] = _java_compiles(spark, d["pattern"] or "")
+        d["java_pattern"] = ("(?U)" if unicode_classes else "") + (d["pattern"] or "")
+        d["java_ok"] = _java_compiles(spark, d["java_pattern"])
         out.append(d)
     return out
 
 
-def _meta_literal(rules: list[dict]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(r.get("engine", "regex")).alias("engine"),
-                 F.lit(r.get("engine_order", 0)).alias("engine_order"),
-                 F.lit(r["rule_id"]).alias("rule_id"),
-                 F.lit(r["severity"] or S.DEFAULT_RULE_SEVERITY).alias("severity"),
-                 F.lit(r["defect_family"] or S.DEFAULT_RULE_FAMILY).alias("defect_family"),
-                 F.lit(r["message"] or S.DEFAULT_MESSAGE).alias("message"),
-                 F.lit(r["fix_hint"]).cast("string").alias("fix_hint"),
-                 F.lit(r["cwe_id"]).cast("string").alias("cwe_id"),
-                 F.lit(r["owasp_ref"]).cast("string").alias("owasp_ref"))
-        for r in rules])
+def _meta_table(spark, rules: list[dict]) -> DataFrame:
+    """(_slot, _m): what a finding takes from its rule."""
+    rows = [(i, (r.get("engine", "regex"), r.get("engine_order", 0), r["rule_id"],
+                 r["severity"] or S.DEFAULT_RULE_SEVERITY, r["defect_family"] or S.DEFAULT_RULE_FAMILY,
+                 r["message"] or S.DEFAULT_MESSAGE, r["fix_hint"], r["cwe_id"], r["owasp_ref"]))
+            for i, r in enumerate(rules, start=1)]
+    return spark.createDataFrame(rows, "_slot int, _m struct<engine: string, engine_order: int, rule_id: string, "
+                                       "severity: string, defect_family: string, message: string, fix_hint: string, "
+                                       "cwe_id: string, owasp_ref: string>")
 
 
-def _hit_list(text: Column, lang: Column, rules: list[dict]) -> Column:
+def _sql_string(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _hit_list(text: str, lang: str, rules: list[dict]) -> Column:
     """Comma-joined 1-based slots of the rules that fit the language and match.
 
-    ``concat_ws`` skips the NULL slots, so a line without hits gives ``''`` and
-    can be filtered out before any generator runs; everything stays in
-    generated code (no lambda functions).
+    ``concat_ws`` skips the NULL slots, so a line without hits gives ``''``;
+    everything stays in generated code (no lambda functions).  Built as one SQL
+    expression, so thousands of rules cost one parse, not thousands of calls.
     """
-    slots = []
+    by_language: dict[str, list[str]] = {}
     for i, r in enumerate(rules, start=1):
-        hit = text.rlike(r["pattern"])
-        lit = r["literal"] if "literal" in r else required_literal(r["pattern"])
+        hit = f"rlike({text}, {_sql_string(r.get('java_pattern', r['pattern'] or ''))})"
+        lit = r["literal"] if "literal" in r else required_literal(r["pattern"] or "")
         if lit:
-            hit = text.contains(lit) & hit
-        if r["language"] not in ANY_LANGUAGE:
-            hit = (lang == F.lit(r["language"])) & hit
-        slots.append(F.when(hit, F.lit(str(i))))
-    blocks = [F.concat_ws(",", *slots[k:k + RULE_BLOCK]) for k in range(0, len(slots), RULE_BLOCK)]
-    if len(blocks) == 1:
-        return blocks[0]
-    return F.concat_ws(",", *[F.when(b != "", b) for b in blocks])
+            hit = f"contains({text}, {_sql_string(lit)}) AND {hit}"
+        key = "any" if r["language"] in ANY_LANGUAGE else r["language"]
+        by_language.setdefault(key, []).append(f"CASE WHEN {hit} THEN '{i}' END")
+
+    def joined(slots: list[str]) -> str:
+        while len(slots) > 1:
+            slots = [f"nullif(concat_ws(',', {', '.join(slots[k:k + RULE_BLOCK])}), '')"
+                     for k in range(0, len(slots), RULE_BLOCK)]
+        return slots[0]
+
+    parts = [joined(v) if k == "any" else f"CASE WHEN {lang} = {_sql_string(k)} THEN {joined(v)} END"
+             for k, v in by_language.items()]
+    return F.expr(f"concat_ws(',', {', '.join(parts)})")
 
 
 def _finding_projection(engine: str) -> list[Column]:
@@ -161,67 +164,9 @@ def scan_line_rules(files: DataFrame, rules: DataFrame | list[dict], engine: str
 
     One finding per (rule, line) on the first hit; snippet = lines n-1..n+1.
     """
-    if isinstance(rules, DataFrame):
-        compiled = collect_rules(rules, ("regex_line",), alias_languages=alias_languages,
-                                 unicode_classes=unicode_classes)
-        if compiled is None:
-            return _scan_line_rules_join(files, rules, engine, alias_languages)
-    else:
-        compiled = rules
-    jvm_rules = [r for r in compiled if r.get("java_ok", True)]
-    py_rules = [r for r in compiled if not r.get("java_ok", True)]
-    out = _empty_findings(files) if not jvm_rules else _inline_scan(files, jvm_rules, engine)
-    if py_rules:
-        from strata.operators.python_engine import scan_lines_python
-        out = out.unionByName(scan_lines_python(files, py_rules, engine))
-    return out
-
-
-def spread_files(files: DataFrame) -> DataFrame:
-    """Hash-distribute file rows on (repo_id, path) when the input has fewer
-    partitions than the session can run at once.
-
-    The scan is CPU-bound per file; an input of a few large row groups would
-    otherwise run it in a few tasks.  Hashing on the path (not the repo or the
-    language) spreads a hot repository's files evenly.  Inputs that already
-    arrive in enough splits (the normal case at scale) are left alone, so no
-    extra shuffle of the text is added there.
-    """
-    try:
-        target = files.sparkSession.sparkContext.defaultParallelism
-        current = files.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Connect session): leave the input as it is
-        return files
-    if current >= target:
-        return files
-    return files.repartition(target, "repo_id", "path")
-
-
-def _split_files(files: DataFrame) -> DataFrame:
-    """(repo_id, file_path, _lang, _lines) with the split evaluated once per file."""
-    pruned = spread_files(files.select("repo_id", "path", "language", "content"))
-    base = pruned.select("repo_id", F.col("path").alias("file_path"),
-                         F.lower(F.coalesce(F.col("language"), F.lit(""))).alias("_lang"), "content")
-    return with_lines(base, keep=["repo_id", "file_path", "_lang"])
-
-
-def _inline_scan(files: DataFrame, rules: list[dict], engine: str | None,
-                 with_engine_order: bool = False) -> DataFrame:
-    lines = _split_files(files).select(
-        "repo_id", "file_path", "_lang", F.posexplode(with_neighbours("_lines")).alias("_pos", "_l"))
-    hits = (lines.select("repo_id", "file_path", "_pos", "_l",
-                         _hit_list(F.col("_l.line"), F.col("_lang"), rules).alias("_hits"))
-            .filter(F.col("_hits") != "")
-            .select("repo_id", "file_path", "_pos", "_l", F.explode(F.split("_hits", ",")).alias("_slot"))
-            .withColumn("_slot", F.col("_slot").cast("int")))
-    meta = _meta_literal(rules)
-    return (hits.select(
-                "repo_id", "file_path", (F.col("_pos") + 1).alias("line_number"),
-                F.concat_ws("\n", F.col("_l.prev"), F.col("_l.line"), F.col("_l.next")).alias("code_snippet"),
-                F.element_at(meta, F.col("_slot")).alias("_m"))
-            .withColumn("end_line", F.col("line_number"))
-            .select(*_finding_projection(engine), *([F.col("_m.engine_order").alias("engine_order")]
-                                                     if with_engine_order else [])))
+    compiled = collect_rules(rules, ("regex_line",), alias_languages, unicode_classes) \
+        if isinstance(rules, DataFrame) else rules
+    return _scan(files, [dict(r, engine=engine, engine_order=0) for r in compiled]).drop("engine_order")
 
 
 def scan_line_engines(files: DataFrame, engines: dict[str, DataFrame], alias_languages: bool = True) -> DataFrame:
@@ -230,55 +175,58 @@ def scan_line_engines(files: DataFrame, engines: dict[str, DataFrame], alias_lan
     Each engine's catalogue is compiled into the same hit list (slots tagged
     with engine name and registration order), so the text is split and the
     lines generated once however many engines run.  Output carries
-    ``engine_order`` for the de-duplication tie-break.  Falls back to one scan
-    per engine when a catalogue is too large to inline.
+    ``engine_order`` for the de-duplication tie-break.
     """
     compiled = []
     for order, (name, rules) in enumerate(engines.items()):
-        rs = collect_rules(rules, ("regex_line",), alias_languages=alias_languages)
-        if rs is None or any(not r.get("java_ok", True) for r in rs):
-            compiled = None
-            break
-        compiled += [dict(r, engine=name, engine_order=order) for r in rs]
-    if compiled is None:
-        out = None
-        for order, (name, rules) in enumerate(engines.items()):
-            df = scan_line_rules(files, rules, engine=name, alias_languages=alias_languages) \
-                .withColumn("engine_order", F.lit(order))
-            out = df if out is None else out.unionByName(df)
-        return out
-    if not compiled:
-        return _empty_findings(files).withColumn("engine_order", F.lit(0))
-    return _inline_scan(files, compiled, None, with_engine_order=True)
+        compiled += [dict(r, engine=name, engine_order=order)
+                     for r in collect_rules(rules, ("regex_line",), alias_languages)]
+    return _scan(files, compiled)
 
 
-def _scan_line_rules_join(files: DataFrame, rules: DataFrame, engine: str, alias_languages: bool) -> DataFrame:
-    """Exact scan for catalogues too large to inline.
+def _scan(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """Findings of compiled line rules: the JVM's, and those of patterns that only Python takes."""
+    jvm = [r for r in rules if r.get("java_ok", True)]
+    rest = [r for r in rules if not r.get("java_ok", True)]
+    out = _inline_scan(files, jvm) if jvm else _empty_findings(files).withColumn("engine_order", F.lit(0))
+    if rest:
+        from strata.operators.python_engine import scan_lines_python
+        out = out.unionByName(scan_lines_python(files, rest))
+    return out
 
-    Each line is keyed twice, by its language and by ``any``; rules are keyed
-    by their language (blank / ``any`` -> ``any``).  An equi-join on that key
-    pairs each line only with the rules that apply to it; ``rlike`` with a
-    column pattern then tests the pair.
-    """
-    lang = F.lower(F.trim(F.coalesce(F.col("language"), F.lit(""))))
-    if alias_languages:
-        for k, v in LANGUAGE_ALIASES.items():
-            lang = F.when(lang == k, F.lit(v)).otherwise(lang)
-    rkey = F.when(lang.isin(*ANY_LANGUAGE), F.lit("any")).otherwise(lang)
-    r = (active_rules(rules, ("regex_line",))
-         .select(rkey.alias("_key"), F.struct(*RULE_META_FIELDS).alias("_m"), F.col("pattern").alias("_p")))
-    lines = files.select(
-        "repo_id", F.col("path").alias("file_path"),
-        F.explode(F.array(F.lower(F.coalesce(F.col("language"), F.lit(""))), F.lit("any"))).alias("_key"),
-        "content")
-    lines = with_lines(lines, keep=["repo_id", "file_path", "_key"]).select(
-        "repo_id", "file_path", "_key", F.posexplode(with_neighbours("_lines")).alias("_pos", "_l"))
-    both = lines.join(r, "_key").filter(F.regexp_like(F.col("_l.line"), F.col("_p")))
-    return (both.select("repo_id", "file_path", (F.col("_pos") + 1).alias("line_number"),
-                        F.concat_ws("\n", F.col("_l.prev"), F.col("_l.line"), F.col("_l.next")).alias("code_snippet"),
-                        "_m")
+
+def _inline_scan(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """One pass over the text per ``RULES_PER_PASS`` rules; rules of one language come together, so a
+    later pass reads only the files of its languages."""
+    rules = sorted(rules, key=lambda r: "" if r["language"] in ANY_LANGUAGE else r["language"])
+    out = None
+    for at in range(0, len(rules), RULES_PER_PASS):
+        part = _scan_pass(files, rules[at: at + RULES_PER_PASS])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scan_pass(files: DataFrame, rules: list[dict]) -> DataFrame:
+    base = files.select("repo_id", F.col("path").alias("file_path"),
+                        F.lower(F.coalesce(F.col("language"), F.lit(""))).alias("_lang"), "content")
+    languages = {r["language"] for r in rules}
+    if languages.isdisjoint(ANY_LANGUAGE):
+        base = base.filter(F.col("_lang").isin(*sorted(languages)))
+    lines = with_lines(base, keep=["repo_id", "file_path", "_lang"]).select(
+        "repo_id", "file_path", "_lang", F.posexplode(with_neighbours("_lines")).alias("_pos", "_l")).select(
+        "repo_id", "file_path", "_lang", "_pos", "_l", F.col("_l.line").alias("_line"))
+    # Hits are a column of their own (its code is split into methods when there are many rules); the filter
+    # stands on the generator's output, so the predicates are evaluated once per line.
+    hits = (lines.select("repo_id", "file_path", "_pos", "_l", _hit_list("_line", "_lang", rules).alias("_hits"))
+            .select("repo_id", "file_path", "_pos", "_l", F.explode(F.split("_hits", ",")).alias("_slot"))
+            .filter(F.col("_slot") != "")
+            .select("repo_id", "file_path", (F.col("_pos") + 1).alias("line_number"),
+                    F.concat_ws("\n", F.col("_l.prev"), F.col("_l.line"), F.col("_l.next")).alias("code_snippet"),
+                    F.col("_slot").cast("int").alias("_slot")))
+    # at most RULES_PER_PASS rows, which the driver has just compiled
+    return (hits.join(F.broadcast(_meta_table(files.sparkSession, rules)), "_slot")
             .withColumn("end_line", F.col("line_number"))
-            .select(*_finding_projection(engine)))
+            .select(*_finding_projection(None), F.col("_m.engine_order").alias("engine_order")))
 
 
 def _empty_findings(files: DataFrame) -> DataFrame:
@@ -288,59 +236,22 @@ def _empty_findings(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Multiline rules
 
-_OPEN, _CLOSE = "\u0001", "\u0002"
-
-
-def _newlines(x: Column) -> Column:
-    return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-
 
 def scan_multiline_rules(files: DataFrame, rules: DataFrame | list[dict], engine: str = "regex",
                          alias_languages: bool = True) -> DataFrame:
     """Every match of a multiline rule over the whole content.
 
     line = newlines before the match + 1; end_line = line + newlines inside it.
-    Matches are located by wrapping them in sentinel characters with one
-    ``regexp_replace``: splitting the marked text on the opening sentinel gives
-    the match texts, and repeating each line's index once per opening sentinel
-    on it gives their start lines, in the same order.  Linear in the text and
-    all per file row, no shuffle.
+    Spark has no find-all-with-offsets, so the rules run as Python regexes (their
+    native dialect) in a ``mapInArrow`` pass over the files of their languages;
+    a rule whose mandatory literal the text lacks is not run on it.
     """
-    compiled = collect_rules(rules, ("regex_multiline",), alias_languages=alias_languages) \
+    from strata.operators.python_engine import scan_texts_python
+    compiled = collect_rules(rules, ("regex_multiline",), alias_languages) \
         if isinstance(rules, DataFrame) else rules
-    if compiled is None:
-        raise ValueError("multiline catalogue larger than MAX_INLINE_RULES")
     if not compiled:
         return _empty_findings(files)
-    clean = F.regexp_replace(F.col("content"), f"[{_OPEN}{_CLOSE}]", "")
-    base = spread_files(files.select("repo_id", "path", "language", "content")).select("repo_id", F.col("path").alias("file_path"),
-                        F.lower(F.coalesce(F.col("language"), F.lit(""))).alias("_lang"),
-                        clean.alias("_text"))
-    per_rule = []
-    for i, r in enumerate(compiled, start=1):
-        marked = F.regexp_replace(F.col("_text"), r["pattern"], f"{_OPEN}$0{_CLOSE}")
-        cond = F.lit(True) if r["language"] in ANY_LANGUAGE else (F.col("_lang") == F.lit(r["language"]))
-        per_rule.append(F.when(cond, F.struct(F.lit(i).alias("slot"), marked.alias("marked"))))
-    exploded = base.select("repo_id", "file_path", split_lines(F.col("_text")).alias("_lines"),
-                           F.explode(F.array_compact(F.array(*per_rule))).alias("_r"))
-    marked = F.col("_r.marked")
-    # Start line of every match, in document order, without a running sum: each
-    # line index is repeated once per opening sentinel on that line.  Linear in
-    # the text, however many matches a file has.
-    starts = F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(
-        (i + 1).cast("int"), (F.length(line) - F.length(F.replace(line, F.lit(_OPEN), F.lit("")))).cast("int"))))
-    # Match texts in the same order: the pieces after each opening sentinel, up to the closing one.
-    pieces = F.split(marked, _OPEN, -1)
-    texts = F.transform(F.slice(pieces, 2, 1 << 30), lambda p: F.substring_index(p, _CLOSE, 1))
-    # Line span and snippet are built inside the array, so the file's lines are
-    # split once and never copied into the per-match rows.
-    found = F.transform(F.arrays_zip(starts.alias("line"), texts.alias("match")), lambda z: F.struct(
-        z["line"].alias("line_number"), (z["line"] + _newlines(z["match"])).alias("end_line"),
-        snippet_from_lines(F.col("_lines"), z["line"], z["line"] + _newlines(z["match"])).alias("code_snippet")))
-    m = exploded.select("repo_id", "file_path", F.col("_r.slot").alias("_slot"), F.explode(found).alias("_z")) \
-        .select("repo_id", "file_path", "_slot", "_z.*")
-    meta = _meta_literal(compiled)
-    return m.withColumn("_m", F.element_at(meta, F.col("_slot"))).select(*_finding_projection(engine))
+    return scan_texts_python(files, [dict(r, engine=engine) for r in compiled]).drop("engine_order")
 
 
 # ---------------------------------------------------------------------------
@@ -371,7 +282,10 @@ register_engine("regex", _regex_engine)
 def run_engines(files: DataFrame, rules: DataFrame, engines: dict[str, Engine] | None = None) -> DataFrame:
     """Union of every engine's findings, with ``engine_order`` for tie-breaks.
 
-    An engine that fails while building its plan contributes nothing.
+    An engine that fails while building its plan contributes nothing.  At run time
+    the built-in engines cannot fail on a file: patterns are checked beforehand and
+    those that Java does not take run in Python.  Own Python code registers through
+    ``python_engine``, which drops only the file it fails on.
     """
     engines = registered_engines() if engines is None else engines
     out = None

@@ -42,10 +42,10 @@ ORACLE["detect_language"] = X.with_ctes(*_F, body="SELECT repo_id, path, languag
 ORACLE["scannable_filter"] = X.with_ctes(*_F, body=f"""
 SELECT repo_id, path, language FROM files WHERE language IN {X.in_list(S.SCANNABLE_LANGUAGES)}""")
 ORACLE["detect_binary"] = X.with_ctes(*_F, body="""
-SELECT repo_id, path, instr(substring(content, 1, 512), chr(0)) > 0 AS is_binary FROM files""")
+SELECT repo_id, path, contains(content, chr(0)) AND strlen(split_part(content, chr(0), 1)) < 512 AS is_binary FROM files""")
 ORACLE["read_text_lossy"] = X.with_ctes(*_F, body="""
 SELECT repo_id, path, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest
-FROM (SELECT repo_id, path, regexp_replace(replace(content, chr(65533), ''), '\\r\\n?', chr(10), 'g') AS t FROM files)""")
+FROM (SELECT repo_id, path, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS t FROM files)""")
 ORACLE["explode_lines"] = X.with_ctes(*_F, body=f"""
 SELECT repo_id, path, CAST(i AS INTEGER) AS line_number, arr[i] AS line
 FROM (SELECT repo_id, path, arr, unnest(generate_series(1, len(arr))) AS i
@@ -254,11 +254,11 @@ SELECT repo_id, rank, file_path, line_number, rule_id, severity, greatest(n - 2,
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_disp("coalesce(severity, 'info')", 99)}, file_path, line_number, rule_id) AS rank,
          count(*) OVER (PARTITION BY repo_id) AS n FROM findings) WHERE rank <= 2""")
 ORACLE["representative_issues"] = X.with_ctes(*_FD, body=f"""
-SELECT repo_id, position, file, line, severity, family, rule_id, substring(msg, 1, 180) AS message FROM (
+SELECT repo_id, position, file, line, severity, shown AS family, rule_id, substring(msg, 1, 180) AS message FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY rk, family, file, line, rule_id, msg) AS position FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_id, family, file, line, msg ORDER BY rk, family, file, line, rule_id, msg) AS k
     FROM (SELECT repo_id, {_disp("coalesce(severity, 'info')", 4)} AS rk, coalesce(defect_family, '') AS family,
-                 coalesce(file_path, '') AS file, coalesce(line_number, 0) AS line, coalesce(message, '') AS msg,
+                 coalesce(defect_family, 'unknown') AS shown, coalesce(file_path, '') AS file, coalesce(line_number, 0) AS line, coalesce(message, '') AS msg,
                  coalesce(severity, 'low') AS severity, coalesce(rule_id, '') AS rule_id FROM findings))
   WHERE k = 1) WHERE position <= 3""")
 
@@ -309,18 +309,22 @@ _PROMPT = (f"concat_ws(chr(10), {X.q(_PL['family'])} || f.defect_family, {X.q(_P
            f"{X.q(_PL['flagged'])} || '```' || l.language || chr(10) || f.code_snippet || chr(10) || '```', "
            f"{X.q(S.FIX_PROMPT_CLOSING)})")
 ORACLE["fix_prompts"] = X.with_ctes(*_FD, body=f"""
-SELECT f.repo_id, f.file_path, f.line_number, f.rule_id, md5({_PROMPT}) AS prompt_md5,
-       CAST(length({_PROMPT}) AS INTEGER) AS prompt_chars
-FROM findings f JOIN (SELECT repo_id, path, coalesce(language, 'plaintext') AS language FROM files) l
-  ON f.repo_id = l.repo_id AND f.file_path = l.path
-WHERE trim(coalesce(f.code_snippet, '')) <> '' AND length(f.code_snippet) <= 5000""")
+SELECT f.repo_id, f.file_path, f.line_number, f.rule_id, CASE WHEN why IS NULL THEN 'ok' ELSE 'rejected' END AS status,
+       why AS reason, CASE WHEN why IS NULL THEN md5({_PROMPT}) END AS prompt_md5,
+       CASE WHEN why IS NULL THEN CAST(length({_PROMPT}) AS INTEGER) END AS prompt_chars
+FROM (SELECT *, CASE WHEN trim(coalesce(code_snippet, '')) = '' THEN {X.q(S.FIX_PROMPT_REJECTIONS['empty'])}
+                     WHEN length(code_snippet) > 5000 THEN {X.q(S.FIX_PROMPT_REJECTIONS['too_long'])} END AS why
+      FROM findings) f
+JOIN (SELECT repo_id, path, coalesce(language, 'plaintext') AS language FROM files) l
+  ON f.repo_id = l.repo_id AND f.file_path = l.path""")
 _REQ = f"""req AS (
-  SELECT substring(sha256('fix|' || arr[i] || '|secrets|' || lang), 1, 20) AS request_key, doc_id * 100000 + i AS request_seq
+  SELECT substring(sha256('fix|' || arr[i] || '|secrets|' || lang), 1, 20) AS request_key, doc_id, i AS line_number
   FROM (SELECT doc_id, lang, arr, unnest(generate_series(1, len(arr))) AS i
         FROM (SELECT doc_id, lang, {X.split_lines_sql('text')} AS arr FROM documents))
 )"""
 ORACLE["request_dedupe"] = X.with_ctes(_REQ, body="""
-SELECT request_key, count(*) AS requests, min(request_seq) AS first_request FROM req GROUP BY request_key""")
+SELECT request_key, requests, f[1] AS first_doc, CAST(f[2] AS INTEGER) AS first_line
+FROM (SELECT request_key, count(*) AS requests, min([doc_id, line_number]) AS f FROM req GROUP BY request_key)""")
 ORACLE["request_hit_rate"] = X.with_ctes(_REQ, body="""
 SELECT total, distinct_keys, CASE WHEN total > 0 THEN floor(((total - distinct_keys) * 2000 + total) / (total * 2)) / 1000.0 ELSE 0.0 END AS hit_rate
 FROM (SELECT count(*) AS total, count(DISTINCT request_key) AS distinct_keys FROM req)""")
@@ -418,8 +422,8 @@ SELECT idx, rid AS rule_id, status,
        CASE WHEN rid = '' THEN 'Missing rule_id' WHEN status = 'error' THEN invalid END AS error FROM stat""")
 _SUMMARY = """SELECT count(*) FILTER (WHERE status = 'created') AS created, count(*) FILTER (WHERE status = 'skipped') AS skipped,
        count(*) FILTER (WHERE status = 'error') AS errors_count, count(*) AS total_processed FROM stat"""
-ORACLE["import_rules_csv"] = X.with_ctes(_IMP, body=_SUMMARY)
-ORACLE["import_rules_json"] = X.with_ctes(_IMP, body=_SUMMARY)
+ORACLE["import_rules_csv"] = ORACLE["bulk_import_rules"]
+ORACLE["import_rules_json"] = ORACLE["bulk_import_rules"]
 ORACLE["list_rules"] = X.with_ctes(_IMP, body="""
 SELECT rid AS rule_id, name, 'any' AS language, fam AS defect_family, sev AS severity, mt AS match_type
 FROM stat JOIN part ON part.p_partkey = stat.idx
@@ -777,3 +781,61 @@ UNION ALL SELECT {FINDING_OUT} FROM b_findings""")
 ORACLE["import_first_errors"] = X.with_ctes(_IMP, body=f"""
 SELECT idx, rid AS rule_id, CASE WHEN rid = '' THEN {X.q(S.IMPORT_ERRORS['missing_id'])} ELSE invalid END AS error
 FROM stat WHERE status = 'error' ORDER BY idx LIMIT 20""")
+
+
+# ---------------------------------------------------------------------------
+# multiline scan, engine registry, payloads
+_ML_LIST, = FX.FIXTURE_MULTILINE_RULES
+_NL = "(length({0}) - length(replace({0}, chr(10), '')))"
+# A match is the first place of its text in what is left of the content: the pattern looks at nothing around it.
+_MULTI = f"""found AS (
+  SELECT repo_id, path AS file_path, content, {X.split_lines_sql('content')} AS arr,
+         regexp_extract_all(content, {X.q(_ML_LIST[4])}) AS ms
+  FROM files WHERE language IN {X.in_list(S.SCANNABLE_LANGUAGES)}
+),
+walk AS (
+  SELECT repo_id, file_path, 1 AS k, ms, arr, content AS rest, 1 AS line0 FROM found WHERE len(ms) > 0
+  UNION ALL
+  SELECT repo_id, file_path, k + 1, ms, arr, substring(rest, instr(rest, ms[k]) + length(ms[k])),
+         line0 + {_NL.format("substring(rest, 1, instr(rest, ms[k]) + length(ms[k]) - 1)")}
+  FROM walk WHERE k < len(ms)
+),
+placed AS (
+  SELECT repo_id, file_path, arr, line0 + {_NL.format("substring(rest, 1, instr(rest, ms[k]) - 1)")} AS line_number,
+         line0 + {_NL.format("substring(rest, 1, instr(rest, ms[k]) + length(ms[k]) - 1)")} AS end_line
+  FROM walk
+),
+multi AS (
+  SELECT repo_id, {X.q(_ML_LIST[0])} AS rule_id, 'regex' AS engine_source, file_path,
+         CAST(line_number AS INTEGER) AS line_number, {X.q(_ML_LIST[3])} AS severity, {X.q(_ML_LIST[2])} AS defect_family,
+         {X.q(_ML_LIST[0] + ' matched')} AS message,
+         array_to_string(arr[greatest(1, line_number - 1):least(len(arr), end_line + 1)], chr(10)) AS code_snippet,
+         {X.q(_ML_LIST[0])} AS issue_type, CAST(end_line AS INTEGER) AS end_line, 1 AS "column"
+  FROM placed
+)"""
+_OUT = ('repo_id, rule_id, engine_source, file_path, line_number, severity, defect_family, message, code_snippet, '
+        'issue_type, end_line, "column"')
+ORACLE["scan_multiline_rules"] = X.with_ctes(X.files_cte(), _MULTI, body=f"SELECT {_OUT} FROM multi").replace(
+    "WITH ", "WITH RECURSIVE ", 1)
+ORACLE["run_engines"] = X.with_ctes(X.files_cte(), X.scan_lines_cte(), X.raw_findings_cte(), _MULTI, body=f"""
+SELECT {_OUT}, 0 AS engine_order FROM raw_findings WHERE engine_source = 'regex'
+UNION ALL SELECT {_OUT}, 0 AS engine_order FROM multi""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+_TOP = """(SELECT repo_id, string_agg(value || ':' || CAST(n AS VARCHAR), ',' ORDER BY rk) AS top
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, first) AS rk
+        FROM (SELECT repo_id, trim({0}) AS value, count(*) AS n, min((file_path, line_number, rule_id)) AS first
+              FROM findings WHERE trim(coalesce({0}, '')) <> '' GROUP BY ALL)) WHERE rk <= 8 GROUP BY repo_id)"""
+_SEV_INFO = ", ".join(f"count(*) FILTER (WHERE lower(coalesce(severity, 'info')) = {X.q(s)}) AS {s}"
+                      for s in reversed(S.SEVERITY_ORDER))
+_REPS18 = ORACLE["representative_issues"]
+_REPS18 = _REPS18[_REPS18.index("SELECT repo_id, position, file"):].replace("position <= 3", "position <= 18")
+ORACLE["summary_payload"] = X.with_ctes(*_FD, f"reps AS ({_REPS18})", body=f"""
+SELECT r.repo_id, CAST(coalesce(c.n, 0) AS BIGINT) AS total_issues, {_SEV_ZERO.replace("s.", "c.")},
+       coalesce(fam.top, '') AS top_defect_families, coalesce(rul.top, '') AS top_rule_ids,
+       coalesce(x.reps, '') AS representative_issues
+FROM (SELECT DISTINCT repo_id FROM files) r
+LEFT JOIN (SELECT repo_id, count(*) AS n, {_SEV_INFO} FROM findings GROUP BY repo_id) c ON r.repo_id = c.repo_id
+LEFT JOIN {_TOP.format("defect_family")} fam ON r.repo_id = fam.repo_id
+LEFT JOIN {_TOP.format("rule_id")} rul ON r.repo_id = rul.repo_id
+LEFT JOIN (SELECT repo_id, string_agg(concat_ws(':', file, CAST(line AS VARCHAR), severity, family, rule_id, message), '|'
+                                      ORDER BY position) AS reps FROM reps GROUP BY repo_id) x ON r.repo_id = x.repo_id""")

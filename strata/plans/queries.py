@@ -16,6 +16,7 @@ from strata.operators import findings as FD
 from strata.operators import rollups as RU
 from strata.operators import scan as SC
 from strata.functions.languages import scannable_filter
+from strata.session import land
 
 QUERIES: dict = {}
 
@@ -44,8 +45,7 @@ def q_dedupe_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("health_score")
 def q_health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = FX.files(spark, sf_dir)
-    return RU.health_score(FX.findings(spark, sf_dir, files), files.select("repo_id"))
+    return RU.health_score(FX.findings(spark, sf_dir), FX.repos(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -229,16 +229,19 @@ from strata.sources import external as EX  # noqa: E402
 from strata.functions import severity as SV  # noqa: E402
 
 
+def _landed_findings(spark, sf_dir):
+    """Findings scanned once and written, for operators that read them several times."""
+    return land(FX.findings(spark, sf_dir), "findings")
+
+
 @register("severity_summary")
 def q_severity_summary(spark, sf_dir):
-    files = FX.files(spark, sf_dir)
-    return RU.severity_summary(FX.findings(spark, sf_dir, files), files.select("repo_id"))
+    return RU.severity_summary(FX.findings(spark, sf_dir), FX.repos(spark, sf_dir))
 
 
 @register("severity_breakdown_pct")
 def q_severity_breakdown_pct(spark, sf_dir):
-    files = FX.files(spark, sf_dir)
-    return RU.severity_breakdown_pct(FX.findings(spark, sf_dir, files), files.select("repo_id"))
+    return RU.severity_breakdown_pct(_landed_findings(spark, sf_dir), FX.repos(spark, sf_dir))
 
 
 @register("family_hotspots")
@@ -262,13 +265,14 @@ def q_issues_by_file(spark, sf_dir):
 
 @register("issue_identity")
 def q_issue_identity(spark, sf_dir):
-    return FD.assign_issue_ids(FX.findings(spark, sf_dir)).select("repo_id", "file_path", "line_number", "rule_id", "id")
+    return FD.assign_issue_ids(_landed_findings(spark, sf_dir)).select("repo_id", "file_path", "line_number", "rule_id", "id")
 
 
 @register("health_grade_risk")
 def q_health_grade_risk(spark, sf_dir):
-    hs = RU.health_score(FX.findings(spark, sf_dir), FX.files(spark, sf_dir).select("repo_id"))
-    ss = RU.severity_summary(FX.findings(spark, sf_dir))
+    findings = _landed_findings(spark, sf_dir)
+    hs = RU.health_score(findings, FX.repos(spark, sf_dir))
+    ss = RU.severity_summary(findings)
     j = hs.join(ss, "repo_id", "left")
     z = {s: F.coalesce(F.col(s), F.lit(0)) for s in S.SEVERITY_ORDER}
     return j.select("repo_id", "health_score", SV.health_grade("health_score").alias("grade"),
@@ -291,7 +295,7 @@ def q_search_issues(spark, sf_dir):
 
 @register("top_issues")
 def q_top_issues(spark, sf_dir):
-    return RK.top_issues(FX.findings(spark, sf_dir), 2).select(
+    return RK.top_issues(_landed_findings(spark, sf_dir), 2).select(
         "repo_id", "rank", "file_path", "line_number", "rule_id", "severity", "remaining")
 
 
@@ -326,7 +330,7 @@ def q_fix_prompts(spark, sf_dir):
     f = FX.findings(spark, sf_dir)
     files = FX.files(spark, sf_dir).select("repo_id", F.col("path").alias("file_path"), "language")
     return PR.fix_prompts(f.join(files, ["repo_id", "file_path"])).select(
-        "repo_id", "file_path", "line_number", "rule_id", F.md5("prompt").alias("prompt_md5"),
+        "repo_id", "file_path", "line_number", "rule_id", "status", "reason", F.md5("prompt").alias("prompt_md5"),
         F.length("prompt").alias("prompt_chars"))
 
 
@@ -334,12 +338,14 @@ def _requests(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lines = SC.explode_lines(d.select("doc_id", "lang", F.col("text").alias("content")), keep=("doc_id", "lang"))
     return lines.select(PR.request_key("fix", F.col("line"), F.lit("secrets"), F.col("lang")).alias("request_key"),
-                        (F.col("doc_id") * 100000 + F.col("line_number")).alias("request_seq"))
+                        F.struct("doc_id", "line_number").alias("request_seq"))
 
 
 @register("request_dedupe")
 def q_request_dedupe(spark, sf_dir):
-    return PR.request_dedupe(_requests(spark, sf_dir), "request_seq")
+    return PR.request_dedupe(_requests(spark, sf_dir), "request_seq").select(
+        "request_key", "requests", F.col("first_request.doc_id").alias("first_doc"),
+        F.col("first_request.line_number").alias("first_line"))
 
 
 @register("request_hit_rate")
@@ -355,9 +361,27 @@ def q_parse_fix_responses(spark, sf_dir):
                       "parse_error", "reusable")
 
 
+PAYLOAD_SCHEMA = ("total_issues bigint, severity_counts struct<"
+                  + ", ".join(f"{s}: bigint" for s in reversed(S.SEVERITY_ORDER))
+                  + ">, top_defect_families map<string,bigint>, top_rule_ids map<string,bigint>, "
+                  "representative_issues array<struct<file: string, line: bigint, severity: string, family: string, "
+                  "rule_id: string, message: string>>")
+
+
 @register("summary_payload")
 def q_summary_payload(spark, sf_dir):
-    return PR.summary_payload(FX.findings(spark, sf_dir))
+    out = PR.summary_payload(_landed_findings(spark, sf_dir), FX.repos(spark, sf_dir))
+    doc = F.from_json("payload", PAYLOAD_SCHEMA)
+
+    def pairs(name):
+        return F.array_join(F.transform(F.map_entries(F.col(f"d.{name}")),
+                                        lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias(name)
+
+    reps = F.array_join(F.transform("d.representative_issues", lambda r: F.concat_ws(
+        ":", r["file"], r["line"].cast("string"), r["severity"], r["family"], r["rule_id"], r["message"])), "|")
+    return out.select("repo_id", doc.alias("d")).select(
+        "repo_id", "d.total_issues", "d.severity_counts.*", pairs("top_defect_families"), pairs("top_rule_ids"),
+        reps.alias("representative_issues"))
 
 
 # ---------------------------------------------------------------------------
@@ -407,21 +431,25 @@ def q_bulk_import_rules(spark, sf_dir):
 
 @register("import_rules_csv")
 def q_import_rules_csv(spark, sf_dir):
+    # several files, in the batch's order; fields with quotes doubled as ordinary writers have them
     path = _scratch(spark, "rules-csv")
-    FX.rule_imports(spark, sf_dir).drop("idx").withColumn("is_active", F.col("is_active").cast("string")) \
-        .write.option("header", True).csv(path)
-    rows = CT.read_rules_csv(spark, path)
-    v = CT.bulk_import_rules(rows, FX.existing_rule_ids(spark, sf_dir))
-    return CT.import_summary(v)
+    batch = FX.rule_imports(spark, sf_dir).withColumn("is_active", F.col("is_active").cast("string"))
+    batch.repartitionByRange(4, "idx").sortWithinPartitions("idx").write.options(header=True, escape='"').csv(path)
+    v = CT.bulk_import_rules(CT.read_rules_csv(spark, path), FX.existing_rule_ids(spark, sf_dir), "position")
+    return v.select(F.col("idx").cast("bigint").alias("idx"), F.col("_rid").alias("rule_id"), "status", "error")
 
 
 @register("import_rules_json")
 def q_import_rules_json(spark, sf_dir):
+    # several documents, each one JSON array of rules
     path = _scratch(spark, "rules-json")
-    FX.rule_imports(spark, sf_dir).drop("idx").write.json(path)
-    rows = CT.read_rules_json(spark, path)
-    v = CT.bulk_import_rules(rows, FX.existing_rule_ids(spark, sf_dir))
-    return CT.import_summary(v)
+    batch = FX.rule_imports(spark, sf_dir)
+    (batch.repartitionByRange(4, "idx").select(F.spark_partition_id().alias("part"), F.struct(*batch.columns).alias("r"))
+     .groupBy("part").agg(F.sort_array(F.collect_list("r")).alias("rules"))
+     .repartitionByRange(4, "part").sortWithinPartitions("part").select(F.to_json("rules").alias("value")).write.text(path))
+    v = CT.bulk_import_rules(CT.read_rules_json(spark, path, multiline=True), FX.existing_rule_ids(spark, sf_dir),
+                             "position")
+    return v.select(F.col("idx").cast("bigint").alias("idx"), F.col("_rid").alias("rule_id"), "status", "error")
 
 
 @register("list_rules")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +23,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "strata") -> SparkSession:
     """Build (or reuse) a session with UTC time, AQE and the UI off.
 
-    On a cluster the master and shuffle partitions come from spark-submit;
-    locally we default to ``local[*]`` and one shuffle partition per core.
+    Master and shuffle partitions come from the caller or from spark-submit; none
+    is set here (a master set in code would outrank spark-submit's).
     """
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
+    if master:
+        builder = builder.master(master)
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
@@ -44,40 +45,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    A cluster names it in ``spark.checkpoint.dir``; we only invent one when it
-    is unset, which happens in local tests.
+    A cluster names it in ``spark.checkpoint.dir``.  A local session without one gets a temporary folder;
+    a cluster session without one is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="strata-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def land(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, written once and read by each consumer (survives executor loss)."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-# Largest dimension table broadcast without a hint from the caller.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the plain
-    DataFrame is returned and Spark (AQE) chooses a shuffle join instead.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        from pyspark.sql import functions as F
-        return F.broadcast(df)
-    return df

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strata import schemas as S
 
-from strata.session import broadcast_if_small
 from strata.functions.severity import classify_defect_family, map_external_severity
 
 REPORT_SCHEMA = """results array<struct<
@@ -18,9 +17,12 @@ REPORT_SCHEMA = """results array<struct<
 
 
 def _first_meta(col: F.Column) -> F.Column:
-    """A metadata value may be a string or a list: list -> first element (or NULL)."""
-    as_list = F.from_json(col, "array<string>")
-    return F.when(F.trim(col).startswith("["), F.element_at(as_list, 1)).otherwise(col)
+    """A metadata value may be a string or a list: list -> first element (or NULL).
+
+    A plain string may begin with a bracket too; only what parses as an array is a list.
+    """
+    is_list = F.trim(col).startswith("[") & F.coalesce(F.json_array_length(col) >= 0, F.lit(False))
+    return F.when(is_list, F.get(F.from_json(col, "array<string>"), 0)).otherwise(col)
 
 
 def ingest_external_findings(reports: DataFrame, rules: DataFrame | None = None,
@@ -56,7 +58,7 @@ def ingest_external_findings(reports: DataFrame, rules: DataFrame | None = None,
                         F.col("defect_family").alias("_rfam"), F.col("message").alias("_rmsg"),
                         F.col("fix_hint").alias("_rhint"), F.col("cwe_id").alias("_rcwe"),
                         F.col("owasp_ref").alias("_rowasp"), F.lit(True).alias("_has_rule")))
-        base = base.join(broadcast_if_small(meta), base.rule_id == meta._rid, "left")
+        base = base.join(meta, base.rule_id == meta._rid, "left")
     else:
         for c in ("_rsev", "_rfam", "_rmsg", "_rhint", "_rcwe", "_rowasp"):
             base = base.withColumn(c, F.lit(None).cast("string"))

@@ -11,15 +11,25 @@ from strata.functions.paths import has_skipped_suffix, in_skipped_dir, is_hidden
 from strata.functions.text import line_count, read_text_lossy
 
 
-def read_repo_files(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
+def _raw_files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+
+def oversized_files(spark: SparkSession, root: str, max_bytes: int = S.TREE_MAX_BYTES) -> DataFrame:
+    """(path, size) of the files that ``read_repo_files`` leaves out, from the listing alone."""
+    return (_raw_files(spark, root).filter(F.col("length") > max_bytes)
+            .select("path", F.col("length").cast("long").alias("size")))
+
+
+def read_repo_files(spark: SparkSession, root: str, repo_depth: int = 1,
+                    max_bytes: int = S.TREE_MAX_BYTES) -> DataFrame:
     """Raw files under ``root/<repo>/...`` -> files table (repo_id, path, content, size).
 
     ``binaryFile`` lists and reads in parallel; content is decoded lossily.
-    Oversized files are dropped on the listing's ``length`` before any bytes
-    are decoded.
+    Files over ``max_bytes`` are left out on the listing's ``length`` before any
+    bytes are decoded; ``oversized_files`` lists them.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-           .filter(F.col("length") <= S.TREE_MAX_BYTES))
+    raw = _raw_files(spark, root).filter(F.col("length") <= max_bytes)
     rel = F.regexp_replace(F.col("path"), "^.*?\\Q" + root.rstrip("/") + "\\E/", "")  # root quoted literally
     parts = F.split(rel, "/")
     repo = F.array_join(F.slice(parts, 1, repo_depth), "/")

@@ -28,13 +28,74 @@ def test_line_scan_language_and_snippet(spark):
                    ("a.py", "T2", 3, 'token = "abcdef0123"\ny = 2')]
 
 
-def test_join_fallback_equals_inline(spark, monkeypatch):
-    files = FX.files(spark, "/root/testdata/sf0.001")
-    rules = FX.rules(spark)
-    inline = SC.scan_line_rules(files, rules)
-    joined = SC._scan_line_rules_join(files, rules, "regex", True)
-    cols = ["repo_id", "file_path", "rule_id", "line_number", "code_snippet"]
-    assert sorted(map(tuple, inline.select(cols).collect())) == sorted(map(tuple, joined.select(cols).collect()))
+FIELDS = ["rule_id", "engine_source", "file_path", "line_number", "severity", "defect_family", "message", "code_snippet",
+          "issue_type", "end_line"]
+
+
+def _plain_scan(files, spec):
+    """Every rule over every line or text with Python's re; a pattern that does not compile is left out."""
+    import re
+    out = []
+    for _, path, text, lang in files:
+        lines = text.splitlines()
+        for rid, rlang, fam, sev, pat, kind, active in spec:
+            try:
+                rx = re.compile(pat)
+            except re.error:
+                continue
+            if not active or rlang not in ("", "any", lang):
+                continue
+            if kind == "regex_line":
+                spans = [(n, n) for n, line in enumerate(lines, 1) if rx.search(line)]
+            else:
+                spans = [(text.count("\n", 0, m.start()) + 1, text.count("\n", 0, m.end()) + 1) for m in rx.finditer(text)]
+            for a, b in spans:
+                out.append((rid, "regex", path, a, sev or "low", fam or "best_practice", f"{rid} matched",
+                            "\n".join(lines[max(0, a - 2):b + 1]), rid.removeprefix("REGEX-"), b))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n_rules", [404, 3000])
+def test_any_number_of_rules_scans_alike(spark, n_rules):
+    languages = ["any", "python", "javascript", "go", "java", ""]
+    spec = [(f"REGEX-R{i}", languages[i % 6], "secrets" if i % 5 else None, ["high", None, "low"][i % 3],
+             f"tok{i % 97}x['\"]?[0-9]" if i % 2 else f"(?:k{i}|w{i % 13}\\b)", "regex_line", i % 11 != 0) for i in range(n_rules)]
+    spec += [("BAD", "any", "x", "low", "(unclosed", "regex_line", True),
+             ("PY-ONLY", "any", "x", None, r"(?P<q>['\"])tok\d+x(?P=q)", "regex_line", True),
+             ("ML", "python", "x", "high", r"w3\n\s*k", "regex_multiline", True),
+             ("ML-PY-ONLY", "any", "x", None, r"(?P<a>w\d+)\n(?P=a)", "regex_multiline", True),
+             ("ML-BAD", "any", "x", "low", "[", "regex_multiline", True)]
+    text = "\n".join(f"w{i % 17} k{i * 7} 'tok{i}x' tok{i % 97}x{i % 10}" for i in range(60)) + "\nw3\n  k\x01\nw5\nw5\n"
+    rows = [("r", f"f{i}.{lang}", text if i % 2 else text[: 40 * i], lang)
+            for i, lang in enumerate(["python", "javascript", "go", "java", "rust", "plaintext"])]
+    files, rules = _files(spark, rows), _rules(spark, spec)
+    got = SC.scan_line_rules(files, rules).unionByName(SC.scan_multiline_rules(files, rules)).select(*FIELDS).collect()
+    assert sorted(map(tuple, got)) == _plain_scan(rows, spec)
+
+
+def test_building_a_scan_reads_no_text(spark):
+    files, rules = FX.files(spark, "/root/testdata/sf0.001"), FX.rules(spark)
+    tracker, before = spark.sparkContext.statusTracker(), set()
+    spark.sparkContext.setJobGroup("build", "build")
+    try:
+        SC.scan_line_rules(files, rules)
+        jobs = tracker.getJobIdsForGroup("build")
+        stages = [s for j in jobs for s in tracker.getJobInfo(j).stageIds]
+        tasks = sum(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks <= 4 * len(jobs) and len(jobs) <= 2  # the rule table alone
+
+
+def test_text_functions_keep_what_is_in_the_text(spark):
+    from strata.functions.languages import is_binary
+    from strata.functions.text import read_text_lossy
+    raw = "a\ufffdb\x00c\r\nd".encode() + b"\xff\xfee"
+    df = spark.createDataFrame([(bytearray(raw),)], "b binary")
+    assert df.select(read_text_lossy(F.col("b").cast("string")).alias("t")).first().t == "a\ufffdb\x00c\nde"
+    rows = [("x" * 511 + "\x00",), ("x" * 512 + "\x00",), ("é" * 256 + "\x00",), ("é" * 255 + "\x00",), ("plain",)]
+    out = spark.createDataFrame(rows, "t string").select(is_binary("t").alias("b")).collect()
+    assert [r.b for r in out] == [True, False, False, True, False]
 
 
 def test_multiline_positions(spark):

@@ -69,12 +69,15 @@ def test_parse_fix_responses(spark):
     assert out[4].confidence == 0.5 and out[4].fix_strategy == "s" and out[4].code_patch == ""
 
 
-def test_fix_prompts_drop_blank_and_long(spark):
+def test_fix_prompts_reject_blank_and_long(spark):
     rows = [("r", "f.py", "python", "secrets", "x = 1"), ("r", "g.py", "python", "secrets", "   "),
             ("r", "h.py", "python", "secrets", "y" * 5001)]
     df = spark.createDataFrame(rows, "repo_id string, file_path string, language string, defect_family string, code_snippet string")
-    out = PR.fix_prompts(df).collect()
-    assert [r.file_path for r in out] == ["f.py"]
+    out = sorted(PR.fix_prompts(df).collect(), key=lambda r: r.file_path)
+    assert [(r.file_path, r.status, r.reason) for r in out] == [
+        ("f.py", "ok", None), ("g.py", "rejected", "code_snippet cannot be empty"),
+        ("h.py", "rejected", "code_snippet too long (max 5000 chars).")]
+    assert out[1].prompt is None and out[2].prompt is None
     assert out[0].prompt.startswith("**Defect Family:** secrets\n**Language:** python\n**File:** f.py")
     assert "```python\nx = 1\n```" in out[0].prompt
 

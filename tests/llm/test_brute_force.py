@@ -169,12 +169,13 @@ def test_quality_base_counts(make_docs, prose):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_fertility_rejects_shouting_and_symbols(make_docs, prose):
+def test_fertility_rejects_symbol_noise(make_docs, prose):
     import pyarrow.parquet as pq
     clean = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
     labels = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.001/labels.parquet").to_pylist()}
     rows = [(d["doc_id"], d["text"], d["lang"]) for d in clean if labels.get(d["doc_id"]) == 1]
-    loud = [(10_000 + i, "!! ".join(t.upper().split()), lang) for i, t, lang in rows]
+    marks = ["%%%", "###", "&&&", "$$$", "***"]
+    loud = [(10_000 + i, " ".join(w + marks[k % 5] for k, w in enumerate(t.split())), lang) for i, t, lang in rows]
     out = {r["doc_id"]: r for r in quality_rules.quality_rules(make_docs(rows + loud)).collect()}
     judged = [i for i, _, _ in rows if not out[i]["base_failed"]]
     assert len(judged) > 20

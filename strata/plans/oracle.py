@@ -770,13 +770,7 @@ SELECT repo_id, file_path AS _path, line_number AS _line, rule_id AS _rule,
        CASE WHEN line_number % 4 = 0 THEN engine_source ELSE 'unknown' END AS engine_source,
        '' AS code_snippet
 FROM findings""")
-ORACLE["incremental_scan"] = X.with_ctes(
-    *X.base_scan_ctes(), _files_b_cte(), _CHG,
-    "to_scan AS (SELECT s.* FROM snap_b s JOIN chg ON s.repo_id = chg.repo_id AND s.path = chg.path WHERE chg.change IN ('added', 'modified'))",
-    *_scan_over("to_scan"), body=f"""
-SELECT {FINDING_OUT} FROM findings f
-WHERE NOT EXISTS (SELECT 1 FROM chg WHERE chg.change IN ('added', 'modified') AND chg.repo_id = f.repo_id AND chg.path = f.file_path)
-UNION ALL SELECT {FINDING_OUT} FROM b_findings""")
+ORACLE["incremental_scan"] = ORACLE["merge_rescan"]
 
 ORACLE["import_first_errors"] = X.with_ctes(_IMP, body=f"""
 SELECT idx, rid AS rule_id, CASE WHEN rid = '' THEN {X.q(S.IMPORT_ERRORS['missing_id'])} ELSE invalid END AS error

@@ -642,12 +642,18 @@ def q_run_engines(spark, sf_dir):
 @register("incremental_scan")
 def q_incremental_scan(spark, sf_dir):
     from strata.streaming.incremental import IncrementalScan
-    job = IncrementalScan(spark, lambda fl: _scan_findings(spark, fl).select(*FINDING_OUT))
-    job.seed(FX.files(spark, sf_dir), FX.findings(spark, sf_dir).select(*FINDING_OUT))
+    old, new = FX.files(spark, sf_dir), FX.files_snapshot_b(spark, sf_dir)
+    findings = FX.findings(spark, sf_dir).select(*FINDING_OUT)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in findings.schema)
+    job = IncrementalScan(spark, lambda fl: _scan_findings(spark, fl).select(*FINDING_OUT), schema)
+    job.seed(old, findings)
+    # the feed: the later snapshot's files, and a deletion for each file it no longer has
+    gone = old.join(new.select("repo_id", "path"), ["repo_id", "path"], "left_anti").select(
+        "repo_id", "path", *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in ("content", "size", "language", "lines")])
+    feed = new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
     src = f"{job.root}/incoming"
-    snap_b = FX.files_snapshot_b(spark, sf_dir)
-    snap_b.write.parquet(src)
-    return job.run(spark.readStream.schema(snap_b.schema).parquet(src))
+    feed.write.parquet(src)
+    return job.run(spark.readStream.schema(feed.schema).parquet(src)).select(*FINDING_OUT)
 
 
 @register("import_first_errors")

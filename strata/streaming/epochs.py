@@ -1,0 +1,64 @@
+"""State tables of a ``foreachBatch`` job, versioned by epoch and published by a manifest.
+
+A batch writes its tables under its own epoch (overwriting what a failed attempt
+left) and publishes last, by adding one manifest file that says which version of
+each part is current.  A reopened job reads the newest published manifest; a
+replayed batch starts from the newest one *before* its epoch, so running it again
+gives the same state.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SEED_EPOCH = -1
+MANIFEST = "part string, version long"
+
+
+class EpochTables:
+    """``part`` is what a table is rewritten by (a repository, or one part for a small table)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _manifests(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(f"{MANIFEST}, epoch long").option("basePath", f"{self.root}/manifest") \
+                .parquet(f"{self.root}/manifest")
+        except AnalysisException:  # nothing published yet
+            return None
+
+    def newest(self, before: int | None = None) -> DataFrame | None:
+        """(part, version) of the newest published epoch (below ``before``)."""
+        published = self._manifests()
+        if published is None:
+            return None
+        if before is not None:
+            published = published.filter(F.col("epoch") < before)
+        last = published.agg(F.max("epoch")).first()[0]
+        return None if last is None else published.filter(F.col("epoch") == last).select("part", "version")
+
+    def write(self, name: str, epoch: int, table: DataFrame, by: str) -> None:
+        """The parts of ``table`` (column ``by``) as this epoch's version."""
+        table.withColumn("part", F.col(by)).write.mode("overwrite").partitionBy("part") \
+            .parquet(f"{self.root}/{name}/version={epoch}")
+
+    def read(self, name: str, manifest: DataFrame, schema: str) -> DataFrame:
+        """The current version of every part.  Only folders of versions in use are listed (a number each per
+        epoch, not per part); within them the join with the manifest picks the parts."""
+        versions = [r[0] for r in manifest.select("version").distinct().collect()]
+        if not versions:
+            return self.spark.createDataFrame([], schema)
+        table = (self.spark.read.schema(f"{schema}, version long, part string")
+                 .option("basePath", f"{self.root}/{name}")
+                 .parquet(*[f"{self.root}/{name}/version={v}" for v in sorted(versions)]))
+        return table.join(manifest, ["part", "version"]).drop("part", "version")
+
+    def publish(self, epoch: int, base: DataFrame | None, parts: DataFrame) -> None:
+        """``parts(part)`` now have version ``epoch``; the others keep theirs.  One file, renamed when whole."""
+        current = parts.select("part", F.lit(epoch).cast("long").alias("version"))
+        if base is not None:
+            current = base.join(parts, "part", "left_anti").unionByName(current)
+        current.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/epoch={epoch}")

@@ -1,62 +1,81 @@
 """Incremental scan as a Structured Streaming job.
 
-New file versions arrive as a stream.  Each micro-batch (``foreachBatch``) is
-hashed and compared with the stored snapshot; only added or modified files are
-scanned, and the stored issue set is rebuilt as (old issues of untouched
-files) + (new issues).  Every state table is written as a new version folder
-under the shared checkpoint directory, so a failed batch never leaves a
-half-written table and a restarted query resumes from its checkpoint.
-State tables are partitioned by ``repo_id``, so the per-batch joins against
-them can prune repositories the batch does not touch (dynamic partition
-pruning).
+New file versions (and deletions) arrive as a stream.  Each micro-batch
+(``foreachBatch``) is hashed and compared with the stored snapshot; only added or
+modified files are scanned, issues of modified and deleted files go, and only the
+repositories that the batch touches are rewritten.  State lives in
+``EpochTables`` under the shared checkpoint directory: a replayed batch gives the
+same state and a job reopened on the same root goes on where it stopped.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.operators.rescan import merge_rescan
 from strata.session import checkpoint_dir
+from strata.streaming.epochs import SEED_EPOCH, EpochTables
+
+SNAPSHOT = "repo_id string, path string, h string"
 
 
 class IncrementalScan:
-    def __init__(self, spark: SparkSession, scan, root: str | None = None):
-        """``scan(files_df) -> issues_df`` is the (batch) scan applied to changed files."""
-        self.spark = spark
-        self.scan = scan
-        self.root = root or f"{checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
-        self.version = 0
+    def __init__(self, spark: SparkSession, scan, issues_schema: str, root: str | None = None,
+                 order_col: str | None = None):
+        """``scan(files_df) -> issues_df`` is the (batch) scan applied to changed files.
 
-    def _path(self, name: str, v: int) -> str:
-        return f"{self.root}/{name}/v{v:06d}"
+        ``order_col`` tells which of several versions of a path in one batch is the last;
+        without it the choice is by content hash, which is at least repeatable.
+        """
+        self.spark, self.scan, self.issues_schema, self.order_col = spark, scan, issues_schema, order_col
+        self.root = root or f"{checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
+        self.state = EpochTables(spark, self.root)
 
     def seed(self, files: DataFrame, issues: DataFrame) -> None:
-        files.select("repo_id", "path", F.sha2("content", 256).alias("h")).write \
-            .partitionBy("repo_id").parquet(self._path("snapshot", 0))
-        issues.write.partitionBy("repo_id").parquet(self._path("issues", 0))
+        snapshot = files.select("repo_id", "path", F.sha2("content", 256).alias("h"))
+        self.state.write("snapshot", SEED_EPOCH, snapshot, "repo_id")
+        self.state.write("issues", SEED_EPOCH, issues, "repo_id")
+        self.state.publish(SEED_EPOCH, None, snapshot.select(F.col("repo_id").alias("part")).distinct())
+
+    def _read(self, name: str, schema: str, manifest: DataFrame | None) -> DataFrame:
+        if manifest is None:
+            return self.spark.createDataFrame([], schema)
+        return self.state.read(name, manifest, schema)
 
     def snapshot(self) -> DataFrame:
-        return self.spark.read.parquet(self._path("snapshot", self.version))
+        return self._read("snapshot", SNAPSHOT, self.state.newest())
 
     def issues(self) -> DataFrame:
-        return self.spark.read.parquet(self._path("issues", self.version))
+        return self._read("issues", self.issues_schema, self.state.newest())
 
     def _batch(self, batch: DataFrame, epoch: int) -> None:
+        deleted = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
         new = batch.select("repo_id", "path", "content", "size", "language", "lines",
-                           F.sha2("content", 256).alias("h"))
-        old = self.snapshot()
+                           F.when(~deleted, F.sha2("content", 256)).alias("h"),
+                           *([self.order_col] if self.order_col else []))
+        order = [F.col(self.order_col).desc()] if self.order_col else []
+        last = Window.partitionBy("repo_id", "path").orderBy(*order, F.col("h").desc_nulls_last())
+        new = new.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+        base = self.state.newest(before=epoch)
+        touched = batch.select(F.col("repo_id").alias("part")).distinct()
+        old_parts = base.join(touched, "part", "left_semi") if base is not None else None
+        old = self._read("snapshot", SNAPSHOT, old_parts)
         changed = (new.join(old.withColumnRenamed("h", "_oh"), ["repo_id", "path"], "left")
-                   .filter(F.col("_oh").isNull() | (F.col("_oh") != F.col("h"))))
-        change_keys = changed.select("repo_id", "path", F.lit("modified").alias("change"))
-        merged = merge_rescan(self.issues(), self.scan(changed.drop("_oh", "h")), change_keys)
-        snap = old.join(change_keys, ["repo_id", "path"], "left_anti").unionByName(changed.select("repo_id", "path", "h"))
-        nxt = self.version + 1
-        merged.write.partitionBy("repo_id").parquet(self._path("issues", nxt))
-        snap.write.partitionBy("repo_id").parquet(self._path("snapshot", nxt))
-        self.version = nxt
+                   .filter(~F.col("_oh").eqNullSafe(F.col("h"))).persist())
+        try:
+            keys = changed.select("repo_id", "path")
+            alive = changed.filter(F.col("h").isNotNull())
+            merged = merge_rescan(self._read("issues", self.issues_schema, old_parts),
+                                  self.scan(alive.select("repo_id", "path", "content", "size", "language", "lines")), keys)
+            snapshot = old.join(keys, ["repo_id", "path"], "left_anti").unionByName(alive.select("repo_id", "path", "h"))
+            self.state.write("issues", epoch, merged, "repo_id")
+            self.state.write("snapshot", epoch, snapshot, "repo_id")
+            self.state.publish(epoch, base, touched)
+        finally:
+            changed.unpersist()
 
     def run(self, stream: DataFrame) -> DataFrame:
         q = (stream.writeStream.foreachBatch(self._batch)

@@ -1,10 +1,11 @@
 """Rule change feed as a stream: each micro-batch is folded into the catalogue.
 
 ``apply_rule_changes`` composes across batches (last value wins per field,
-toggle parity restarts at a deactivate, delete is final), so folding batch by
+toggle parity restarts at a set value, delete is final), so folding batch by
 batch with ``foreachBatch`` gives the same catalogue as folding the whole
-feed at once.  Every catalogue version is a new folder under the shared
-checkpoint directory; a failed batch leaves the previous version intact.
+feed at once.  The catalogue lives in ``EpochTables`` under the shared
+checkpoint directory, so a replayed batch or a reopened job gives the same
+catalogue.
 """
 
 from __future__ import annotations
@@ -12,28 +13,34 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strata.operators.catalogue import apply_rule_changes
 from strata.session import checkpoint_dir
+from strata.streaming.epochs import SEED_EPOCH, EpochTables
+
+PART = "all"
 
 
 class RuleFeed:
     def __init__(self, spark: SparkSession, catalogue: DataFrame, root: str | None = None):
+        """``catalogue`` seeds a new root; on a root that has one published, that one goes on."""
         self.spark = spark
         self.root = root or f"{checkpoint_dir(spark).rstrip('/')}/rule-feed-{uuid.uuid4().hex}"
-        self.version = 0
-        catalogue.write.parquet(self._path(0))
+        self.state = EpochTables(spark, self.root)
+        self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in catalogue.schema)
+        if self.state.newest() is None:
+            self._publish(SEED_EPOCH, catalogue)
 
-    def _path(self, v: int) -> str:
-        return f"{self.root}/catalogue/v{v:06d}"
+    def _publish(self, epoch: int, catalogue: DataFrame) -> None:
+        self.state.write("catalogue", epoch, catalogue.withColumn("_part", F.lit(PART)), "_part")
+        self.state.publish(epoch, None, self.spark.createDataFrame([(PART,)], "part string"))
 
-    def catalogue(self) -> DataFrame:
-        return self.spark.read.parquet(self._path(self.version))
+    def catalogue(self, before: int | None = None) -> DataFrame:
+        return self.state.read("catalogue", self.state.newest(before), self.schema)
 
     def _batch(self, changes: DataFrame, epoch: int) -> None:
-        nxt = self.version + 1
-        apply_rule_changes(self.catalogue(), changes).write.parquet(self._path(nxt))
-        self.version = nxt
+        self._publish(epoch, apply_rule_changes(self.catalogue(before=epoch), changes))
 
     def run(self, stream: DataFrame) -> DataFrame:
         q = (stream.writeStream.foreachBatch(self._batch)

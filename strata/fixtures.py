@@ -124,16 +124,22 @@ def findings(spark: SparkSession, sf_dir: str, file_table: DataFrame | None = No
     return dedupe_findings(raw_findings(spark, sf_dir, file_table))
 
 
-def blame_lines(spark: SparkSession, sf_dir: str, file_table: DataFrame | None = None) -> DataFrame:
+def blame_lines(spark: SparkSession, sf_dir: str, file_table: DataFrame | None = None,
+                only_files: DataFrame | None = None) -> DataFrame:
     """lineitem -> one blamed line per row.
 
-    file = the document file whose doc_id equals l_orderkey (so issues and
-    blame meet), line = position among the order's distinct line numbers,
-    author = supplier, commit = part key, ts = ship date.
+    file = l_orderkey: the document file of that id where there is one (so issues
+    and blame meet), else a file of its own; line = position among the order's
+    distinct line numbers, author = supplier, commit = part key, ts = ship date.
+    ``only_files`` (repo_id, path) restricts the work to those files before any
+    window runs.
     """
     li = table(spark, sf_dir, "lineitem")
     paths = (files(spark, sf_dir) if file_table is None else file_table).select(
         "repo_id", "path", F.regexp_extract("path", r"([0-9]+)[^/]*$", 1).cast("long").alias("_doc"))
+    if only_files is not None:
+        paths = paths.join(only_files.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+        li = li.join(paths.select("_doc"), li.l_orderkey == F.col("_doc"), "left_semi")
     # One window spec does both jobs: keep the first row of each (order, line number)
     # under a total order, and number the kept rows by dense rank of the line number.
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *[F.col(c) for c in li.columns if c != "l_orderkey"])
@@ -141,8 +147,9 @@ def blame_lines(spark: SparkSession, sf_dir: str, file_table: DataFrame | None =
                        F.dense_rank().over(w.orderBy("l_linenumber")).alias("_dr"))
     numbered = (marked.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("l_linenumber")))
                 .withColumn("line_number", F.col("_dr").cast("int")))
-    return numbered.join(paths, numbered.l_orderkey == paths._doc).select(
-        "repo_id", F.col("path").alias("file_path"), "line_number",
+    own = F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"), F.lit(".sql"))
+    return numbered.join(paths, numbered.l_orderkey == paths._doc, "left").select(
+        F.coalesce("repo_id", F.lit("orders")).alias("repo_id"), F.coalesce("path", own).alias("file_path"), "line_number",
         F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("author_name"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("@example.com")).alias("author_email"),
         F.lpad(F.hex(F.col("l_partkey")), 40, "0").alias("commit"),
@@ -219,24 +226,21 @@ def part_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat_ws("\n", "p_name", "p_type").alias("message"))
 
 
-def _log_block(c: DataFrame) -> DataFrame:
-    """One log block per commit: header, a hunk marker, a context line, N added lines."""
+def commit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commits -> log lines (repo_id, file_path, line_no, line), newest commit first: per commit a header, a
+    hunk marker, a context line and N added lines."""
+    from strata.operators.positions import positions
+    c = commits(spark, sf_dir)
     subject = F.when(F.col("deletions") == 0, F.concat(F.col("message"), F.lit(" | extra"))).otherwise(F.col("message"))
     header = F.concat_ws("|", F.col("commit"), F.concat(F.col("author"), F.lit("@example.com")),
                          F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), subject)
     n_add = (F.abs(F.col("insertions")) % 20 + 1).cast("int")
     adds = F.transform(F.sequence(F.lit(1), n_add), lambda i: F.concat(F.lit("+add "), i.cast("string")))
-    body = F.concat(F.array(F.lit("@@ -1 +1 @@"), F.lit(" context")), adds)
-    return c.select("repo_id", "file_path", "ts", "commit",
-                    F.concat_ws("\n", header, F.array_join(body, "\n")).alias("block"))
-
-
-def commit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """commits -> one log text per file, newest commit first (the logical input)."""
-    b = _log_block(commits(spark, sf_dir))
-    return (b.groupBy("repo_id", "file_path")
-            .agg(F.sort_array(F.collect_list(F.struct("ts", "commit", "block")), asc=False).alias("_b"))
-            .select("repo_id", "file_path", F.array_join(F.transform("_b", lambda x: x["block"]), "\n").alias("log_text")))
+    lines = c.select("repo_id", "file_path", "ts", "commit", F.posexplode(
+        F.concat(F.array(header, F.lit("@@ -1 +1 @@"), F.lit(" context")), adds)).alias("_i", "line"))
+    return positions(lines, ["repo_id", "file_path"], [("_day", F.datediff(F.lit("9999-12-31"), F.to_date("ts")))],
+                     [F.col("ts").desc(), F.col("commit").desc(), F.col("_i")], "line_no").select(
+        "repo_id", "file_path", "line_no", "line")
 
 
 # FIXED VALUES (fixture): event type -> scanner category, one per cascade branch family
@@ -303,10 +307,14 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations -> summary chunk events: system turns mark the summary unavailable."""
+    """conversations -> summary chunk events: system turns mark the summary unavailable; some later turns
+    replace the whole text (every ninth of those failed), complete the analysis, or report a failure."""
     c = table(spark, sf_dir, "conversations")
-    kind = F.when(F.col("role") == "system", F.lit("unavailable")).otherwise(F.lit("chunk"))
-    return c.select(F.col("conv_id").alias("analysis_id"), F.col("turn").alias("seq"), kind.alias("kind"), "text")
+    mark = F.col("conv_id") * 3 + F.col("turn")
+    kind = (F.when(F.col("role") == "system", "unavailable").when(mark % 11 == 5, "summary")
+            .when(mark % 7 == 3, "complete").when(mark % 29 == 8, "failed").otherwise("chunk"))
+    return c.select(F.col("conv_id").alias("analysis_id"), F.col("turn").alias("seq"), kind.alias("kind"), "text",
+                    F.when(mark % 9 == 0, "failed").otherwise("complete").alias("outcome"))
 
 
 # ---------------------------------------------------------------------------

@@ -9,38 +9,43 @@ from strata.operators.blame import iso_utc
 
 # A header line: 40 characters without '|', then at least three '|' in the line.
 HEADER_RE = r"^[^|\n]{40}\|[^\n]*\|[^\n]*\|"
-HEADER_SPLIT_RE = r"\n(?=[^|\n]{40}\|[^\n]*\|[^\n]*\|)"
+# Log lines numbered together by one task.
+LOG_BLOCK = 100_000
 
 REFACTOR_WORDS = ["refactor", "rename", "move"]
 
 
 def parse_commit_log(logs: DataFrame, keep_diff_lines: int = 15) -> DataFrame:
-    """One log text per (repo, file) -> one row per commit, last N diff lines kept.
+    """Log lines ``(repo_id, file_path, line_no, line)`` -> one row per commit, last N diff lines kept.
 
-    The text is cut in front of every header line with a look-ahead split, so
-    each commit's block stays inside the file's row: no window, no shuffle.
-    ``seq`` is the commit's position in the log (newest first).
+    Every line belongs to the last header at or before it.  Headers are counted per block of lines and
+    block offsets added, so a file's history is split over tasks however long it is; of each commit only
+    the last N diff lines are gathered (a group limit before the shuffle).  ``seq`` is the commit's
+    position in the log (newest first, from 0).
     """
-    blocks = logs.select("repo_id", "file_path",
-                         F.posexplode(F.split("log_text", HEADER_SPLIT_RE, -1)).alias("_b", "_block"))
-    lines = F.split("_block", "\n", -1)
-    head = F.element_at(lines, 1)
-    parsed = blocks.filter(head.rlike(HEADER_RE)).select(
-        "repo_id", "file_path", F.col("_b").alias("seq"), head.alias("_head"),
-        F.filter(F.slice(lines, 2, 1 << 30),
-                 lambda x: x.startswith("+") | x.startswith("-") | x.startswith(" ")).alias("_diff"))
-    parts = F.split("_head", r"\|", -1)
+    file = ["repo_id", "file_path"]
+    lines = logs.select(*file, "line_no", "line", F.floor(F.col("line_no") / LOG_BLOCK).alias("_block"),
+                        F.col("line").rlike(HEADER_RE).alias("_head"))
+    per_block = lines.groupBy(*file, "_block").agg(F.count_if("_head").alias("_n"))
+    before = Window.partitionBy(*file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(*file, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy(*file, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (lines.withColumn("_in", F.sum(F.col("_head").cast("int")).over(within))
+                .join(offsets, [*file, "_block"])
+                .withColumn("seq", (F.col("_off") + F.col("_in") - 1).cast("int")).filter("seq >= 0"))
+    parts = F.split("line", r"\|", -1)
     email = F.element_at(parts, 2)
-    n = F.size("_diff")
-    last = F.when(n > keep_diff_lines, F.slice("_diff", n - keep_diff_lines + 1, keep_diff_lines)).otherwise(F.col("_diff"))
-    return parsed.select(
-        "repo_id", "file_path", "seq",
-        F.element_at(parts, 1).alias("full_hash"),
-        F.substring(F.element_at(parts, 1), 1, 8).alias("commit_hash"),
+    heads = numbered.filter("_head").select(
+        *file, "seq", F.element_at(parts, 1).alias("full_hash"), F.substring(F.element_at(parts, 1), 1, 8).alias("commit_hash"),
         F.when(email.contains("@"), F.concat(email, F.lit(" <"), email, F.lit(">"))).otherwise(email).alias("author"),
         F.trim(F.element_at(parts, 3)).alias("date"),
-        F.trim(F.array_join(F.slice(parts, 4, 1 << 30), "|")).alias("message"),
-        F.array_join(last, "\n").alias("diff"))
+        F.trim(F.array_join(F.slice(parts, 4, 1 << 30), "|")).alias("message"))
+    newest_first = Window.partitionBy(*file, "seq").orderBy(F.col("line_no").desc())
+    diffs = (numbered.filter(~F.col("_head") & F.substring("line", 1, 1).isin("+", "-", " "))
+             .withColumn("_k", F.row_number().over(newest_first)).filter(F.col("_k") <= keep_diff_lines)
+             .groupBy(*file, "seq").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_d")))
+    return heads.join(diffs, [*file, "seq"], "left").select(
+        *heads.columns, F.array_join(F.transform(F.coalesce("_d", F.array()), lambda x: x["line"]), "\n").alias("diff"))
 
 
 def _at_least_one(n: int) -> int:

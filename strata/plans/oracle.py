@@ -372,14 +372,36 @@ FROM (SELECT CAST(user_id AS VARCHAR) AS analysis_id,
                       'step': CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END}}, event_id) AS l,
              count(*) AS steps
       FROM events GROUP BY user_id)"""
+ORACLE["progress_steps"] = f"""
+SELECT CAST(user_id AS VARCHAR) AS analysis_id, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS step,
+       event_type || ' #' || CAST(event_id AS VARCHAR) AS message,
+       CAST(floor(greatest(0.0, least(100.0, value))) AS INTEGER) AS progress, {X.iso_sql('ts')} AS timestamp
+FROM events"""
+# The state by event order: what each event sets, the last one that sets something counts.
 ORACLE["assemble_chunks"] = """
-SELECT analysis_id, md5(summary) AS summary_md5, CAST(length(summary) AS INTEGER) AS summary_chars, chunks,
-       CASE WHEN unavail > 0 THEN 'unavailable' WHEN length(summary) > 0 THEN 'complete' ELSE 'streaming' END AS status,
-       CASE WHEN chunks > 0 THEN 75 ELSE 0 END AS progress
-FROM (SELECT conv_id AS analysis_id,
-             coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS summary,
-             count(*) FILTER (WHERE role <> 'system') AS chunks, count(*) FILTER (WHERE role = 'system') AS unavail
-      FROM conversations GROUP BY conv_id)"""
+WITH ev AS (
+  SELECT conv_id AS id, turn AS seq, coalesce(text, '') AS t, text, (conv_id * 3 + turn) % 9 = 0 AS bad,
+         CASE WHEN role = 'system' THEN 'unavailable' WHEN (conv_id * 3 + turn) % 11 = 5 THEN 'summary'
+              WHEN (conv_id * 3 + turn) % 7 = 3 THEN 'complete' WHEN (conv_id * 3 + turn) % 29 = 8 THEN 'failed'
+              ELSE 'chunk' END AS kind
+  FROM conversations),
+seen AS (
+  SELECT *, max(CASE WHEN kind = 'summary' AND text IS NOT NULL THEN seq END) OVER w AS base,
+         max(CASE WHEN kind IN ('summary', 'chunk') AND t <> '' THEN seq END) OVER w AS told
+  FROM ev WINDOW w AS (PARTITION BY id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+sets AS (
+  SELECT *, CASE WHEN kind = 'chunk' THEN 'streaming' WHEN kind IN ('unavailable', 'failed') THEN kind
+                 WHEN kind = 'summary' AND bad THEN 'failed' WHEN kind = 'summary' AND t <> '' THEN 'complete'
+                 WHEN kind = 'complete' AND told >= coalesce(base, told) THEN 'complete' END AS status,
+         max(CASE WHEN kind = 'summary' AND text IS NOT NULL THEN seq END) OVER (PARTITION BY id) AS last_base
+  FROM seen)
+SELECT id AS analysis_id, md5(s) AS summary_md5, CAST(length(s) AS INTEGER) AS summary_chars, chunks, status, progress
+FROM (SELECT id, coalesce(string_agg(t, '' ORDER BY seq) FILTER (
+               WHERE seq = last_base OR kind = 'chunk' AND seq > coalesce(last_base, -1)), '') AS s,
+             count(*) FILTER (WHERE kind = 'chunk') AS chunks,
+             arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status,
+             CASE WHEN bool_or(kind = 'complete') THEN 100 WHEN bool_or(kind = 'chunk') THEN 75 ELSE 0 END AS progress
+      FROM sets GROUP BY id)"""
 
 # ---------------------------------------------------------------------------
 # 2.7 rule catalogue

@@ -155,8 +155,10 @@ from strata.operators import history as HI  # noqa: E402
 
 
 def _attributed(spark, sf_dir):
-    files = FX.files(spark, sf_dir)  # one documents scan feeds both findings and blame paths
-    return BL.attribute_issues(FX.findings(spark, sf_dir, files), FX.blame_lines(spark, sf_dir, files))
+    # findings are few beside blame lines: blame is reduced to their files before its window runs
+    findings = _landed_findings(spark, sf_dir)
+    hit = findings.select("repo_id", F.col("file_path").alias("path"))
+    return BL.attribute_issues(findings, FX.blame_lines(spark, sf_dir, only_files=hit))
 
 
 @register("expand_blame")
@@ -175,8 +177,9 @@ def q_attribute_issues(spark, sf_dir):
 
 @register("trace_line_origin")
 def q_trace_line_origin(spark, sf_dir):
-    req = FX.findings(spark, sf_dir).select("repo_id", "file_path", "line_number", "rule_id")
-    return BL.trace_line_origin(req, FX.blame_lines(spark, sf_dir), FX.part_commits(spark, sf_dir))
+    req = _landed_findings(spark, sf_dir).select("repo_id", "file_path", "line_number", "rule_id")
+    hit = req.select("repo_id", F.col("file_path").alias("path"))
+    return BL.trace_line_origin(req, FX.blame_lines(spark, sf_dir, only_files=hit), FX.part_commits(spark, sf_dir))
 
 
 @register("blame_authors")
@@ -403,6 +406,12 @@ def q_progress_state(spark, sf_dir):
         "analysis_id", "status", "progress", "message", "current_step", "steps", "is_complete")
 
 
+@register("progress_steps")
+def q_progress_steps(spark, sf_dir):
+    return PG.progress_steps(FX.progress_events(spark, sf_dir)).select(
+        "analysis_id", "seq", "step", "message", "progress", BL.iso_utc("timestamp").alias("timestamp"))
+
+
 @register("assemble_chunks")
 def q_assemble_chunks(spark, sf_dir):
     out = PG.assemble_chunks(FX.summary_chunks(spark, sf_dir))

@@ -170,7 +170,8 @@ def hidden_sql(path: str) -> str:
 
 def blame_lines_cte() -> str:
     return """blame_lines AS (
-  SELECT p.repo_id, p.path AS file_path, l.line_number,
+  SELECT coalesce(p.repo_id, 'orders') AS repo_id,
+         coalesce(p.path, 'orders/' || CAST(l.l_orderkey AS VARCHAR) || '.sql') AS file_path, l.line_number,
          'Supplier ' || CAST(l.l_suppkey AS VARCHAR) AS author_name,
          's' || CAST(l.l_suppkey AS VARCHAR) || '@example.com' AS author_email,
          lpad(upper(hex(l.l_partkey)), 40, '0') AS "commit", l.l_shipdate AS ts,
@@ -179,7 +180,7 @@ def blame_lines_cte() -> str:
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
                          l_tax, l_returnflag, l_linestatus, l_shipdate) AS k FROM lineitem) WHERE k = 1) l
-  JOIN (SELECT repo_id, path, CAST(regexp_extract(path, '([0-9]+)[^/]*$', 1) AS BIGINT) AS doc FROM files) p
+  LEFT JOIN (SELECT repo_id, path, CAST(regexp_extract(path, '([0-9]+)[^/]*$', 1) AS BIGINT) AS doc FROM files) p
     ON l.l_orderkey = p.doc
 )"""
 

@@ -4,8 +4,8 @@ An event is admitted when fewer than ``N`` *admitted* events of its key are
 younger than the window (age < 3600 s); rejected events do not count.  The
 decision depends on earlier decisions, so it is not a range-window count.
 
-Batch: the events are hash-partitioned by key (and idle-gap piece) and sorted
-by (key, ts, id) inside each partition (a secondary sort, no per-key
+Batch: the events are hash-partitioned by key and idle-gap piece and sorted
+by (key, piece, ts, id) inside each partition (a secondary sort, no per-key
 collection); one pass over the sorted partition carries at most ``N``
 admitted timestamps of the current key.  Memory is O(N) whatever the size of
 a key, and a hot key is split at every idle gap of one window or more.
@@ -63,20 +63,25 @@ def rate_limit(events: DataFrame, limit: int, key_col: str = "key", ts_col: str
 
     With ``split_idle_gaps`` a key's timeline is cut wherever two consecutive
     events are at least one window apart: no admitted event can reach across
-    such a gap, so the pieces are independent and exact.  The fold then runs per
-    (key, piece), spreading a hot key over many tasks; the gap marks come from
-    a JVM-side ``lag`` and running sum.
+    such a gap, so the pieces are independent and exact.  Such a gap always lies
+    between two occupied buckets of one window, so the gaps are found on the
+    buckets' first and last times (pre-aggregated, a row per key and bucket), and
+    no key's events are sorted as a whole.  The fold then runs per (key, piece).
+    A key without any gap is sequential by nature and stays one piece.
     """
     window_us = int(window_seconds) * 1_000_000
     src = events.select(F.col(key_col).cast("string").alias("key"), F.col(id_col).cast("long").alias("request_id"),
                         F.col(ts_col).alias("ts"))
     part_cols = ["key"]
     if split_idle_gaps:
-        w = Window.partitionBy("key").orderBy("ts", "request_id")
-        gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-        starts = F.when(gap.isNull() | (gap >= window_us), F.lit(1)).otherwise(F.lit(0))
-        src = src.withColumn("_start", starts).withColumn(
-            "_seg", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        src = src.withColumn("_bucket", F.floor(us / F.lit(window_us)))
+        buckets = src.groupBy("key", "_bucket").agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))
+        w = Window.partitionBy("key").orderBy("_bucket")
+        gap = F.col("_lo") - F.lag("_hi").over(w)
+        pieces = buckets.withColumn("_start", F.when(gap.isNull() | (gap >= window_us), 1).otherwise(0)).select(
+            "key", "_bucket", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_seg"))
+        src = src.join(pieces, ["key", "_bucket"]).drop("_bucket")
         part_cols = ["key", "_seg"]
     parts = (src.repartition(num_partitions, *part_cols) if num_partitions else src.repartition(*part_cols))
     ordered = parts.sortWithinPartitions(*part_cols, "ts", "request_id")
@@ -117,16 +122,22 @@ def rate_limit_stream(events: DataFrame, limit: int, key_col: str = "key", ts_co
             state.remove()
             return
         admitted = deque(state.get[0] if state.exists else [])
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "request_id"], kind="stable")
-        ts_us = pdf["ts"].values.astype("datetime64[us]").astype(np.int64)
+        # of the key's micro-batch only two numbers a row are held, for the order by time
+        times, ids = zip(*((p["ts"].values.astype("datetime64[us]").astype(np.int64), p["request_id"].to_numpy())
+                           for p in pdfs))
+        ts_us, ids = np.concatenate(times), np.concatenate(ids)
+        order = np.lexsort((ids, ts_us))
+        ts_us, ids = ts_us[order], ids[order]
         st = {"key": key[0], "q": admitted}
-        pdf = pdf.assign(admitted=_admit_sorted(np.array([key[0]] * len(pdf), dtype=object), ts_us,
-                                                limit, window_us, st))
+        flags = _admit_sorted(np.broadcast_to(np.array(key[0], dtype=object), len(ids)), ts_us, limit, window_us, st)
         kept = [int(x) for x in st["q"]]
         state.update((kept,))
         if kept:
             state.setTimeoutTimestamp((kept[-1] + window_us) // 1000)
-        yield pdf[["key", "request_id", "ts", "admitted"]]
+        for at in range(0, len(ids), 10_000):
+            part = slice(at, at + 10_000)
+            yield pd.DataFrame({"key": key[0], "request_id": ids[part], "ts": ts_us[part].astype("datetime64[us]"),
+                                "admitted": flags[part]})
 
     return src.groupBy("key").applyInPandasWithState(
         step, OUT_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")

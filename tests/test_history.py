@@ -19,8 +19,9 @@ def test_parse_commit_log_keeps_pipes_and_last_15(spark):
     header = "a" * 40 + "|dev@example.com|2024-01-01 00:00:00|subject | with pipe"
     diff = "\n".join(f"+line {i}" for i in range(1, 21))
     log = "noise before\n" + header + "\n@@ hunk @@\n" + diff
-    df = spark.createDataFrame([("r", "f.py", log)], "repo_id string, file_path string, log_text string")
-    r = HI.parse_commit_log(df).first()
+    df = spark.createDataFrame([("r", "f.py", i, x) for i, x in enumerate(log.split("\n"))],
+                               "repo_id string, file_path string, line_no long, line string")
+    r, = HI.parse_commit_log(df).collect()
     assert r.message == "subject | with pipe"
     assert r.author == "dev@example.com <dev@example.com>"
     assert r.diff.split("\n") == [f"+line {i}" for i in range(6, 21)]
@@ -54,3 +55,15 @@ def test_positions_equal_global_row_number(spark):
     a = sorted((r.event_id, r.position) for r in got.select("event_id", "position").collect())
     b = sorted((r.event_id, r.position) for r in want.select("event_id", "position").collect())
     assert a == b
+
+
+def test_parse_commit_log_is_the_same_over_many_blocks(spark, monkeypatch):
+    log = ["noise"]
+    for c in range(40):
+        log += [f"{c:040d}|dev|d|subject {c}", "@@"] + [f"{'+- '[k % 3]}line {c} {k}" for k in range(c % 23)]
+    df = spark.createDataFrame([("r", "f", i, x) for i, x in enumerate(log)], "repo_id string, file_path string, line_no long, line string")
+    whole = sorted(map(tuple, HI.parse_commit_log(df).collect()))
+    monkeypatch.setattr(HI, "LOG_BLOCK", 7)
+    assert sorted(map(tuple, HI.parse_commit_log(df).collect())) == whole
+    assert [r[2] for r in whole] == list(range(40))
+    assert whole[22][-1].split("\n") == [f"{'+- '[k % 3]}line 22 {k}" for k in range(7, 22)]

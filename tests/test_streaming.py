@@ -54,8 +54,9 @@ def test_progress_state_batch_equals_stream(spark):
     ev.write.parquet(src)
     stream = spark.readStream.schema(ev.schema).parquet(src)
     name = f"pg_{uuid.uuid4().hex[:8]}"
-    got = _run_stream(spark, PG.progress_state_stream(stream), name, "complete")
+    got = _run_stream(spark, PG.progress_state_stream(stream), name, "update")
     cols = ["analysis_id", "status", "progress", "message", "current_step", "steps"]
+    assert got.agg(F.sum("late")).first()[0] == 0
     a = sorted(map(tuple, PG.progress_state(ev).select(cols).collect()))
     b = sorted(map(tuple, got.select(cols).collect()))
     assert a == b
@@ -63,10 +64,15 @@ def test_progress_state_batch_equals_stream(spark):
 
 def test_assemble_chunks_terminal_states(spark):
     rows = [("a", 1, "chunk", "Hel"), ("a", 2, "chunk", "lo"), ("b", 1, "unavailable", None), ("c", 1, "failed", None)]
+    rows += [("a", 3, "complete", None), ("d", 1, "unavailable", None), ("d", 2, "chunk", "x"), ("d", 3, "complete", None),
+             ("e", 1, "chunk", "draft"), ("e", 2, "summary", "final"), ("f", 1, "chunk", "t"), ("f", 2, "unavailable", None),
+             ("g", 1, "unavailable", None), ("g", 2, "complete", None), ("h", 1, "chunk", "old"), ("h", 2, "start", None),
+             ("h", 3, "chunk", "new"), ("i", 1, "chunk", "k"), ("i", 2, "summary", None)]
     df = spark.createDataFrame(rows, "analysis_id string, seq long, kind string, text string")
     got = {r.analysis_id: (r.summary, r.status, r.progress) for r in PG.assemble_chunks(df).collect()}
-    assert got["a"] == ("Hello", "complete", 75)
-    assert got["b"][1] == "unavailable" and got["c"][1] == "failed"
+    assert got == {"a": ("Hello", "complete", 100), "b": ("", "unavailable", 0), "c": ("", "failed", 0),
+                   "d": ("x", "complete", 100), "e": ("final", "complete", 75), "f": ("t", "unavailable", 75),
+                   "g": ("", "unavailable", 100), "h": ("new", "streaming", 75), "i": ("k", "streaming", 75)}
 
 
 def test_assemble_chunks_batch_equals_stream(spark):
@@ -75,8 +81,9 @@ def test_assemble_chunks_batch_equals_stream(spark):
     ch.write.parquet(src)
     stream = spark.readStream.schema(ch.schema).parquet(src)
     name = f"ch_{uuid.uuid4().hex[:8]}"
-    got = _run_stream(spark, PG.assemble_chunks_stream(stream), name, "complete")
+    got = _run_stream(spark, PG.assemble_chunks_stream(stream), name, "update")
     cols = ["analysis_id", "summary", "chunks", "status", "progress"]
+    ch = ch.withColumn("analysis_id", F.col("analysis_id").cast("string"))
     a = sorted(map(tuple, PG.assemble_chunks(ch).select(cols).collect()))
     b = sorted(map(tuple, got.select(cols).collect()))
     assert a == b

@@ -17,7 +17,8 @@ from strata.session import table
 
 # FIXED VALUES (fixture): suffix cycle and top directory cycle for document-backed files
 FIXTURE_EXTS = [".py", ".js", ".ts", ".java", ".go", ".rb", ".php", ".c", ".cpp", ".cs",
-                ".rs", ".kt", ".swift", ".sh", ".md", ".txt", ".dart", ".json", ".min.js", ".lock"]
+                ".rs", ".kt", ".swift", ".sh", ".md", ".txt", ".dart", ".json", ".min.js", ".lock",
+                ".rake", ".zsh", ".hpp", ".es6", ".php5", ".wsgi", ".csx", ".jsx", ".unknown"]
 FIXTURE_DIRS = ["src", "app", "lib", "src/core", "tests", "node_modules", "build", "vendor", ""]
 
 # FIXED VALUES (fixture): regex-engine rules that hit the generated documents.
@@ -55,6 +56,17 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id")).distinct()
 
 
+def repo_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One analysis per repository, some (by name) still running or without an end time."""
+    r = repos(spark, sf_dir)
+    return r.select(F.concat(F.lit("analysis-"), "repo_id").alias("id"), "repo_id",
+                    F.concat(F.lit("https://github.com/org/"), "repo_id").alias("repo_url"),
+                    F.when(F.col("repo_id").endswith("5"), "analyzing").otherwise("complete").alias("status"),
+                    F.lit(FIXTURE_CREATED).cast("timestamp").alias("created_at"),
+                    F.when(~F.col("repo_id").endswith("7"), (F.lit(FIXTURE_CREATED).cast("timestamp")
+                                                             + F.expr("INTERVAL 1 HOUR"))).alias("completed_at"))
+
+
 def files_snapshot_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later snapshot: every 7th document edited, every 11th removed, every 13th copied to a new path."""
     d = table(spark, sf_dir, "documents")

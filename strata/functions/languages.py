@@ -18,11 +18,19 @@ def language_map_df(spark: SparkSession, mapping: dict | None = None) -> DataFra
     return spark.createDataFrame(sorted(mapping.items()), "ext string, map_language string")
 
 
+def read_language_map(spark: SparkSession, path: str) -> DataFrame:
+    """A suffix catalogue from CSV with a header (suffix, language); suffixes are lower-cased, the first row
+    of a suffix in language order counts."""
+    rows = spark.read.options(header=True, escape='"').csv(path)
+    ext, language = rows.columns[:2]
+    return rows.groupBy(F.lower(F.trim(ext)).alias("ext")).agg(F.min(F.trim(language)).alias("map_language"))
+
+
 def detect_language(files: DataFrame, path_col: str = "path", out_col: str = "language",
                     language_map: DataFrame | None = None) -> DataFrame:
     """Dockerfile names, else lower-cased last suffix looked up in the map, else ``plaintext``.
 
-    The fixed map is a literal table of about nine hundred rows, which the planner
+    The default map is a literal table of some hundred rows, which the planner
     broadcasts by its size; a caller's map is joined as its own size suggests.
     """
     spark = files.sparkSession

@@ -92,7 +92,7 @@ def system_stats(users: DataFrame, projects: DataFrame, analyses: DataFrame, fil
 
 
 def user_usage(users: DataFrame, memberships: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Per user: projects, analyses and storage of those analyses; newest user first."""
+    """Per user: projects, analyses and storage of those analyses, newest user first."""
     per_project = analyses.filter(F.col("project_id").isNotNull()).groupBy("project_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("storage_bytes").alias("_bytes"))
     m = memberships.join(per_project, "project_id", "left").groupBy("user_id").agg(
@@ -104,7 +104,20 @@ def user_usage(users: DataFrame, memberships: DataFrame, analyses: DataFrame) ->
     storage = F.coalesce("storage_bytes", F.lit(0))
     return j.select("user_id", "username", F.coalesce("projects", F.lit(0)).alias("projects"),
                     F.coalesce("analyses", F.lit(0)).alias("analyses"), storage.alias("storage_bytes"),
-                    mb_2dp(storage).alias("storage_mb"), "created_at")
+                    mb_2dp(storage).alias("storage_mb"), "created_at").orderBy(F.col("created_at").desc(), "user_id")
+
+
+def user_projects(memberships: DataFrame, projects: DataFrame) -> DataFrame:
+    """The projects of every user with the user's role, one row each (``user_usage`` counts them)."""
+    p = projects.select(F.col("id").alias("project_id"), "repo_name", "repo_url")
+    return memberships.select("user_id", "project_id", "role", "added_at").join(p, "project_id")
+
+
+def project_collaborators(memberships: DataFrame, users: DataFrame) -> DataFrame:
+    """The members of every project, one row each: beside ``project_listing`` these rows are the nested
+    lists of the service, without a pair for every two members."""
+    u = users.select(F.col("id").alias("user_id"), "username", "email")
+    return memberships.select("project_id", "user_id", "role", "added_at").join(u, "user_id")
 
 
 def repo_inventory(projects: DataFrame, memberships: DataFrame, analyses: DataFrame) -> DataFrame:

@@ -626,8 +626,9 @@ SELECT (SELECT count(*) FROM supplier) AS users, (SELECT count(*) FROM customer)
        (SELECT count(*) FROM an) AS analyses, (SELECT count(*) FROM an WHERE status = 'complete') AS completed,
        (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM files) AS storage_bytes,
        floor(((SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM files) * 200 + 1048576) / (2 * 1048576)) / 100.0 AS storage_mb""")
-ORACLE["user_usage"] = X.with_ctes(_MEM, body="""
+ORACLE["user_usage"] = X.with_ctes(_MEM, body=f"""
 SELECT s.s_suppkey AS user_id, s.s_name AS username, coalesce(u.projects, 0) AS projects,
+       {X.iso_sql("TIMESTAMP '2024-01-01' + to_days(CAST(s.s_suppkey AS INTEGER))")} AS created_at,
        CAST(coalesce(u.analyses, 0) AS BIGINT) AS analyses, CAST(coalesce(u.storage_bytes, 0) AS BIGINT) AS storage_bytes
 FROM supplier s LEFT JOIN (
   SELECT m.user_id, count(*) AS projects, coalesce(sum(a.n), 0) AS analyses, coalesce(sum(a.b), 0) AS storage_bytes
@@ -855,3 +856,27 @@ LEFT JOIN {_TOP.format("defect_family")} fam ON r.repo_id = fam.repo_id
 LEFT JOIN {_TOP.format("rule_id")} rul ON r.repo_id = rul.repo_id
 LEFT JOIN (SELECT repo_id, string_agg(concat_ws(':', file, CAST(line AS VARCHAR), severity, family, rule_id, message), '|'
                                       ORDER BY position) AS reps FROM reps GROUP BY repo_id) x ON r.repo_id = x.repo_id""")
+
+_REPORT_SEV = ["blocker", "critical", "high", "medium", "low", "info", "trace"]
+_SEV_TEXT = " || ',' || ".join(f"{X.q(n + ':')} || CAST(coalesce(s.{n}, 0) AS VARCHAR)" for n in _REPORT_SEV)
+_SEV_N = ", ".join(f"count(*) FILTER (WHERE coalesce(severity, 'info') = {X.q(n)}) AS {n}" for n in _REPORT_SEV)
+ORACLE["export_report_json"] = X.with_ctes(*_AT, _HS, body=f"""
+SELECT 'analysis-' || hs.repo_id AS analysis_id, 'https://github.com/org/' || hs.repo_id AS repository,
+       CASE WHEN ends_with(hs.repo_id, '7') THEN '2026-01-01T00:00:00+00:00' ELSE '2026-01-01T01:00:00+00:00' END AS analyzed_at,
+       health_score, t.n AS total_files, t.lines AS total_lines, total_issues,
+       {_SEV_TEXT} || coalesce(',' || o.names, '') AS severity_summary,
+       CAST(coalesce(p.n, 0) AS BIGINT) AS contributors, total_issues AS attributed_issues
+FROM hs
+LEFT JOIN (SELECT repo_id, {_SEV_N} FROM findings GROUP BY 1) s ON s.repo_id = hs.repo_id
+LEFT JOIN (SELECT repo_id, string_agg(severity || ':' || CAST(n AS VARCHAR), ',' ORDER BY severity) AS names
+           FROM (SELECT repo_id, severity, count(*) AS n FROM findings WHERE severity NOT IN {X.in_list(_REPORT_SEV)} GROUP BY ALL)
+           GROUP BY 1) o ON o.repo_id = hs.repo_id
+LEFT JOIN (SELECT repo_id, count(*) AS n, CAST(sum(lines) AS BIGINT) AS lines FROM files GROUP BY 1) t ON t.repo_id = hs.repo_id
+LEFT JOIN (SELECT repo_id, count(DISTINCT coalesce(origin_author_email, 'unknown@example.com')) AS n FROM attributed GROUP BY 1) p
+  ON p.repo_id = hs.repo_id
+WHERE NOT ends_with(hs.repo_id, '5')""")
+ORACLE["user_projects"] = X.with_ctes(_MEM, body="""
+SELECT user_id, project_id, 'org' || CAST(project_id AS VARCHAR) || '/repo' AS repo_name, role FROM mem""")
+ORACLE["project_collaborators"] = X.with_ctes(_MEM, body=f"""
+SELECT project_id, user_id, s_name AS username, role, {X.iso_sql('added_at')} AS added_at
+FROM mem JOIN supplier ON user_id = s_suppkey""")

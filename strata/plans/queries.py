@@ -450,13 +450,13 @@ def q_import_rules_csv(spark, sf_dir):
 
 @register("import_rules_json")
 def q_import_rules_json(spark, sf_dir):
-    # several documents, each one JSON array of rules
+    # several files of array documents (a thousand rules each at most), in the batch's order
     path = _scratch(spark, "rules-json")
     batch = FX.rule_imports(spark, sf_dir)
-    (batch.repartitionByRange(4, "idx").select(F.spark_partition_id().alias("part"), F.struct(*batch.columns).alias("r"))
-     .groupBy("part").agg(F.sort_array(F.collect_list("r")).alias("rules"))
-     .repartitionByRange(4, "part").sortWithinPartitions("part").select(F.to_json("rules").alias("value")).write.text(path))
-    v = CT.bulk_import_rules(CT.read_rules_json(spark, path, multiline=True), FX.existing_rule_ids(spark, sf_dir),
+    (batch.groupBy(F.floor(F.col("idx") / 1000).alias("document"))
+     .agg(F.to_json(F.sort_array(F.collect_list(F.struct(*batch.columns)))).alias("value"))
+     .repartitionByRange(4, "document").sortWithinPartitions("document").select("value").write.text(path))
+    v = CT.bulk_import_rules(CT.read_rules_json(spark, path), FX.existing_rule_ids(spark, sf_dir),
                              "position")
     return v.select(F.col("idx").cast("bigint").alias("idx"), F.col("_rid").alias("rule_id"), "status", "error")
 
@@ -556,7 +556,20 @@ def q_system_stats(spark, sf_dir):
 @register("user_usage")
 def q_user_usage(spark, sf_dir):
     out = AD.user_usage(FX.users(spark, sf_dir), FX.memberships(spark, sf_dir), FX.analyses(spark, sf_dir))
-    return out.select("user_id", "username", "projects", "analyses", "storage_bytes")
+    return out.select("user_id", "username", "projects", "analyses", "storage_bytes",
+                      BL.iso_utc("created_at").alias("created_at"))
+
+
+@register("user_projects")
+def q_user_projects(spark, sf_dir):
+    return AD.user_projects(FX.memberships(spark, sf_dir), FX.projects(spark, sf_dir)).select(
+        "user_id", "project_id", "repo_name", "role")
+
+
+@register("project_collaborators")
+def q_project_collaborators(spark, sf_dir):
+    return AD.project_collaborators(FX.memberships(spark, sf_dir), FX.users(spark, sf_dir)).select(
+        "project_id", "user_id", "username", "role", BL.iso_utc("added_at").alias("added_at"))
 
 
 @register("repo_inventory")
@@ -632,7 +645,17 @@ def q_normalize_issue(spark, sf_dir):
 
 @register("export_report_json")
 def q_export_report_json(spark, sf_dir):
-    return JC.report_summaries(_attributed(spark, sf_dir), FX.files(spark, sf_dir))
+    analyses = FX.repo_analyses(spark, sf_dir)
+    issues = land(_attributed(spark, sf_dir), "attributed")
+    reports = JC.completed_reports(analyses, issues, FX.files(spark, sf_dir))
+    people = JC.report_contributors(analyses, issues).groupBy("analysis_id").agg(
+        F.count(F.lit(1)).alias("contributors"), F.sum("count").cast("long").alias("attributed_issues"))
+    severities = F.array_join(F.transform("severity_summary", lambda x: F.concat_ws(":", x["severity"], x["count"].cast("string"))), ",")
+    return reports.join(people, "analysis_id", "left").select(
+        "analysis_id", "repository", BL.iso_utc("analyzed_at").alias("analyzed_at"), "health_score", "total_files",
+        "total_lines", "total_issues", severities.alias("severity_summary"),
+        F.coalesce("contributors", F.lit(0)).alias("contributors"),
+        F.coalesce("attributed_issues", F.lit(0)).alias("attributed_issues"))
 
 
 @register("scan_multiline_rules")

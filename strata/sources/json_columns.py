@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators import rollups as RU
-from strata.functions.severity import health_grade
 
 # Logical types of the analysis record's JSON-text columns
 JSON_COLUMNS = {
@@ -41,31 +40,56 @@ def encode_json_columns(df: DataFrame, columns) -> DataFrame:
     return out
 
 
-def report_summaries(issues: DataFrame, files: DataFrame, top_contributors: int = 10) -> DataFrame:
-    """One bounded summary document per repository: score, grade, severity map,
-    top families, top contributors.  Issues and the file tree are NOT nested here
-    (they are unbounded); ``export_report_json`` writes them as line-delimited
-    JSON partitioned by repository next to this document."""
-    hs = RU.health_score(issues, files.select("repo_id"))
-    sev = RU.severity_summary(issues)
-    sev_map = F.create_map(*[x for s in ["blocker", "critical", "high", "medium", "low", "info", "trace"]
-                             for x in (F.lit(s), F.coalesce(F.col(s), F.lit(0)))])
-    fams = RU.family_hotspots(issues).groupBy("repo_id").agg(  # at most 8 rows per repository
-        F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("rank", "family", "count"))),
-                                       lambda x: F.struct(x["family"], x["count"]))).alias("top_families"))
-    authors = RU.contributor_fallback(issues, top_contributors).groupBy("repo_id").agg(  # top-k rows only
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "name", "email", "count"))),
-                    lambda x: F.struct(x["name"], x["email"], x["count"])).alias("contributors"))
-    j = hs.join(sev, "repo_id", "left").join(fams, "repo_id", "left").join(authors, "repo_id", "left")
-    doc = F.struct(F.col("repo_id"), F.col("health_score"), health_grade("health_score").alias("grade"),
-                   F.col("total_issues"), sev_map.alias("severity"), F.col("top_families"), F.col("contributors"))
-    return j.select("repo_id", "total_issues", F.to_json(doc).alias("report"))
-
-
-def export_report_json(issues: DataFrame, files: DataFrame, path: str) -> None:
-    """Write per repository: ``summary`` (one JSON document), ``issues`` and
-    ``file_tree`` (JSON lines), each partitioned by ``repo_id``."""
-    report_summaries(issues, files).select("repo_id", "report").write.mode("overwrite") \
-        .partitionBy("repo_id").text(f"{path}/summary")
-    issues.write.mode("overwrite").partitionBy("repo_id").json(f"{path}/issues")
-    files.drop("content").write.mode("overwrite").partitionBy("repo_id").json(f"{path}/file_tree")
+# FIXED VALUE: the severities that a report always lists, in its order
+REPORT_SEVERITIES = ["blocker", "critical", "high", "medium", "low", "info", "trace"]
+
+
+def completed_reports(analyses: DataFrame, issues: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per completed analysis: metadata and summary of its report.
+
+    ``analyses(id, repo_id, repo_url, status, created_at, completed_at)``; an analysis that is not complete
+    has no report.  ``severity_summary`` lists the seven known severities (zero if none) and every other
+    name found; an issue without a severity counts as ``info``.  ``issues`` are read twice (pass a landed
+    table), ``files`` once.
+    """
+    hs = RU.health_score(issues, analyses.select("repo_id"))
+    named = issues.groupBy("repo_id", F.coalesce("severity", F.lit("info")).alias("_sev")).agg(F.count(F.lit(1)).alias("_n"))
+    listed = F.array(*map(F.lit, REPORT_SEVERITIES))
+    counts = named.groupBy("repo_id").agg(  # one entry per severity name
+        F.map_from_entries(F.collect_list(F.struct("_sev", "_n"))).alias("_counts"))
+    found = F.coalesce("_counts", F.create_map().cast("map<string,bigint>"))
+    known = F.transform(listed, lambda s: F.struct(s.alias("severity"), F.coalesce(F.element_at(found, s), F.lit(0).cast("long")).alias("count")))
+    others = F.array_sort(F.filter(F.transform(F.map_entries(found), lambda e: F.struct(
+        e["key"].alias("severity"), e["value"].alias("count"))), lambda e: ~F.array_contains(listed, e["severity"])))
+    totals = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_files"), F.sum("lines").cast("long").alias("total_lines"))
+    done = analyses.filter(F.col("status") == "complete").select(
+        F.col("id").alias("analysis_id"), "repo_id", F.col("repo_url").alias("repository"),
+        F.coalesce("completed_at", "created_at").alias("analyzed_at"))
+    return (done.join(hs, "repo_id", "left").join(counts, "repo_id", "left").join(totals, "repo_id", "left")
+            .select("analysis_id", "repo_id", "repository", "analyzed_at",
+                    F.coalesce("health_score", F.lit(0)).alias("health_score"),
+                    F.coalesce("total_files", F.lit(0)).alias("total_files"), F.coalesce("total_lines", F.lit(0)).alias("total_lines"),
+                    F.coalesce("total_issues", F.lit(0)).alias("total_issues"),
+                    F.concat(known, others).alias("severity_summary")))
+
+
+def report_contributors(analyses: DataFrame, issues: DataFrame) -> DataFrame:
+    """Every contributor of each completed analysis, one row each: analysis_id, email, name, count."""
+    done = analyses.filter(F.col("status") == "complete").select(F.col("id").alias("analysis_id"), "repo_id")
+    return RU.contributor_stats(issues).join(done, "repo_id").select("analysis_id", "repo_id", "email", "name", "count")
+
+
+def export_report_json(analyses: DataFrame, issues: DataFrame, files: DataFrame, path: str) -> None:
+    """Reports of the completed analyses as JSON lines partitioned by repository: ``summary`` (one document
+    per analysis: metadata and summary), ``contributors`` (all; the counts are the report's user statistics),
+    ``issues`` and ``file_tree``.  The unbounded lists are rows, not one nested document."""
+    doc = F.struct(F.struct("repository", "analysis_id", F.date_format("analyzed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("analyzed_at"))
+                   .alias("metadata"),
+                   F.struct("health_score", "total_files", "total_lines", "total_issues", F.map_from_entries("severity_summary")
+                            .alias("severity_summary")).alias("summary"))
+    done = analyses.filter(F.col("status") == "complete").select("repo_id").distinct()
+    completed_reports(analyses, issues, files).select("repo_id", F.to_json(doc).alias("report")) \
+        .write.mode("overwrite").partitionBy("repo_id").text(f"{path}/summary")
+    report_contributors(analyses, issues).write.mode("overwrite").partitionBy("repo_id").json(f"{path}/contributors")
+    issues.join(done, "repo_id", "left_semi").write.mode("overwrite").partitionBy("repo_id").json(f"{path}/issues")
+    files.drop("content").join(done, "repo_id", "left_semi").write.mode("overwrite").partitionBy("repo_id").json(f"{path}/file_tree")

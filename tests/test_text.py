@@ -51,3 +51,14 @@ def test_hidden_files_keep_config_suffixes(spark):
     from strata.functions.paths import is_hidden
     df = spark.createDataFrame([(".env",), (".local.env",), ("a/.gitignore",), ("a/.x.gitignore",), ("b.py",)], "p string")
     assert [r[0] for r in df.select(is_hidden("p")).collect()] == [True, False, True, False, False]
+
+
+def test_language_catalogue_as_a_parameter(spark, tmp_path):
+    from strata.functions.languages import detect_language, read_language_map
+    path = tmp_path / "languages.csv"
+    path.write_text("suffix,language\n.ADA,ada\n.f90,fortran\n.py,python\n")
+    files = spark.createDataFrame([("a.ada",), ("b.F90",), ("c.rake",), ("Dockerfile",)], "path string")
+    catalogue = read_language_map(spark, str(path))
+    got = {r.path: r.language for r in detect_language(files, language_map=catalogue).collect()}
+    assert got == {"a.ada": "ada", "b.F90": "fortran", "c.rake": "plaintext", "Dockerfile": "dockerfile"}
+    assert {r.path: r.language for r in detect_language(files).collect()}["c.rake"] == "ruby"

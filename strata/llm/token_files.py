@@ -24,6 +24,7 @@ doc_id are ordered by their text's hash; an empty table has no files and no rows
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -45,7 +46,7 @@ END_ID = 2
 #: Blocks encoded or decoded at once, and words kept in a worker's cache (they bound memory, not results).
 BLOCKS_AT_ONCE = 256
 CACHE_WORDS = 600_000
-_WORDS: dict[str, dict[bytes, bytes]] = {}  # of this worker process, by vocabulary
+_WORDS: dict[str, tuple[dict, dict]] = {}  # words and pieces of this worker process, by vocabulary
 _HEAD = struct.Struct("<IIBI")
 _TRAILER = struct.Struct("<QQQQ8s")
 _DOCUMENT = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("first", "<u8"), ("tokens", "<u8")])
@@ -163,11 +164,25 @@ class TokenFile:
 
 # ---- documents --------------------------------------------------------------------------------------------------
 
+#: A word of Latin letters and closing marks, in characters that normalisation leaves alone: the tokenizer splits it
+#: into these two pieces (other words, with digits, apostrophes or other scripts, go through it whole; so does the dotted capital I, which
+#: lower-cases to two characters).
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter by which byte-level vocabularies write each byte."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Ids of a text from its words, each encoded once."""
+    """Ids of a text from its words, each encoded once; pieces of plain words are shared between words."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = json_tokenizer(path), _WORDS.setdefault(path, {})
+        self.tokenizer, (self.known, self.pieces) = json_tokenizer(path), _WORDS.setdefault(path, ({}, {}))
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     @staticmethod
     def words(text: str | None) -> list[bytes]:
@@ -175,16 +190,38 @@ class WordEncoder:
         # the tokenizer lower-cases all but its special tokens (<|...|>); fewer words to know
         return (raw if b"<|" in raw else raw.lower()).split()
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece that the tokenizer's normaliser and splitter would hand to its model."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            found = [t.id for t in self.model.tokenize(spelled)]
+            ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def learn(self, new: list[bytes]) -> None:
+        whole = []
+        for w in new:
+            m = PLAIN.fullmatch(w.decode("utf-8", "replace"))
+            if m is None:
+                whole.append(w)
+            else:
+                # letter by letter, as the tokenizer does
+                stem = m[1].lower() if m[1].isascii() else "".join(c.lower() for c in m[1])
+                self.known[w] = self.piece(stem) + (self.piece(m[2]) if m[2] else b"")
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in whole],
+                                                                add_special_tokens=False)):
+            self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         tokens = [self.words(t) for t in texts]
-        wanted = {w for ws in tokens for w in ws}
+        wanted = set().union(*tokens)
         new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
+            self.pieces.clear()
             new = list(wanted)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new],
-                                                              add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(new)
         end = struct.pack("<I", END_ID)
         return [np.frombuffer(b"".join([*map(self.known.__getitem__, ws), end]), "<u4") for ws in tokens]
 

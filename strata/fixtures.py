@@ -288,6 +288,24 @@ def external_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("event_id"), report.alias("report"))
 
 
+# FIXED VALUES (fixture): scanner words and check names, one per branch of the mappings and some that fit none
+SCANNER_WORDS = ["ERROR", "warning", "Info", "", "NOTE", None]
+SCANNER_CHECKS = ["java.xss.echo", "ssrf-request", "path.traversal", "traverse.only", "pickle.loads", "LDAP.query",
+                  "hardcoded-token", "weak.hash", "csrf.missing", "old.package", "style.tabs", "best.effort", "misc"]
+SCANNER_CATEGORIES = ["", "security", "SQL", "session handling", None]
+
+
+def scanner_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> severity words, checks and categories, with and without a rule's own severity and family."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    return e.select(
+        "event_id", _cycle(SCANNER_WORDS, i).alias("word"), _cycle(SCANNER_CHECKS, i).alias("check_id"),
+        _cycle(SCANNER_CATEGORIES, F.floor(i / 13)).alias("category"),
+        F.when(i % 7 == 0, "blocker").when(i % 7 == 1, "").alias("rule_severity"),
+        F.when(i % 17 == 0, "auth").when(i % 17 == 1, "").alias("rule_family"))
+
+
 def fix_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> model responses: mostly JSON objects, every tenth one cut short."""
     e = table(spark, sf_dir, "events")

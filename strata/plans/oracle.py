@@ -71,8 +71,13 @@ FROM (SELECT repo_id, issue_count, array_to_string(parts[1:k], '/') AS directory
       FROM (SELECT repo_id, issue_count, parts, unnest(generate_series(1, len(parts) - 1)) AS k
             FROM (SELECT repo_id, issue_count, string_split(path, '/') AS parts FROM file_counts)))
 GROUP BY ALL""")
-ORACLE["code_snippet"] = X.with_ctes(*X.base_scan_ctes(),
-                                     body="SELECT repo_id, file_path, line_number, rule_id, code_snippet FROM findings")
+ORACLE["code_snippet"] = X.with_ctes(*_F, body=f"""
+SELECT repo_id, path, s.line AS line, s.stop AS "end",
+       md5(array_to_string(arr[greatest(1, s.line - 1):least(len(arr), s.stop + 1)], chr(10))) AS snippet_md5
+FROM (SELECT repo_id, path, arr, unnest([{{'line': 1, 'stop': 1}}, {{'line': mid, 'stop': mid}}, {{'line': n, 'stop': n}},
+                                         {{'line': mid, 'stop': n}}]) AS s
+      FROM (SELECT repo_id, path, arr, CAST(len(arr) AS INTEGER) AS n, CAST(floor((len(arr) + 1) / 2) AS INTEGER) AS mid
+            FROM (SELECT repo_id, path, {X.split_lines_sql('content')} AS arr FROM files) WHERE len(arr) > 0))""")
 ORACLE["clip_diff"] = """
 SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:30], chr(10))) AS clip30,
        md5(substring(text, 1, 500)) AS clip500,
@@ -298,8 +303,19 @@ _EXT = f"""ext AS (
 ORACLE["ingest_external_findings"] = X.with_ctes(_EXT, body="""
 SELECT repo_id, rule_id, 'external' AS engine_source, file_path, line_number, severity, defect_family, message, fix_hint,
        cwe_id, owasp_ref, code_snippet, issue_type, line_number AS end_line, 3 AS "column" FROM ext""")
-ORACLE["map_external_severity"] = X.with_ctes(_EXT, body="SELECT repo_id, rule_id, line_number, severity FROM ext")
-ORACLE["classify_defect_family"] = X.with_ctes(_EXT, body="SELECT repo_id, rule_id, line_number, defect_family FROM ext")
+_WORDS = f"""words AS (
+  SELECT event_id, {X.str_list(FX.SCANNER_WORDS)}[CAST(event_id % {len(FX.SCANNER_WORDS)} + 1 AS INTEGER)] AS word,
+         {X.str_list(FX.SCANNER_CHECKS)}[CAST(event_id % {len(FX.SCANNER_CHECKS)} + 1 AS INTEGER)] AS check_id,
+         {X.str_list(FX.SCANNER_CATEGORIES)}[CAST(floor(event_id / 13) % {len(FX.SCANNER_CATEGORIES)} + 1 AS INTEGER)] AS category
+  FROM events)"""
+ORACLE["map_external_severity"] = X.with_ctes(_WORDS, body="""
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'blocker' ELSE
+  CASE upper(word) WHEN 'ERROR' THEN 'high' WHEN 'WARNING' THEN 'medium' WHEN 'INFO' THEN 'info' ELSE 'medium' END END AS severity
+FROM words""")
+ORACLE["classify_defect_family"] = X.with_ctes(_WORDS, body=f"""
+SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'auth'
+  ELSE {_family_cascade_sql("lower(check_id || ' ' || coalesce(category, ''))")} END AS defect_family
+FROM words""")
 ORACLE["rule_metadata_override"] = X.with_ctes(_EXT, body="""
 SELECT repo_id, rule_id, line_number, message, cwe_id, owasp_ref, fix_hint FROM ext""")
 

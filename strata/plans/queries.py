@@ -130,7 +130,14 @@ def q_directory_rollup(spark, sf_dir):
 
 @register("code_snippet")
 def q_code_snippet(spark, sf_dir):
-    return FX.findings(spark, sf_dir).select("repo_id", "file_path", "line_number", "rule_id", "code_snippet")
+    # the lines around the first, the middle and the last line of every file, and around a span to its end
+    files = TX.with_lines(FX.files(spark, sf_dir), keep=["repo_id", "path"]).filter(F.size("_lines") > 0)
+    n = F.size("_lines")
+    at = F.explode(F.array(*[F.struct(a.cast("int").alias("line"), b.cast("int").alias("end")) for a, b in (
+        (F.lit(1), F.lit(1)), (F.floor((n + 1) / 2), F.floor((n + 1) / 2)), (n, n), (F.floor((n + 1) / 2), n))]))
+    return files.select("repo_id", "path", "_lines", at.alias("s")).select(
+        "repo_id", "path", F.col("s.line").alias("line"), F.col("s.end").alias("end"),
+        F.md5(TX.snippet_from_lines("_lines", F.col("s.line"), F.col("s.end"))).alias("snippet_md5"))
 
 
 @register("clip_diff")
@@ -314,12 +321,14 @@ def q_ingest_external_findings(spark, sf_dir):
 
 @register("map_external_severity")
 def q_map_external_severity(spark, sf_dir):
-    return q_ingest_external_findings(spark, sf_dir).select("repo_id", "rule_id", "line_number", "severity")
+    e = FX.scanner_words(spark, sf_dir)
+    return e.select("event_id", SV.map_external_severity("word", "rule_severity").alias("severity"))
 
 
 @register("classify_defect_family")
 def q_classify_defect_family(spark, sf_dir):
-    return q_ingest_external_findings(spark, sf_dir).select("repo_id", "rule_id", "line_number", "defect_family")
+    e = FX.scanner_words(spark, sf_dir)
+    return e.select("event_id", SV.classify_defect_family("check_id", "category", "rule_family").alias("defect_family"))
 
 
 @register("rule_metadata_override")

@@ -34,9 +34,11 @@ SHINGLE = 3
 MAX_DISTANCE = 2
 SEED = 42
 FANOUT = 8
-#: Rows gathered before buckets are searched; queries looked up together (they bound memory, not results).
+#: Rows gathered before buckets are searched; queries looked up together, and the nodes they may visit in the worst
+#: case (they bound memory, not results).
 CHUNK = 1 << 14
 QUERIES_AT_ONCE = 1 << 11
+FRONTIER = 1 << 22
 
 _BITS = ((np.arange(256, dtype=np.uint8)[:, None] >> np.arange(8, dtype=np.uint8)) & 1).astype(np.int64)
 
@@ -146,8 +148,9 @@ def _links(k: np.ndarray, v: np.ndarray, fps: np.ndarray, masks: np.ndarray, dis
     k, fps, sizes = k[shared], fps[shared], sizes[sizes > 1]
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     index = GrayIndex(fps, first)
-    for at in range(0, len(fps), QUERIES_AT_ONCE):
-        a, b = index.within(np.arange(at, min(at + QUERIES_AT_ONCE, len(fps))), distance)
+    step = max(1, min(QUERIES_AT_ONCE, FRONTIER // int(sizes.max())))
+    for at in range(0, len(fps), step):
+        a, b = index.within(np.arange(at, min(at + step, len(fps))), distance)
         a, b = a[fps[a] < fps[b]], b[fps[a] < fps[b]]
         differ = fps[a] ^ fps[b]
         earliest = np.argmax((differ[:, None] & masks[None, :]) == 0, axis=1)

@@ -72,6 +72,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most rows and bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -88,7 +90,12 @@ def land(df: DataFrame, path: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this library to the Python workers (as ``spark-submit --py-files`` would), once per application."""
+    """Send this library to the Python workers (as ``spark-submit --py-files`` would), once per application,
+    and bound the session's Arrow batches."""
+    # texts are long: batches that go to Python and back are bounded by bytes, not by the default ten thousand rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch",
+                   min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_strata_shipped", False):
         return

@@ -15,6 +15,7 @@ are judged alike; an unknown or null language takes the widest band; other colum
 from __future__ import annotations
 
 import math
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from strata.llm.common import map_columns, piece_model, ranks_encoding, ship, ta
 
 #: Words kept in a worker's cache before it starts afresh (bounds memory, not results).
 CACHE_WORDS = 300_000
+#: Rows measured at once in the pipeline's stage.
+ROWS = 256
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -75,23 +78,22 @@ class Fertility:
     def __init__(self, piece_path: str, ranks_path: str) -> None:
         self.pieces, self.ranks = piece_model(piece_path), ranks_encoding(ranks_path)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
-        self.known: dict[bytes, tuple[np.ndarray, int]] = {}
+        self.known: dict[bytes, tuple[bytes, int]] = {}  # ids under the piece model, number of ids under the other
 
     def learn(self, texts_words: list[list[bytes]]) -> None:
-        new = {w for ws in texts_words for w in ws} - self.known.keys()
+        wanted = {w for ws in texts_words for w in ws}
+        new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = {w for ws in texts_words for w in ws}
-        new = list(new)
+            self.known, new = {}, list(wanted)
         strings = [w.decode("utf-8", "replace") for w in new]
         pieces = self.pieces.encode(strings, num_threads=1)
         spaced = self.ranks._core_bpe.encode_ordinary
         for w, s, ids in zip(new, strings, pieces):
-            self.known[w] = (np.array(ids, np.int32), len(spaced(" " + s)))
+            self.known[w] = (struct.pack(f"={len(ids)}i", *ids), len(spaced(" " + s)))
 
     def measure(self, tokens: list[bytes], word_chars: int) -> tuple[float, float, float, float]:
         each = [self.known[w] for w in tokens]
-        ids = np.concatenate([x[0] for x in each])
+        ids = np.frombuffer(b"".join([x[0] for x in each]), np.int32)
         n_ranks = sum(x[1] for x in each)
         counts = np.bincount(ids)
         counts = counts[counts > 0]
@@ -150,15 +152,14 @@ def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(piece_path, ranks_path)
-        for batch in batches:
-            kept = []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                n, chars, _, _, repeats, tokens = base_counts(text or "")
-                failed = n < MIN_WORDS or 100 * repeats > 50 * n
-                if not failed:
-                    fertility.learn([tokens])
-                    failed = verdict(fertility.measure(tokens, chars), lang, BANDS, OTHER_BAND) is not None
-                kept.append(not failed)
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                base = [base_counts(t or "") for t in batch.column("text").to_pylist()]
+                passed = [n >= MIN_WORDS and 100 * repeats <= 50 * n for n, _, _, _, repeats, _ in base]
+                fertility.learn([b[5] for b, ok in zip(base, passed) if ok])
+                yield batch.filter(pa.array([ok and verdict(fertility.measure(b[5], b[1]), lang, BANDS, OTHER_BAND) is None
+                                             for b, ok, lang in zip(base, passed, batch.column("lang").to_pylist())],
+                                            pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -62,6 +62,13 @@ def test_parts_that_are_no_main_text(spark):
         assert r["text"] == f"Title &lt; {r['page_id']} One two three four five six seven"
 
 
+def test_the_article_that_stands_once_on_the_pages_of_a_host(spark):
+    page = "<main>Top {0}<article class='post'><p>Text {0}</article>" + "<article class='teaser'>T</article>" * 3 + "</main>"
+    rows = [(i, "https://two.example/a", page.format(i)) for i in range(4)] + [(9, "https://two.example/b", "<main>Only main</main>")]
+    out = html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {**{i: f"Text {i}" for i in range(4)}, 9: "Only main"}
+
+
 def test_template_tells_tokens_of_equal_vectors(spark):
     rows = [(i, "http://one.example/", "<body><nav>x</nav><article>" + "<p>t" * (i + 1) + "</article></body>")
             for i in range(6)]

@@ -45,7 +45,7 @@ PERCENTILE = 90
 END_ID = 2
 #: Blocks encoded or decoded at once, and words kept in a worker's cache (they bound memory, not results).
 BLOCKS_AT_ONCE = 256
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 _WORDS: dict[str, tuple[dict, dict]] = {}  # words and pieces of this worker process, by vocabulary
 _HEAD = struct.Struct("<IIBI")
 _TRAILER = struct.Struct("<QQQQ8s")
@@ -165,9 +165,9 @@ class TokenFile:
 # ---- documents --------------------------------------------------------------------------------------------------
 
 #: A word of Latin letters and closing marks, in characters that normalisation leaves alone: the tokenizer splits it
-#: into these two pieces (other words, with digits, apostrophes or other scripts, go through it whole; so does the dotted capital I, which
-#: lower-cases to two characters).
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([.,;:!?]*)")
+#: into these two pieces.  Other words, with digits, apostrophes or other scripts, go through it whole; so does the
+#: dotted capital I, which lower-cases to two characters.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([.,;:!?*$%&#]*)")
 
 
 def _byte_letters() -> dict[int, str]:

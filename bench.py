@@ -5,7 +5,8 @@ with ``local[$BENCH_CPUS]`` and prints one JSON line.  The figure per query is
 the median of three warm runs, each of which builds the plan anew and executes
 it in full through the ``noop`` sink: plan construction, and whatever jobs it
 starts, count.  ``plan_build_sec`` says how much of that was construction.
-``scan_404_rules`` scans the same files with a catalogue of 404 line rules.
+``scan_404_rules`` scans the same files with a catalogue of 404 line rules; it is
+reported beside the headline queries, not in their total.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def main() -> None:
     except Exception as exc:  # noqa: BLE001 - throughput extras are best effort
         extra["extras_error"] = str(exc)[:200]
     sf = os.path.basename(sf_dir).replace("sf", "")
-    out = {"metric": "headline_total_sec", "value": round(sum(timings.values()), 3), "unit": "sec",
+    out = {"metric": "headline_total_sec", "value": round(sum(t for n, t in timings.items() if n != "scan_404_rules"), 3), "unit": "sec",
            "queries": timings, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
            "cpus": int(cpus), "runs": runs, "spark": spark.version,
            "plan_build_sec": builds, **extra}

@@ -27,7 +27,7 @@ from strata.functions.text import with_lines, with_neighbours
 # Rules per generated expression block (keeps generated methods small).
 RULE_BLOCK = 25
 # Rules compiled into one pass over the text.
-RULES_PER_PASS = 100
+RULES_PER_PASS = 200
 
 ANY_LANGUAGE = ("", "any")
 LANGUAGE_ALIASES = {"cpp": "c++"}

@@ -68,11 +68,13 @@ def rate_limit(events: DataFrame, limit: int, key_col: str = "key", ts_col: str
     buckets' first and last times (pre-aggregated, a row per key and bucket), and
     no key's events are sorted as a whole.  The fold then runs per (key, piece).
     A key without any gap is sequential by nature and stays one piece.
+
+    A null key is a key like others; a key's events without a time are a piece of their own, in which the first
+    ``limit`` by id are admitted.
     """
     window_us = int(window_seconds) * 1_000_000
     src = events.select(F.col(key_col).cast("string").alias("key"), F.col(id_col).cast("long").alias("request_id"),
                         F.col(ts_col).alias("ts"))
-    part_cols = ["key"]
     if split_idle_gaps:
         us = F.unix_micros(F.col("ts").cast("timestamp"))
         src = src.withColumn("_bucket", F.floor(us / F.lit(window_us)))
@@ -80,12 +82,16 @@ def rate_limit(events: DataFrame, limit: int, key_col: str = "key", ts_col: str
         w = Window.partitionBy("key").orderBy("_bucket")
         gap = F.col("_lo") - F.lag("_hi").over(w)
         pieces = buckets.withColumn("_start", F.when(gap.isNull() | (gap >= window_us), 1).otherwise(0)).select(
-            "key", "_bucket", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_seg"))
-        src = src.join(pieces, ["key", "_bucket"]).drop("_bucket")
-        part_cols = ["key", "_seg"]
+            F.col("key").alias("_key"), F.col("_bucket").alias("_at"),
+            F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_seg"))
+        # null keys and times meet their piece too
+        src = (src.join(pieces, F.col("key").eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_at")))
+               .select("key", "request_id", "ts", "_seg"))
+    else:
+        src = src.withColumn("_seg", F.col("ts").isNotNull().cast("long"))
+    part_cols = ["key", "_seg"]
     parts = (src.repartition(num_partitions, *part_cols) if num_partitions else src.repartition(*part_cols))
     ordered = parts.sortWithinPartitions(*part_cols, "ts", "request_id")
-    group_col = "_seg" if split_idle_gaps else None
 
     def run(batches):
         state: dict = {}
@@ -93,13 +99,10 @@ def rate_limit(events: DataFrame, limit: int, key_col: str = "key", ts_col: str
             if pdf.empty:
                 continue
             ts_us = pdf["ts"].values.astype("datetime64[us]").astype(np.int64)
-            keys = pdf["key"].to_numpy()
-            starts = None
-            if group_col is not None:
-                seg = pdf[group_col].to_numpy()
-                prev_seg = np.concatenate([[state.get("seg", -1)], seg[:-1]])
-                starts = seg != prev_seg
-                state["seg"] = seg[-1]
+            keys = pdf["key"].astype(object).where(pdf["key"].notna(), None).to_numpy()
+            seg = pdf["_seg"].to_numpy()
+            starts = seg != np.concatenate([[state.get("seg", -1)], seg[:-1]])
+            state["seg"] = seg[-1]
             pdf["admitted"] = _admit_sorted(keys, ts_us, limit, window_us, state, starts)
             yield pdf[["key", "request_id", "ts", "admitted"]]
 

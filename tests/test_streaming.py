@@ -27,6 +27,21 @@ def test_rate_limit_rejects_something_on_data(spark):
     assert out.count() == FX.requests(spark, SF).count()
 
 
+def test_rate_limit_keeps_events_without_key_or_time(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, 10 * n + i, base + dt.timedelta(seconds=s))
+            for n, k in enumerate([None, "u"]) for i, s in enumerate([0, 10, 20, 3600, 9000])]
+    rows += [(k, 100 + 10 * n + i, None) for n, k in enumerate([None, "u"]) for i in range(3)]
+    df = spark.createDataFrame(rows, "key string, request_id long, ts timestamp").repartition(3)
+    for split in (True, False):
+        out = RL.rate_limit(df, 2, split_idle_gaps=split).collect()
+        assert sorted((r.key or "", r.request_id, str(r.ts)) for r in out) == sorted((k or "", i, str(t)) for k, i, t in rows)
+        got = {r.request_id: r.admitted for r in out}
+        for n in (0, 10):
+            assert [got[n + i] for i in range(5)] == [True, True, False, True, True]
+            assert [got[100 + n + i] for i in range(3)] == [True, True, False]
+
+
 def _run_stream(spark, stream_df, name, mode):
     ck = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
     q = (stream_df.writeStream.format("memory").queryName(name).outputMode(mode)

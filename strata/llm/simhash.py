@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, map_columns, table
+from strata.llm.common import cut, map_columns, row_key, table
 
 SHINGLE = 3
 MAX_DISTANCE = 2
@@ -62,13 +62,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, row (hash of the text), fp (the 64 bits as a signed long)."""
     def run(slices: Iterator[list]) -> Iterator[list]:
-        for doc_ids, texts in slices:
+        for doc_ids, rows, texts in slices:
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
-            yield [doc_ids, fps.view(np.int64).tolist()]
+            yield [doc_ids, rows, fps.view(np.int64).tolist()]
 
-    return map_columns(docs, ["doc_id", "text"], "doc_id long, fp long", run)
+    return map_columns(docs.select("doc_id", row_key().alias("row"), "text"), ["doc_id", "row", "text"],
+                       "doc_id long, row long, fp long", run)
 
 
 def key_masks(distance: int = MAX_DISTANCE) -> list[int]:
@@ -205,14 +206,17 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = MAX_DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id of the component); one row per row of ``docs``."""
+    """doc_id, row, fp, component_id (smallest doc_id of the component), component_row (the smallest row hash under
+    it); one row per row of ``docs``."""
     prints = cut(fingerprints(docs, shingle))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    document = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")  # null ids last
+    distinct = cut(prints.groupBy("fp").agg(F.min(document).alias("least")))
     labels = components(links(distinct, distance))
     named = (distinct.join(labels, distinct["fp"] == labels["node"], "left")
              .select("fp", "least", F.coalesce("label", "fp").alias("label")))
-    ids = cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
-    by_print = cut(named.select("fp", "label").join(ids, "label").select("fp", "component_id"))
+    ids = cut(named.groupBy("label").agg(F.min("least").alias("first")))
+    by_print = cut(named.select("fp", "label").join(ids, "label").select(
+        "fp", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row")))
     return prints.join(by_print, "fp")
 
 
@@ -222,7 +226,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id, columns as they came."""
-    gone = (near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_doc")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    """Of each group of near-duplicates the document with the smallest doc_id, columns as they came.
+
+    Documents are told apart by doc_id and text; of several texts under the smallest doc_id one stays.  Rows equal in
+    both are one document.
+    """
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row") == F.col("component_row"))
+    gone = (near_duplicates(docs).filter(~stays)
+            .select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_row"]),
+                     "left_anti")

@@ -152,6 +152,19 @@ def test_gray_index_finds_every_pair(one_bucket):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_simhash_stage_removes_by_document(spark, make_docs, prose):
+    a, b, c, d, e = (prose(300, 9000 + i) for i in range(5))
+    rows = [(1, a), (None, a), (None, b),  # the copy under a null id goes, the other text under a null id stays
+            (2, c), (3, c), (3, d),        # the same with a shared doc_id
+            (None, None), (4, e), (4, e)]  # rows equal in both are one document
+    out = simhash.stage_simhash(spark, make_docs(rows), "").collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out))) == sorted(map(str, (
+        (1, a), (None, b), (2, c), (3, d), (None, None), (4, e), (4, e))))
+    near = [(5, "  ".join(a.split())), (5, " ".join(a.split()) + " ")]  # two texts of equal words under the smallest id
+    kept = simhash.stage_simhash(spark, make_docs(near + [(6, a)]), "").collect()
+    assert len(kept) == 1 and (5, kept[0]["text"]) in near
+
+
 # ---- quality rules ----
 
 def test_quality_base_counts(make_docs, prose):

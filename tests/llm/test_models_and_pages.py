@@ -95,3 +95,13 @@ def test_pipeline_stages_take_effect(spark):
     for r in out.collect():
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
         assert len(r["ids"]) == 4 * r["n_tokens"]
+
+
+ELEMENTS = """<article><p>A <span aria-hidden=true>x</span><span>y</span> <a href="/hidden-gems">g</a>
+<a style="overflow:hidden" href="/p?id=ad" data-id="share-3">h</a><p hidden>B<p>C
+<h2 id="related-work">R</h2><h3 id="search-algorithms">S</h3><div class="share-bar">no<p>no</div><div>D</div></article>"""
+
+
+def test_exclusion_is_by_element_and_whole_attribute():
+    assert html_extraction.extract(ELEMENTS, None) == "A y g h C R S D"
+    assert html_extraction.extract("<aside><article>Teaser</article></aside><main>Text</main>", None) == "Text"

@@ -105,3 +105,16 @@ ELEMENTS = """<article><p>A <span aria-hidden=true>x</span><span>y</span> <a hre
 def test_exclusion_is_by_element_and_whole_attribute():
     assert html_extraction.extract(ELEMENTS, None) == "A y g h C R S D"
     assert html_extraction.extract("<aside><article>Teaser</article></aside><main>Text</main>", None) == "Text"
+
+
+def test_the_template_decides_where_names_do_not(spark):
+    page = ("<body><div class=top>Site <b>name</b></div><div class=lnk><a>Home</a><p>About</div><div class=x><h1>T{0}</h1>"
+            "<p>Text <i>{0}</i> of its own<p>Same for all</div><div class=low>All rights</div><div class=ad>Buy {0}</div>")
+    rows = [(i, "http://n.example/", page.format(i)) for i in range(4)]
+    rows += [(10 + i, "http://c.example/", f"<!-- {i} --><div class=x>One text, copied</div>") for i in range(3)]
+    rows += [(20 + i, "http://a.example/", f"<div class=lnk>Menu</div><article>As ever<p>A{i}</article>") for i in range(3)]
+    rows += [(30, "http://a.example/", "<div class=lnk>Menu</div><div class=x>No article</div>")]
+    out = html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {
+        **{i: f"T{i} Text {i} of its own" for i in range(4)}, **{10 + i: "One text, copied" for i in range(3)},
+        **{20 + i: f"As ever A{i}" for i in range(3)}, 30: "No article"}

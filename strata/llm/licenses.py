@@ -1,7 +1,10 @@
 """License scan by an exact set-similarity join (operator 9, DataFrame functions only).
 
-Text blocks are a document's lines; templates are single sentences of well-known notices.  A block meets a
-template when it contains at least ``THRESHOLD`` of the template's distinct words.  The join is exact:
+Text blocks are a document's lines, and beside them, as notices are wrapped, windows of words that no line break
+cuts: of twice the longest run a template may take, so that each such run lies in a window whole.  Templates are
+single sentences of well-known notices.  A block meets a template when it contains at least ``THRESHOLD`` of the
+template's distinct words; a window must hold them within a run of as many words as the template has, and half as
+many again for marks of comments.  The join is exact:
 
 * words are ordered by their frequency in the whole corpus, rarest first;
 * prefix filter: of a template with t words and required overlap o, a block must hold one of the t - o + 1 rarest;
@@ -64,6 +67,11 @@ def _set(sentence: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[a-z0-9]+", sentence.lower())))
 
 
+def _run(sentence: str) -> int:
+    """Most words among which a wrapped template's must stand."""
+    return math.ceil(1.5 * len(re.findall(r"[a-z0-9]+", sentence.lower())))
+
+
 def required(size: int, threshold: float) -> int:
     """Least number of common words."""
     return math.ceil(round(threshold * size, 9))
@@ -78,38 +86,51 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def license_blocks(docs: DataFrame, templates: list = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key, line (from 0), template, label, containment: every block that meets a template."""
+    """doc_id, key, line (from 0; null for a window), template, label, containment: every block that meets a template."""
     spark = docs.sparkSession
     sets = [(label, _set(sentence)) for label, sentence in templates]
     order = word_order(docs, sorted({w for _, s in sets for w in s}))
     rank = {w: i for i, w in enumerate(order)}
     prefixes, rows = set(), []
+    runs = [_run(sentence) for _, sentence in templates]
     for number, (label, tokens) in enumerate(sets):
         tokens = sorted(tokens, key=rank.get)
         need = required(len(tokens), threshold)
         for i, word in enumerate(tokens[: len(tokens) - need + 1]):
-            rows.append((number, label, word, i, len(tokens), need, tokens))
+            rows.append((number, label, word, i, len(tokens), need, tokens, runs[number]))
             prefixes.add(word)
     theirs = spark.createDataFrame(rows, "template int, label string, word string, i int, t int, need int, "
-                                         "tokens array<string>")
+                                         "tokens array<string>, run int")
     ordered = F.array(*map(F.lit, order))
     prefix = F.array(*[F.lit(w) for w in sorted(prefixes, key=rank.get)])
     least = min(required(len(t), threshold) for _, t in sets)
     # a document without any prefix word has no block with one
     likely = docs.select("doc_id", "text", row_key().alias("key")).filter(F.arrays_overlap(words(F.col("text")), prefix))
     lines = likely.select("doc_id", "key", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
-    blocks = (lines.select("doc_id", "key", "line", words(F.col("block")).alias("w"))
+    step = max(runs)
+    # a text of one line is a block already
+    windows = (likely.filter(F.contains("text", F.lit("\n")))
+               .select("doc_id", "key", F.lit(None).cast("int").alias("line"), F.explode(
+                   let(words(F.col("text")), lambda w: F.transform(
+                       F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step)),
+                       lambda i: F.slice(w, i + 1, F.lit(2 * step))))).alias("w")))
+    blocks = (lines.select("doc_id", "key", "line", words(F.col("block")).alias("w")).union(windows)
               .filter(F.arrays_overlap("w", prefix))
               # in the order of the first array: rarest first
-              .select("doc_id", "key", "line", F.array_intersect(ordered, "w").alias("b"))
+              .select("doc_id", "key", "line", F.when(F.col("line").isNull(), F.col("w")).alias("window"),
+                      F.array_intersect(ordered, "w").alias("b"))
               .filter(F.size("b") >= least))
-    probes = blocks.select("doc_id", "key", "line", "b", F.posexplode("b").alias("j", "word"))
+    probes = blocks.select("doc_id", "key", "line", "window", "b", F.posexplode("b").alias("j", "word"))
+    in_run = F.array_max(F.transform(upto(F.size("window")), lambda i: F.size(
+        F.array_intersect(F.slice("window", i + 1, F.col("run")), "tokens"))))
     return (probes.join(theirs, "word")
             .filter((F.size("b") >= F.col("need"))
                     & (1 + F.least(F.col("t") - F.col("i") - 1, F.size("b") - F.col("j") - 1) + F.least("i", "j")
                        >= F.col("need")))
             .withColumn("common", F.size(F.array_intersect("b", "tokens")))
             .filter("common >= need")
+            .withColumn("common", F.when(F.col("line").isNull(), in_run).otherwise(F.col("common")))
+            .filter("common >= need")
             .groupBy("doc_id", "key", "line", "template", "label")
             .agg(F.max(F.col("common") / F.col("t")).alias("containment")))
 

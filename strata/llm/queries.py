@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, decontamination, html_extraction, licenses, line_dedup, quality_classifier, quality_rules, simhash, suffix_dedup, token_files
+from strata.llm import (bpe, decontamination, html_extraction, lexical_search, licenses, line_dedup, packing, periodic_runs,
+                        quality_classifier, quality_rules, simhash, suffix_dedup, token_files)
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,10 +16,14 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLE = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op9_license_scan": licenses.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }

@@ -30,10 +30,9 @@ def project_listing(memberships: DataFrame, projects: DataFrame, analyses: DataF
         F.col("health_score").alias("latest_health_score"))
     p = projects.select(F.col("id").alias("project_id"), "repo_url", "repo_name")
     j = memberships.join(p, "project_id").join(members, "project_id").join(latest, "project_id", "left")
-    # newest membership first; numbered per (user, day) and shifted, so a user with a
-    # third of all memberships is not ranked by a single task
-    return positions(j, ["user_id"], [("_day", F.datediff(F.lit("9999-12-31"), F.to_date("added_at")))],
-                     [F.col("added_at").desc(), F.col("project_id")])
+    # newest membership first (without a date: last); a user with a third of all memberships is
+    # numbered by many tasks
+    return positions(j, ["user_id"], [F.col("added_at").desc(), F.col("project_id")])
 
 
 def audit_feed(audit: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata import schemas as S
 from strata.functions.severity import severity_rank
+from strata.operators.positions import positions
 
 DEDUPE_KEY = ["repo_id", "file_path", "rule_id", "line_number"]
 
@@ -54,25 +55,18 @@ def assign_issue_ids(issues: DataFrame) -> DataFrame:
 
     ``i`` is the 0-based position in the repository's issue list: files in
     path order, inside a file severity descending then engine / rule / line.
-    Positions are computed per file and shifted by the running count of
-    earlier files, so no single task has to rank a whole repository.
+    Positions come from range partitions (``positions``), so no single task has
+    to rank a whole repository; null paths come first and keep their rows.
     """
-    sev = severity_rank("severity", unknown=0)
-    tie = [F.col(c) for c in _order_cols(issues)]
-    w_file = Window.partitionBy("repo_id", "file_path").orderBy(
-        sev.desc(), *tie, F.col("rule_id"), F.col("line_number"), F.col("end_line"))
-    ranked = issues.withColumn("_r", F.row_number().over(w_file))
-    counts = issues.groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("_n"))
-    w_repo = Window.partitionBy("repo_id").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("repo_id", "file_path",
-                            F.coalesce(F.sum("_n").over(w_repo), F.lit(0)).alias("_off"))
-    joined = ranked.join(offsets, ["repo_id", "file_path"])
+    order = [F.col("file_path"), severity_rank("severity", unknown=0).desc(),
+             *[F.col(c) for c in _order_cols(issues)], F.col("rule_id"), F.col("line_number"), F.col("end_line")]
+    placed = positions(issues, ["repo_id"], order, "_position")
     digest = F.substring(F.md5(F.concat(F.coalesce("file_path", F.lit("")),
                                         F.coalesce(F.col("line_number").cast("string"), F.lit("0")),
                                         F.coalesce("rule_id", F.lit("")))), 1, 8)
-    new_id = F.concat(F.lit("issue_"), (F.col("_off") + F.col("_r") - 1).cast("string"), F.lit("_"), digest)
+    new_id = F.concat(F.lit("issue_"), (F.col("_position") - 1).cast("string"), F.lit("_"), digest)
     existing = F.col("id") if "id" in issues.columns else F.lit(None).cast("string")
-    return joined.withColumn("id", F.coalesce(F.when(existing != "", existing), new_id)).drop("_r", "_off")
+    return placed.withColumn("id", F.coalesce(F.when(existing != "", existing), new_id)).drop("_position")
 
 
 def normalize_issue(issues: DataFrame) -> DataFrame:

@@ -1,33 +1,49 @@
-"""Skew-safe positions inside a large group.
+"""Positions inside groups of any size, and joins on keys that may be null.
 
-``row_number()`` over a whole group (say a repository holding a third of all
-rows) runs in one task.  Here the group is split into sub-groups by a coarse
-key: rows are numbered inside each sub-group, and each sub-group's offset is a
-running count over the per-sub-group counts (one small row per sub-group).
-The result equals ``row_number()`` over the group ordered by (coarse, fine).
+``row_number()`` over a whole group (say a repository holding a third of all rows) runs in one task.  Here
+the rows are range-partitioned by (group, order) from sampled bounds, so a large group spans many
+partitions and the partitions follow one another in order.  Rows are numbered inside each (partition, group);
+the counts per partition give every partition its offset by an exclusive running sum, and offset plus inner number is
+the position.  A window holds one partition's rows of a group, or one row per partition, never a whole
+group.
+
+The dealt rows are written once: a second evaluation could sample other bounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.session import land
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a null equals a null; the keys are kept once, from ``left``."""
+    names = {c: f"_right_{i}_{c}" for i, c in enumerate(on)}
+    other = right.withColumnsRenamed(names)
+    condition = None
+    for c, renamed in names.items():
+        same = left[c].eqNullSafe(other[renamed])
+        condition = same if condition is None else condition & same
+    return left.join(other, condition, how).drop(*names.values())
+
 
-def positions(df: DataFrame, group: list[str], coarse: list, fine: list, out: str = "position") -> DataFrame:
-    """Add ``out`` = 1-based position within ``group`` ordered by ``coarse`` then ``fine``.
+def positions(df: DataFrame, group: list[str], order: list[Column], out: str = "position") -> DataFrame:
+    """Add ``out`` = 1-based position within ``group`` by ``order``.
 
-    ``coarse`` entries are (name, Column) pairs materialised as sort keys;
-    ``fine`` are Columns.  Ties must be broken by the caller (total order).
+    Rows that agree in ``order`` come in some order; the caller breaks ties where it matters.  A null is a group
+    like others, and rows with null order keys keep their row.
     """
-    keyed = df
-    names = []
-    for name, col in coarse:
-        keyed = keyed.withColumn(name, col)
-        names.append(name)
-    inner = Window.partitionBy(*group, *names).orderBy(*fine)
-    numbered = keyed.withColumn("_inner", F.row_number().over(inner))
-    counts = keyed.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, *names, F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off"))
-    joined = numbered.join(offsets, [*group, *names])
-    return joined.withColumn(out, (F.col("_off") + F.col("_inner")).cast("long")).drop("_inner", "_off", *names)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows that agree in everything are dealt over partitions too
+    numbered = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = numbered.repartitionByRange(partitions, *[F.col(g) for g in group], *order, F.col("_tie"))
+    landed = land(dealt.withColumn("_part", F.spark_partition_id()), "positions")
+    inner = Window.partitionBy("_part", *group).orderBy(*order, F.col("_tie"))
+    counts = landed.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", *group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    within = landed.withColumn("_inner", F.row_number().over(inner))
+    return (null_safe_join(within, offsets, ["_part", *group])
+            .withColumn(out, (F.col("_off") + F.col("_inner")).cast("long")).drop("_tie", "_part", "_inner", "_off"))

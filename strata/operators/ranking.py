@@ -38,11 +38,9 @@ def search_issues(issues: DataFrame, query: str = "", severity: str = "all", unk
             hit = F.lower(F.coalesce(F.col(c), F.lit(""))).contains(q)
             cond = hit if cond is None else cond | hit
         out = out.filter(cond)
-    # position = rank within (repo, severity rank, file) shifted by the counts before it,
-    # so a repository holding most issues is still numbered by many tasks
+    # numbered by range partitions: a repository holding most issues is numbered by many tasks
     rank = display_rank(F.coalesce("severity", F.lit("")), unknown_rank)  # 4 dashboard, 9 single-file panel
-    return positions(out, ["repo_id"], [("_sev_rank", rank), ("_file", F.col("file_path"))],
-                     [F.col("line_number"), F.col("rule_id")])
+    return positions(out, ["repo_id"], [rank.asc(), *[F.col(c) for c in ISSUE_ORDER]])
 
 
 def top_issues(issues: DataFrame, top: int = 100) -> DataFrame:

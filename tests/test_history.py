@@ -48,8 +48,7 @@ def test_positions_equal_global_row_number(spark):
     from pyspark.sql import functions as F
     from strata.operators.positions import positions
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    coarse = [("_type", F.col("event_type"))]
-    got = positions(ev, ["user_id"], coarse, [F.col("ts"), F.col("event_id")])
+    got = positions(ev, ["user_id"], [F.col("event_type"), F.col("ts"), F.col("event_id")])
     w = Window.partitionBy("user_id").orderBy("event_type", "ts", "event_id")
     want = ev.withColumn("position", F.row_number().over(w).cast("long"))
     a = sorted((r.event_id, r.position) for r in got.select("event_id", "position").collect())
@@ -67,3 +66,51 @@ def test_parse_commit_log_is_the_same_over_many_blocks(spark, monkeypatch):
     assert sorted(map(tuple, HI.parse_commit_log(df).collect())) == whole
     assert [r[2] for r in whole] == list(range(40))
     assert whole[22][-1].split("\n") == [f"{'+- '[k % 3]}line 22 {k}" for k in range(7, 22)]
+
+
+def test_one_group_of_equal_rows_is_numbered_by_many_windows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from strata.operators import positions as module
+    positions, land, landed = module.positions, module.land, []
+    monkeypatch.setattr(module, "land", lambda *a: landed.append(land(*a)) or landed[0])
+    rows = [(None, i % 5 if i % 7 else None) for i in range(3000)] + [("b", None)] * 4 + [("b", 1)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(5)
+    out = positions(df, ["g"], [F.col("k").desc()])
+    got = [(r.g, r.position, r.k) for r in out.collect()]
+    assert len(got) == len(rows)
+    for g, n in ((None, 3000), ("b", 5)):
+        mine = sorted(x[1:] for x in got if x[0] == g)
+        assert [p for p, _ in mine] == list(range(1, n + 1))
+        keys = [-1 if k is None else k for _, k in mine]
+        assert keys == sorted(keys, reverse=True)
+    # no window partition holds the group: the plan numbers inside (partition, group), and the group spans partitions
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_part" in plan
+    assert landed[0].filter("g IS NULL").select("_part").distinct().count() > 4
+
+
+def test_null_keys_keep_their_rows(spark):
+    from strata import schemas as S
+    from strata.operators.findings import assign_issue_ids
+    from strata.operators.ranking import search_issues
+    issues = spark.createDataFrame([("r", None, "x", 3, "low", 3), ("r", "f", "x", 3, "high", 3), (None, None, None, None, None, None)],
+                                   "repo_id string, file_path string, rule_id string, line_number int, severity string, end_line int")
+    ids = {(r.repo_id, r.file_path): r.id for r in assign_issue_ids(issues).collect()}
+    assert len(ids) == 3 and ids["r", None].startswith("issue_0_") and ids["r", "f"].startswith("issue_1_")
+    wide = issues.selectExpr("*", "rule_id AS message", "severity AS defect_family")
+    assert sorted((r.repo_id or "", r.position) for r in search_issues(wide).collect()) == [("", 1), ("r", 1), ("r", 2)]
+    log = [(None, "f", 0, "a" * 40 + "|d|t|s"), (None, "f", 1, "+x"), ("r", None, 0, "b" * 40 + "|d|t|s"), ("r", None, 1, "-y")]
+    out = HI.parse_commit_log(spark.createDataFrame(log, "repo_id string, file_path string, line_no long, line string"))
+    assert sorted((r.repo_id or "", r.file_path or "", r.diff) for r in out.collect()) == [("", "f", "+x"), ("r", "", "-y")]
+    assert S.SEVERITY_ORDER
+
+
+def test_memberships_without_a_date_are_listed_last(spark):
+    from strata.operators.admin import project_listing
+    day = dt.datetime(2024, 1, 1)
+    members = spark.createDataFrame([(1, 10, "owner", None), (1, 11, "owner", day), (None, 11, "viewer", day)],
+                                    "user_id long, project_id long, role string, added_at timestamp")
+    projects = spark.createDataFrame([(10, "u", "n"), (11, "u", "n")], "id long, repo_url string, repo_name string")
+    analyses = spark.createDataFrame([], "id long, project_id long, status string, health_score int, created_at timestamp")
+    got = sorted((r.user_id or 0, r.position, r.project_id) for r in project_listing(members, projects, analyses).collect())
+    assert got == [(0, 1, 11), (1, 1, 11), (1, 2, 10)]

@@ -250,11 +250,46 @@ def commit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     adds = F.transform(F.sequence(F.lit(1), n_add), lambda i: F.concat(F.lit("+add "), i.cast("string")))
     lines = c.select("repo_id", "file_path", "ts", "commit", F.posexplode(
         F.concat(F.array(header, F.lit("@@ -1 +1 @@"), F.lit(" context")), adds)).alias("_i", "line"))
-    return positions(lines, ["repo_id", "file_path"], [("_day", F.datediff(F.lit("9999-12-31"), F.to_date("ts")))],
-                     [F.col("ts").desc(), F.col("commit").desc(), F.col("_i")], "line_no").select(
+    return positions(lines, ["repo_id", "file_path"], [F.col("ts").desc(), F.col("commit").desc(), F.col("_i")], "line_no").select(
         "repo_id", "file_path", "line_no", "line")
 
 
+def file_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commits -> diffs of two change stretches, the second after a context line; files whose number ends in 7 have
+    none (binary)."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    old1, new1, old2, new2 = i % 3, F.floor(i / 3) % 3 + F.when(i % 9 == 0, 1).otherwise(0), F.floor(i / 9) % 2, F.floor(i / 18) % 4
+    begin1 = 1 + (i * 7) % 40
+    begin2 = begin1 + old1 + 3 + i % 11  # the context line
+
+    def text(*parts):
+        return F.concat(*[p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts])
+
+    def lines(sign, n):
+        return F.transform(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>")),
+                           lambda x: F.concat(F.lit(sign + "line "), x.cast("string")))
+
+    def at(begin, n):  # an empty side names the line before it
+        return begin - F.when(n == 0, 1).otherwise(0)
+
+    head1 = text("@@ -", at(begin1, old1), ",", old1, " +", at(begin1, new1), ",", new1, " @@ def f():")
+    head2 = text("@@ -", begin2, ",", old2 + 1, " +", begin2 + new1 - old1, ",", new2 + 1, " @@")
+    body = F.concat(F.array(F.lit("--- a/file"), F.lit("+++ b/file"), head1), lines("-", old1), lines("+", new1),
+                    F.array(head2, F.lit(" context")), lines("-", old2), lines("+", new2))
+    k = F.get_json_object("props", "$.k")
+    return e.select(
+        F.lit("events").alias("repo_id"), F.concat(F.lit("src/file_"), k, F.lit(".py")).alias("file_path"),
+        F.lpad(F.hex("event_id"), 40, "0").alias("commit"), "ts",
+        F.when(~k.endswith("7"), F.array_join(body, "\n")).alias("diff"))
+
+
+def line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> lines to trace (1 to 60 of the event's file)."""
+    return commits(spark, sf_dir).select("repo_id", "file_path", (F.conv(F.col("commit"), 16, 10).cast("long") % 60 + 1)
+                                         .alias("line_number"))
+
+
 # FIXED VALUES (fixture): event type -> scanner category, one per cascade branch family
 EXTERNAL_CATEGORIES = [("click", "xss"), ("view", "path-traversal"), ("signup", "jwt"),
                        ("purchase", "dependency"), ("error", "sql")]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.blame import iso_utc
+from strata.operators.positions import null_safe_join
 
 # A header line: 40 characters without '|', then at least three '|' in the line.
 HEADER_RE = r"^[^|\n]{40}\|[^\n]*\|[^\n]*\|"
@@ -30,8 +31,8 @@ def parse_commit_log(logs: DataFrame, keep_diff_lines: int = 15) -> DataFrame:
     before = Window.partitionBy(*file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(*file, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy(*file, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (lines.withColumn("_in", F.sum(F.col("_head").cast("int")).over(within))
-                .join(offsets, [*file, "_block"])
+    numbered = (null_safe_join(lines.withColumn("_in", F.sum(F.col("_head").cast("int")).over(within)),
+                               offsets, [*file, "_block"])
                 .withColumn("seq", (F.col("_off") + F.col("_in") - 1).cast("int")).filter("seq >= 0"))
     parts = F.split("line", r"\|", -1)
     email = F.element_at(parts, 2)
@@ -44,7 +45,7 @@ def parse_commit_log(logs: DataFrame, keep_diff_lines: int = 15) -> DataFrame:
     diffs = (numbered.filter(~F.col("_head") & F.substring("line", 1, 1).isin("+", "-", " "))
              .withColumn("_k", F.row_number().over(newest_first)).filter(F.col("_k") <= keep_diff_lines)
              .groupBy(*file, "seq").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_d")))
-    return heads.join(diffs, [*file, "seq"], "left").select(
+    return null_safe_join(heads, diffs, [*file, "seq"], "left").select(
         *heads.columns, F.array_join(F.transform(F.coalesce("_d", F.array()), lambda x: x["line"]), "\n").alias("diff"))
 
 
@@ -83,17 +84,21 @@ def commit_timeline_meta(commits: DataFrame, max_commits: int = 50) -> DataFrame
         iso_utc(F.min("ts")).alias("first_commit"), iso_utc(F.max("ts")).alias("last_commit"))
 
 
+def change_type(is_last: F.Column) -> F.Column:
+    """introduction for the oldest kept row, refactor by the commit's ``message``, else modification."""
+    msg = F.lower(F.coalesce(F.col("message"), F.lit("")))
+    is_refactor = F.lit(False)
+    for word in REFACTOR_WORDS:
+        is_refactor = is_refactor | msg.contains(word)
+    return F.when(is_last, F.lit("introduction")).when(is_refactor, F.lit("refactor")).otherwise(F.lit("modification"))
+
+
 def evolution_chain(commits: DataFrame, max_commits: int = 20) -> DataFrame:
-    """History newest first (at most 20): the oldest kept row is the introduction;
+    """History of a file newest first (at most 20): the oldest kept row is the introduction;
     a message containing refactor / rename / move (so also 'remove') is a refactor."""
     kept = _newest(commits, max_commits)
     w = Window.partitionBy("repo_id", "file_path")
-    msg = F.lower(F.coalesce(F.col("message"), F.lit("")))
-    is_refactor = None
-    for word in REFACTOR_WORDS:
-        is_refactor = msg.contains(word) if is_refactor is None else is_refactor | msg.contains(word)
-    kind = (F.when(F.col("_rn") == F.max("_rn").over(w), F.lit("introduction"))
-            .when(is_refactor, F.lit("refactor")).otherwise(F.lit("modification")))
+    kind = change_type(F.col("_rn") == F.max("_rn").over(w))
     return kept.select("repo_id", "file_path", F.col("_rn").cast("int").alias("step"),
                        F.substring("commit", 1, 8).alias("commit_hash"), "author",
                        F.split(F.trim("message"), "\n").getItem(0).alias("message"), kind.alias("change_type"))

@@ -152,6 +152,57 @@ SELECT repo_id, file_path, CAST(rn AS INTEGER) AS step, substring("commit", 1, 8
             WHEN contains(lower(message), 'refactor') OR contains(lower(message), 'rename')
                  OR contains(lower(message), 'move') THEN 'refactor' ELSE 'modification' END AS change_type
 FROM newest WHERE rn <= 20""")
+ORACLE["line_history"] = X.with_ctes(*_C, _NEWEST, body="""
+, blocks AS (
+  SELECT *, 1 + (event_id * 7) % 40 AS o1, event_id % 3 AS ol1,
+         (event_id // 3) % 3 + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS nl1,
+         (event_id // 9) % 2 AS ol2, (event_id // 18) % 4 AS nl2
+  FROM (SELECT 'src/file_' || json_extract_string(props, '$.k') || '.py' AS file_path, event_id, ts,
+               lpad(upper(hex(event_id)), 40, '0') AS "commit", json_extract_string(props, '$.k') AS k FROM events)
+  WHERE k NOT LIKE '%7'),
+maps AS (
+  SELECT file_path, "commit", row_number() OVER (PARTITION BY file_path ORDER BY ts DESC, "commit" DESC) AS seq,
+         o1, ol1, nl1, ol2, nl2, o1 + ol1 + 4 + event_id % 11 AS o2, o1 AS n1, o1 + 4 + event_id % 11 + nl1 AS n2
+  FROM blocks),
+asked AS (
+  SELECT DISTINCT 'src/file_' || json_extract_string(props, '$.k') || '.py' AS file_path, event_id % 60 + 1 AS line_number FROM events),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT file_path, line_number, line_number AS cur, 0::BIGINT AS seq, 0::BIGINT AS step, false AS hit, false AS made,
+           NULL::VARCHAR AS "commit", NULL::BIGINT AS line_at
+    FROM asked
+    UNION ALL
+    SELECT file_path, line_number,
+           CASE WHEN hit1 THEN o1 + least(cur - n1, ol1 - 1) WHEN hit2 THEN o2 + least(cur - n2, ol2 - 1)
+                WHEN cur < n1 THEN cur WHEN cur < n2 THEN cur + ol1 - nl1 ELSE cur + ol1 - nl1 + ol2 - nl2 END AS cur,
+           seq, step + CASE WHEN hit1 OR hit2 THEN 1 ELSE 0 END AS step, hit1 OR hit2 AS hit,
+           (hit1 AND ol1 = 0) OR (hit2 AND ol2 = 0) AS made, "commit", cur AS line_at
+    FROM (SELECT w.file_path, w.line_number, w.cur, w.step, m.* EXCLUDE (file_path),
+                 w.cur >= n1 AND w.cur < n1 + nl1 AS hit1, w.cur >= n2 AND w.cur < n2 + nl2 AS hit2
+          FROM w JOIN maps m ON m.file_path = w.file_path AND m.seq = w.seq + 1
+          WHERE NOT w.made AND w.step < 20))
+  SELECT * FROM w WHERE hit),
+by_line AS (
+  SELECT c.repo_id, w.file_path, w.line_number, CAST(w.step AS INTEGER) AS step, substring(w."commit", 1, 8) AS commit_hash, c.author,
+         string_split(trim(c.message), chr(10))[1] AS message, lower(c.message) AS low,
+         w.step = max(w.step) OVER (PARTITION BY w.file_path, w.line_number) AS is_last, w.line_at
+  FROM walk w JOIN commits c ON c."commit" = w."commit" AND c.file_path = w.file_path),
+chain AS (
+  SELECT repo_id, file_path, CAST(rn AS INTEGER) AS step, substring("commit", 1, 8) AS commit_hash, author,
+         string_split(trim(message), chr(10))[1] AS message, lower(message) AS low,
+         rn = max(rn) OVER (PARTITION BY repo_id, file_path) AS is_last
+  FROM newest WHERE rn <= 20),
+everything AS (
+  SELECT repo_id, file_path, line_number, step, commit_hash, author, message, low, is_last, 'line' AS source, line_at FROM by_line
+  UNION ALL
+  SELECT c.repo_id, c.file_path, a.line_number, c.step, c.commit_hash, c.author, c.message, c.low, c.is_last, 'file', NULL
+  FROM asked a JOIN chain c ON a.file_path = c.file_path
+  WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.file_path = a.file_path AND w.line_number = a.line_number))
+SELECT repo_id, file_path, line_number, step, commit_hash, author, message,
+       CASE WHEN is_last THEN 'introduction'
+            WHEN contains(low, 'refactor') OR contains(low, 'rename') OR contains(low, 'move') THEN 'refactor'
+            ELSE 'modification' END AS change_type, source, line_at
+FROM everything""")
 ORACLE["parse_commit_log"] = X.with_ctes(*_C, body="""
 SELECT repo_id, file_path, CAST(row_number() OVER (PARTITION BY repo_id, file_path ORDER BY ts DESC, "commit" DESC) - 1 AS INTEGER) AS seq,
        "commit" AS full_hash, substring("commit", 1, 8) AS commit_hash,

@@ -231,6 +231,12 @@ def q_evolution_chain(spark, sf_dir):
     return HI.evolution_chain(FX.commits(spark, sf_dir), 20)
 
 
+@register("line_history")
+def q_line_history(spark, sf_dir):
+    from strata.operators.line_history import line_history
+    return line_history(FX.line_requests(spark, sf_dir), FX.file_diffs(spark, sf_dir), FX.commits(spark, sf_dir), 20)
+
+
 # ---------------------------------------------------------------------------
 # findings roll-ups, ranking, ids, grades, external ingest
 from strata.operators import ranking as RK  # noqa: E402

@@ -1,109 +1,81 @@
-"""Mandatory-literal extraction for cheap prefilters ahead of ``rlike``.
+"""Literals that a match cannot do without, for one automaton over many rules.
 
-``required_literal(p)`` returns a substring that every match of ``p`` must
-contain, or ``None`` when it cannot tell.  It is deliberately conservative:
-only top-level literal runs count (not inside groups or classes), optional
-atoms end a run, and any inline flag or top-level alternation disables it.
+``required_literals(p)`` returns strings of which every match of ``p`` contains at least one, in lower case, or
+``None`` where no such set is known.  The search text must be lower-cased likewise (A-Z only), which makes the set
+sound for patterns that ignore case too.
 """
 
 from __future__ import annotations
 
-_META = set(".^$*+?{}[]()|\\")
-_ESCAPABLE_LITERALS = set(".^$*+?{}[]()|\\/-@#%&=:;,'\"<>! ~`")
-
-
-def _quantifier_at(p: str, i: int):
-    """(min_repeats, length_of_quantifier) for a quantifier starting at ``i``."""
-    if i >= len(p):
-        return 1, 0
-    c = p[i]
-    if c in "*?":
-        n = 1 + (1 if i + 1 < len(p) and p[i + 1] in "?+" else 0)
-        return 0, n
-    if c == "+":
-        n = 1 + (1 if i + 1 < len(p) and p[i + 1] in "?+" else 0)
-        return 1, n
-    if c == "{":
-        j = p.find("}", i)
-        if j < 0:
-            return None
-        body = p[i + 1:j]
-        lo = body.split(",")[0]
-        if not lo.isdigit():
-            return None
-        n = j - i + 1 + (1 if j + 1 < len(p) and p[j + 1] in "?+" else 0)
-        return int(lo), n
-    return 1, 0
-
-
-def required_literal(p: str) -> str | None:
-    if not p or "(?" in p or "\\Q" in p:
-        return None
-    runs, cur = [], []
-    depth, i = 0, 0
-    while i < len(p):
-        c = p[i]
-        if c == "\\":
-            if i + 1 >= len(p):
-                return None
-            nxt = p[i + 1]
-            atom_lit = nxt if (depth == 0 and nxt in _ESCAPABLE_LITERALS) else None
-            i += 2
-        elif c == "[":
-            j = i + 1
-            if j < len(p) and p[j] == "^":
-                j += 1
-            if j < len(p) and p[j] == "]":
-                j += 1
-            while j < len(p) and p[j] != "]":
-                j += 2 if p[j] == "\\" else 1
-            atom_lit = None
-            i = j + 1
-        elif c == "(":
-            depth += 1
-            runs.append("".join(cur))
-            cur = []
-            i += 1
-            continue
-        elif c == ")":
-            depth -= 1
-            if depth < 0:
-                return None
-            i += 1
-            q = _quantifier_at(p, i)
-            if q is None:
-                return None
-            i += q[1]
-            continue
-        elif c == "|":
-            if depth == 0:
-                return None
-            i += 1
-            continue
-        elif c in "^$":
-            i += 1
+import re
+from re import _constants as K
+from re import _parser
+
+# Literals of a set: a longer set costs more than it saves.
+MOST_LITERALS = 64
+# Lower-case letters that non-ASCII letters match when case is ignored outside ASCII mode.
+_FOLDED = set("iks")
+
+_REPEATS = {K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT}
+_ZERO_WIDTH = {K.AT, K.ASSERT, K.ASSERT_NOT}
+
+
+def ascii_lower(text: str) -> str:
+    """A-Z in lower case, every other character as it was (so places stay the same)."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def _quality(literals: frozenset[str]) -> tuple[int, int]:
+    return min(map(len, literals)), -len(literals)
+
+
+def _best(sets: list[frozenset[str]]) -> frozenset[str] | None:
+    # a single letter, digit or space is everywhere; a single sign is not
+    usable = [s for s in sets if s and len(s) <= MOST_LITERALS
+              and not any(len(x) < 2 and (x.isalnum() or x.isspace() or x in ("", "_")) for x in s)]
+    return max(usable, key=_quality, default=None)
+
+
+def _of_sequence(items, flags: int) -> frozenset[str] | None:
+    found: list[frozenset[str]] = []
+    run: list[str] = []
+
+    def end() -> None:
+        if run:
+            found.append(frozenset(["".join(run)]))
+        run.clear()
+
+    for op, value in items:
+        if op is K.LITERAL:
+            char = ascii_lower(chr(value))
+            if flags & re.IGNORECASE and (not char.isascii() or char in _FOLDED and not flags & re.ASCII):
+                end()
+            else:
+                run.append(char)
+        elif op in _ZERO_WIDTH:
             continue
-        elif c == ".":
-            atom_lit = None
-            i += 1
-        elif c in "*+?{":
-            return None
         else:
-            atom_lit = c if depth == 0 else None
-            i += 1
-        q = _quantifier_at(p, i)
-        if q is None:
-            return None
-        lo, qlen = q
-        i += qlen
-        if atom_lit is None or lo == 0:
-            runs.append("".join(cur))
-            cur = []
-            continue
-        cur.append(atom_lit)
-        if qlen:  # repeated literal: it appears, but the run cannot continue past it
-            runs.append("".join(cur))
-            cur = []
-    runs.append("".join(cur))
-    best = max(runs, key=len) if runs else ""
-    return best or None
+            end()
+            inner = None
+            if op is K.SUBPATTERN:
+                _, on, off, body = value
+                inner = _of_sequence(body, (flags | on) & ~off)
+            elif op is K.ATOMIC_GROUP:
+                inner = _of_sequence(value, flags)
+            elif op is K.BRANCH:
+                branches = [_of_sequence(b, flags) for b in value[1]]
+                inner = None if None in branches else frozenset().union(*branches)
+            elif op in _REPEATS and value[0] > 0:
+                inner = _of_sequence(value[2], flags)
+            if inner:
+                found.append(inner)
+    end()
+    return _best(found)
+
+
+def required_literals(pattern: str, flags: int = 0) -> frozenset[str] | None:
+    try:
+        parsed = _parser.parse(pattern, flags)
+    except (re.error, RecursionError, OverflowError):
+        return None
+    return _of_sequence(parsed, parsed.state.flags)

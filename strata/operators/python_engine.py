@@ -1,86 +1,126 @@
-"""Python-regex scan for rules the JVM regex engine cannot take.
+"""Rules over texts in one pass: an automaton of the rules' literals, then the regexes of the rules it meets.
 
-A small per-partition helper run through ``mapInPandas``: Spark partitions the
-file rows, each task applies ``re`` for the few rules that need Python
-semantics, and emits the same finding schema as the JVM scan.
+A rule that cannot match without one of a few literals (``required_literals``) is tried only where one stands: an
+Aho-Corasick automaton over the literals of all rules of a language reads the text once, whatever the number of
+rules, and a line rule's regex runs on the lines of its hits, a multiline rule's on the texts that have a hit.  Time
+grows with the text and the hits.  Rules without literals are tried on every line or text; the scan gives only those
+here that the JVM's regex engine does not take.
+
+Patterns are Python's own, with the flags their rule carries; they are compiled when first needed and kept by the worker.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strata import schemas as S
+from strata.functions.regex_literal import ascii_lower
 
 ANY_LANGUAGE = ("", "any")
-FINDINGS_IN_ORDER = T.StructType([*S.FINDINGS.fields, T.StructField("engine_order", T.IntegerType())])
-
-
-def _specs(rules: list[dict]) -> list[tuple]:
-    return [(r["pattern"] or "", r["language"], r.get("literal"), r["rule_id"], r.get("engine", "regex"),
-             r.get("engine_order", 0),
-             (r["severity"] or S.DEFAULT_RULE_SEVERITY, r["defect_family"] or S.DEFAULT_RULE_FAMILY,
-              r["message"] or S.DEFAULT_MESSAGE, r["fix_hint"], r["cwe_id"], r["owasp_ref"])) for r in rules]
-
-
-def _of_languages(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """The files that some rule applies to, and the columns a scan needs."""
-    languages = {r["language"] for r in rules}
-    out = files.select("repo_id", "path", "language", "content")
+HITS = "repo_id string, file_path string, line_number int, end_line int, code_snippet string, _slot int"
+
+
+@lru_cache(maxsize=20_000)
+def _compiled(pattern: str, flags: int) -> re.Pattern:
+    return re.compile(pattern, flags)
+
+
+class RuleBook:
+    """The rules of one language: (slot, pattern, flags, literals, multiline), ready to run over texts."""
+
+    def __init__(self, rules: list[tuple[int, str, int, frozenset[str] | None, bool]]) -> None:
+        self.patterns = {slot: (pattern, flags) for slot, pattern, flags, _, _ in rules}
+        self.always = [(slot, multiline) for slot, _, _, literals, multiline in rules if not literals]
+        self.multiline = {slot for slot, _, _, _, multiline in rules if multiline}
+        by_literal = defaultdict(list)
+        for slot, _, _, literals, _ in rules:
+            for x in literals or ():
+                by_literal[x].append(slot)
+        self.automaton = None
+        if by_literal:
+            self.automaton = ahocorasick.Automaton()
+            for x, slots in by_literal.items():
+                self.automaton.add_word(x, tuple(slots))
+            self.automaton.make_automaton()
+
+    def regex(self, slot: int) -> re.Pattern:
+        return _compiled(*self.patterns[slot])
+
+    def hits(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(slot, first line, last line) of every finding."""
+        lines: list[str] | None = None
+        meant: dict[int, set[int]] = {}  # line rules by the lines that hold one of their literals
+        whole: set[int] = set()
+        if self.automaton is not None:
+            ends, line = [], 0
+            for at, slots in self.automaton.iter(ascii_lower(text)):
+                if lines is None:
+                    lines = text.splitlines()
+                    end = 0
+                    for kept in text.splitlines(keepends=True):
+                        end += len(kept)
+                        ends.append(end)
+                while at >= ends[line]:
+                    line += 1
+                for slot in slots:
+                    if slot in self.multiline:
+                        whole.add(slot)
+                    else:
+                        meant.setdefault(line, set()).add(slot)
+        for line, slots in meant.items():
+            for slot in slots:
+                if self.regex(slot).search(lines[line]):
+                    yield slot, line + 1, line + 1
+        for slot, multiline in self.always:
+            if multiline:
+                whole.add(slot)
+            else:
+                search = self.regex(slot).search
+                lines = text.splitlines() if lines is None else lines
+                yield from ((slot, n, n) for n, line in enumerate(lines, start=1) if search(line))
+        for slot in whole:
+            at, line = 0, 1
+            for m in self.regex(slot).finditer(text):
+                line += text.count("\n", at, m.start())
+                at = m.start()
+                yield slot, line, line + m.group(0).count("\n")
+
+
+def scan_texts(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """One row per hit: repo_id, file_path, line_number, end_line, code_snippet and the rule's 1-based place in
+    ``rules`` as ``_slot``; line rules hit a line once, multiline rules at every match."""
+    specs = [(r["language"], (i, r["pattern"] or "", r["flags"], r["literals"], r["match_type"] == "regex_multiline"))
+             for i, r in enumerate(rules, start=1)]
+    languages = {language for language, _ in specs}
+    texts = files.select("repo_id", "path", F.lower(F.coalesce("language", F.lit(""))).alias("language"), "content").filter(
+        "content IS NOT NULL")
     if languages.isdisjoint(ANY_LANGUAGE):
-        out = out.filter(F.lower(F.coalesce("language", F.lit(""))).isin(*sorted(languages)))
-    return out
-
-
-def _issue_type(rule_id: str) -> str:
-    return rule_id[len("REGEX-"):] if rule_id.startswith("REGEX-") else rule_id
-
-
-def _scan_python(files: DataFrame, rules: list[dict], find) -> DataFrame:
-    """``find(regex, text, lines)`` yields (start line, end line) from 1."""
-    specs = _specs(rules)
+        texts = texts.filter(F.col("language").isin(*sorted(languages)))
 
-    def run(batches):
-        compiled = [(re.compile(p), *rest) for p, *rest in specs]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        books: dict[str, RuleBook] = {}
         for pdf in batches:
             out = []
-            for repo, path, lang, text in zip(pdf["repo_id"], pdf["path"], pdf["language"], pdf["content"]):
-                if text is None:
-                    continue
-                lines, flang = text.splitlines(), (lang or "").lower()
-                for rx, rlang, literal, rid, engine, order, meta in compiled:
-                    if rlang not in ANY_LANGUAGE and rlang != flang or literal and literal not in text:
-                        continue
-                    for start, end in find(rx, text, lines):
-                        snippet = "\n".join(lines[max(0, start - 2):min(len(lines), end + 1)])
-                        out.append((repo, rid, engine, path, start, *meta, snippet, _issue_type(rid), end, 1, order))
-            yield pd.DataFrame(out, columns=FINDINGS_IN_ORDER.names)
-
-    return _of_languages(files, rules).mapInPandas(run, FINDINGS_IN_ORDER)
-
-
-def scan_lines_python(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """One finding per (rule, line) on the first hit."""
-    def find(rx, text, lines):
-        return [(n, n) for n, line in enumerate(lines, start=1) if rx.search(line)]
-
-    return _scan_python(files, rules, find)
-
-
-def scan_texts_python(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """One finding per match over the whole text."""
-    def find(rx, text, lines):
-        at, line = 0, 1
-        for m in rx.finditer(text):
-            line += text.count("\n", at, m.start())
-            at = m.start()
-            yield line, line + m.group(0).count("\n")
-
-    return _scan_python(files, rules, find)
+            for repo, path, language, text in zip(pdf["repo_id"], pdf["path"], pdf["language"], pdf["content"]):
+                # languages without rules of their own share the book of those that apply to all
+                own = language if language in languages else ""
+                if own not in books:
+                    books[own] = RuleBook([spec for of, spec in specs if of in ANY_LANGUAGE or of == own])
+                lines = None
+                for slot, first, last in books[own].hits(text):
+                    lines = text.splitlines() if lines is None else lines
+                    out.append((repo, path, first, last, "\n".join(lines[max(0, first - 2):min(len(lines), last + 1)]), slot))
+            yield pd.DataFrame(out, columns=["repo_id", "file_path", "line_number", "end_line", "code_snippet", "_slot"])
+
+    return texts.mapInPandas(run, HITS)
 
 
 def python_engine(analyze, name: str = "python"):

@@ -1,15 +1,11 @@
 """Rule scanning: line rules, multiline rules and the engine registry.
 
-Line rules are compiled on the driver into *literal* ``rlike`` predicates, so
-each pattern is compiled once per task and the scan is a narrow projection over
-the file rows: no shuffle, no join back to the content, one path for any number
-of rules.  Predicates are grouped by the rules' language, so a line meets only
-the rules that apply to its file.  Each line travels with references to its two
-neighbours, so the three-line snippet is built in the same pass.
-
-Patterns that only Python compiles, and multiline rules (Spark has no
-find-all-with-offsets), run in a small ``mapInArrow`` helper with the same
-schema and defaults.
+The catalogue (authored by hand: a dimension) is compiled on the driver.  Rules with mandatory literals, nearly all in
+practice, run in one pass over the texts led by an automaton of all their literals (``python_engine``): its time
+grows with the text and the hits, not with the number of rules.  Rules without any literal become *literal* ``rlike``
+predicates of a second pass in generated code, grouped by language; patterns that only Python compiles join the
+first pass.  Both are narrow: no shuffle, no join back to the content.  Multiline rules run in the first
+pass too (Spark has no find-all-with-offsets).
 """
 
 from __future__ import annotations
@@ -21,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata import schemas as S
-from strata.functions.regex_literal import required_literal
+from strata.functions.regex_literal import required_literals
 from strata.functions.text import with_lines, with_neighbours
+from strata.operators.python_engine import scan_texts
 
-# Rules per generated expression block (keeps generated methods small).
-RULE_BLOCK = 25
-# Rules compiled into one pass over the text.
-RULES_PER_PASS = 200
+# Rules per generated expression block, and in one generated pass over the text: more do not fit into a generated
+# method, and Spark would interpret the pass.
+RULE_BLOCK = 10
+RULES_PER_PASS = 40
 
 ANY_LANGUAGE = ("", "any")
 LANGUAGE_ALIASES = {"cpp": "c++"}
@@ -65,9 +62,9 @@ def collect_rules(rules: DataFrame, match_types=("regex_line",), alias_languages
 
     Rules whose pattern Python cannot compile are left out (as in the source
     behaviour); rules Java cannot compile are flagged for the Python scan.
-    ``unicode_classes`` prefixes ``(?U)`` so ``\\w``, ``\\d``, ``\\s`` and ``\\b`` are
-    Unicode-aware as in Python (quirk Q12); the default keeps ASCII classes, which
-    is what the RE2-based oracle can check.
+    ``unicode_classes`` makes ``\\w``, ``\\d``, ``\\s`` and ``\\b`` of line rules
+    Unicode-aware as in the source (quirk Q12); the default keeps ASCII classes, which
+    is what the RE2-based oracle can check.  Multiline rules are Unicode-aware.
     """
     cols = RULE_META_FIELDS + ["pattern", "language", "match_type"]
     rows = sorted(active_rules(rules, match_types).select(*cols).collect(),
@@ -81,20 +78,33 @@ def collect_rules(rules: DataFrame, match_types=("regex_line",), alias_languages
         except re.error:
             continue
         d["language"] = _norm_lang(d["language"], alias_languages)
-        d["literal"] = required_literal(d["pattern"] or "")
-        d["java_pattern"] = ("(?U)" if unicode_classes else "") + (d["pattern"] or "")
-        d["java_ok"] = _java_compiles(spark, d["java_pattern"])
+        d = _prepared(d, unicode_classes)
+        if not d["literals"]:  # only such rules are given to Java
+            d["java_ok"] = _java_compiles(spark, d["java_pattern"])
         out.append(d)
     return out
 
 
+def _prepared(rule: dict, unicode_classes: bool = False) -> dict:
+    """A rule with what the scans need besides its catalogue fields; what it has already stays."""
+    pattern, kind = rule["pattern"] or "", rule.get("match_type", "regex_line")
+    flags = 0 if unicode_classes or kind == "regex_multiline" else re.ASCII
+    try:
+        re.compile(pattern, flags)
+    except (re.error, ValueError):  # the pattern asks for other classes itself
+        flags = 0
+    made = {"match_type": kind, "flags": flags, "java_ok": True, "java_pattern": ("(?U)" if unicode_classes else "") + pattern}
+    made |= rule
+    return made if "literals" in made else made | {"literals": required_literals(pattern, made["flags"])}
+
+
 def _meta_table(spark, rules: list[dict]) -> DataFrame:
     """(_slot, _m): what a finding takes from its rule."""
-    rows = [(i, (r.get("engine", "regex"), r.get("engine_order", 0), r["rule_id"],
+    rows = [(i, (r.get("engine", "regex"), r.get("engine_order", 0), int(r["match_type"] == "regex_multiline"), r["rule_id"],
                  r["severity"] or S.DEFAULT_RULE_SEVERITY, r["defect_family"] or S.DEFAULT_RULE_FAMILY,
                  r["message"] or S.DEFAULT_MESSAGE, r["fix_hint"], r["cwe_id"], r["owasp_ref"]))
             for i, r in enumerate(rules, start=1)]
-    return spark.createDataFrame(rows, "_slot int, _m struct<engine: string, engine_order: int, rule_id: string, "
+    return spark.createDataFrame(rows, "_slot int, _m struct<engine: string, engine_order: int, seq: int, rule_id: string, "
                                        "severity: string, defect_family: string, message: string, fix_hint: string, "
                                        "cwe_id: string, owasp_ref: string>")
 
@@ -107,15 +117,11 @@ def _hit_list(text: str, lang: str, rules: list[dict]) -> Column:
     """Comma-joined 1-based slots of the rules that fit the language and match.
 
     ``concat_ws`` skips the NULL slots, so a line without hits gives ``''``;
-    everything stays in generated code (no lambda functions).  Built as one SQL
-    expression, so thousands of rules cost one parse, not thousands of calls.
+    everything stays in generated code (no lambda functions).
     """
     by_language: dict[str, list[str]] = {}
     for i, r in enumerate(rules, start=1):
-        hit = f"rlike({text}, {_sql_string(r.get('java_pattern', r['pattern'] or ''))})"
-        lit = r["literal"] if "literal" in r else required_literal(r["pattern"] or "")
-        if lit:
-            hit = f"contains({text}, {_sql_string(lit)}) AND {hit}"
+        hit = f"rlike({text}, {_sql_string(r['java_pattern'])})"
         key = "any" if r["language"] in ANY_LANGUAGE else r["language"]
         by_language.setdefault(key, []).append(f"CASE WHEN {hit} THEN '{i}' END")
 
@@ -166,47 +172,47 @@ def scan_line_rules(files: DataFrame, rules: DataFrame | list[dict], engine: str
     """
     compiled = collect_rules(rules, ("regex_line",), alias_languages, unicode_classes) \
         if isinstance(rules, DataFrame) else rules
-    return _scan(files, [dict(r, engine=engine, engine_order=0) for r in compiled]).drop("engine_order")
+    return _scan(files, [dict(r, engine=engine, engine_order=0) for r in compiled]).drop("engine_order", "seq")
 
 
 def scan_line_engines(files: DataFrame, engines: dict[str, DataFrame], alias_languages: bool = True) -> DataFrame:
     """Several line-rule engines over the same files in ONE pass.
 
-    Each engine's catalogue is compiled into the same hit list (slots tagged
-    with engine name and registration order), so the text is split and the
-    lines generated once however many engines run.  Output carries
-    ``engine_order`` for the de-duplication tie-break.
+    Each engine's catalogue joins the same list of rules (tagged with engine name
+    and registration order), so the text is read once however many engines run.
+    Output carries ``engine_order`` for the de-duplication tie-break.
     """
     compiled = []
     for order, (name, rules) in enumerate(engines.items()):
         compiled += [dict(r, engine=name, engine_order=order)
                      for r in collect_rules(rules, ("regex_line",), alias_languages)]
-    return _scan(files, compiled)
+    return _scan(files, compiled).drop("seq")
 
 
 def _scan(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """Findings of compiled line rules: the JVM's, and those of patterns that only Python takes."""
-    jvm = [r for r in rules if r.get("java_ok", True)]
-    rest = [r for r in rules if not r.get("java_ok", True)]
-    out = _inline_scan(files, jvm) if jvm else _empty_findings(files).withColumn("engine_order", F.lit(0))
-    if rest:
-        from strata.operators.python_engine import scan_lines_python
-        out = out.unionByName(scan_lines_python(files, rest))
-    return out
-
-
-def _inline_scan(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """One pass over the text per ``RULES_PER_PASS`` rules; rules of one language come together, so a
-    later pass reads only the files of its languages."""
-    rules = sorted(rules, key=lambda r: "" if r["language"] in ANY_LANGUAGE else r["language"])
+    """Findings of compiled rules, line and multiline ones: the automaton's pass, and the generated pass for line
+    rules without literals."""
+    rules = [_prepared(r) for r in rules]
+    generated = [r for r in rules if not r["literals"] and r["java_ok"] and r["match_type"] != "regex_multiline"]
+    led = [r for r in rules if not any(r is g for g in generated)]
     out = None
-    for at in range(0, len(rules), RULES_PER_PASS):
-        part = _scan_pass(files, rules[at: at + RULES_PER_PASS])
+    if led:
+        out = _with_meta(scan_texts(files, led), led)
+    # rules of one language come together, so a later pass reads only the files of its languages
+    generated.sort(key=lambda r: "" if r["language"] in ANY_LANGUAGE else r["language"])
+    for at in range(0, len(generated), RULES_PER_PASS):
+        part = _generated_pass(files, generated[at: at + RULES_PER_PASS])
         out = part if out is None else out.unionByName(part)
-    return out
+    return _empty_findings(files).withColumn("engine_order", F.lit(0)).withColumn("seq", F.lit(0)) if out is None else out
+
+
+def _with_meta(hits: DataFrame, rules: list[dict]) -> DataFrame:
+    """Hits with what their rule says; the broadcast side is the catalogue that the driver has just compiled."""
+    return (hits.join(F.broadcast(_meta_table(hits.sparkSession, rules)), "_slot")
+            .select(*_finding_projection(None), F.col("_m.engine_order").alias("engine_order"), F.col("_m.seq").alias("seq")))
 
 
-def _scan_pass(files: DataFrame, rules: list[dict]) -> DataFrame:
+def _generated_pass(files: DataFrame, rules: list[dict]) -> DataFrame:
     base = files.select("repo_id", F.col("path").alias("file_path"),
                         F.lower(F.coalesce(F.col("language"), F.lit(""))).alias("_lang"), "content")
     languages = {r["language"] for r in rules}
@@ -220,13 +226,10 @@ def _scan_pass(files: DataFrame, rules: list[dict]) -> DataFrame:
     hits = (lines.select("repo_id", "file_path", "_pos", "_l", _hit_list("_line", "_lang", rules).alias("_hits"))
             .select("repo_id", "file_path", "_pos", "_l", F.explode(F.split("_hits", ",")).alias("_slot"))
             .filter(F.col("_slot") != "")
-            .select("repo_id", "file_path", (F.col("_pos") + 1).alias("line_number"),
+            .select("repo_id", "file_path", (F.col("_pos") + 1).alias("line_number"), (F.col("_pos") + 1).alias("end_line"),
                     F.concat_ws("\n", F.col("_l.prev"), F.col("_l.line"), F.col("_l.next")).alias("code_snippet"),
                     F.col("_slot").cast("int").alias("_slot")))
-    # at most RULES_PER_PASS rows, which the driver has just compiled
-    return (hits.join(F.broadcast(_meta_table(files.sparkSession, rules)), "_slot")
-            .withColumn("end_line", F.col("line_number"))
-            .select(*_finding_projection(None), F.col("_m.engine_order").alias("engine_order")))
+    return _with_meta(hits, rules)
 
 
 def _empty_findings(files: DataFrame) -> DataFrame:
@@ -241,17 +244,12 @@ def scan_multiline_rules(files: DataFrame, rules: DataFrame | list[dict], engine
                          alias_languages: bool = True) -> DataFrame:
     """Every match of a multiline rule over the whole content.
 
-    line = newlines before the match + 1; end_line = line + newlines inside it.
-    Spark has no find-all-with-offsets, so the rules run as Python regexes (their
-    native dialect) in a ``mapInArrow`` pass over the files of their languages;
-    a rule whose mandatory literal the text lacks is not run on it.
+    line = newlines before the match + 1; end_line = line + newlines inside it.  A rule runs on the files of its
+    language that hold one of its literals.
     """
-    from strata.operators.python_engine import scan_texts_python
     compiled = collect_rules(rules, ("regex_multiline",), alias_languages) \
         if isinstance(rules, DataFrame) else rules
-    if not compiled:
-        return _empty_findings(files)
-    return scan_texts_python(files, [dict(r, engine=engine) for r in compiled]).drop("engine_order")
+    return _scan(files, [dict(r, engine=engine) for r in compiled]).drop("engine_order", "seq")
 
 
 # ---------------------------------------------------------------------------
@@ -271,9 +269,9 @@ def registered_engines() -> dict[str, Engine]:
 
 
 def _regex_engine(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Line rules, then multiline rules (``seq`` keeps that order for ties and ids)."""
-    return (scan_line_rules(files, rules).withColumn("seq", F.lit(0))
-            .unionByName(scan_multiline_rules(files, rules).withColumn("seq", F.lit(1))))
+    """Line rules and multiline rules in one scan; ``seq`` puts line rules first for ties and ids."""
+    compiled = collect_rules(rules, ("regex_line", "regex_multiline"))
+    return _scan(files, [dict(r, engine="regex") for r in compiled]).drop("engine_order")
 
 
 register_engine("regex", _regex_engine)

@@ -240,3 +240,33 @@ def test_dedupe_keeps_first_occurrence_position(spark):
     rows = [_finding("r", "A", 1, "medium", engine_order=0), _finding("r", "A", 1, "critical", engine_order=1)]
     out = FD.dedupe_findings(spark.createDataFrame(rows, _schema())).first()
     assert out.severity == "critical" and out.engine_order == 0
+
+
+def test_rules_without_literals_compile_to_generated_code(spark):
+    """404 of them: no pass is interpreted because its code grew too long."""
+    languages = ["any", "python", "javascript", "go"]
+    spec = [(f"N{i}", languages[i % 4], "x", "low", rf"[a-z]{{{i % 5 + 1},}}[0-9]{{{i % 3 + 1}}}|[0-9]+[x-z]{{{i % 7 + 1}}}", "regex_line", True)
+            for i in range(404)]
+    rows = [("r", f"f.{lang}", "abc12 9xyz\n--\nzz9\n77yy", lang) for lang in ("python", "javascript", "go", "java")]
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = SC.scan_line_rules(_files(spark, rows), _rules(spark, spec)).select(*FIELDS).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert sorted(map(tuple, got)) == _plain_scan(rows, spec)
+
+
+def test_engines_read_the_texts_once(spark):
+    files = FX.files(spark, "/root/testdata/sf0.001")
+    rules = FX.rules(spark, [*FX.FIXTURE_RULES, *FX.FIXTURE_MULTILINE_RULES])
+    plan = SC.run_engines(files, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("parquet") == 1
+
+
+def test_ascii_and_unicode_classes(spark):
+    files = _files(spark, [("r", "a", "caf\u00e9x tok\ncafe\u0301 tok\nTOK \u212a", "plaintext")])
+    spec = [("W", "any", "x", "low", r"caf\w+x", "regex_line", True), ("I", "any", "x", "low", r"(?i)tok k", "regex_line", True),
+            ("U", "any", "x", "low", r"(?u)caf\w+x", "regex_line", True)]
+    ascii_, wide = (sorted((r.rule_id, r.line_number) for r in SC.scan_line_rules(files, _rules(spark, spec), unicode_classes=u).collect())
+                    for u in (False, True))
+    assert ascii_ == [("U", 1)] and wide == [("I", 3), ("U", 1), ("W", 1)]

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from strata.functions.paths import normalize_repo_url, repo_name_from_url, directory_prefixes
-from strata.functions.regex_literal import required_literal
+from strata.functions.regex_literal import ascii_lower, required_literals
 from strata.functions.text import split_lines, snippet_from_lines, with_lines, read_text_lossy
 
 
@@ -38,13 +38,19 @@ def test_lossy_read_universal_newlines(spark):
     assert df.select(read_text_lossy("t")).first()[0] == "a\nb\nc"
 
 
-def test_required_literal_is_conservative():
-    assert required_literal(r"Licen[sc]e") == "Licen"
-    assert required_literal(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}") == "@"
-    assert required_literal(r"(?i)eval\(") is None
-    assert required_literal(r"a|b") is None
-    assert required_literal(r"ab?c") == "a"
-    assert required_literal(r"x{0,2}yz") == "yz"
+def test_required_literals():
+    assert required_literals(r"Licen[sc]e") == {"licen"}
+    assert required_literals(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}") == {"@"}
+    assert required_literals(r"a[0-9]+_ ?x") is None  # one letter is everywhere
+    assert required_literals(r"(?i)eval\(") == {"eval("}
+    assert required_literals(r"(?i)skin", 0) is None and required_literals(r"(?i)task(?-i:S)") == {"ta"}
+    assert required_literals(r"aa|bb") == {"aa", "bb"} and required_literals(r"aa|b") is None
+    assert required_literals(r"(password|secret|to(?:ken|ll))\s*=\s*[\"']") == {"password", "secret", "to"}
+    assert required_literals(r"abb?c") == {"ab"} and required_literals(r"x{0,2}yz") == {"yz"}
+    assert required_literals(r"(?:foo)*") is None and required_literals(r"(?:foo){2,}") == {"foo"}
+    assert required_literals(r"(?<=xy)\bzz(?!q)w") == {"zzw"}
+    assert ascii_lower("ABC\u0130\u00c4z") == "abc\u0130\u00c4z"
+
 
 
 def test_hidden_files_keep_config_suffixes(spark):

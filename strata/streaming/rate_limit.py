@@ -4,11 +4,13 @@ An event is admitted when fewer than ``N`` *admitted* events of its key are
 younger than the window (age < 3600 s); rejected events do not count.  The
 decision depends on earlier decisions, so it is not a range-window count.
 
-Batch: the events are hash-partitioned by key and idle-gap piece and sorted
-by (key, piece, ts, id) inside each partition (a secondary sort, no per-key
-collection); one pass over the sorted partition carries at most ``N``
-admitted timestamps of the current key.  Memory is O(N) whatever the size of
-a key, and a hot key is split at every idle gap of one window or more.
+Batch: a speculative parallel fold.  A key's time is cut into chunks of ``CHUNK_WINDOWS`` windows, and every chunk is
+folded on its own: it starts from an empty state ``WARM_WINDOWS`` windows before its first event and so usually enters with
+the state the whole fold would have.  Each chunk keeps the state (at most ``N`` admitted times) it entered and left
+with.  Where the state left by the chunk before differs from the state entered, the chunk is folded again from the
+true one, together with the chunks after it in its group; groups double every round, so a key whose chunks never agree
+by themselves is done after as many rounds as its number of chunks has bits.  When all states agree, every decision
+is the sequential fold's.
 
 Stream: ``applyInPandasWithState`` keeps the same ``N`` timestamps per key in
 the state store, with an event-time watermark of one window.
@@ -17,6 +19,7 @@ the state store, with an event-time watermark of one window.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.operators.positions import null_safe_join
+from strata.session import land
+
 WINDOW_SECONDS = 3600
+# Windows of a key folded together, and windows before them from which the fold starts with an empty state.
+CHUNK_WINDOWS = 24
+WARM_WINDOWS = 2
 # FIXED VALUES: configured limits per hour
 LIMITS = {"analysis": 10, "ai": 20, "token": 5}
 
@@ -36,77 +45,127 @@ OUT_SCHEMA = T.StructType([
 ])
 
 
-def _admit_sorted(keys, ts_us, limit: int, window_us: int, state: dict, starts=None):
-    """Fold over rows sorted by (group, ts); ``state`` carries the current group's deque
-    across Arrow batches.  ``starts`` (optional bool array) marks rows that begin a new
-    group; without it a change of ``keys`` does."""
-    out = np.zeros(len(keys), dtype=bool)
-    cur_key, q = state.get("key"), state.get("q")
-    for i in range(len(keys)):
-        t = ts_us[i]
-        k = keys[i]
-        if (starts[i] if starts is not None else False) or k != cur_key or q is None:
-            cur_key, q = k, deque()
-        while q and t - q[0] >= window_us:
-            q.popleft()
-        if len(q) < limit:
-            q.append(t)
-            out[i] = True
-    state["key"], state["q"] = cur_key, q
-    return out
+class _Fold:
+    """Admission of one key's events in order of time."""
+
+    def __init__(self, limit: int, window_us: int, admitted=()) -> None:
+        self.limit, self.window_us, self.admitted = limit, window_us, deque(int(x) for x in admitted)
+
+    def forget(self, now: int) -> None:
+        while self.admitted and now - self.admitted[0] >= self.window_us:
+            self.admitted.popleft()
+
+    def admit(self, now: int) -> bool:
+        self.forget(now)
+        if len(self.admitted) < self.limit:
+            self.admitted.append(now)
+            return True
+        return False
+
+
+# Rows of a round: decisions (``is_state`` false), and for each chunk the states it entered and left with.
+_ROUND = ("key string, request_id long, ts timestamp, admitted boolean, chunk long, is_state boolean, first_us long, "
+          "entered array<long>, left array<long>")
+
+
+def _fold_pieces(pieces: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """Folds rows (key, piece, chunk, warm, ts, request_id, entered) piece by piece; a piece is one or more chunks.
+
+    One pass over rows sorted by (key, piece, time) carries a single fold and writes the states at every change
+    of chunk.  Warm rows move the state only.
+    """
+    ordered = pieces.repartition("key", "piece").sortWithinPartitions("key", "piece", "chunk", "ts", "request_id")
+    columns = ["key", "request_id", "ts", "admitted", "chunk", "is_state", "first_us", "entered", "left"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = fold = chunk = None  # chunk: [key, chunk, first_us, state entered]
+
+        def state() -> tuple:
+            return (chunk[0], None, None, None, chunk[1], True, chunk[2], chunk[3], list(fold.admitted))
+
+        for pdf in batches:
+            times = pdf["ts"].values.astype("datetime64[us]").astype(np.int64).tolist()
+            keys = pdf["key"].astype(object).where(pdf["key"].notna(), None).tolist()
+            chunks = [None if pd.isna(c) else int(c) for c in pdf["chunk"]]
+            piece = [None if pd.isna(c) else int(c) for c in pdf["piece"]]
+            flags, out = np.zeros(len(pdf), bool), []
+            for i, (key, now, warm) in enumerate(zip(keys, times, pdf["warm"].tolist())):
+                if fold is None or at != (key, piece[i]):
+                    if chunk is not None:
+                        out.append(state())
+                    entered = pdf["entered"].iat[i]
+                    at, fold, chunk = (key, piece[i]), _Fold(limit, window_us, () if entered is None else entered), None
+                if not warm and (chunk is None or chunk[1] != chunks[i]):
+                    if chunk is not None:
+                        out.append(state())
+                    fold.forget(now)
+                    chunk = (key, chunks[i], now, list(fold.admitted))
+                flags[i] = fold.admit(now)
+            own = ~pdf["warm"].to_numpy(bool)
+            decided = pdf.loc[own, ["key", "request_id", "ts", "chunk"]].assign(
+                admitted=flags[own], is_state=False, first_us=None, entered=None, left=None)
+            yield decided[columns]
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if chunk is not None:
+            yield pd.DataFrame([state()], columns=columns)
+
+    return ordered.mapInPandas(run, _ROUND)
 
 
 def rate_limit(events: DataFrame, limit: int, key_col: str = "key", ts_col: str = "ts",
                id_col: str = "request_id", window_seconds: int = WINDOW_SECONDS,
-               num_partitions: int | None = None, split_idle_gaps: bool = True) -> DataFrame:
-    """Admission flag for every event (batch).
+               chunk_windows: int = CHUNK_WINDOWS, warm_windows: int = WARM_WINDOWS) -> DataFrame:
+    """Admission flag for every event (batch), by the speculative fold described above.
 
-    With ``split_idle_gaps`` a key's timeline is cut wherever two consecutive
-    events are at least one window apart: no admitted event can reach across
-    such a gap, so the pieces are independent and exact.  Such a gap always lies
-    between two occupied buckets of one window, so the gaps are found on the
-    buckets' first and last times (pre-aggregated, a row per key and bucket), and
-    no key's events are sorted as a whole.  The fold then runs per (key, piece).
-    A key without any gap is sequential by nature and stays one piece.
+    The first round folds every chunk of ``chunk_windows`` windows, in as many tasks as there are; its events travel
+    once (those of a chunk's last ``warm_windows`` also to the next chunk).  Later rounds read only the keys and chunks
+    whose states disagree.  Every round ends in a table in the shared folder.
 
     A null key is a key like others; a key's events without a time are a piece of their own, in which the first
     ``limit`` by id are admitted.
     """
     window_us = int(window_seconds) * 1_000_000
+    span = window_us * chunk_windows
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     src = events.select(F.col(key_col).cast("string").alias("key"), F.col(id_col).cast("long").alias("request_id"),
-                        F.col(ts_col).alias("ts"))
-    if split_idle_gaps:
-        us = F.unix_micros(F.col("ts").cast("timestamp"))
-        src = src.withColumn("_bucket", F.floor(us / F.lit(window_us)))
-        buckets = src.groupBy("key", "_bucket").agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))
-        w = Window.partitionBy("key").orderBy("_bucket")
-        gap = F.col("_lo") - F.lag("_hi").over(w)
-        pieces = buckets.withColumn("_start", F.when(gap.isNull() | (gap >= window_us), 1).otherwise(0)).select(
-            F.col("key").alias("_key"), F.col("_bucket").alias("_at"),
-            F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_seg"))
-        # null keys and times meet their piece too
-        src = (src.join(pieces, F.col("key").eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_at")))
-               .select("key", "request_id", "ts", "_seg"))
-    else:
-        src = src.withColumn("_seg", F.col("ts").isNotNull().cast("long"))
-    part_cols = ["key", "_seg"]
-    parts = (src.repartition(num_partitions, *part_cols) if num_partitions else src.repartition(*part_cols))
-    ordered = parts.sortWithinPartitions(*part_cols, "ts", "request_id")
-
-    def run(batches):
-        state: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ts_us = pdf["ts"].values.astype("datetime64[us]").astype(np.int64)
-            keys = pdf["key"].astype(object).where(pdf["key"].notna(), None).to_numpy()
-            seg = pdf["_seg"].to_numpy()
-            starts = seg != np.concatenate([[state.get("seg", -1)], seg[:-1]])
-            state["seg"] = seg[-1]
-            pdf["admitted"] = _admit_sorted(keys, ts_us, limit, window_us, state, starts)
-            yield pdf[["key", "request_id", "ts", "admitted"]]
-
-    return ordered.mapInPandas(run, OUT_SCHEMA)
+                        F.col(ts_col).cast("timestamp").alias("ts")).withColumn("chunk", F.floor(us / F.lit(span)))
+    own = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("warm"))
+    late = us >= (F.col("chunk") + 1) * span - warm_windows * window_us
+    copies = F.when(late, F.array(own, F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("warm")))).otherwise(F.array(own))
+    none = F.lit(None).cast("array<bigint>")
+    first = src.withColumn("c", F.explode(copies)).select("key", "request_id", "ts", "c.*", F.col("c.chunk").alias("piece"), none.alias("entered"))
+    rounds = [land(_fold_pieces(first, limit, window_us).withColumn("round", F.lit(0)), "rate-limit")]
+    base = rounds[0].agg(F.min("chunk")).first()[0] or 0
+    while True:
+        states = rounds[0].filter("is_state AND chunk IS NOT NULL")
+        for later in rounds[1:]:
+            states = states.unionByName(later.filter("is_state"))
+        if len(rounds) > 1:  # a chunk's latest states
+            latest = states.groupBy("key", "chunk").agg(F.max_by(F.struct("first_us", "entered", "left"), "round").alias("s"))
+            states = latest.select("key", "chunk", "s.*")
+        before = Window.partitionBy("key").orderBy("chunk")  # a row for every chunk of a key
+        truth = F.filter(F.coalesce(F.lag("left").over(before), F.array().cast("array<bigint>")),
+                         lambda t: F.col("first_us") - t < window_us)
+        wrong = (states.withColumn("truth", truth).filter(F.col("truth") != F.col("entered"))
+                 .select("key", "chunk", "truth", F.shiftright(F.col("chunk") - base, len(rounds)).alias("piece")))
+        again = land(wrong.groupBy("key", "piece").agg(F.min("chunk").alias("from"), F.min_by("truth", "chunk").alias("entered")),
+                     "rate-limit-again")
+        if again.isEmpty():
+            break
+        placed = src.withColumn("piece", F.shiftright(F.col("chunk") - base, len(rounds)))
+        redo = null_safe_join(placed, again, ["key", "piece"]).filter("chunk >= `from`").withColumn("warm", F.lit(False))
+        rounds.append(land(_fold_pieces(redo, limit, window_us).withColumn("round", F.lit(len(rounds))), "rate-limit"))
+    decided = rounds[0].filter("NOT is_state")
+    if len(rounds) > 1:
+        for later in rounds[1:]:
+            decided = decided.unionByName(later.filter("NOT is_state"))
+        redone = rounds[1].filter("is_state").select("key", "chunk", "round")
+        for later in rounds[2:]:
+            redone = redone.unionByName(later.filter("is_state").select("key", "chunk", "round"))
+        last = redone.groupBy("key", "chunk").agg(F.max("round").alias("_last"))
+        decided = null_safe_join(decided, last, ["key", "chunk"], "left").filter(F.col("round") == F.coalesce("_last", F.lit(0)))
+    return decided.select("key", "request_id", "ts", "admitted")
 
 
 STATE_SCHEMA = T.StructType([T.StructField("admitted_us", T.ArrayType(T.LongType()))])
@@ -124,16 +183,16 @@ def rate_limit_stream(events: DataFrame, limit: int, key_col: str = "key", ts_co
         if state.hasTimedOut:  # a window after the last admission: nothing left to remember
             state.remove()
             return
-        admitted = deque(state.get[0] if state.exists else [])
+        admitted = state.get[0] if state.exists else []
         # of the key's micro-batch only two numbers a row are held, for the order by time
         times, ids = zip(*((p["ts"].values.astype("datetime64[us]").astype(np.int64), p["request_id"].to_numpy())
                            for p in pdfs))
         ts_us, ids = np.concatenate(times), np.concatenate(ids)
         order = np.lexsort((ids, ts_us))
         ts_us, ids = ts_us[order], ids[order]
-        st = {"key": key[0], "q": admitted}
-        flags = _admit_sorted(np.broadcast_to(np.array(key[0], dtype=object), len(ids)), ts_us, limit, window_us, st)
-        kept = [int(x) for x in st["q"]]
+        fold = _Fold(limit, window_us, admitted)
+        flags = np.array([fold.admit(t) for t in ts_us.tolist()], bool)
+        kept = list(fold.admitted)
         state.update((kept,))
         if kept:
             state.setTimeoutTimestamp((kept[-1] + window_us) // 1000)

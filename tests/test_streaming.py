@@ -1,7 +1,9 @@
 import datetime as dt
 import os
+import random
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from strata import fixtures as FX
@@ -33,8 +35,8 @@ def test_rate_limit_keeps_events_without_key_or_time(spark):
             for n, k in enumerate([None, "u"]) for i, s in enumerate([0, 10, 20, 3600, 9000])]
     rows += [(k, 100 + 10 * n + i, None) for n, k in enumerate([None, "u"]) for i in range(3)]
     df = spark.createDataFrame(rows, "key string, request_id long, ts timestamp").repartition(3)
-    for split in (True, False):
-        out = RL.rate_limit(df, 2, split_idle_gaps=split).collect()
+    for windows in (1, 24):
+        out = RL.rate_limit(df, 2, chunk_windows=windows).collect()
         assert sorted((r.key or "", r.request_id, str(r.ts)) for r in out) == sorted((k or "", i, str(t)) for k, i, t in rows)
         got = {r.request_id: r.admitted for r in out}
         for n in (0, 10):
@@ -42,6 +44,49 @@ def test_rate_limit_keeps_events_without_key_or_time(spark):
             assert [got[100 + n + i] for i in range(3)] == [True, True, False]
 
 
+def _admitted_in_order(rows, limit, window):
+    """The sequential fold of (key, id, second)."""
+    out, admitted = {}, {}
+    for key, i, t in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        live = [x for x in admitted.get(key, []) if t - x < window]
+        out[i] = len(live) < limit
+        admitted[key] = live + [t] if out[i] else live
+    return out
+
+
+@pytest.mark.parametrize("limit,windows,warm", [(1, 1, 0), (2, 1, 1), (3, 4, 0), (2, 24, 2)])
+def test_speculative_fold_is_the_sequential_fold(spark, limit, windows, warm):
+    rng = random.Random(limit * 10 + windows)
+    rows = []
+    for key in range(6):  # sparse, bursty, and keys without any gap whose state never settles by itself
+        t = 0
+        for _ in range(400):
+            t += [rng.randint(0, 200), rng.choice([0, 1, 3000, 9000]), 37, 35, rng.randint(900, 1900), 3599][key]
+            rows.append((f"k{key}", len(rows), t))
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(k, i, base + dt.timedelta(seconds=t)) for k, i, t in rows],
+                               "key string, request_id long, ts timestamp").repartition(5)
+    out = RL.rate_limit(df, limit, chunk_windows=windows, warm_windows=warm).collect()
+    assert len(out) == len(rows)
+    assert {r.request_id: r.admitted for r in out} == _admitted_in_order(rows, limit, 3600)
+
+
+def test_one_key_is_folded_by_many_tasks(spark):
+    """A key without a gap: its chunks are pieces of the first round, and few rounds follow."""
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("hot", i, base + dt.timedelta(seconds=60 * i)) for i in range(6000)], "key string, request_id long, ts timestamp")
+    landed, before = [], RL.land
+    RL.land = lambda d, name: landed.append((name, before(d, name))) or landed[-1][1]
+    try:
+        out = RL.rate_limit(df, 7).collect()
+    finally:
+        RL.land = before
+    first = next(d for name, d in landed if name == "rate-limit")
+    assert first.filter("is_state").count() == 5 and len([1 for name, _ in landed if name == "rate-limit"]) <= 4
+    want = _admitted_in_order([("hot", i, 60 * i) for i in range(6000)], 7, 3600)
+    assert {r.request_id: r.admitted for r in out} == want
+
+
 def _run_stream(spark, stream_df, name, mode):
     ck = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
     q = (stream_df.writeStream.format("memory").queryName(name).outputMode(mode)

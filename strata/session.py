@@ -48,15 +48,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``.  A local session without one gets a temporary folder;
     a cluster session without one is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    current = spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or current
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="strata-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    spark.sparkContext.setCheckpointDir(local)  # the setting itself cannot change in a running session
     return local
 
 

@@ -6,12 +6,14 @@ character classes, word lengths and repetition, and encoded by a small network;
 document's label is used in training; the weights say which passages decided.
 
 Training.  The labelled rows whose crc32(doc_id as text) mod 3 is not 1 train the model, of these at most
-``TRAIN_ROWS``, those with the smallest hash of doc_id.  This bounded sample is all that reaches the driver (as
-passage features, computed on Spark); the small network is fitted there with fixed seed and steps.  Scoring is a
+``TRAIN_ROWS``, those with the smallest hash of doc_id, each with at most ``TRAIN_PASSAGES`` passages spread over its
+text.  This bounded sample is all that reaches the driver (as passage features, computed on Spark); the small
+network is fitted there with fixed seed and steps.  Scoring reads every passage of every document; it is a
 narrow map over all documents.  labels, lang, source and doc_id never enter a score.
 
 Defined results: null and empty texts are a bag of one passage without words; repeated rows score alike; of
-several labels for one doc_id the mean counts, 0.5 as 1; rows without a label train nothing; without any label
+several labels for one doc_id the mean counts, 0.5 as 1; of several texts under one doc_id the one with the smallest
+hash trains; rows without a label train nothing; without any label
 every score is 0.5; a null doc_id is not held out; other columns are ignored.
 """
 
@@ -23,11 +25,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, map_columns, table
+from strata.llm.common import cut, map_columns, row_key, table
 
 PASSAGE = 100
-#: Most labelled documents that train the model.
+#: Most labelled documents that train the model, and most passages of one (evenly over the text).
 TRAIN_ROWS = 2000
+TRAIN_PASSAGES = 256
 HIDDEN, ATTENTION, STEPS, RATE, DECAY, SEED = 16, 8, 250, 0.03, 1e-4, 7
 
 #: Character classes counted in a passage: each of these bytes by itself, then ranges.
@@ -67,23 +70,30 @@ def passages(text: str | None) -> np.ndarray:
     return np.column_stack([np.sqrt(share), distinct, np.log1p(letters), np.log1p(sizes) / 5, before]).astype(np.float32)
 
 
+def spread(bag: np.ndarray, most: int = TRAIN_PASSAGES) -> np.ndarray:
+    """At most ``most`` passages, evenly over the text."""
+    return bag if len(bag) <= most else bag[np.arange(most) * len(bag) // most]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list:
-    """(features, label) of at most ``rows`` labelled documents outside the held-out third."""
+    """(doc_id, features, label) of at most ``rows`` labelled documents outside the held-out third."""
     chosen = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     # at most ``rows`` rows of two numbers
-    texts = docs.select("doc_id", "text").join(F.broadcast(cut(chosen)), "doc_id")
+    texts = docs.select("doc_id", "text", row_key().alias("key")).join(F.broadcast(cut(chosen)), "doc_id")
 
     def run(slices: Iterator[list]) -> Iterator[list]:
-        for doc_ids, texts_, labels_ in slices:
-            yield [doc_ids, [passages(t).tobytes() for t in texts_], labels_]
+        for doc_ids, keys, texts_, labels_ in slices:
+            yield [doc_ids, keys, [spread(passages(t)).tobytes() for t in texts_], labels_]
 
-    found = map_columns(texts, ["doc_id", "text", "label"], "doc_id long, bag binary, label int", run).collect()
+    bags = map_columns(texts, ["doc_id", "key", "text", "label"], "doc_id long, key long, bag binary, label int", run)
+    # copies of a document become one in the tasks
+    found = bags.groupBy("doc_id").agg(F.min_by("bag", "key").alias("bag"), F.max("label").alias("label")).collect()
     return sorted(((r["doc_id"], np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES), r["label"])
                    for r in found), key=lambda x: (x[0], x[1].shape, x[1].tobytes()))
 

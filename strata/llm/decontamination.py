@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, let, row_key, table, upto, words
+from strata.llm.common import cut, let, nested, row_key, table, upto, words
 
 WINDOW = 13
 GRAM = 9
@@ -142,9 +142,9 @@ def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that are not contaminated, with their columns as they came."""
     bad = (decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(CONTAMINATED)
            .select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct())
-    return (docs.withColumn("_k", row_key())
-            .join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left_anti")
-            .drop("_k"))
+    return (nested(docs).select("row", "id", "key")
+            .join(bad, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left_anti")
+            .select("row.*"))
 
 
 ORACLE = r"""

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, let, row_key, table, upto
+from strata.llm.common import cut, let, nested, row_key, table, upto
 
 WINDOW = 3
 #: A line with a word: something other than ASCII white space.
@@ -51,12 +51,11 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with their columns and ``kept_text``, ``n_lines`` (with a word) and ``n_removed``."""
+def judged_lines(docs: DataFrame) -> DataFrame:
+    """row (the caller's columns), kept_text, n_lines (with a word) and n_removed."""
     covered = covered_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"),
                                          F.col("starts").alias("_starts"))
-    keyed = docs.withColumn("_k", row_key())
-    joined = keyed.join(covered, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+    joined = nested(docs).join(covered, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
     gone = F.transform(F.array_distinct(F.flatten(F.transform(
         F.col("_starts"), lambda s: F.array(*[s + i for i in range(WINDOW)])))), lambda i: i.cast("int"))
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
@@ -64,10 +63,19 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         F.transform(gone, lambda i: F.element_at(worded, i + 1)["at"]), lambda dead: F.array_join(
             F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))),
                                  lambda x: ~F.array_contains(dead, x["at"])), lambda x: x["line"]), "\n")))
-    return (joined.withColumn("n_lines", F.size(_lines(F.col("text"))).cast("long"))
-            .withColumn("n_removed", F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"))
-            .withColumn("kept_text", F.when(F.col("_starts").isNull(), F.col("text")).otherwise(kept))
-            .drop("_doc", "_key", "_k", "_starts"))
+    return joined.select(
+        "row", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
+        F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_removed"),
+        F.when(F.col("_starts").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
+
+
+RESULTS = ["n_lines", "n_removed", "kept_text"]
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with their columns and ``kept_text``, ``n_lines`` (with a word) and ``n_removed``, which take the place of
+    columns of these names."""
+    return judged_lines(docs).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in RESULTS], *RESULTS)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +87,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines; a document all of whose lines stand earlier goes."""
-    out = line_dedup(docs).filter("n_removed = 0 OR n_removed < n_lines")
+    out = judged_lines(docs).filter("n_removed = 0 OR n_removed < n_lines")
     text = F.col("kept_text")
     return out.select(*[text.alias("text") if c == "text"
-                        else F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars"))
-                        .cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c)
+                        else F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("row.n_chars"))
+                        .cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"row.`{c}`")
                         for c in docs.columns])
 
 

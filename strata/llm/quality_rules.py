@@ -149,17 +149,19 @@ def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     ship(spark)
     piece_path = vocabulary("piece_bpe_32k.model")
     ranks_path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    text, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(piece_path, ranks_path)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                base = [base_counts(t or "") for t in batch.column("text").to_pylist()]
+                base = [base_counts(t or "") for t in batch.column(text).to_pylist()]
                 passed = [n >= MIN_WORDS and 100 * repeats <= 50 * n for n, _, _, _, repeats, _ in base]
                 fertility.learn([b[5] for b, ok in zip(base, passed) if ok])
                 yield batch.filter(pa.array([ok and verdict(fertility.measure(b[5], b[1]), lang, BANDS, OTHER_BAND) is None
-                                             for b, ok, lang in zip(base, passed, batch.column("lang").to_pylist())],
+                                             for b, ok, lang in zip(base, passed, batch.column(lang_at).to_pylist())],
                                             pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any name may stand in the table, dots too
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -50,6 +50,12 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """row (the caller's columns), id, key, text: no name of the caller's can meet one of ours."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").alias("id"), row_key().alias("key"), F.col("text").alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -60,7 +66,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="strata-llm-")
-        spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -89,6 +94,21 @@ def land(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input for a task of a written phase.
+PHASE_BYTES = 32 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Small input partitions read together: a phase that is written leaves a file for every task.
+
+    Tasks stay several times the cores, and no partition is split or moved.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, min(size // PHASE_BYTES + 1, 1 << 30)))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this library to the Python workers (as ``spark-submit --py-files`` would), once per application,
     and bound the session's Arrow batches."""

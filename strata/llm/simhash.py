@@ -21,6 +21,7 @@ component's id unless all its documents' ids are null; extra columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,9 @@ FANOUT = 8
 CHUNK = 1 << 14
 QUERIES_AT_ONCE = 1 << 11
 FRONTIER = 1 << 22
+#: Rows of a partition of the component tables, and the least number of partitions (files) they have.
+ROWS_PER_PART = 200_000
+LEAST_PARTS = 8
 
 _BITS = ((np.arange(256, dtype=np.uint8)[:, None] >> np.arange(8, dtype=np.uint8)) & 1).astype(np.int64)
 
@@ -190,16 +194,18 @@ def components(pairs: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable over ``pairs`` (a, b), for nodes that have a pair.
 
     Labels take their neighbours' minimum, then the label of their label, until none changes; a round more than
-    doubles the reach, and each round's table is checkpointed.
+    doubles the reach, and each round's table is checkpointed, in as many partitions as its rows need.
     """
-    edges = cut(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))))
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    both = cut(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))))
+    parts = max(LEAST_PARTS, math.ceil(both.count() / ROWS_PER_PART))
+    edges = both.coalesce(parts)
+    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).coalesce(parts))
     while True:
         near = (edges.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node"))
                 .agg(F.min("label").alias("near")))
-        hooked = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("hook")))
+        hooked = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("hook")).coalesce(parts))
         target = hooked.select(F.col("node").alias("hook"), F.col("hook").alias("far"))
-        moved = cut(hooked.join(target, "hook").select("node", F.col("far").alias("new"), "label"))
+        moved = cut(hooked.join(target, "hook").select("node", F.col("far").alias("new"), "label").coalesce(parts))
         labels = moved.select("node", F.col("new").alias("label"))
         if moved.filter("new < label").isEmpty():
             return labels

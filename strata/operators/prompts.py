@@ -104,11 +104,11 @@ def request_hit_rate(requests: DataFrame) -> DataFrame:
     """Share of requests a result cache would answer, 3 dp (unbounded reuse)."""
     agg = requests.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("request_key").alias("distinct_keys"))
     return agg.select("total", "distinct_keys",
-                      F.when(F.col("total") > 0, _ratio_3dp(F.col("total") - F.col("distinct_keys"), F.col("total")))
+                      F.when(F.col("total") > 0, ratio_3dp(F.col("total") - F.col("distinct_keys"), F.col("total")))
                       .otherwise(F.lit(0.0)).alias("hit_rate"))
 
 
-def _ratio_3dp(part, whole):
+def ratio_3dp(part, whole):
     """round(part / whole, 3), half-up on the exact ratio."""
     return F.floor((part * 2000 + whole) / (whole * 2)) / 1000.0
 

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata import schemas as S
-from strata.functions.paths import directory_prefixes
 from strata.operators.blame import pct_1dp
 from strata.functions.severity import health_grade, penalty, risk_label, severity_rank
+from strata.operators.positions import null_safe_join, sequenced
 
 
 def health_score(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
@@ -148,12 +148,38 @@ def issues_by_file(issues: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("line_number", "rule_id"))).alias("issues"))
 
 
+def _common(a: F.Column, b: F.Column) -> F.Column:
+    """How many leading elements two arrays share; 0 if one is missing."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(a.isNull() | b.isNull(), 0).when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
+
+
 def directory_rollup(files_with_counts: DataFrame) -> DataFrame:
-    """Every directory prefix -> issues in its subtree and file count."""
-    exploded = files_with_counts.select(
-        "repo_id", F.explode(directory_prefixes("path")).alias("directory"), "issue_count")
-    return exploded.groupBy("repo_id", "directory").agg(
-        F.sum("issue_count").cast("long").alias("issue_count"), F.count(F.lit(1)).alias("file_count"))
+    """Every directory prefix -> issues in its subtree and file count.
+
+    In the order of their path parts the files of a subtree stand together, so a directory is an interval: it begins at
+    the file that does not share it with the file before, and ends at the one that does not share it with the
+    next.  With running totals along the order (``sequenced``, no task holds a whole repository) its sums are
+    differences of two totals.  A file writes a row only for directories that begin or end with it.
+    """
+    parts = F.split("path", "/")
+    files = files_with_counts.filter("path IS NOT NULL").select(
+        "repo_id", "path", F.coalesce("issue_count", F.lit(0)).cast("long").alias("issue_count"),
+        F.slice(parts, 1, F.size(parts) - 1).alias("dirs"))
+    placed = sequenced(files, ["repo_id"], [F.split("path", "/")], "_at", {"_issues": F.col("issue_count")}, ("dirs",))
+
+    def edges(neighbour: str, **columns: F.Column) -> DataFrame:
+        shared = _common(F.col("dirs"), F.col(neighbour))
+        depth = F.explode(F.sequence(shared + 1, F.size("dirs")))
+        own = placed.filter(shared < F.size("dirs")).withColumns(columns)
+        return own.select("repo_id", "dirs", *columns, depth.alias("_k")).select(
+            "repo_id", F.array_join(F.slice("dirs", 1, F.col("_k")), "/").alias("directory"), *columns)
+
+    begins = edges("previous_dirs", _from=F.col("_at"), _before=F.col("_issues") - F.col("issue_count"))
+    ends = edges("next_dirs", _to=F.col("_at"), _upto=F.col("_issues"))
+    return null_safe_join(begins, ends, ["repo_id", "directory"]).select(
+        "repo_id", "directory", (F.col("_upto") - F.col("_before")).cast("long").alias("issue_count"),
+        (F.col("_to") - F.col("_from") + 1).cast("long").alias("file_count"))
 
 
 def executive_summary(findings: DataFrame, files: DataFrame) -> DataFrame:

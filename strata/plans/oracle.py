@@ -395,6 +395,17 @@ FROM (SELECT request_key, count(*) AS requests, min([doc_id, line_number]) AS f
 ORACLE["request_hit_rate"] = X.with_ctes(_REQ, body="""
 SELECT total, distinct_keys, CASE WHEN total > 0 THEN floor(((total - distinct_keys) * 2000 + total) / (total * 2)) / 1000.0 ELSE 0.0 END AS hit_rate
 FROM (SELECT count(*) AS total, count(DISTINCT request_key) AS distinct_keys FROM req)""")
+ORACLE["request_cache_hits"] = """
+WITH asked AS (
+  SELECT row_number() OVER (ORDER BY ts, event_id) AS t, concat_ws('|', CAST(user_id AS VARCHAR), event_type) AS k FROM events),
+uses AS (SELECT *, lag(t) OVER (PARTITION BY k ORDER BY t) AS p FROM asked),
+distances AS (
+  SELECT a.t, a.p, count(DISTINCT b.k) AS distance
+  FROM uses a LEFT JOIN uses b ON b.t > a.p AND b.t < a.t GROUP BY a.t, a.p)
+SELECT CAST(size AS BIGINT) AS size, count(*) AS requests, CAST(count(*) FILTER (WHERE p IS NOT NULL AND (size IS NULL OR distance < size)) AS BIGINT) AS hits,
+       floor((count(*) FILTER (WHERE p IS NOT NULL AND (size IS NULL OR distance < size)) * 2000 + count(*)) / (count(*) * 2)) / 1000.0 AS hit_rate
+FROM distances, (VALUES (1), (10), (100), (500), (NULL)) AS s(size) GROUP BY size
+"""
 ORACLE["parse_fix_responses"] = f"""
 SELECT event_id,
        CASE WHEN bad THEN NULL ELSE event_type END AS root_cause,
@@ -628,6 +639,7 @@ _CHG = """chg AS (
 )"""
 ORACLE["changed_files"] = X.with_ctes(X.files_cte(), _files_b_cte(), _CHG,
                                       body="SELECT repo_id, path, change FROM chg WHERE change IS NOT NULL")
+ORACLE["snapshot_changes"] = ORACLE["changed_files"]
 
 
 def _scan_over(src):

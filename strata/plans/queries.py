@@ -371,6 +371,14 @@ def q_request_hit_rate(spark, sf_dir):
     return PR.request_hit_rate(_requests(spark, sf_dir))
 
 
+@register("request_cache_hits")
+def q_request_cache_hits(spark, sf_dir):
+    from strata.operators.request_cache import cache_hit_rates, reuse_distances
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        PR.request_key("fix", F.col("user_id").cast("string"), "event_type").alias("request_key"), "ts", "event_id")
+    return cache_hit_rates(reuse_distances(asked, [F.col("ts"), F.col("event_id")]), [1, 10, 100, 500])
+
+
 @register("parse_fix_responses")
 def q_parse_fix_responses(spark, sf_dir):
     out = PR.parse_fix_responses(FX.fix_responses(spark, sf_dir))
@@ -518,6 +526,12 @@ def q_rescan_decision(spark, sf_dir):
         "request_id", "decision", "analysis_id")
 
 
+@register("snapshot_changes")
+def q_snapshot_changes(spark, sf_dir):
+    from strata.operators import snapshots as SN
+    return SN.changed_files(SN.snapshot(FX.files(spark, sf_dir)), SN.snapshot(FX.files_snapshot_b(spark, sf_dir)))
+
+
 @register("changed_files")
 def q_changed_files(spark, sf_dir):
     return RS.changed_files(FX.files(spark, sf_dir), FX.files_snapshot_b(spark, sf_dir))

@@ -305,6 +305,14 @@ SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY {_disp("coalesc
        file_path, line_number, rule_id, severity
 FROM findings WHERE contains(lower(file_path), 'token') OR contains(lower(message), 'token')
    OR contains(lower(coalesce(defect_family, '')), 'token') OR contains(lower(coalesce(rule_id, '')), 'token')""")
+ORACLE["search_issues_index"] = X.with_ctes(*_FD, body="""
+, asked AS (
+  SELECT DISTINCT query FROM (
+    SELECT unnest([CAST(doc_id AS VARCHAR), '/' || CAST(doc_id AS VARCHAR) || '.P', lang || '/', 'L-' || lang[1:1], source[1:4]]) AS query FROM documents)
+  WHERE query IS NOT NULL)
+SELECT query, repo_id, file_path, line_number, rule_id FROM asked, findings
+WHERE contains(lower(file_path), lower(query)) OR contains(lower(message), lower(query))
+   OR contains(lower(defect_family), lower(query)) OR contains(lower(rule_id), lower(query))""")
 ORACLE["top_issues"] = X.with_ctes(*_FD, body=f"""
 SELECT repo_id, rank, file_path, line_number, rule_id, severity, greatest(n - 2, 0) AS remaining FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_disp("coalesce(severity, 'info')", 99)}, file_path, line_number, rule_id) AS rank,

@@ -309,6 +309,18 @@ def q_search_issues(spark, sf_dir):
         "repo_id", "position", "file_path", "line_number", "rule_id", "severity")
 
 
+@register("search_issues_index")
+def q_search_issues_index(spark, sf_dir):
+    # every document's number and language are looked for, as are parts of rule names
+    from strata.operators import issue_index as IX
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    number = F.col("doc_id").cast("string")
+    asked = d.select(F.explode(F.array(number, F.concat(F.lit("/"), number, F.lit(".P")), F.concat(F.col("lang"), F.lit("/")),
+                                       F.concat(F.lit("L-"), F.substring("lang", 1, 1)), F.substring("source", 1, 4))).alias("query"))
+    return IX.search_index(IX.build_issue_index(_landed_findings(spark, sf_dir)), asked).select(
+        "query", "repo_id", "file_path", "line_number", "rule_id")
+
+
 @register("top_issues")
 def q_top_issues(spark, sf_dir):
     return RK.top_issues(_landed_findings(spark, sf_dir), 2).select(

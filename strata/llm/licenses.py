@@ -1,16 +1,16 @@
 """License scan by an exact set-similarity join (operator 9, DataFrame functions only).
 
-Text blocks are a document's lines, and beside them, as notices are wrapped, windows of words that no line break
-cuts: of twice the longest run a template may take, so that each such run lies in a window whole.  Templates are
-single sentences of well-known notices.  A block meets a template when it contains at least ``THRESHOLD`` of the
-template's distinct words; a window must hold them within a run of as many words as the template has, and half as
-many again for marks of comments.  The join is exact:
+Text blocks are runs of consecutive words, whatever the line breaks: of as many words as the template has, and half as
+many again for marks of comments.  A block meets a template when it contains at least ``THRESHOLD`` of the template's
+distinct words; a template of under ``SHORT`` words must also stand in its order, with nothing left out.  Runs are
+looked for in windows of twice the longest run, so that each lies in a window whole.  Templates are a parameter: by
+default single sentences of well-known notices, but whole notices are taken likewise.  The join is exact:
 
 * words are ordered by their frequency in the whole corpus, rarest first;
-* prefix filter: of a template with t words and required overlap o, a block must hold one of the t - o + 1 rarest;
-* length filter: a block with fewer than o words of the templates' vocabulary cannot meet it;
+* prefix filter: of a template with t words and required overlap o, a window must hold one of the t - o + 1 rarest;
+* length filter: a window with fewer than o words of the templates' vocabulary cannot meet it;
 * positional filter: after a match at positions i and j at most 1 + min(t - i - 1, b - j - 1) words can be common;
-* what remains is verified by intersecting the two sets.
+* what remains is verified run by run, by intersecting the two sets.
 
 Only the templates' own vocabulary is counted and ordered (a few hundred words, bounded by the parameter, not by
 the corpus), over all documents.  The template side of the join is a constant table.
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from strata.llm.common import let, row_key, table, upto, words
 
 THRESHOLD = 0.9
+#: Templates of fewer distinct words say too little as a set: their order counts.
+SHORT = 10
 
 #: Phrases of the contract and their labels (fixed values).
 PHRASES = {
@@ -67,9 +69,13 @@ def _set(sentence: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[a-z0-9]+", sentence.lower())))
 
 
+def _sequence(sentence: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", sentence.lower())
+
+
 def _run(sentence: str) -> int:
-    """Most words among which a wrapped template's must stand."""
-    return math.ceil(1.5 * len(re.findall(r"[a-z0-9]+", sentence.lower())))
+    """Most words among which a template's must stand."""
+    return math.ceil(1.5 * len(_sequence(sentence)))
 
 
 def required(size: int, threshold: float) -> int:
@@ -86,7 +92,7 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def license_blocks(docs: DataFrame, templates: list = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key, line (from 0; null for a window), template, label, containment: every block that meets a template."""
+    """doc_id, key, template, label, containment: every template that a run of the document's words meets."""
     spark = docs.sparkSession
     sets = [(label, _set(sentence)) for label, sentence in templates]
     order = word_order(docs, sorted({w for _, s in sets for w in s}))
@@ -97,41 +103,39 @@ def license_blocks(docs: DataFrame, templates: list = TEMPLATES, threshold: floa
         tokens = sorted(tokens, key=rank.get)
         need = required(len(tokens), threshold)
         for i, word in enumerate(tokens[: len(tokens) - need + 1]):
-            rows.append((number, label, word, i, len(tokens), need, tokens, runs[number]))
+            rows.append((number, label, word, i, len(tokens), need, tokens, runs[number],
+                         _sequence(templates[number][1]) if len(tokens) < SHORT else None))
             prefixes.add(word)
     theirs = spark.createDataFrame(rows, "template int, label string, word string, i int, t int, need int, "
-                                         "tokens array<string>, run int")
+                                         "tokens array<string>, run int, sequence array<string>")
     ordered = F.array(*map(F.lit, order))
     prefix = F.array(*[F.lit(w) for w in sorted(prefixes, key=rank.get)])
     least = min(required(len(t), threshold) for _, t in sets)
     # a document without any prefix word has no block with one
     likely = docs.select("doc_id", "text", row_key().alias("key")).filter(F.arrays_overlap(words(F.col("text")), prefix))
-    lines = likely.select("doc_id", "key", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
     step = max(runs)
-    # a text of one line is a block already
-    windows = (likely.filter(F.contains("text", F.lit("\n")))
-               .select("doc_id", "key", F.lit(None).cast("int").alias("line"), F.explode(
-                   let(words(F.col("text")), lambda w: F.transform(
-                       F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step)),
-                       lambda i: F.slice(w, i + 1, F.lit(2 * step))))).alias("w")))
-    blocks = (lines.select("doc_id", "key", "line", words(F.col("block")).alias("w")).union(windows)
-              .filter(F.arrays_overlap("w", prefix))
-              # in the order of the first array: rarest first
-              .select("doc_id", "key", "line", F.when(F.col("line").isNull(), F.col("w")).alias("window"),
-                      F.array_intersect(ordered, "w").alias("b"))
-              .filter(F.size("b") >= least))
-    probes = blocks.select("doc_id", "key", "line", "window", "b", F.posexplode("b").alias("j", "word"))
+    windows = likely.select("doc_id", "key", F.explode(let(words(F.col("text")), lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step)),
+        lambda i: F.slice(w, i + 1, F.lit(2 * step))))).alias("window"))
+    # in the order of the first array: rarest first
+    probes = (windows.filter(F.arrays_overlap("window", prefix))
+              .select("doc_id", "key", "window", F.array_intersect(ordered, "window").alias("b"))
+              .filter(F.size("b") >= least)
+              .select("doc_id", "key", "window", "b", F.posexplode("b").alias("j", "word")))
     in_run = F.array_max(F.transform(upto(F.size("window")), lambda i: F.size(
         F.array_intersect(F.slice("window", i + 1, F.col("run")), "tokens"))))
+    # a run that begins with the template's first word and holds its words in order
+    in_order = F.exists(upto(F.size("window")), lambda i: (F.get("window", i) == F.get("sequence", F.lit(0))) & (
+        F.slice(F.filter(F.slice("window", i + 1, F.col("run")), lambda x: F.array_contains("tokens", x)), 1, F.size("sequence"))
+        == F.col("sequence")))
     return (probes.join(theirs, "word")
             .filter((F.size("b") >= F.col("need"))
                     & (1 + F.least(F.col("t") - F.col("i") - 1, F.size("b") - F.col("j") - 1) + F.least("i", "j")
                        >= F.col("need")))
-            .withColumn("common", F.size(F.array_intersect("b", "tokens")))
-            .filter("common >= need")
-            .withColumn("common", F.when(F.col("line").isNull(), in_run).otherwise(F.col("common")))
+            .filter(F.size(F.array_intersect("b", "tokens")) >= F.col("need"))
+            .withColumn("common", F.when(F.col("sequence").isNull(), in_run).when(in_order, F.col("t")))
             .filter("common >= need")
-            .groupBy("doc_id", "key", "line", "template", "label")
+            .groupBy("doc_id", "key", "template", "label")
             .agg(F.max(F.col("common") / F.col("t")).alias("containment")))
 
 
@@ -183,8 +187,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_templates() -> str:
-    return ", ".join("({}, '{}', [{}])".format(i, label, ", ".join(f"'{w}'" for w in _set(sentence)))
-                     for i, (label, sentence) in enumerate(TEMPLATES))
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    return ", ".join(f"({i}, '{label}', {listed(_set(sentence))}, {listed(_sequence(sentence))}, {_run(sentence)}, "
+                     f"{required(len(_set(sentence)), THRESHOLD)})" for i, (label, sentence) in enumerate(TEMPLATES))
 
 
 def _sql_phrases() -> str:
@@ -201,13 +206,15 @@ phrase(p, label) AS (VALUES {_sql_phrases()}),
 place AS (
   SELECT doc_id, i - 1 AS start, label
   FROM dw, phrase, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i : i + len(p) - 1] = p),
-template(id, label, tokens) AS (VALUES {_sql_templates()}),
-block AS (
-  SELECT doc_id, list_distinct({_SQL_WORDS.format('b.line')}) AS w
-  FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) AS b(line)),
+template(id, label, tokens, seq, run, need) AS (VALUES {_sql_templates()}),
+likely AS (SELECT doc_id, w, t.* FROM dw, template t WHERE len(list_intersect(w, tokens)) >= need),
+block AS (SELECT doc_id, label, tokens, seq, need, w[i : i + run - 1] AS w FROM likely, unnest(range(1, len(w) + 1)) AS u(i)),
 met AS (
-  SELECT doc_id, label, len(list_intersect(w, tokens)) AS common, len(tokens) AS t
-  FROM block, template WHERE len(list_intersect(w, tokens)) >= ceil(round({THRESHOLD} * len(tokens), 9))),
+  SELECT doc_id, label, len(tokens) AS t,
+         CASE WHEN len(tokens) >= {SHORT} THEN len(list_intersect(w, tokens)) ELSE len(tokens) END AS common
+  FROM block
+  WHERE CASE WHEN len(tokens) >= {SHORT} THEN len(list_intersect(w, tokens)) >= need
+             ELSE w[1] = seq[1] AND list_filter(w, lambda x: list_contains(tokens, x))[1 : len(seq)] = seq END),
 named AS (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM met),
 base AS (
   SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi,

@@ -64,8 +64,7 @@ def plain_quality(rows):
         repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i:i + 3])] > 1 for k in range(3)}
         if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
             continue
-        if quality_rules.verdict(plain_measures(r["text"], pieces, encoding), r["lang"], quality_rules.BANDS,
-                                 quality_rules.OTHER_BAND) is None:
+        if quality_rules.verdict(plain_measures(r["text"], pieces, encoding), quality_rules.band(r["lang"], r["text"])) is None:
             out.append(r)
     return out
 
@@ -257,3 +256,25 @@ def test_deep_pages_take_linear_memory():
         tracemalloc.stop()
         return top
     assert peak(40_000) < 60e6 and peak(40_000) < 6 * peak(10_000)
+
+
+def test_texts_of_unknown_language_are_judged_by_their_script(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    low, clean = {}, {}
+    for name, table in (("own", docs), ("script", unknown)):
+        rows = quality_rules.quality_rules(table).join(labels, "doc_id").filter("NOT base_failed").select("quality", "kept").collect()
+        low[name] = sum(not r["kept"] for r in rows if r["quality"] == 0)
+        clean[name] = sum(not r["kept"] for r in rows if r["quality"] == 1)
+    assert low["own"] >= 20 and low["script"] >= low["own"] and clean["script"] <= clean["own"] + 1
+
+
+def test_scripts():
+    want = {"plain words": "latin", "\u041f\u0440\u0438\u0432\u0435\u0442 ok": "cyrillic", "\u03b3\u03b5\u03b9\u03ac": "greek",
+            "\u05e9\u05dc\u05d5\u05dd": "semitic", "\u0939\u093f\u0928\u094d\u0926\u0940": "indic", "\u4e2d\u6587\u5b57": "han",
+            "\u65e5\u672c\u8a9e\u306e\u6587": "kana", "\ud55c\uad6d": "hangul", "12 34 --": None, "": None, "\u00e9t\u00e9 1": "latin"}
+    assert {t: quality_rules.script(t) for t in want} == want
+    assert quality_rules.verdict((10.0, 4.0, 0.0, 7.0), quality_rules.band("en", "")) == "chars_per_token"
+    assert quality_rules.verdict((4.0, 4.0, 0.0, 13.5), quality_rules.band(None, "\u00fc")) == "token_entropy"
+    assert quality_rules.band(None, "na\u00efve caf\u00e9 \u00e7a") == quality_rules.BANDS["fr"] and quality_rules.band(None, "x") == quality_rules.BANDS["en"]
+    assert quality_rules.band("pl", "x") == quality_rules.SCRIPT_BANDS["latin"] and quality_rules.band(None, "12") == quality_rules.OTHER_BAND

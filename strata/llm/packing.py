@@ -16,9 +16,6 @@ table in the shared folder.  Counts per task and length give every task's first
 so a length that a third of all pieces have is numbered by all tasks.  Pieces look up their rank in the plan, and
 the places meet the ids in one join.
 
-Words are encoded once per worker and reused: the tokenizer's split never joins what stands on both sides of a
-single space between two characters that are no white space.  Texts with special tokens go through it whole.
-
 Defined results: null and empty texts have the end id alone; every id lies in exactly one piece; repeated rows are
 packed each on its own; rows are told apart by their place in the written table, so null and shared doc_ids are no
 matter; an empty table has no pieces; extra columns are ignored.
@@ -38,16 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strata.llm.common import json_tokenizer, land, map_columns, shared_dir, table, vocabulary
+from strata.llm.common import json_tokenizer, land, map_columns, ranks_encoding, shared_dir, sized, table, vocabulary
 
 WINDOW = 1024
 END_ID = 0
-#: Words kept in a worker's cache before it starts afresh, and characters up to which one is kept (they bound memory,
-#: not results).
-CACHE_WORDS = 200_000
-CACHED_CHARS = 64
 #: Most rounds of the least-squares solution; what is not solved then is packed greedily.
-ROUNDS = 300
+ROUNDS = 12
 
 
 # ---- plan ---------------------------------------------------------------------------------------------------------
@@ -64,15 +57,16 @@ def combinations(window: int) -> np.ndarray:
 def repeat_counts(histogram: np.ndarray, combos: np.ndarray, rounds: int = ROUNDS, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(indexes of combinations, their non-negative counts) of least squared difference from the histogram."""
     target = histogram.astype(float)
+    target[0] = 0
     rest, used, x = target.copy(), np.empty(0, np.int64), np.empty(0)
-    rest[0] = 0
 
-    def columns(of: np.ndarray) -> np.ndarray:
-        a = np.zeros((len(target), len(of)))
-        for slot in combos[of].T:
-            np.add.at(a, (slot, np.arange(len(of))), 1.0)
-        a[0] = 0
-        return a
+    def products(of: np.ndarray) -> np.ndarray:
+        """How many lengths each two combinations share (their columns' inner products)."""
+        out = 1e-9 * np.eye(len(of))
+        for one in combos[of].T:
+            for other in combos[of].T:
+                out += (one[:, None] == other) & (one > 0)[:, None]
+        return out
 
     for _ in range(rounds):
         gain = rest[combos].sum(axis=1)
@@ -91,8 +85,7 @@ def repeat_counts(histogram: np.ndarray, combos: np.ndarray, rounds: int = ROUND
         best, fresh = block[0], set(block)
         used, x = np.r_[used, block], np.r_[x, np.zeros(len(block))]
         while True:
-            a = columns(used)
-            z = np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(used)), a.T @ target)
+            z = np.linalg.solve(products(used), target[combos[used]].sum(axis=1))
             bad = z <= 1e-9
             if not bad.any():
                 x = z
@@ -111,7 +104,8 @@ def repeat_counts(histogram: np.ndarray, combos: np.ndarray, rounds: int = ROUND
                 x = x + step * (z - x)
                 keep = ratio > step + 1e-12
             used, x = used[keep], np.maximum(x[keep], 0)
-        rest = target - columns(used) @ x
+        rest = target.copy()
+        np.subtract.at(rest, combos[used], x[:, None])
         rest[0] = 0
     return used, x
 
@@ -228,70 +222,42 @@ class Places:
 
 # ---- ids ----------------------------------------------------------------------------------------------------------
 
-#: A single space between two characters that are no white space: no match of the tokenizer's split runs across it.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters whose classes (letter, digit, white space) no Unicode version changes: Latin, and general punctuation.
+PLAIN = re.compile("[\u0000-\u024f\u2010-\u2027\u2030-\u205e]*+")
+
 
+class TextEncoder:
+    """Ids of whole texts under a byte-level BPE file of the tokenizers library.
 
-class SpacedEncoder:
-    """Ids of texts under a byte-level BPE file, words encoded once."""
+    ``ranks_path`` holds the same vocabulary as ranks; tiktoken gives the same ids several times faster (the tests
+    compare them character by character).  Texts with special tokens, which the library takes as one id, and texts with other
+    characters than ``PLAIN`` ones go through the library.
+    """
 
-    def __init__(self, path: str, end_id: int = END_ID) -> None:
-        self.tokenizer = json_tokenizer(path)
+    def __init__(self, path: str, ranks_path: str, end_id: int = END_ID) -> None:
+        self.tokenizer, self.ranks = json_tokenizer(path), ranks_encoding(ranks_path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # words by the space before them and themselves; empty: no word of its own
-        self.end = self.raw([end_id])
-
-    def raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.type).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.raw(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, spaced: set[str]) -> None:
-        new = [w for w in spaced if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(spaced)
-        odd = [w for w in new if len(w) == 1 or w[1].isspace() or w[-1].isspace()]
-        self.known.update(dict.fromkeys(odd, b""))
-        fine = [w for w in new if not (len(w) == 1 or w[1].isspace() or w[-1].isspace())]
-        self.known.update(zip(fine, self.encode(fine)))
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids and the end id, packed little-endian."""
-        texts = [t or "" for t in texts]
-        whole = [any(s in t for s in self.special) for t in texts]
-        split = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
-        self.learn({" " + w for ws in split for w in ws[1:] if len(w) <= CACHED_CHARS})
-        out = []
-        for text, as_one, ws in zip(texts, whole, split):
-            parts = [self.known.get(" " + w, b"") for w in ws[1:]]
-            if as_one or not ws[0] or ws[0][-1:].isspace() or ws[0][:1].isspace():
-                parts = self.encode([text]) if as_one else self.apart(text)
-            elif not all(parts):
-                parts = self.apart(text)
-            else:
-                parts = [*self.encode([ws[0]]), *parts]
-            out.append(b"".join([*parts, self.end]))
-        return out
+        self.end = np.array([end_id], self.type).tobytes()
 
-    def apart(self, text: str) -> list[bytes]:
-        """Ids of the stretches between places where the split cannot join."""
-        first, *rest = CUT.split(text)
-        spaced = [" " + w for w in rest]
-        unknown = [w for w in spaced if not self.known.get(w)]
-        found = dict(zip(unknown, self.encode(unknown)))
-        return [*self.encode([first]), *(self.known.get(w) or found[w] for w in spaced)]
+    def ids(self, text: str | None) -> bytes:
+        """The text's ids and the end id, packed little-endian."""
+        text = text or ""
+        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            ids = self.ranks.encode_to_numpy(text, disallowed_special=())
+        else:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return ids.astype(self.type).tobytes() + self.end
 
 
-def encode_documents(docs: DataFrame, path: str, window: int) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, ranks_path: str, window: int) -> DataFrame:
     """part, row, doc_id, doc_tokens, ids, and the ranks of the remainder and the first whole window in the part."""
     def run(slices: Iterator[list]) -> Iterator[list]:
-        encoder, part, row = SpacedEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, row = TextEncoder(path, ranks_path), TaskContext.get().partitionId(), 0
         seen: Counter = Counter()
         for doc_ids, texts in slices:
             out = []
-            for doc_id, raw in zip(doc_ids, encoder.ids(texts)):
+            for doc_id, raw in zip(doc_ids, map(encoder.ids, texts)):
                 n = len(raw) // encoder.type.itemsize
                 rest = n % window
                 out.append((part, row, doc_id, n, raw, encoder.type.itemsize, rest, seen[rest], seen[window]))
@@ -300,15 +266,17 @@ def encode_documents(docs: DataFrame, path: str, window: int) -> DataFrame:
                 row += 1
             yield list(zip(*out))
 
-    return map_columns(docs, ["doc_id", "text"], "part int, row long, doc_id long, doc_tokens long, ids binary, "
+    return map_columns(sized(docs.select("doc_id", "text")), ["doc_id", "text"], "part int, row long, doc_id long, doc_tokens long, ids binary, "
                                                  "id_bytes int, rest int, rest_rank long, whole_rank long", run)
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, ranks_path: str | None = None, window: int = WINDOW,
+         rounds: int = ROUNDS) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit) of every piece."""
     spark = docs.sparkSession
     path = vocabulary("byte_bpe_50k.json", path)
-    encoded = land(encode_documents(docs, path, window), f"{shared_dir(spark).rstrip('/')}/packing-{uuid.uuid4().hex}")
+    ranks_path = vocabulary("byte_bpe_50k.tiktoken", ranks_path)
+    encoded = land(encode_documents(docs, path, ranks_path, window), f"{shared_dir(spark).rstrip('/')}/packing-{uuid.uuid4().hex}")
     pieces = encoded.select("part", "row", "doc_tokens", F.explode(F.array(
         F.struct(F.col("rest").alias("length"), F.lit(1).cast("long").alias("n"), F.col("rest_rank").alias("rank"),
                  (F.col("doc_tokens") - F.col("rest")).alias("at")),

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, land, map_columns, row_key, shared_dir, table
+from strata.llm.common import cut, land, map_columns, row_key, shared_dir, sized, table
 
 TOP = 20
 PROBES = 32
@@ -146,7 +146,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield counts(df)
         yield from _blocks(held)
 
-    return map_columns(docs.select("doc_id", row_key().alias("key"), "text"), ["doc_id", "key", "text"], _INDEX, run)
+    return map_columns(sized(docs.select("doc_id", row_key().alias("key"), "text")), ["doc_id", "key", "text"], _INDEX, run)
 
 
 # ---- bounds ---------------------------------------------------------------------------------------------------------

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strata.llm.common import land, map_columns, row_key, shared_dir, table
+from strata.llm.common import land, map_columns, row_key, shared_dir, sized, table
 
 MIN_EXPONENT = 4
 MIN_LENGTH = 6
@@ -190,7 +190,7 @@ def solve_documents(docs: DataFrame, rule: Rule | None, whole_words: int) -> Dat
                    [None if f == [] else j for j, f in zip(joined, fragments)],
                    [None if f is None else [dict(zip(("period", "lo", "hi"), x)) for x in f] for f in fragments]]
 
-    return map_columns(docs.select("doc_id", row_key().alias("key"), "text"), ["doc_id", "key", "text"],
+    return map_columns(sized(docs.select("doc_id", row_key().alias("key"), "text")), ["doc_id", "key", "text"],
                        "doc_id long, key long, n_words long, plain_sha256 string, words binary, fragments "
                        + _FRAGMENTS, run)
 

@@ -148,6 +148,17 @@ def issues_by_file(issues: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("line_number", "rule_id"))).alias("issues"))
 
 
+def issues_by_file_parts(issues: DataFrame, part_size: int = 1000) -> DataFrame:
+    """The issues of each file in parts of ``part_size``, in the order of ``issues_by_file``'s list: a file with any
+    number of issues is rows of bounded size, numbered by many tasks."""
+    placed = sequenced(issues.select("repo_id", "file_path", "line_number", "rule_id"), ["repo_id", "file_path"],
+                       [F.col("line_number"), F.col("rule_id")], "_at")
+    part = F.floor((F.col("_at") - 1) / part_size).alias("part")
+    return placed.groupBy("repo_id", "file_path", part).agg(
+        F.min("_at").alias("first"), F.sort_array(F.collect_list(F.struct("_at", "line_number", "rule_id"))).alias("_l")).select(
+        "repo_id", "file_path", "part", "first", F.transform("_l", lambda x: F.struct(x["line_number"], x["rule_id"])).alias("issues"))
+
+
 def _common(a: F.Column, b: F.Column) -> F.Column:
     """How many leading elements two arrays share; 0 if one is missing."""
     differ = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)

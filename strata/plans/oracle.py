@@ -265,6 +265,11 @@ ORACLE["issues_by_file"] = X.with_ctes(*_FD, body=f"""
 SELECT repo_id, file_path, count(*) AS issue_count, max({X.sev_rank_sql('severity', -1)}) AS max_rank,
        string_agg(CAST(line_number AS VARCHAR) || ':' || rule_id, ',' ORDER BY line_number, rule_id) AS issues
 FROM findings GROUP BY ALL""")
+ORACLE["issues_by_file_parts"] = X.with_ctes(*_FD, body="""
+SELECT repo_id, file_path, part, min(n) AS first, string_agg(CAST(line_number AS VARCHAR) || ':' || rule_id, ',' ORDER BY n) AS issues
+FROM (SELECT *, (n - 1) // 2 AS part
+      FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY line_number, rule_id) AS n FROM findings))
+GROUP BY repo_id, file_path, part""")
 ORACLE["issue_identity"] = X.with_ctes(*_FD, body=f"""
 SELECT repo_id, file_path, line_number, rule_id,
        'issue_' || CAST(row_number() OVER (PARTITION BY repo_id ORDER BY file_path, {X.sev_rank_sql('severity')} DESC,
@@ -488,6 +493,11 @@ FROM (SELECT id, coalesce(string_agg(t, '' ORDER BY seq) FILTER (
              arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status,
              CASE WHEN bool_or(kind = 'complete') THEN 100 WHEN bool_or(kind = 'chunk') THEN 75 ELSE 0 END AS progress
       FROM sets GROUP BY id)"""
+ORACLE["assemble_segments"] = f"""
+SELECT analysis_id, k AS segment, k * 100 AS "offset", CAST(length(substring(s, k * 100 + 1, 100)) AS BIGINT) AS length,
+       md5(substring(s, k * 100 + 1, 100)) AS text_md5
+FROM ({ORACLE["assemble_chunks"].strip().replace("md5(s) AS summary_md5", "s")}),
+     unnest(range(0, (length(s) + 99) // 100)) AS u(k)"""
 
 # ---------------------------------------------------------------------------
 # 2.7 rule catalogue

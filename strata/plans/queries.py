@@ -279,6 +279,13 @@ def q_issues_by_file(spark, sf_dir):
                                                                                   x["rule_id"])), ",").alias("issues"))
 
 
+@register("issues_by_file_parts")
+def q_issues_by_file_parts(spark, sf_dir):
+    out = RU.issues_by_file_parts(FX.findings(spark, sf_dir), 2)
+    return out.select("repo_id", "file_path", "part", "first", F.array_join(F.transform(
+        "issues", lambda x: F.concat_ws(":", x["line_number"].cast("string"), x["rule_id"])), ",").alias("issues"))
+
+
 @register("issue_identity")
 def q_issue_identity(spark, sf_dir):
     return FD.assign_issue_ids(_landed_findings(spark, sf_dir)).select("repo_id", "file_path", "line_number", "rule_id", "id")
@@ -447,6 +454,13 @@ def q_progress_steps(spark, sf_dir):
         "analysis_id", "seq", "step", "message", "progress", BL.iso_utc("timestamp").alias("timestamp"))
 
 
+@register("assemble_segments")
+def q_assemble_segments(spark, sf_dir):
+    from strata.streaming.rope import text_segments
+    return text_segments(FX.summary_chunks(spark, sf_dir), 100).select(
+        "analysis_id", "segment", "offset", "length", F.md5("text").alias("text_md5"))
+
+
 @register("assemble_chunks")
 def q_assemble_chunks(spark, sf_dir):
     out = PG.assemble_chunks(FX.summary_chunks(spark, sf_dir))
@@ -558,7 +572,7 @@ def _scan_findings(spark, files):
 @register("merge_rescan")
 def q_merge_rescan(spark, sf_dir):
     old, new = FX.files(spark, sf_dir), FX.files_snapshot_b(spark, sf_dir)
-    changed = RS.changed_files(old, new)
+    changed = land(RS.changed_files(old, new), "changed")  # a few columns, used three times
     rescan_paths = changed.filter(F.col("change") != "removed")
     to_scan = new.join(rescan_paths.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     merged = RS.merge_rescan(FX.findings(spark, sf_dir), _scan_findings(spark, to_scan), changed)

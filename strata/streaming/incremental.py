@@ -2,10 +2,9 @@
 
 New file versions (and deletions) arrive as a stream.  Each micro-batch
 (``foreachBatch``) is hashed and compared with the stored snapshot; only added or
-modified files are scanned, issues of modified and deleted files go, and only the
-repositories that the batch touches are rewritten.  State lives in
-``EpochTables`` under the shared checkpoint directory: a replayed batch gives the
-same state and a job reopened on the same root goes on where it stopped.
+modified files are scanned, and issues of modified and deleted files go.  State lives in a
+``DeltaLog`` under the shared checkpoint directory: a batch writes the files it changes and no
+others, a replayed batch gives the same state, and a job reopened on the same root goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -15,10 +14,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.operators.rescan import merge_rescan
+from strata.operators.positions import null_safe_join
 from strata.session import checkpoint_dir
-from strata.streaming.epochs import SEED_EPOCH, EpochTables
+from strata.streaming.delta_log import SEED_EPOCH, DeltaLog
 
+FILE = ["repo_id", "path"]
 SNAPSHOT = "repo_id string, path string, h string"
 
 
@@ -32,24 +32,18 @@ class IncrementalScan:
         """
         self.spark, self.scan, self.issues_schema, self.order_col = spark, scan, issues_schema, order_col
         self.root = root or f"{checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
-        self.state = EpochTables(spark, self.root)
+        self.state = DeltaLog(spark, self.root, "repo_id string, path string",
+                              {"snapshot": (SNAPSHOT, FILE), "issues": (issues_schema, ["repo_id", "file_path"])})
 
     def seed(self, files: DataFrame, issues: DataFrame) -> None:
         snapshot = files.select("repo_id", "path", F.sha2("content", 256).alias("h"))
-        self.state.write("snapshot", SEED_EPOCH, snapshot, "repo_id")
-        self.state.write("issues", SEED_EPOCH, issues, "repo_id")
-        self.state.publish(SEED_EPOCH, None, snapshot.select(F.col("repo_id").alias("part")).distinct())
-
-    def _read(self, name: str, schema: str, manifest: DataFrame | None) -> DataFrame:
-        if manifest is None:
-            return self.spark.createDataFrame([], schema)
-        return self.state.read(name, manifest, schema)
+        self.state.append(SEED_EPOCH, None, snapshot, {"snapshot": snapshot, "issues": issues})
 
     def snapshot(self) -> DataFrame:
-        return self._read("snapshot", SNAPSHOT, self.state.newest())
+        return self.state.read("snapshot", self.state.newest())
 
     def issues(self) -> DataFrame:
-        return self._read("issues", self.issues_schema, self.state.newest())
+        return self.state.read("issues", self.state.newest())
 
     def _batch(self, batch: DataFrame, epoch: int) -> None:
         deleted = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
@@ -60,20 +54,12 @@ class IncrementalScan:
         last = Window.partitionBy("repo_id", "path").orderBy(*order, F.col("h").desc_nulls_last())
         new = new.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
         base = self.state.newest(before=epoch)
-        touched = batch.select(F.col("repo_id").alias("part")).distinct()
-        old_parts = base.join(touched, "part", "left_semi") if base is not None else None
-        old = self._read("snapshot", SNAPSHOT, old_parts)
-        changed = (new.join(old.withColumnRenamed("h", "_oh"), ["repo_id", "path"], "left")
-                   .filter(~F.col("_oh").eqNullSafe(F.col("h"))).persist())
+        old = self.state.read("snapshot", base, batch.select(*FILE).distinct()).withColumnRenamed("h", "_oh")
+        changed = (null_safe_join(new, old, FILE, "left").filter(~F.col("_oh").eqNullSafe(F.col("h"))).persist())
         try:
-            keys = changed.select("repo_id", "path")
             alive = changed.filter(F.col("h").isNotNull())
-            merged = merge_rescan(self._read("issues", self.issues_schema, old_parts),
-                                  self.scan(alive.select("repo_id", "path", "content", "size", "language", "lines")), keys)
-            snapshot = old.join(keys, ["repo_id", "path"], "left_anti").unionByName(alive.select("repo_id", "path", "h"))
-            self.state.write("issues", epoch, merged, "repo_id")
-            self.state.write("snapshot", epoch, snapshot, "repo_id")
-            self.state.publish(epoch, base, touched)
+            issues = self.scan(alive.select("repo_id", "path", "content", "size", "language", "lines"))
+            self.state.append(epoch, base, changed.select(*FILE), {"snapshot": alive.select("repo_id", "path", "h"), "issues": issues})
         finally:
             changed.unpersist()
 

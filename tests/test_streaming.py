@@ -209,6 +209,54 @@ def test_incremental_scan_survives_restart_and_replay(spark):
     assert not os.path.exists(f"{root}/issues/version=0/part=q")  # untouched repositories are not rewritten
 
 
+LOGGED = {"names": ("k string, name string", ["k"]), "sizes": ("key string, size long", ["key"])}
+
+
+def _folder_bytes(root):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root.replace("file:", "")) for f in names if f.endswith(".parquet"))
+
+
+def test_delta_log_follows_the_changes(spark):
+    """Random epochs, crashes before publishing, replays: the state is a dictionary's, and writes follow the change."""
+    from strata.streaming.delta_log import DeltaLog
+    root = os.path.join(checkpoint_dir(spark), f"log-{uuid.uuid4().hex}")
+    log, want, rng, written = DeltaLog(spark, root, "k string", LOGGED, fanout=3), {}, random.Random(4), []
+    seed = {f"k{i}": ("seed" * 500 + str(i), i) for i in range(2000)}
+
+    def put(epoch, change, base):
+        rows = {k: v for k, v in change.items() if v is not None}
+        log.append(epoch, base, spark.createDataFrame([(k,) for k in change], "k string").coalesce(1),
+                   {"names": spark.createDataFrame([(k, v[0]) for k, v in rows.items()], LOGGED["names"][0]).coalesce(1),
+                    "sizes": spark.createDataFrame([(k, n) for k, v in rows.items() for n in range(v[1] % 3)], LOGGED["sizes"][0]).coalesce(1)})
+
+    put(-1, seed, None)
+    want.update(seed)
+    for epoch in range(14):
+        change = {rng.choice([f"k{rng.randint(0, 30)}", None]): rng.choice([None, (f"e{epoch}", rng.randint(0, 9))]) for _ in range(4)}
+        base, before = log.newest(before=epoch), _folder_bytes(root)
+        if epoch % 4 == 1:  # a crash after the delta is written, and after a merge: nothing is published
+            published = DeltaLog.append.__globals__["_MANIFEST"]
+            DeltaLog.append.__globals__["_MANIFEST"] = "no schema"
+            with pytest.raises(Exception):
+                put(epoch, change, base)
+            DeltaLog.append.__globals__["_MANIFEST"] = published
+            assert log.newest() == base
+        put(epoch, change, base)
+        if epoch % 5 == 2:
+            put(epoch, change, log.newest(before=epoch))  # replayed
+        want.update(change)
+        written.append(_folder_bytes(root) - before)
+    log = DeltaLog(spark, root, "k string", LOGGED, fanout=3)
+    deltas = log.newest()
+    assert {r.k: r.name for r in log.read("names", deltas).collect()} == {k: v[0] for k, v in want.items() if v}
+    assert sorted(((r.key or ""), r.size) for r in log.read("sizes", deltas).collect()) == sorted(
+        ((k or ""), n) for k, v in want.items() if v for n in range(v[1] % 3))
+    some = spark.createDataFrame([("k3",), (None,), ("k1999",)], "k string")
+    assert {r.k for r in log.read("names", deltas, some).collect()} == {k for k in ("k3", None, "k1999") if want.get(k)}
+    assert len(deltas) <= 2 * 4 and max(d["level"] for d in deltas) >= 2
+    assert sorted(written)[len(written) // 2] < 40_000  # the seed is some hundred times that
+
+
 def test_rule_feed_survives_restart_and_replay(spark):
     from strata.streaming.rule_feed import RuleFeed
     root = os.path.join(checkpoint_dir(spark), f"feed-{uuid.uuid4().hex}")

@@ -3,9 +3,9 @@
 ``apply_rule_changes`` composes across batches (last value wins per field,
 toggle parity restarts at a set value, delete is final), so folding batch by
 batch with ``foreachBatch`` gives the same catalogue as folding the whole
-feed at once.  The catalogue lives in ``EpochTables`` under the shared
-checkpoint directory, so a replayed batch or a reopened job gives the same
-catalogue.
+feed at once.  The catalogue lives in a ``DeltaLog`` under the shared
+checkpoint directory: a batch writes the rules it changes, and a replayed batch or a
+reopened job gives the same catalogue.
 """
 
 from __future__ import annotations
@@ -13,13 +13,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strata.operators.catalogue import apply_rule_changes
 from strata.session import checkpoint_dir
-from strata.streaming.epochs import SEED_EPOCH, EpochTables
-
-PART = "all"
+from strata.streaming.delta_log import SEED_EPOCH, DeltaLog
 
 
 class RuleFeed:
@@ -27,20 +24,18 @@ class RuleFeed:
         """``catalogue`` seeds a new root; on a root that has one published, that one goes on."""
         self.spark = spark
         self.root = root or f"{checkpoint_dir(spark).rstrip('/')}/rule-feed-{uuid.uuid4().hex}"
-        self.state = EpochTables(spark, self.root)
-        self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in catalogue.schema)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in catalogue.schema)
+        self.state = DeltaLog(spark, self.root, "rule_id string", {"catalogue": (schema, ["rule_id"])})
         if self.state.newest() is None:
-            self._publish(SEED_EPOCH, catalogue)
-
-    def _publish(self, epoch: int, catalogue: DataFrame) -> None:
-        self.state.write("catalogue", epoch, catalogue.withColumn("_part", F.lit(PART)), "_part")
-        self.state.publish(epoch, None, self.spark.createDataFrame([(PART,)], "part string"))
+            self.state.append(SEED_EPOCH, None, catalogue, {"catalogue": catalogue})
 
     def catalogue(self, before: int | None = None) -> DataFrame:
-        return self.state.read("catalogue", self.state.newest(before), self.schema)
+        return self.state.read("catalogue", self.state.newest(before))
 
     def _batch(self, changes: DataFrame, epoch: int) -> None:
-        self._publish(epoch, apply_rule_changes(self.catalogue(before=epoch), changes))
+        base, touched = self.state.newest(before=epoch), changes.select("rule_id").distinct()
+        changed = apply_rule_changes(self.state.read("catalogue", base, touched), changes)
+        self.state.append(epoch, base, touched, {"catalogue": changed.join(touched, "rule_id", "left_semi")})
 
     def run(self, stream: DataFrame) -> DataFrame:
         q = (stream.writeStream.foreachBatch(self._batch)

@@ -180,16 +180,17 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 def shared_contexts(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """hash, digest, doc_id, key, start, windows, offset: contexts of repeated anchors."""
     def of_documents(slices: Iterator[list]) -> Iterator[list]:
-        for doc_ids, texts in slices:
+        for doc_ids, keys, texts in slices:
             hashes = [np.unique(contexts(_raw(t))[0]) for t in texts]
-            at = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-            yield [pa.array(doc_ids, pa.int64()).take(pa.array(at)), np.concatenate(hashes)]
+            at = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
+            yield [pa.array(doc_ids, pa.int64()).take(at), pa.array(keys, pa.int64()).take(at), np.concatenate(hashes)]
 
-    ours = map_columns(docs, ["doc_id", "text"], "doc_id long, hash long", of_documents)
-    wanted = (ours.join(anchors, "hash", "left_semi").groupBy(F.col("doc_id").alias("_doc"))
+    keyed = docs.select("doc_id", "text", row_key().alias("key"))
+    ours = map_columns(keyed, ["doc_id", "key", "text"], "doc_id long, key long, hash long", of_documents)
+    # by document, not doc_id: rows without a doc_id do not meet
+    wanted = (ours.join(anchors, "hash", "left_semi").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
               .agg(F.collect_set("hash").alias("hashes")))
-    held = docs.select("doc_id", "text", row_key().alias("key")).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    held = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
 
     def run(slices: Iterator[list]) -> Iterator[list]:
         for doc_ids, keys, texts, hashes in slices:

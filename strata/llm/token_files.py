@@ -231,8 +231,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None) ->
     spark = docs.sparkSession
     path = vocabulary("word_bpe_49k.json", path)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), row_key()))
+    # null and repeated doc_ids are dealt by their texts' hashes
+    order = [F.col("doc_id").asc_nulls_first(), row_key().asc()]
+    dealt = docs.select("doc_id", "text").repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def run(slices: Iterator[list]) -> Iterator[list]:
         encoder = writer = None

@@ -6,9 +6,9 @@ link when at most two bits differ; components of links are the groups of near-du
 Search.  Fingerprints first become distinct, so copies cost one entry however many there are.  Two differing bits
 leave one of three bit blocks untouched, and within the other bits again one of three, so every link has both
 ends under at least one of nine (block, sub-block) keys; each fingerprint goes to its nine buckets by a plain
-shuffle.  Inside a partition the fingerprints of a bucket are sorted by Gray rank and a hierarchical index is
-built over them: each node factors the bits that all fingerprints below share and its parent does not yet
-hold.  A query walks down from the root of its bucket, adds the differences on each node's own bits, and drops
+shuffle, and a bucket that many share is cut into parts and searched part against part.  Inside a partition the
+fingerprints of a bucket are sorted by Gray rank and a hierarchical index is built over them: each node factors the
+bits that all fingerprints below share and its parent does not yet hold.  A query walks down from the root of its bucket, adds the differences on each node's own bits, and drops
 the whole group once more than two have accumulated.  A link is emitted only under the first key its ends share,
 hence once.  A fingerprint has at most 2,080 others within two bits, so links are at most linear in fingerprints.
 
@@ -40,6 +40,8 @@ FANOUT = 8
 CHUNK = 1 << 14
 QUERIES_AT_ONCE = 1 << 11
 FRONTIER = 1 << 22
+#: Fingerprints of a bucket that are searched together; larger buckets are cut into parts.
+BUCKET = 1 << 16
 #: Rows of a partition of the component tables, and the least number of partitions (files) they have.
 ROWS_PER_PART = 200_000
 LEAST_PARTS = 8
@@ -143,20 +145,25 @@ class GrayIndex:
         return query, node
 
 
-def _links(k: np.ndarray, v: np.ndarray, fps: np.ndarray, masks: np.ndarray, distance: int) -> Iterator[list]:
-    new = np.r_[True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])]
+def _links(k: np.ndarray, bucket: np.ndarray, fps: np.ndarray, masks: np.ndarray, distance: int,
+           apart: np.ndarray | None = None) -> Iterator[list]:
+    """``k``: rows' key number; ``bucket``: which rows are searched together; ``apart``: only rows of different parts of a
+    bucket link, where they are not -1."""
+    apart = np.full(len(k), -1) if apart is None else apart
+    new = np.r_[True, bucket[1:] != bucket[:-1]]
     starts = np.flatnonzero(new)
     sizes = np.diff(np.r_[starts, len(k)])
     shared = np.repeat(sizes > 1, sizes)
     if not shared.any():
         return
-    k, fps, sizes = k[shared], fps[shared], sizes[sizes > 1]
+    k, apart, fps, sizes = k[shared], apart[shared], fps[shared], sizes[sizes > 1]
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     index = GrayIndex(fps, first)
     step = max(1, min(QUERIES_AT_ONCE, FRONTIER // int(sizes.max())))
     for at in range(0, len(fps), step):
         a, b = index.within(np.arange(at, min(at + step, len(fps))), distance)
-        a, b = a[fps[a] < fps[b]], b[fps[a] < fps[b]]
+        fits = (fps[a] < fps[b]) & ((apart[a] < 0) | (apart[a] != apart[b]))
+        a, b = a[fits], b[fits]
         differ = fps[a] ^ fps[b]
         earliest = np.argmax((differ[:, None] & masks[None, :]) == 0, axis=1)
         a, b = a[earliest == k[a]], b[earliest == k[a]]
@@ -164,30 +171,56 @@ def _links(k: np.ndarray, v: np.ndarray, fps: np.ndarray, masks: np.ndarray, dis
             yield [fps[a].view(np.int64).tolist(), fps[b].view(np.int64).tolist()]
 
 
+def _deal(keyed: DataFrame) -> DataFrame:
+    """k, v, lo, hi, part, fp: rows of (k, v, lo, hi) are searched together.
+
+    A bucket of over ``BUCKET`` fingerprints is cut into parts by their hash, and every two parts (and each part with
+    itself) are searched on their own; ``part`` is a row's part where lo and hi differ, else -1.
+    """
+    zero = F.lit(0).cast("long")
+    large = cut(keyed.groupBy("k", "v").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET))
+    if large.isEmpty():
+        return keyed.select("k", "v", zero.alias("lo"), zero.alias("hi"), F.lit(-1).cast("long").alias("part"), "fp")
+    parts = F.coalesce(F.ceil(F.col("n") / (BUCKET / 2)), F.lit(1))
+    own = F.pmod(F.xxhash64("fp"), F.col("m"))
+    spread = (keyed.join(large, ["k", "v"], "left").withColumn("m", parts).withColumn("own", own)
+              .withColumn("other", F.explode(F.sequence(zero, F.col("m") - 1))))
+    return spread.select("k", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                         F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("part"), "fp")
+
+
 def links(distinct: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """a, b: every pair of distinct fingerprints (column ``fp``) within ``distance`` bits, once."""
     masks = key_masks(distance)
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v"))
                      for i, m in enumerate(masks)])
-    dealt = (distinct.select("fp", F.explode(keys).alias("key")).select("key.k", "key.v", "fp")
-             .repartition("k", "v").sortWithinPartitions("k", "v", gray_rank(F.col("fp"))))
+    together = ["k", "v", "lo", "hi"]
+    dealt = (_deal(distinct.select("fp", F.explode(keys).alias("key")).select("key.k", "key.v", "fp"))
+             .repartition(*together).sortWithinPartitions(*together, gray_rank(F.col("fp"))))
     mask_array = np.array(masks, np.uint64)
 
     def run(slices: Iterator[list]) -> Iterator[list]:
-        held = [np.empty(0, np.int64)] * 3
-        for part in slices:
-            held = [np.concatenate([h, np.array(p, np.int64)]) for h, p in zip(held, part)]
+        held = [np.empty(0, np.int64)] * 6
+
+        def found(rows: list) -> Iterator[list]:
+            k, v, lo, hi, part, fp = rows
+            change = (k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            # rows of one part alone (lo = hi) link freely; of two parts only across
+            yield from _links(k, np.cumsum(np.r_[0, change]), fp.view(np.uint64), mask_array, distance, part)
+
+        for rows in slices:
+            held = [np.concatenate([h, np.array(p, np.int64)]) for h, p in zip(held, rows)]
             if len(held[0]) < CHUNK:
                 continue
-            k, v, _ = held
-            last = np.flatnonzero((k != k[-1]) | (v != v[-1]))
-            end = last[-1] + 1 if len(last) else 0  # the last bucket may go on
-            yield from _links(k[:end], v[:end], held[2][:end].view(np.uint64), mask_array, distance)
-            held = [h[end:] for h in held]
+            goes_on = np.logical_and.reduce([c == c[-1] for c in held[:4]])  # the last bucket may go on
+            end = int(np.flatnonzero(~goes_on)[-1]) + 1 if not goes_on.all() else 0
+            if end:
+                yield from found([h[:end] for h in held])
+                held = [h[end:] for h in held]
         if len(held[0]):
-            yield from _links(held[0], held[1], held[2].view(np.uint64), mask_array, distance)
+            yield from found(held)
 
-    return map_columns(dealt, ["k", "v", "fp"], "a long, b long", run, rows=CHUNK)
+    return map_columns(dealt, [*together, "part", "fp"], "a long, b long", run, rows=CHUNK)
 
 
 def components(pairs: DataFrame) -> DataFrame:

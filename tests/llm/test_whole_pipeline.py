@@ -278,3 +278,21 @@ def test_scripts():
     assert quality_rules.verdict((4.0, 4.0, 0.0, 13.5), quality_rules.band(None, "\u00fc")) == "token_entropy"
     assert quality_rules.band(None, "na\u00efve caf\u00e9 \u00e7a") == quality_rules.BANDS["fr"] and quality_rules.band(None, "x") == quality_rules.BANDS["en"]
     assert quality_rules.band("pl", "x") == quality_rules.SCRIPT_BANDS["latin"] and quality_rules.band(None, "12") == quality_rules.OTHER_BAND
+
+
+@pytest.mark.parametrize("bucket,chunk", [(1 << 16, 1 << 14), (6, 8), (2, 1)])
+def test_large_buckets_are_searched_in_parts(spark, monkeypatch, bucket, chunk):
+    """A family of fingerprints that share most bits, so that nearly all meet in a bucket."""
+    from strata.llm import simhash
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(1 << 62))
+    fps = {base ^ sum(1 << int(b) for b in rng.integers(0, 20, rng.integers(0, 6))) for _ in range(150)} | {int(x) for x in rng.integers(0, 1 << 62, 50)}
+    fps |= {f ^ (1 << 63) for f in list(fps)[:30]}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = Counter((r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)).collect())
+    unsigned = lambda x: x & ((1 << 64) - 1)
+    pairs = Counter(frozenset((unsigned(a), unsigned(b))) for a, b in got.elements())
+    want = {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 2}
+    assert set(pairs) == want and max(pairs.values()) == 1 and len(want) > 200

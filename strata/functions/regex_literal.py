@@ -79,3 +79,71 @@ def required_literals(pattern: str, flags: int = 0) -> frozenset[str] | None:
     except (re.error, RecursionError, OverflowError):
         return None
     return _of_sequence(parsed, parsed.state.flags)
+
+
+def _newlines(items, flags: int) -> tuple[float, int] | None:
+    """(most newlines that a match of the items, what they look at included, can hold; characters looked back), or None
+    where the text's own beginning or end matters."""
+    total, back = 0.0, 0
+    for op, value in items:
+        inner = None
+        if op is K.LITERAL:
+            total += value == 10
+        elif op is K.NOT_LITERAL:
+            total += value != 10
+        elif op is K.ANY:
+            total += bool(flags & re.DOTALL)
+        elif op is K.IN:
+            total += 1  # as if it took a newline; repeats of classes that cannot are told apart below
+        elif op is K.AT:
+            if value in (K.AT_BEGINNING, K.AT_END) and not flags & re.MULTILINE or value in (K.AT_BEGINNING_STRING, K.AT_END_STRING):
+                return None
+            back = max(back, 1)
+        elif op is K.SUBPATTERN:
+            inner = _newlines(value[3], (flags | value[1]) & ~value[2])
+        elif op is K.ATOMIC_GROUP:
+            inner = _newlines(value, flags)
+        elif op in (K.ASSERT, K.ASSERT_NOT):
+            inner = _newlines(value[1], flags)
+            if value[0] < 0 and inner is not None:
+                back = max(back, value[1].getwidth()[1])
+        elif op is K.BRANCH:
+            each = [_newlines(b, flags) for b in value[1]]
+            inner = None if None in each else (max(e[0] for e in each), max(e[1] for e in each))
+        elif op in _REPEATS:
+            low, high, body = value
+            inner = _newlines(body, flags)
+            if inner is not None:
+                one = 0.0 if len(body) == 1 and body[0][0] is K.IN and not _takes_newline(body[0][1]) else inner[0]
+                inner = (one * (float("inf") if high is K.MAXREPEAT else high) if one else 0.0, inner[1])
+        else:  # references to groups and what else there is
+            return None
+        if op in (K.SUBPATTERN, K.ATOMIC_GROUP, K.ASSERT, K.ASSERT_NOT, K.BRANCH) or op in _REPEATS:
+            if inner is None:
+                return None
+            total, back = total + inner[0], max(back, inner[1])
+    return total, back
+
+
+def _takes_newline(choices) -> bool:
+    negated = bool(choices) and choices[0][0] is K.NEGATE
+    taken = False
+    for op, value in choices:
+        if op is K.LITERAL:
+            taken |= value == 10
+        elif op is K.RANGE:
+            taken |= value[0] <= 10 <= value[1]
+        elif op is K.CATEGORY:
+            taken |= value in (K.CATEGORY_SPACE, K.CATEGORY_NOT_DIGIT, K.CATEGORY_NOT_WORD)
+    return taken != negated
+
+
+def line_reach(pattern: str, flags: int = 0) -> tuple[int, int] | None:
+    """(newlines that a match can hold or look ahead at, characters it can look back), or None without such bounds, as
+    for patterns that can match nothing or ask where the text begins or ends."""
+    try:
+        parsed = _parser.parse(pattern, flags)
+        found = _newlines(parsed, parsed.state.flags) if parsed.getwidth()[0] > 0 else None
+    except (re.error, RecursionError, OverflowError):
+        return None
+    return None if found is None or found[0] == float("inf") else (int(found[0]), found[1])

@@ -7,6 +7,13 @@ grows with the text and the hits.  Rules without literals are tried on every lin
 here that the JVM's regex engine does not take.
 
 Patterns are Python's own, with the flags their rule carries; they are compiled when first needed and kept by the worker.
+
+Where the caller says from which size texts are large, such a text whose only line breaks are newlines is cut into chunks
+of whole lines, scanned by many tasks.
+Chunks carry the number of lines before them, and as many lines after them as a match can reach (``line_reach``).  A chunk
+reports, for each multiline rule, the match at every place of its own lines; which of the overlapping ones a scan of
+the whole text would find (always the first that begins at or after the end of the last) is decided by one pass over the
+matches of a file and rule in order.  Rules without a bound on their reach read the whole text in one task.
 """
 
 from __future__ import annotations
@@ -22,9 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata import schemas as S
-from strata.functions.regex_literal import ascii_lower
+from strata.functions.regex_literal import ascii_lower, line_reach
 
 ANY_LANGUAGE = ("", "any")
+# Characters of a chunk of a large text.
+CHUNK_CHARS = 1 << 20
+# Line breaks besides the newline.
+OTHER_BREAKS = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 HITS = "repo_id string, file_path string, line_number int, end_line int, code_snippet string, _slot int"
 
 
@@ -54,6 +65,18 @@ class RuleBook:
     def regex(self, slot: int) -> re.Pattern:
         return _compiled(*self.patterns[slot])
 
+    def matches(self, text: str, begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(slot, start, end) of the match of every multiline rule at every place from ``begin`` to ``end`` - 1."""
+        meant = {slot for slot, multiline in self.always if multiline}
+        if self.automaton is not None:
+            meant |= {s for _, slots in self.automaton.iter(ascii_lower(text)) for s in slots if s in self.multiline}
+        for slot in meant:
+            search = self.regex(slot).search
+            m = search(text, begin)
+            while m and m.start() < end:
+                yield slot, m.start(), m.end()
+                m = search(text, m.start() + 1)
+
     def hits(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(slot, first line, last line) of every finding."""
         lines: list[str] | None = None
@@ -94,35 +117,136 @@ class RuleBook:
                 yield slot, line, line + m.group(0).count("\n")
 
 
-def scan_texts(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """One row per hit: repo_id, file_path, line_number, end_line, code_snippet and the rule's 1-based place in
-    ``rules`` as ``_slot``; line rules hit a line once, multiline rules at every match."""
-    specs = [(r["language"], (i, r["pattern"] or "", r["flags"], r["literals"], r["match_type"] == "regex_multiline"))
-             for i, r in enumerate(rules, start=1)]
-    languages = {language for language, _ in specs}
-    texts = files.select("repo_id", "path", F.lower(F.coalesce("language", F.lit(""))).alias("language"), "content").filter(
-        "content IS NOT NULL")
-    if languages.isdisjoint(ANY_LANGUAGE):
-        texts = texts.filter(F.col("language").isin(*sorted(languages)))
+Specs = list[tuple[str, tuple[int, str, int, frozenset[str] | None, bool]]]
+
+
+class _Books:
+    """The rule book of each language, made when first needed."""
+
+    def __init__(self, specs: Specs) -> None:
+        self.specs, self.languages, self.known = specs, {language for language, _ in specs}, {}
+
+    def of(self, language: str) -> RuleBook:
+        # languages without rules of their own share the book of those that apply to all
+        own = language if language in self.languages else ""
+        if own not in self.known:
+            self.known[own] = RuleBook([spec for of, spec in self.specs if of in ANY_LANGUAGE or of == own])
+        return self.known[own]
 
+
+_NAMES = ["repo_id", "file_path", "line_number", "end_line", "code_snippet", "_slot"]
+
+
+def _snippet(lines: list[str], first: int, last: int) -> str:
+    return "\n".join(lines[max(0, first - 2):min(len(lines), last + 1)])
+
+
+def _scan_whole(texts: DataFrame, specs: Specs) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        books: dict[str, RuleBook] = {}
+        books = _Books(specs)
         for pdf in batches:
             out = []
             for repo, path, language, text in zip(pdf["repo_id"], pdf["path"], pdf["language"], pdf["content"]):
-                # languages without rules of their own share the book of those that apply to all
-                own = language if language in languages else ""
-                if own not in books:
-                    books[own] = RuleBook([spec for of, spec in specs if of in ANY_LANGUAGE or of == own])
                 lines = None
-                for slot, first, last in books[own].hits(text):
+                for slot, first, last in books.of(language).hits(text):
                     lines = text.splitlines() if lines is None else lines
-                    out.append((repo, path, first, last, "\n".join(lines[max(0, first - 2):min(len(lines), last + 1)]), slot))
-            yield pd.DataFrame(out, columns=["repo_id", "file_path", "line_number", "end_line", "code_snippet", "_slot"])
+                    out.append((repo, path, first, last, _snippet(lines, first, last), slot))
+            yield pd.DataFrame(out, columns=_NAMES)
 
     return texts.mapInPandas(run, HITS)
 
 
+def cut_into_chunks(text: str, size: int, after: int, back: int) -> Iterator[tuple[int, int, int, int, str]]:
+    """(chunk's place, lines before the window, where its own lines begin in the window, and end, window): whole lines,
+    with a line and ``back`` characters before them, and ``after`` lines after."""
+    begin = lines = 0
+    while begin < len(text):
+        end = text.find("\n", min(begin + size, len(text)) - 1) + 1 or len(text)
+        left = text.rfind("\n", 0, max(begin - 1 - back, 0)) + 1
+        right = end
+        for _ in range(after):
+            right = text.find("\n", right) + 1 or len(text)
+        yield begin, lines - text.count("\n", left, begin), begin - left, end - left, text[left:right]
+        lines += text.count("\n", begin, end)
+        begin = end
+
+
+def _scan_chunks(texts: DataFrame, specs: Specs, after: int, back: int) -> DataFrame:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for repo, path, language, text in zip(pdf["repo_id"], pdf["path"], pdf["language"], pdf["content"]):
+                for at, before, begin, end, window in cut_into_chunks(text, CHUNK_CHARS, after, back):
+                    yield pd.DataFrame([(repo, path, language, at, before, begin, end, window)], columns=[c.split()[0] for c in chunk.split(", ")])
+
+    chunk = "repo_id string, path string, language string, at long, lines_before long, own_begin long, own_end long, window string"
+    dealt = texts.mapInPandas(split, chunk).repartition("repo_id", "path", "at")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        books = _Books(specs)
+        for pdf in batches:
+            out = []
+            for repo, path, language, at, before, begin, end, window in pdf.itertuples(index=False):
+                book, lines = books.of(language), window.splitlines()
+                lead = window.count("\n", 0, begin)
+                for slot, first, last in book.hits(window[begin:end]):
+                    if slot not in book.multiline:
+                        out.append((repo, path, before + lead + first, before + lead + last, _snippet(lines, lead + first, lead + last),
+                                    slot, None, None))
+                for slot, start, stop in book.matches(window, begin, end):
+                    first = window.count("\n", 0, start) + 1
+                    last = first + window.count("\n", start, stop)
+                    out.append((repo, path, before + first, before + last, _snippet(lines, first, last), slot, at - begin + start, at - begin + stop))
+            yield pd.DataFrame(out, columns=[*_NAMES, "_start", "_stop"])
+
+    found = dealt.mapInPandas(run, HITS + ", _start long, _stop long")
+    ordered = (found.filter("_start IS NOT NULL").repartition("repo_id", "file_path", "_slot")
+               .sortWithinPartitions("repo_id", "file_path", "_slot", "_start"))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, free = None, 0
+        for pdf in batches:
+            keep = []
+            for repo, path, slot, start, stop in zip(pdf["repo_id"], pdf["file_path"], pdf["_slot"], pdf["_start"], pdf["_stop"]):
+                if key != (repo, path, slot):
+                    key, free = (repo, path, slot), 0
+                keep.append(start >= free)
+                free = stop if keep[-1] else free
+            yield pdf.loc[keep, _NAMES]
+
+    return found.filter("_start IS NULL").drop("_start", "_stop").union(ordered.mapInPandas(choose, HITS))
+
+
+def scan_texts(files: DataFrame, rules: list[dict], large_chars: int | None = None) -> DataFrame:
+    """One row per hit: repo_id, file_path, line_number, end_line, code_snippet and the rule's 1-based place in
+    ``rules`` as ``_slot``; line rules hit a line once, multiline rules at every match.
+
+    Texts of over ``large_chars`` characters are scanned in chunks (a pass of their own); without it every text is
+    scanned where it lies.
+    """
+    specs: Specs = [(r["language"], (i, r["pattern"] or "", r["flags"], r["literals"], r["match_type"] == "regex_multiline"))
+                    for i, r in enumerate(rules, start=1)]
+    texts = files.select("repo_id", "path", F.lower(F.coalesce("language", F.lit(""))).alias("language"), "content").filter(
+        "content IS NOT NULL")
+
+    def of_rules(rows: DataFrame, some: Specs) -> DataFrame:
+        languages = {language for language, _ in some}
+        return rows if not languages.isdisjoint(ANY_LANGUAGE) else rows.filter(F.col("language").isin(*sorted(languages)))
+
+    if large_chars is None:
+        return _scan_whole(of_rules(texts, specs), specs)
+    reach = {spec[0]: line_reach(spec[1], spec[2]) if spec[4] else (0, 0) for _, spec in specs}
+    near = [s for s in specs if reach[s[1][0]] is not None]
+    far = [s for s in specs if reach[s[1][0]] is None]
+    large = (F.length("content") > large_chars) & ~F.col("content").rlike(OTHER_BREAKS)
+    out = _scan_whole(of_rules(texts.filter(~large), specs), specs)
+    if near:
+        after = 2 + max(reach[s[1][0]][0] for s in near)
+        out = out.union(_scan_chunks(of_rules(texts.filter(large), near), near, after, max(reach[s[1][0]][1] for s in near)))
+    if far:
+        out = out.union(_scan_whole(of_rules(texts.filter(large), far), far))
+    return out
+
+
 def python_engine(analyze, name: str = "python"):
     """Wrap ``analyze(file_path, language, content) -> iterable of dicts`` as an engine.
 

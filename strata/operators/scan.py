@@ -165,14 +165,15 @@ def explode_lines(files: DataFrame, content_col: str = "content", keep=("repo_id
 
 
 def scan_line_rules(files: DataFrame, rules: DataFrame | list[dict], engine: str = "regex",
-                    alias_languages: bool = True, unicode_classes: bool = False) -> DataFrame:
+                    alias_languages: bool = True, unicode_classes: bool = False, large_chars: int | None = None) -> DataFrame:
     """Every active line rule x every line of a file of the rule's language.
 
-    One finding per (rule, line) on the first hit; snippet = lines n-1..n+1.
+    One finding per (rule, line) on the first hit; snippet = lines n-1..n+1.  Files of over ``large_chars`` characters
+    are scanned by many tasks each.
     """
     compiled = collect_rules(rules, ("regex_line",), alias_languages, unicode_classes) \
         if isinstance(rules, DataFrame) else rules
-    return _scan(files, [dict(r, engine=engine, engine_order=0) for r in compiled]).drop("engine_order", "seq")
+    return _scan(files, [dict(r, engine=engine, engine_order=0) for r in compiled], large_chars).drop("engine_order", "seq")
 
 
 def scan_line_engines(files: DataFrame, engines: dict[str, DataFrame], alias_languages: bool = True) -> DataFrame:
@@ -189,7 +190,7 @@ def scan_line_engines(files: DataFrame, engines: dict[str, DataFrame], alias_lan
     return _scan(files, compiled).drop("seq")
 
 
-def _scan(files: DataFrame, rules: list[dict]) -> DataFrame:
+def _scan(files: DataFrame, rules: list[dict], large_chars: int | None = None) -> DataFrame:
     """Findings of compiled rules, line and multiline ones: the automaton's pass, and the generated pass for line
     rules without literals."""
     rules = [_prepared(r) for r in rules]
@@ -197,7 +198,7 @@ def _scan(files: DataFrame, rules: list[dict]) -> DataFrame:
     led = [r for r in rules if not any(r is g for g in generated)]
     out = None
     if led:
-        out = _with_meta(scan_texts(files, led), led)
+        out = _with_meta(scan_texts(files, led, large_chars), led)
     # rules of one language come together, so a later pass reads only the files of its languages
     generated.sort(key=lambda r: "" if r["language"] in ANY_LANGUAGE else r["language"])
     for at in range(0, len(generated), RULES_PER_PASS):
@@ -241,15 +242,15 @@ def _empty_findings(files: DataFrame) -> DataFrame:
 
 
 def scan_multiline_rules(files: DataFrame, rules: DataFrame | list[dict], engine: str = "regex",
-                         alias_languages: bool = True) -> DataFrame:
+                         alias_languages: bool = True, large_chars: int | None = None) -> DataFrame:
     """Every match of a multiline rule over the whole content.
 
     line = newlines before the match + 1; end_line = line + newlines inside it.  A rule runs on the files of its
-    language that hold one of its literals.
+    language that hold one of its literals; files of over ``large_chars`` characters are scanned by many tasks each.
     """
     compiled = collect_rules(rules, ("regex_multiline",), alias_languages) \
         if isinstance(rules, DataFrame) else rules
-    return _scan(files, [dict(r, engine=engine) for r in compiled]).drop("engine_order", "seq")
+    return _scan(files, [dict(r, engine=engine) for r in compiled], large_chars).drop("engine_order", "seq")
 
 
 # ---------------------------------------------------------------------------

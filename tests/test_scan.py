@@ -270,3 +270,39 @@ def test_ascii_and_unicode_classes(spark):
     ascii_, wide = (sorted((r.rule_id, r.line_number) for r in SC.scan_line_rules(files, _rules(spark, spec), unicode_classes=u).collect())
                     for u in (False, True))
     assert ascii_ == [("U", 1)] and wide == [("I", 3), ("U", 1), ("W", 1)]
+
+
+def test_line_reach():
+    from strata.functions.regex_literal import line_reach
+    assert line_reach(r"except\s+\w+:\n\s*pass") is None  # white space may be any number of lines
+    assert line_reach(r"except[ ]+\w+:\n[ \t]*pass") == (1, 0) and line_reach(r"(?<=ab)c\n(?=d\n)") == (2, 2)
+    assert line_reach(r"a[^\n]*b(?:\nc|\n\nd){2}") == (4, 0) and line_reach(r"a[^x]*b") is None and line_reach(r"(?s)a.b") == (1, 0)
+    assert line_reach(r"^a") is None and line_reach(r"(?m)^a$") == (0, 1) and line_reach("a*") is None and line_reach(r"(a)\1") is None
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 100_000])
+def test_large_texts_in_chunks_scan_as_a_whole(spark, monkeypatch, chunk):
+    import random
+    from strata.operators import python_engine as PE
+    monkeypatch.setattr(PE, "CHUNK_CHARS", chunk)
+    rng = random.Random(chunk)
+    text = lambda n: "".join(rng.choices(["a", "b", "\n", "\n", "tok ", "key=1", " ", "\u00e9"], k=n))
+    rows = [("r", f"f{i}.{lang}", text(rng.randint(0, 400)), lang) for i, lang in enumerate(["python", "go", "java", "plaintext"] * 3)]
+    rows += [("r", "breaks", "tok\r\nkey=1\x0btok\n" * 9, "python"), ("r", "one", "a" * 300, "go"), ("r", "nl", "\n" * 200, "go")]
+    multi = ["a\na", "b\n\n?tok", r"(?m)^tok $", r"tok [^\n]*\n[^\n]*key", r"\n\n", r"(?<=b)\n(?!a)", r"\ba+\b", "a.*?b", r"(?s)a.*b", r"^a|b\Z", r"\s+k", "(?:a|\nb){2,3}"]
+    spec = [(f"M{i}", ["any", "python", "go"][i % 3], "x", "low", p, "regex_multiline", True) for i, p in enumerate(multi)]
+    spec += [("L1", "any", "x", "low", "key=", "regex_line", True), ("L2", "go", "x", "low", "a$", "regex_line", True)]
+    files, rules = _files(spark, rows).repartition(2), _rules(spark, spec)
+    for large in (None, 20):
+        got = SC.scan_line_rules(files, rules, large_chars=large).unionByName(SC.scan_multiline_rules(files, rules, large_chars=large))
+        assert sorted(map(tuple, got.select(*FIELDS).collect())) == _plain_scan(rows, spec)
+
+
+def test_one_large_text_is_scanned_by_many_tasks(spark):
+    """Fifteen million characters in one row: chunks of a megabyte, far from any other, and the same findings."""
+    rows = [("r", "big.py", "".join(f"line {i}\n" + ("tok\nkey\n" if i % 50_000 == 7 else "") for i in range(1_200_000)), "python")]
+    files, rules = _files(spark, rows), _rules(spark, [("M", "python", "x", "low", r"tok\nkey", "regex_multiline", True),
+                                                       ("L", "any", "x", "low", r"99999\b", "regex_line", True)])
+    out = SC.scan_multiline_rules(files, rules, large_chars=1_000_000).unionByName(SC.scan_line_rules(files, rules, large_chars=1_000_000))
+    assert sorted(map(tuple, out.select(*FIELDS).collect())) == _plain_scan(rows, [("M", "python", "x", "low", r"tok\nkey", "regex_multiline", True),
+                                                                                    ("L", "any", "x", "low", r"99999\b", "regex_line", True)])

@@ -41,10 +41,6 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.transform(upto(F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i + 1, n)))
 
 
-def _grams_of(n: int):
-    return lambda tokens: _grams(tokens, n)
-
-
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """item_id, len, window (its words): every window of every item."""
     worded = items.select("item_id", words(F.col("text")).alias("words"))
@@ -54,22 +50,23 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
             .select("item_id", n.alias("len"), F.explode(F.array_distinct(windows)).alias("window")))
 
 
+def _prints(tokens: Column, n: int) -> Column:
+    """What stands for every window of n words: its winnowed hash, for short items the hash of its words."""
+    return _fingerprints(tokens) if n == WINDOW else _grams(tokens, n)
+
+
 def _candidates(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, key, len, hashes: the fingerprints of a document that the benchmark has too."""
-    parts = []
-    tokens = words(F.col("text"))
-    for n in lengths:
-        one = F.col("window") if n < WINDOW else None
-        theirs = windows.filter(F.col("len") == n).select(
-            (F.xxhash64(one) if n < WINDOW else _fingerprints(F.col("window"))[0]).alias("h")).distinct()
-        ours = docs.select("doc_id", row_key().alias("key"), F.explode(F.array_distinct(
-            let(tokens, _grams_of(n)) if n < WINDOW else _fingerprints(tokens))).alias("h"))
-        parts.append(ours.join(theirs, "h", "left_semi").groupBy("doc_id", "key")
-                     .agg(F.collect_set("h").alias("hashes")).withColumn("len", F.lit(n)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """doc_id, key, len, hashes: the fingerprints of a document that the benchmark has too, of all lengths in one pass."""
+    own = F.when(F.col("len") == WINDOW, _fingerprints(F.col("window"))[0]).otherwise(F.xxhash64("window"))
+    theirs = windows.select("len", own.alias("h")).distinct()
+
+    def tagged(prints: Column, n: int) -> Column:
+        return F.transform(F.array_distinct(prints), lambda h: F.struct(F.lit(n).alias("len"), h.alias("h")))
+
+    every = let(words(F.col("text")), lambda w: F.flatten(F.array(*[tagged(_prints(w, n), n) for n in lengths])))
+    ours = docs.select("doc_id", row_key().alias("key"), F.explode(every).alias("x")).select("doc_id", "key", "x.len", "x.h")
+    return (ours.join(theirs, ["len", "h"], "left_semi").groupBy("doc_id", "key", "len")
+            .agg(F.collect_set("h").alias("hashes")))
 
 
 def contaminated_windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,8 +82,7 @@ def contaminated_windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame,
     def starts(w: Column) -> Column:
         by_length = F.lit(None).cast("array<bigint>")
         for n in lengths:
-            prints = let(F.transform(w, lambda x: F.xxhash64(x)), _minima) if n == WINDOW else _grams(w, n)
-            by_length = F.when(F.col("len") == n, prints).otherwise(by_length)
+            by_length = F.when(F.col("len") == n, _prints(w, n)).otherwise(by_length)
         return let(by_length, lambda prints: F.transform(F.filter(
             F.transform(prints, lambda h, i: F.struct(h.alias("h"), i.alias("start"))),
             lambda x: F.array_contains("hashes", x["h"])), lambda x: F.struct(
@@ -113,9 +109,11 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = cut(hits)
     spans = (hits.groupBy("doc_id", "key")
              .agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans")))
-    owners = (hits.select("doc_id", "key", "window").distinct().join(windows.select("window", "item_id"), "window")
-              .groupBy("doc_id", "key")
-              .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
+    # a passage's windows mostly belong to the same items: documents meet each set of items once, not each window's items
+    sets = windows.groupBy("window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    owners = (hits.select("doc_id", "key", "window").distinct().join(sets, "window").select("doc_id", "key", "items").distinct()
+              .select("doc_id", "key", F.explode("items").alias("item"))
+              .groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item")).alias("items")))
     # text digests, not texts, meet the hits
     sized = docs.select("doc_id", row_key().alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     for side, found in (("s", spans), ("o", owners)):

@@ -456,11 +456,26 @@ def rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = (F.when(et == "click", "toggle").when(et == "view", "update").when(et == "signup", "update")
               .when(et == "purchase", "deactivate")
               .otherwise(F.when(F.col("event_id") % 7 == 0, F.lit("delete")).otherwise(F.lit("toggle"))))
+    i = F.col("event_id")
+
+    def some(event: str, every: int, at: int, value) -> F.Column:
+        return F.when((et == event) & (i % every == at), value)
+
+    def said(text: str, number=None) -> F.Column:
+        return F.concat(F.lit(text), (i if number is None else number).cast("string"))
+
     return e.select(
         F.concat(F.lit("REGEX-part-"), (F.col("user_id") % 60).cast("string")).alias("rule_id"),
         F.col("event_id").alias("seq"), action.alias("action"),
         F.when(et == "view", _cycle(["low", "medium", "high"], F.col("event_id"))).alias("severity"),
-        F.when(et == "signup", F.concat(F.lit("msg "), F.col("event_id").cast("string"))).alias("message"))
+        F.when(et == "signup", said("msg ")).alias("message"),
+        some("view", 5, 1, said("name ")).alias("name"), some("signup", 3, 0, said("text ")).alias("description"),
+        some("view", 4, 1, _cycle(SEED_LANGUAGES, i)).alias("language"),
+        some("signup", 6, 1, _cycle(["secrets", "injection"], i)).alias("defect_family"),
+        some("view", 7, 2, said("p")).alias("pattern"), some("signup", 8, 3, F.lit("regex_multiline")).alias("match_type"),
+        some("view", 3, 2, said("hint ")).alias("fix_hint"), some("signup", 2, 0, said("CWE-", i % 900)).alias("cwe_id"),
+        some("view", 11, 4, said("A0", i % 10)).alias("owasp_ref"),
+        F.coalesce(some("view", 9, 0, F.lit(False)), some("signup", 9, 0, F.lit(True))).alias("is_active"))
 
 
 def rescan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -563,37 +563,55 @@ seeded AS (
          {_NAME.replace('id,', 's.id,')} AS name, language, fams.defect_family,
          coalesce(ovr.severity, s.severity, 'low') AS severity,
          CASE WHEN contains(pattern, '\\n') THEN 'regex_multiline' ELSE 'regex_line' END AS match_type,
-         coalesce(message, '') AS message, true AS is_active
+         coalesce(message, '') AS message, true AS is_active, coalesce(message, '') AS description, coalesce(pattern, '') AS pattern
   FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, language ORDER BY seq) AS k
                        FROM (SELECT *, unnest(CASE WHEN len(languages) > 0 THEN languages ELSE ['any'] END) AS language FROM specs))
         WHERE k = 1) s
   LEFT JOIN fams ON s.id = fams.id LEFT JOIN ovr ON s.id = ovr.id
 )"""
 ORACLE["seed_rules"] = X.with_ctes(_SEED, body="""
-SELECT * FROM seeded WHERE rule_id NOT IN (
+SELECT rule_id, name, language, defect_family, severity, match_type, message, is_active FROM seeded WHERE rule_id NOT IN (
   SELECT DISTINCT 'REGEX-part-' || CAST(p_partkey % 400 AS VARCHAR) FROM part WHERE (p_partkey % 400) % 30 = 0)""")
+_RULE_FIELDS = ["name", "description", "language", "defect_family", "severity", "pattern", "match_type", "message", "fix_hint",
+                "cwe_id", "owasp_ref"]
+
+
+def _some(event: str, every: int, at: int, value: str) -> str:
+    return f"CASE WHEN event_type = '{event}' AND event_id % {every} = {at} THEN {value} END"
+
+
+_ID = "CAST(event_id AS VARCHAR)"
 ORACLE["apply_rule_changes"] = X.with_ctes(_SEED, f"""changes AS (
   SELECT 'REGEX-part-' || CAST(user_id % 60 AS VARCHAR) AS rule_id, event_id AS seq,
          CASE event_type WHEN 'click' THEN 'toggle' WHEN 'view' THEN 'update' WHEN 'signup' THEN 'update'
               WHEN 'purchase' THEN 'deactivate' ELSE CASE WHEN event_id % 7 = 0 THEN 'delete' ELSE 'toggle' END END AS action,
          CASE WHEN event_type = 'view' THEN {_cyc(['low', 'medium', 'high'], 'event_id')} END AS severity,
-         CASE WHEN event_type = 'signup' THEN 'msg ' || CAST(event_id AS VARCHAR) END AS message
+         CASE WHEN event_type = 'signup' THEN 'msg ' || CAST(event_id AS VARCHAR) END AS message,
+         {_some('view', 5, 1, f"'name ' || {_ID}")} AS name, {_some('signup', 3, 0, f"'text ' || {_ID}")} AS description,
+         {_some('view', 4, 1, _cyc(FX.SEED_LANGUAGES, 'event_id'))} AS language,
+         {_some('signup', 6, 1, _cyc(['secrets', 'injection'], 'event_id'))} AS defect_family,
+         {_some('view', 7, 2, f"'p' || {_ID}")} AS pattern, {_some('signup', 8, 3, "'regex_multiline'")} AS match_type,
+         {_some('view', 3, 2, f"'hint ' || {_ID}")} AS fix_hint,
+         {_some('signup', 2, 0, "'CWE-' || CAST(event_id % 900 AS VARCHAR)")} AS cwe_id,
+         {_some('view', 11, 4, "'A0' || CAST(event_id % 10 AS VARCHAR)")} AS owasp_ref,
+         coalesce({_some('view', 9, 0, 'false')}, {_some('signup', 9, 0, 'true')}) AS active
   FROM events
 ),
+flagged AS (SELECT *, CASE WHEN action = 'deactivate' THEN false WHEN action = 'update' THEN active END AS flag FROM changes),
 folded AS (
-  SELECT rule_id, arg_max(severity, seq) FILTER (WHERE action = 'update' AND severity IS NOT NULL) AS sev,
-         arg_max(message, seq) FILTER (WHERE action = 'update' AND message IS NOT NULL) AS msg,
-         max(seq) FILTER (WHERE action = 'deactivate') AS deact, count(*) FILTER (WHERE action = 'delete') AS del
-  FROM changes GROUP BY rule_id
+  SELECT rule_id, {', '.join(f"arg_max({f}, seq) FILTER (WHERE action = 'update' AND {f} IS NOT NULL) AS new_{f}" for f in _RULE_FIELDS)},
+         arg_max(flag, seq) FILTER (WHERE flag IS NOT NULL) AS set_to, max(seq) FILTER (WHERE flag IS NOT NULL) AS set_at,
+         count(*) FILTER (WHERE action = 'delete') AS del
+  FROM flagged GROUP BY rule_id
 ),
 tc AS (
-  SELECT c.rule_id, count(*) FILTER (WHERE f.deact IS NULL OR c.seq > f.deact) AS t_after
+  SELECT c.rule_id, count(*) FILTER (WHERE f.set_at IS NULL OR c.seq > f.set_at) AS t_after
   FROM changes c JOIN folded f ON c.rule_id = f.rule_id WHERE c.action = 'toggle' GROUP BY c.rule_id
-)""", body="""
-SELECT r.rule_id, coalesce(f.sev, r.severity) AS severity, coalesce(f.msg, r.message) AS message,
-       CASE WHEN f.deact IS NOT NULL THEN coalesce(tc.t_after, 0) % 2 = 1
-            ELSE r.is_active <> (coalesce(tc.t_after, 0) % 2 = 1) END AS is_active
-FROM seeded r LEFT JOIN folded f ON r.rule_id = f.rule_id LEFT JOIN tc ON r.rule_id = tc.rule_id
+),
+whole AS (SELECT *, NULL::VARCHAR AS fix_hint, NULL::VARCHAR AS cwe_id, NULL::VARCHAR AS owasp_ref FROM seeded)""", body=f"""
+SELECT r.rule_id, {', '.join(f"coalesce(f.new_{f}, r.{f}) AS {f}" for f in _RULE_FIELDS)},
+       coalesce(f.set_to, r.is_active) <> (coalesce(tc.t_after, 0) % 2 = 1) AS is_active
+FROM whole r LEFT JOIN folded f ON r.rule_id = f.rule_id LEFT JOIN tc ON r.rule_id = tc.rule_id
 WHERE coalesce(f.del, 0) = 0""")
 
 # ---------------------------------------------------------------------------

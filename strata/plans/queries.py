@@ -532,7 +532,7 @@ def q_seed_rules(spark, sf_dir):
 @register("apply_rule_changes")
 def q_apply_rule_changes(spark, sf_dir):
     out = CT.apply_rule_changes(_seeded(spark, sf_dir), FX.rule_changes(spark, sf_dir))
-    return out.select("rule_id", "severity", "message", "is_active")
+    return out.select("rule_id", *CT.UPDATE_FIELDS, "is_active")
 
 
 # ---------------------------------------------------------------------------

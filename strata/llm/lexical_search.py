@@ -16,8 +16,8 @@ can be in a result; the others are excluded too.
 
 Scale.  The texts are read once for the index and the document frequencies (a partial count per task), and twice
 for scoring, where only the documents asked for leave the scan.  Queries are taken in blocks of bounded text; the
-queries and thresholds of a block go to every task, documents never do.  Probes are bounded by the block's queries
-and are broadcast; the documents to score are broadcast only if their count allows it, and else joined by a shuffle.
+queries and thresholds of a block go to every task, documents never do.  Probes and documents to
+score are broadcast only if their count allows it, and else joined by a shuffle.
 A query's best documents are limited in every task before they meet.
 
 Defined results: null and wordless texts have no terms and are never found; a wordless query finds nothing; every
@@ -49,13 +49,14 @@ LEVELS = (1, 2, 3, 5, 9)
 #: Rows of a block's matrix per term and level of its largest document.
 ROWS_PER_KEY = 8
 #: Documents of a block, bits of a block's matrix, keys held by a task before it writes blocks, distinct terms counted
-#: by a task before it writes counts, characters of queries in a block, terms of queries bounded at once, documents to
-#: score that may be broadcast (they bound memory, not results).
+#: by a task before it writes counts, characters and number of queries in a block, terms of queries bounded at once,
+#: documents to score that may be broadcast (they bound memory, not results).
 BLOCK_DOCS = 1024
 BLOCK_BITS = 1 << 25
 HELD_KEYS = 1 << 21
 HELD_TERMS = 1 << 19
 QUERY_CHARS = 1 << 22
+QUERY_ROWS = 20_000
 TERMS_AT_ONCE = 4096
 BROADCAST_ROWS = 200_000
 #: Bounds are summed in single precision; they are raised by more than the rounding can take away.
@@ -279,7 +280,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, probes: int = PROB
     shape = items.schema["item_id"].dataType
     out = spark.createDataFrame([], f"item_id {shape.simpleString()}, rank int, doc_id long, score long")
     asked = items.select("item_id", "text").filter("text IS NOT NULL").distinct()
-    blocks = math.ceil((asked.agg(F.sum(F.length("text"))).first()[0] or 0) / QUERY_CHARS)
+    size = asked.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows")).first()
+    blocks = max(math.ceil((size["chars"] or 0) / QUERY_CHARS), math.ceil(size["rows"] / QUERY_ROWS))
     if not total["docs"]:
         return out
     for block in range(blocks):
@@ -289,7 +291,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, probes: int = PROB
         df = {bytes(r["term"]): r["df"] for r in index.filter("term IS NOT NULL").join(wanted, "term", "left_semi")
               .groupBy("term").agg(F.sum("df").alias("df")).collect()}  # at most the block's terms
         queries = Queries(counters, df, total["docs"], total["terms"])
-        best = exact_scores(docs, best_bounds(index, queries, probes), queries, True)
+        probed = cut(best_bounds(index, queries, probes))
+        best = exact_scores(docs, probed, queries, probed.count() <= BROADCAST_ROWS)
         thresholds = {r["query"]: r["score"] for r in ranked(best, top).filter(F.col("rank") == top).collect()}
         rest = cut(not_excluded(index, queries, thresholds, top))
         found = ranked(exact_scores(docs, rest, queries, rest.count() <= BROADCAST_ROWS), top)

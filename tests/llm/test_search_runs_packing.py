@@ -63,7 +63,7 @@ def test_search(spark, make_docs, prose):
 
 
 @pytest.mark.parametrize("shrunk", [{"BLOCK_DOCS": 8, "HELD_KEYS": 300, "HELD_TERMS": 50},
-                                    {"QUERY_CHARS": 200, "TERMS_AT_ONCE": 30}, {"BROADCAST_ROWS": 0, "ROWS_PER_KEY": 1}])
+                                    {"QUERY_CHARS": 200, "TERMS_AT_ONCE": 30}, {"QUERY_ROWS": 3}, {"BROADCAST_ROWS": 0, "ROWS_PER_KEY": 1}])
 def test_search_in_small_pieces(spark, make_docs, prose, monkeypatch, shrunk):
     for name, value in shrunk.items():
         monkeypatch.setattr(lexical_search, name, value)

@@ -4,8 +4,13 @@ A page is a sequence of tag tokens, each told apart by its path (``html/body/art
 host, tokens with the same occurrence vector (the same number of occurrences on every page) form an equivalence
 class.  An occurrence vector is never gathered: it is represented by two sums, over pages, of hashes of (page,
 count), which Spark adds up map-side; tokens of equal sums are one class.  A class takes part when its tokens are on
-half of the host's pages or more; one whose tokens stand at most once on a page is the template's skeleton, and as
-tokens carry their path, classes nest by it: a class lies in the slot of the class whose path leads to it.
+half of the host's pages or more; one whose tokens stand at most once on a page is the template's skeleton.
+
+Classes are made valid: tokens of one vector that lie in different slots are classes of their own, so that each
+class lies whole in one slot (nested), and a class whose tokens do not take turns in one order on every page that has
+them (t1 t2 t1 t2 ...) is cut into single tokens (ordered; checked page by page on the landed places of the tokens).
+What is left nests: ``outer`` is the token of the enclosing class in whose slot a class lies.  The article slot is
+opened by a skeleton token that lies in skeleton slots only; one inside a repeated slot is a record of a list.
 
 The slots that are menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments (by the names
 of the template tags around them, or by their own), and markup, go; the rest of the article slot is the text.
@@ -31,14 +36,15 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, map_columns, table
+from strata.llm.common import cut, land, map_columns, shared_dir, table
 
 #: One whole attribute: its name, and its value, which is never searched for names.  A quote opens a value only where the
 #: value begins, and only if it is closed.
@@ -190,69 +196,140 @@ def parse(page: str) -> Iterator[tuple[str, object, object]]:
         opened[name] += 1
 
 
-def occurrences(page: str) -> dict[str, list[int]]:
-    """Path token -> [first position, last position, count]."""
-    found: dict[str, list[int]] = {}
+def occurrences(page: str) -> dict[str, tuple[str, list[int]]]:
+    """Path token -> (its parent's path, its positions)."""
+    found: dict[str, tuple[str, list[int]]] = {}
     position = 0
     for kind, node, _ in parse(page):
         if kind == "open":
-            seen = found.setdefault(node.path, [position, position, 0])
-            seen[1], seen[2] = position, seen[2] + 1
+            found.setdefault(node.path, (node.parent, []))[1].append(position)
             position += 1
     return found
 
 
+def _token_id(path: str) -> int:
+    return xxhash.xxh64_intdigest(path) >> 1
+
+
 def host_column() -> object:
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1), F.lit("")))
 
 
-def equivalence_classes(pages: DataFrame) -> DataFrame:
-    """host, token, h1, h2, n_pages, pages: tokens with their occurrence vectors' hashes."""
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """host, key (of the page), token, id, parent (its id), positions: a row for every token of a page."""
     def run(slices: Iterator[list]) -> Iterator[list]:
         for hosts, keys, texts in slices:
             out = []
             for host, key, text in zip(hosts, keys, texts):
                 # a page without tags still counts as a page of its host
-                rows = {"": [0, 0, 1], **occurrences(text or "")}
-                for token, (first, last, count) in rows.items():
-                    vector = f"{key}:{count}"
-                    out.append((host, token, xxhash.xxh64_intdigest(vector, 1) >> 1,
-                                xxhash.xxh64_intdigest(vector, 2) >> 1, first, count))
+                rows = {"": ("", [0]), **occurrences(text or "")}
+                out += [(host, key, token, _token_id(token), _token_id(parent), positions)
+                        for token, (parent, positions) in rows.items()]
             yield list(zip(*out))
 
-    tokens = map_columns(pages.select(host_column().alias("host"), F.coalesce(F.xxhash64("page_id", "html"),
-                                                                              F.lit(0)).alias("key"), "html"),
-                         ["host", "key", "html"],
-                         "host string, token string, v1 long, v2 long, first long, count long", run)
+    return map_columns(pages.select(host_column().alias("host"), F.coalesce(F.xxhash64("page_id", "html"),
+                                                                            F.lit(0)).alias("key"), "html"),
+                       ["host", "key", "html"],
+                       "host string, key long, token string, id long, parent long, positions array<int>", run)
+
+
+def equivalence_classes(tokens: DataFrame) -> DataFrame:
+    """host, token, id, parent, h1, h2, n_pages, place, most: tokens with their occurrence vectors' hashes."""
+    count, first = F.size("positions"), F.element_at("positions", 1)
+    vectors = tokens.select("host", "token", "id", "parent", F.xxhash64("key", count).alias("v1"),
+                            F.xxhash64(count, "key").alias("v2"), first.cast("long").alias("first"), count.alias("count"))
     # sums of hashes wrap: xor keeps them in 64 bits, the sum of the upper halves in a long
-    return tokens.groupBy("host", "token").agg(
-        F.bit_xor("v1").alias("h1"), F.sum(F.shiftright("v2", 32)).alias("h2"), F.count("*").alias("n_pages"),
-        F.sum("first").alias("place"), F.max("count").alias("most"))
+    return vectors.groupBy("host", "token", "id").agg(
+        F.min("parent").alias("parent"), F.bit_xor("v1").alias("h1"), F.sum(F.shiftright("v2", 32)).alias("h2"),
+        F.count("*").alias("n_pages"), F.sum("first").alias("place"), F.max("count").alias("most"))
+
+
+def nest(tokens: list[dict]) -> list[tuple]:
+    """(id, token, class, place in the class, tokens of the class, outer token, parent token, skeleton) of a host's
+    frequent tokens: a class is the tokens of one vector in the slot of one token of another vector."""
+    by_id = {t["id"]: t for t in tokens}
+    vector = {t["id"]: (t["h1"], t["h2"], t["n_pages"], t["most"]) for t in tokens}
+    outer: dict[int, int | None] = {}
+    classes = defaultdict(list)
+    # of tokens of one vector a parent's place is the lower one
+    for t in sorted(tokens, key=lambda t: (t["place"], t["token"])):
+        own, parent = t["id"], t["parent"]
+        inside = parent in by_id and parent != own
+        outer[own] = (outer[parent] if vector[parent] == vector[own] else parent) if inside else None
+        classes[vector[own], outer[own]].append(t)
+    path = lambda i: by_id[i]["token"] if i in by_id else ""
+    in_page_order = sorted(classes.items(), key=lambda kv: (kv[1][0]["place"] / kv[1][0]["n_pages"], kv[1][0]["token"]))
+    return [(t["id"], t["token"], n, at, len(members), path(lies_in), path(t["parent"]), t["most"] == 1)
+            for n, ((_, lies_in), members) in enumerate(in_page_order) for at, t in enumerate(members)]
+
+
+def unordered_classes(tokens: DataFrame, members: DataFrame) -> DataFrame:
+    """host, class: those whose tokens do not take turns in their order on some page."""
+    met = tokens.join(members.filter("size > 1").select("host", "id", "class", "at"), ["host", "id"])
+    # a repeated page gives equal rows
+    on_page = met.groupBy("host", "class", "key").agg(F.array_sort(F.collect_set(F.struct("at", "positions"))).alias("_t"))
+    turns = F.flatten(F.transform(F.sequence(F.lit(1), F.size(F.col("_t")[0]["positions"])),
+                                  lambda i: F.transform("_t", lambda t: F.element_at(t["positions"], i))))
+    return on_page.select("host", "class", turns.alias("_turns")).filter(
+        F.col("_turns") != F.array_sort("_turns")).select("host", "class").distinct()
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the tokens of the host's valid classes, nested in page order."""
-    classes = cut(equivalence_classes(pages))
+    """host, classes: the host's valid classes in page order, each with the token in whose slot it lies."""
+    folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    tokens = land(page_tokens(pages), f"{folder}/tokens")
+    classes = cut(equivalence_classes(tokens))
     totals = classes.filter("token = ''").select("host", F.col("n_pages").alias("pages"))
     up, down = SUPPORT
     frequent = (classes.filter("token <> ''").join(totals, "host")
                 .filter(F.col("n_pages") * down >= F.col("pages") * up))
-    # a class: the tokens of one occurrence vector, in the order in which they stand on the pages
-    grouped = (frequent.groupBy("host", "h1", "h2", "n_pages", "most")
-               .agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("tokens")))
-    ordered = grouped.select("host", F.struct(
-        F.col("tokens")[0]["place"].alias("place"), (F.col("most") == 1).alias("skeleton"),
-        F.transform("tokens", lambda x: x["token"]).alias("tokens")).alias("class"))
+    fields = ("id", "token", "parent", "h1", "h2", "n_pages", "most", "place")
+    gathered = frequent.groupBy("host").agg(F.collect_list(F.struct(*fields)).alias("tokens"))
+
+    def run(slices: Iterator[list]) -> Iterator[list]:
+        for hosts, found in slices:
+            for host, own in zip(hosts, found):
+                yield list(zip(*[(host, *row) for row in nest(own)]))
+
+    members = land(map_columns(gathered, ["host", "tokens"], "host string, id long, token string, class int, at int, size int, "
+                                                             "outer string, parent string, skeleton boolean", run), f"{folder}/classes")
+    broken = unordered_classes(tokens, members).withColumn("_single", F.lit(True))
+    alone = F.coalesce("_single", F.lit(False))
+    valid = (members.join(broken, ["host", "class"], "left")
+             .groupBy("host", "class", F.when(alone, F.col("at")).otherwise(0).alias("place"), "skeleton",
+                      F.when(alone, F.col("parent")).otherwise(F.col("outer")).alias("outer"))
+             .agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("tokens")))
+    ordered = valid.select("host", F.struct("class", "place", "outer", "skeleton",
+                                            F.transform("tokens", lambda x: x["token"]).alias("tokens")).alias("class"))
     return ordered.groupBy("host").agg(F.array_sort(F.collect_list("class")).alias("classes"))
 
 
-def article_paths(found: list, skeleton: set[str] = frozenset()) -> set[str]:
-    """The article slot (else the main one) of a page: opened by a token of the template's skeleton, which stands once
-    on the host's pages (teasers do not), else by any such token of the page."""
+class Template:
+    """A host's nested template: its skeleton, and the token in whose slot each token lies."""
+
+    def __init__(self, classes: Iterable | None, fixed: Iterable[int] | None = None) -> None:
+        self.outer = {t: c["outer"] for c in classes or () for t in c["tokens"]}
+        self.skeleton = {t for c in classes or () if c["skeleton"] for t in c["tokens"]}
+        self.fixed = set(fixed or ())
+
+    def in_skeleton(self, token: str) -> bool:
+        """Whether the token and all tokens around it stand at most once on a page."""
+        while token in self.skeleton:
+            token = self.outer[token]
+        return not token
+
+    def article(self, paths: set[str]) -> set[str]:
+        """Of a page's article paths those that the template knows as the article slot, else all."""
+        once = paths & self.skeleton
+        return {p for p in once if self.in_skeleton(p)} or once or paths
+
+
+def article_paths(found: list, template: Template) -> set[str]:
+    """The article slot (else the main one) of a page, opened by a token of the template's skeleton (teasers are not in
+    it), else by any such token of the page."""
     opened = {n.path: n.main for kind, n, _ in found if kind == "open" and n.main}
     best = max(opened.values(), default=0)
-    inner = {p for p, rank in opened.items() if rank == best}
-    return inner & skeleton or inner
+    return template.article({p for p, rank in opened.items() if rank == best})
 
 
 def text_blocks(found: list, inner: set[str], outside: bool = False) -> Iterator[tuple[str, str]]:
@@ -283,6 +360,7 @@ def _block_hash(slot: str, text: str) -> int:
 def recurring_blocks(pages: DataFrame) -> DataFrame:
     """host, fixed: hashes of the blocks outside articles that the host's pages share; pages of equal text are one."""
     def run(slices: Iterator[list]) -> Iterator[list]:
+        unknown = Template(None)
         for hosts, texts in slices:
             out = []
             for host, page in zip(hosts, texts):
@@ -292,7 +370,7 @@ def recurring_blocks(pages: DataFrame) -> DataFrame:
                     whole.update(text + "\n")
                 key = whole.intdigest() >> 1
                 out.append((host, -1, key))  # the page itself
-                blocks = text_blocks(found, article_paths(found), outside=True)
+                blocks = text_blocks(found, article_paths(found, unknown), outside=True)
                 out += [(host, h, key) for h in {_block_hash(slot, text) for slot, text in blocks}]
             yield list(zip(*out))
 
@@ -307,11 +385,11 @@ def recurring_blocks(pages: DataFrame) -> DataFrame:
 
 
 def extract(page: str, classes: list | None, fixed: list | None = None) -> str:
-    """Main text of a page under its host's template: the tokens of its classes and its recurring blocks."""
-    skeleton = {t for c in classes or () if c["skeleton"] for t in c["tokens"]}
+    """Main text of a page under its host's template: its nested classes and its slots' recurring blocks."""
+    template = Template(classes, fixed)
     found = list(parse(page))
-    inner = article_paths(found, skeleton)
-    recurs = set() if inner else set(fixed or ())
+    inner = article_paths(found, template)
+    recurs = set() if inner else template.fixed
     return " ".join(text for slot, text in text_blocks(found, inner)
                     if not recurs or _block_hash(slot, text) not in recurs)
 

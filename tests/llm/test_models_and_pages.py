@@ -79,6 +79,31 @@ def test_template_tells_tokens_of_equal_vectors(spark):
     assert ["/body/article/p"] in [c["tokens"] for c in classes if not c["skeleton"]]
 
 
+def test_classes_of_the_template_are_ordered_and_nested(spark):
+    # nav and footer change places; i and u of two slots have one vector; the records' tokens take turns
+    page = ("<body>{0}<div class=a><i>x</i></div><div class=b><u>x</u></div><main>{1}</main></body>")
+    turn = ["<nav>n</nav><footer>f</footer>", "<footer>f</footer><nav>n</nav>"]
+    rows = [(i, "http://one.example/", page.format(turn[i % 2], "<dl><dt>t<dd>d</dl>" * (i + 2))) for i in range(4)]
+    rows += [(i, "http://two.example/", "<main>" + "<b>x</b>" * (i % 2 + 1) + "<s>y</s>" * (i % 2 + 1) + "</main>") for i in range(4)]
+    rows += rows[:1]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["host"]: r["classes"] for r in html_extraction.templates(pages).collect()}
+    classes = {tuple(c["tokens"]): (c["outer"], c["skeleton"]) for c in found["one.example"]}
+    record = "/body/main/dl"
+    assert classes[record, record + "/dt", record + "/dd"] == ("/body/main", False)
+    assert classes["/body/nav",] == ("/body", True) and classes["/body/footer",] == ("/body", True)
+    two = {tuple(c["tokens"]): c["outer"] for c in found["two.example"]}  # b b s s: not in turns
+    assert two == {("/main",): "", ("/main/b",): "/main", ("/main/s",): "/main"}
+
+
+def test_an_article_in_a_repeated_slot_is_no_article(spark):
+    page = "<main><article class=post>Text {0}</article><ul>{1}</ul></main>"
+    record = "<li>Item</li><li><article class=teaser>Read on</article></li>"
+    rows = [(i, "http://one.example/", page.format(i, record)) for i in range(4)]
+    out = html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {i: f"Text {i}" for i in range(4)}
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counts, kept = [docs.count()], docs

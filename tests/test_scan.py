@@ -306,3 +306,22 @@ def test_one_large_text_is_scanned_by_many_tasks(spark):
     out = SC.scan_multiline_rules(files, rules, large_chars=1_000_000).unionByName(SC.scan_line_rules(files, rules, large_chars=1_000_000))
     assert sorted(map(tuple, out.select(*FIELDS).collect())) == _plain_scan(rows, [("M", "python", "x", "low", r"tok\nkey", "regex_multiline", True),
                                                                                     ("L", "any", "x", "low", r"99999\b", "regex_line", True)])
+
+
+def test_a_worker_holds_bounded_batches(spark):
+    from strata.operators import python_engine as PE
+    from strata.session import BATCH_BYTES, BATCH_ROWS
+    records, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(records), spark.conf.get(size)
+    try:
+        spark.conf.set(records, 10_000)
+        spark.conf.set(size, 1 << 30)
+        files = spark.createDataFrame([("r", "p", "python", "a = 1\nb = 2")], "repo_id string, path string, language string, content string")
+        rules = [{"language": "any", "pattern": "=", "flags": 0, "literals": frozenset("="), "match_type": "regex_line"}]
+        assert PE.scan_texts(files, rules).count() == 2
+        assert int(spark.conf.get(records)) == BATCH_ROWS and int(spark.conf.get(size)) == BATCH_BYTES
+    finally:
+        spark.conf.set(records, before[0])
+        spark.conf.set(size, before[1].rstrip("b"))
+    frames = list(PE._in_parts((("r", "p", k, k, "x" * 3000, 1) for k in range(3000)), PE._NAMES))
+    assert sum(map(len, frames)) == 3000 and max(map(len, frames)) < 1024 and list(frames[-1].columns) == PE._NAMES

@@ -66,6 +66,22 @@ def test_reuse_distances_replay_the_cache(spark, n_keys, n):
         assert got[size] == (n, hits)
 
 
+@pytest.mark.parametrize("bits", [1, 4])
+def test_reuse_distances_over_many_stretches(spark, monkeypatch, bits):
+    monkeypatch.setattr(RC, "STRETCH_BITS", bits)
+    rng = random.Random(bits)
+    keys = [None if k == 3 else f"k{k}" for k in (int(rng.expovariate(1 / 20)) for _ in range(700))]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, request_key string").repartition(4)
+    found = RC.reuse_distances(df, [F.col("i")])
+    last, want = {}, {}
+    for i, k in enumerate(keys):
+        want[i + 1] = len(set(keys[last[k] + 1:i])) if k in last else None
+        last[k] = i
+    assert {r["t"]: r["distance"] for r in found.collect()} == want
+    # a request moves a fixed number of times, not once for every bit of its number
+    assert "explode(sequence(0" not in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_no_requests(spark):
     df = spark.createDataFrame([], "i int, request_key string")
     assert RC.reuse_distances(df, [F.col("i")]).collect() == []

@@ -240,18 +240,36 @@ def part_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """commits -> log lines (repo_id, file_path, line_no, line), newest commit first: per commit a header, a
-    hunk marker, a context line and N added lines."""
-    from strata.operators.positions import positions
+    hunk marker, a context line and N added lines.
+
+    Commits are numbered, not their lines: a line's number is the running total of lines before its commit and its
+    place there.  Lines of commits that share time and hash come by their places, so these few are numbered one by one.
+    """
+    from strata.operators.positions import null_safe_join, positions, sequenced
+    from strata.session import land
     c = commits(spark, sf_dir)
     subject = F.when(F.col("deletions") == 0, F.concat(F.col("message"), F.lit(" | extra"))).otherwise(F.col("message"))
     header = F.concat_ws("|", F.col("commit"), F.concat(F.col("author"), F.lit("@example.com")),
                          F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), subject)
-    n_add = (F.abs(F.col("insertions")) % 20 + 1).cast("int")
-    adds = F.transform(F.sequence(F.lit(1), n_add), lambda i: F.concat(F.lit("+add "), i.cast("string")))
-    lines = c.select("repo_id", "file_path", "ts", "commit", F.posexplode(
-        F.concat(F.array(header, F.lit("@@ -1 +1 @@"), F.lit(" context")), adds)).alias("_i", "line"))
-    return positions(lines, ["repo_id", "file_path"], [F.col("ts").desc(), F.col("commit").desc(), F.col("_i")], "line_no").select(
-        "repo_id", "file_path", "line_no", "line")
+    file, newest = ["repo_id", "file_path"], [F.col("ts").desc(), F.col("commit").desc()]
+    short = c.select(*file, "ts", "commit", header.alias("_header"), (F.abs(F.col("insertions")) % 20 + 1).cast("int").alias("_adds"),
+                     F.struct("ts", "commit").alias("_key"))
+    # a commit without a number of lines has none
+    size = F.coalesce(F.col("_adds") + 3, F.lit(0))
+    placed = land(sequenced(short, file, newest, "_nth", {"_end": size}, neighbours=("_key",)).select(
+        *file, "ts", "commit", "_header", "_adds", (F.col("_end") - size).alias("_before"),
+        (F.col("_key").eqNullSafe(F.col("previous__key")) | F.col("_key").eqNullSafe(F.col("next__key"))).alias("_shared")), "commits")
+    adds = F.transform(F.sequence(F.lit(1), F.col("_adds")), lambda i: F.concat(F.lit("+add "), i.cast("string")))
+    lines = F.posexplode(F.concat(F.array(F.col("_header"), F.lit("@@ -1 +1 @@"), F.lit(" context")), adds)).alias("_i", "line")
+    out = placed.filter("NOT _shared").select(*file, "_before", lines).select(
+        *file, (F.col("_before") + F.col("_i") + 1).alias("line_no"), "line")
+    shared = placed.filter("_shared")
+    if shared.isEmpty():
+        return out
+    group = [*file, "ts", "commit"]
+    numbered = positions(shared.select(*group, lines), group, [F.col("_i")], "_nth")
+    begins = shared.groupBy(*group).agg(F.min("_before").alias("_before"))
+    return out.union(null_safe_join(numbered, begins, group).select(*file, (F.col("_before") + F.col("_nth")).alias("line_no"), "line"))
 
 
 def file_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

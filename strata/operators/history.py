@@ -20,33 +20,40 @@ def parse_commit_log(logs: DataFrame, keep_diff_lines: int = 15) -> DataFrame:
     """Log lines ``(repo_id, file_path, line_no, line)`` -> one row per commit, last N diff lines kept.
 
     Every line belongs to the last header at or before it.  Headers are counted per block of lines and
-    block offsets added, so a file's history is split over tasks however long it is; of each commit only
-    the last N diff lines are gathered (a group limit before the shuffle).  ``seq`` is the commit's
+    block offsets added, so a file's history is split over tasks however long it is; one window per block, from its
+    end, counts the headers after a line and the diff lines up to the next header, and only a commit's last N
+    diff lines leave the block.  What moves on is a row for each commit and block.  ``seq`` is the commit's
     position in the log (newest first, from 0).
     """
     file = ["repo_id", "file_path"]
     lines = logs.select(*file, "line_no", "line", F.floor(F.col("line_no") / LOG_BLOCK).alias("_block"),
-                        F.col("line").rlike(HEADER_RE).alias("_head"))
+                        F.coalesce(F.col("line").rlike(HEADER_RE), F.lit(False)).alias("_head"))
     per_block = lines.groupBy(*file, "_block").agg(F.count_if("_head").alias("_n"))
     before = Window.partitionBy(*file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(*file, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(*file, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (null_safe_join(lines.withColumn("_in", F.sum(F.col("_head").cast("int")).over(within)),
-                               offsets, [*file, "_block"])
-                .withColumn("seq", (F.col("_off") + F.col("_in") - 1).cast("int")).filter("seq >= 0"))
+    offsets = per_block.select(*file, "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.col("_n")).alias("_upto"))
+    from_end = Window.partitionBy(*file, "_block").orderBy(F.col("line_no").desc())
+    after, upto = from_end.rowsBetween(Window.unboundedPreceding, -1), from_end.rowsBetween(Window.unboundedPreceding, 0)
+    is_diff = ~F.col("_head") & F.substring("line", 1, 1).isin("+", "-", " ")
+    counted = lines.withColumn("_is_diff", F.coalesce(is_diff, F.lit(False))).select(
+        "*", F.coalesce(F.sum(F.col("_head").cast("int")).over(after), F.lit(0)).alias("_after"),
+        F.sum(F.col("_is_diff").cast("int")).over(upto).alias("_d"))
+    last = F.coalesce(F.max(F.when(F.col("_head"), F.col("_d"))).over(after), F.lit(0))
+    kept = counted.withColumn("_k", F.col("_d") - last).filter(F.col("_head") | F.col("_is_diff") & (F.col("_k") <= keep_diff_lines))
+    diff_line = F.when(F.col("_is_diff"), F.struct("line_no", "line"))
+    in_block = kept.groupBy(*file, "_block", "_after").agg(
+        F.max(F.when(F.col("_head"), F.col("line"))).alias("line"), F.collect_list(diff_line).alias("_d"))
+    commits = (null_safe_join(in_block, offsets, [*file, "_block"])
+               .withColumn("seq", (F.col("_upto") - F.col("_after") - 1).cast("int")).filter("seq >= 0")
+               .groupBy(*file, "seq").agg(F.max("line").alias("line"), F.sort_array(F.flatten(F.collect_list("_d"))).alias("_d")))
     parts = F.split("line", r"\|", -1)
     email = F.element_at(parts, 2)
-    heads = numbered.filter("_head").select(
+    diff = F.slice("_d", F.greatest(F.size("_d") - keep_diff_lines + 1, F.lit(1)), keep_diff_lines)
+    return commits.select(
         *file, "seq", F.element_at(parts, 1).alias("full_hash"), F.substring(F.element_at(parts, 1), 1, 8).alias("commit_hash"),
         F.when(email.contains("@"), F.concat(email, F.lit(" <"), email, F.lit(">"))).otherwise(email).alias("author"),
         F.trim(F.element_at(parts, 3)).alias("date"),
-        F.trim(F.array_join(F.slice(parts, 4, 1 << 30), "|")).alias("message"))
-    newest_first = Window.partitionBy(*file, "seq").orderBy(F.col("line_no").desc())
-    diffs = (numbered.filter(~F.col("_head") & F.substring("line", 1, 1).isin("+", "-", " "))
-             .withColumn("_k", F.row_number().over(newest_first)).filter(F.col("_k") <= keep_diff_lines)
-             .groupBy(*file, "seq").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_d")))
-    return null_safe_join(heads, diffs, [*file, "seq"], "left").select(
-        *heads.columns, F.array_join(F.transform(F.coalesce("_d", F.array()), lambda x: x["line"]), "\n").alias("diff"))
+        F.trim(F.array_join(F.slice(parts, 4, 1 << 30), "|")).alias("message"),
+        F.array_join(F.transform(diff, lambda x: x["line"]), "\n").alias("diff"))
 
 
 def _at_least_one(n: int) -> int:

@@ -68,6 +68,30 @@ def test_parse_commit_log_is_the_same_over_many_blocks(spark, monkeypatch):
     assert whole[22][-1].split("\n") == [f"{'+- '[k % 3]}line 22 {k}" for k in range(7, 22)]
 
 
+def test_commit_logs_number_commits_not_lines(spark, tmp_path, monkeypatch):
+    import json
+    from pyspark.sql import functions as F
+    from strata import fixtures as FX
+    from strata.operators import positions as module
+    land, landed = module.land, []
+    monkeypatch.setattr(module, "land", lambda *a: landed.append(land(*a)) or landed[-1])
+    at = lambda i: None if i == 3 else dt.datetime(2024, 1, 1, 0, 0, i // 4)
+    rows = [(i if i % 9 else 9, at(i), i % 5, "view", float(i), json.dumps({"k": i % 2})) for i in range(60)]
+    rows += rows[:8]  # commits that come twice
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    got = FX.commit_logs(spark, str(tmp_path))
+    lines = sum(r["n"] for r in FX.commits(spark, str(tmp_path)).select((F.abs("insertions") % 20 + 4).alias("n")).collect())
+    out = got.collect()
+    assert len(out) == lines
+    for path in {r["file_path"] for r in out}:
+        mine = sorted((r["line_no"], r["line"]) for r in out if r["file_path"] == path)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1))
+        # lines of commits that share time and hash come by their places, others commit by commit
+        assert mine[1][1] == "@@ -1 +1 @@" or mine[0][1] == mine[1][1]
+    assert landed[0].count() == len(rows)  # commits were dealt, not their lines
+
+
 def test_one_group_of_equal_rows_is_numbered_by_many_windows(spark, monkeypatch):
     from pyspark.sql import functions as F
     from strata.operators import positions as module

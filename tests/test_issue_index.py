@@ -27,6 +27,16 @@ def test_index_equals_a_scan(spark, monkeypatch, block, rarest):
     assert IX.search_index(index, queries.filter("query = 'nowhere'")).collect() == []
 
 
+def test_queries_are_answered_by_their_own_postings(spark):
+    # every number of four digits shares its grams of three with many others: candidates must not outgrow the answers
+    rows = [("r", f"{n}.py", 1, "X", "m", "f") for n in range(1000, 1400)]
+    index = IX.build_issue_index(spark.createDataFrame(rows, SCHEMA))
+    found = IX.search_index(index, spark.createDataFrame([(f"{n}",) for n in range(1000, 1400)] + [("1399.py",), ("/1399.py ",)], "query string"))
+    assert sorted((r.query, r.file_path) for r in found.collect()) == sorted([(f"{n}", f"{n}.py") for n in range(1000, 1400)] + [("1399.py", "1399.py")])
+    middle = index.long_postings.filter("length(gram) = 4 AND gram RLIKE '^[0-9]+$'")
+    assert middle.count() == 400 and {r.issues for r in middle.collect()} == {1}
+
+
 def test_short_queries_do_not_compare_issues(spark):
     index = IX.build_issue_index(spark.createDataFrame([("r", "a.py", 1, "X", "m", "f")], SCHEMA))
     assert index.postings.filter("gram = 'a.p'").count() == 1 and index.postings.filter("length(gram) > 3").isEmpty()

@@ -39,6 +39,8 @@ from strata.llm.common import json_tokenizer, land, map_columns, ranks_encoding,
 
 WINDOW = 1024
 END_ID = 0
+#: Pieces that a task hands on at once.
+PIECES_AT_ONCE = 1024
 #: Most rounds of the least-squares solution; what is not solved then is packed greedily.
 ROUNDS = 12
 
@@ -307,14 +309,19 @@ def pack(docs: DataFrame, path: str | None = None, ranks_path: str | None = None
     met = encoded.select("part", "row", "doc_id", "doc_tokens", "ids", "id_bytes").join(placed, ["part", "row"])
 
     def slice_ids(slices: Iterator[list]) -> Iterator[list]:
+        names = ("start", "length", "sequence_id", "offset")
         for doc_ids, tokens, raws, sizes, found in slices:
+            out = []
             for doc_id, n, raw, size, at in zip(doc_ids, tokens, raws, sizes, found):
-                ids = np.frombuffer(raw, f"<u{size}")
-                for lo in range(0, len(at), window):
-                    some = at[lo: lo + window]
-                    yield [[doc_id] * len(some), *[[p[c] for p in some] for c in ("start", "length")],
-                           [n] * len(some), *[[p[c] for p in some] for c in ("sequence_id", "offset")],
-                           [ids[p["start"]: p["start"] + p["length"]].astype("<u4").tobytes() for p in some]]
+                ids = np.frombuffer(raw, f"<u{size}").astype("<u4")
+                for p in at:
+                    start, length, sequence, offset = (p[c] for c in names)
+                    out.append((doc_id, start, length, n, sequence, offset, ids[start: start + length].tobytes()))
+                    if len(out) == PIECES_AT_ONCE:  # pieces of many documents leave together, those of a long one in parts
+                        yield list(zip(*out))
+                        out = []
+            if out:
+                yield list(zip(*out))
 
     return map_columns(met, ["doc_id", "doc_tokens", "ids", "id_bytes", "places"],
                        "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary",

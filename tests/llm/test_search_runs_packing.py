@@ -304,3 +304,17 @@ def test_packing(make_docs, prose):
 @pytest.mark.parametrize("run", [lambda d: periodic_runs.periodic_runs(d), lambda d: packing.pack(d)])
 def test_nothing_to_do(make_docs, run):
     assert run(make_docs([(1, "x")]).filter("doc_id > 5")).collect() == []
+
+
+def test_pieces_of_many_documents_leave_together(spark, make_docs, prose, monkeypatch):
+    from strata.llm import packing
+    seen, map_columns = [], packing.map_columns
+    monkeypatch.setattr(packing, "map_columns", lambda df, columns, schema, fn, **k: seen.append(fn) or map_columns(df, columns, schema, fn, **k))
+    assert packing.pack(make_docs([(i, prose(5, i)) for i in range(30)])).count() >= 30
+    place = {"start": 0, "length": 2, "sequence_id": 0, "offset": 0}
+    raw = bytes([1, 0, 2, 0])
+    columns = [list(range(50)), [2] * 50, [raw] * 50, [2] * 50, [[place]] * 50]
+    [out] = seen[-1](iter([columns]))
+    assert list(out[0]) == list(range(50)) and set(out[6]) == {bytes([1, 0, 0, 0, 2, 0, 0, 0])}
+    parts = list(seen[-1](iter([[[1], [2], [raw], [2], [[place] * 2500]]])))  # a long document in parts
+    assert [len(p[0]) for p in parts] == [1024, 1024, 452]

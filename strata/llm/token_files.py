@@ -28,7 +28,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow.fs
@@ -194,21 +194,23 @@ class WordEncoder:
         """Ids of one piece that the tokenizer's normaliser and splitter would hand to its model."""
         ids = self.pieces.get(piece)
         if ids is None:
-            spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             found = [t.id for t in self.model.tokenize(spelled)]
             ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
-    def learn(self, new: list[bytes]) -> None:
-        whole = []
+    def learn(self, new: Iterable[bytes]) -> None:
+        whole, plain, pieces = [], PLAIN.fullmatch, self.pieces
         for w in new:
-            m = PLAIN.fullmatch(w.decode("utf-8", "replace"))
+            m = plain(w.decode("utf-8", "replace"))
             if m is None:
                 whole.append(w)
             else:
-                # letter by letter, as the tokenizer does
-                stem = m[1].lower() if m[1].isascii() else "".join(c.lower() for c in m[1])
-                self.known[w] = self.piece(stem) + (self.piece(m[2]) if m[2] else b"")
+                # letter by letter, as the tokenizer does: no letter of a plain word looks at its neighbours
+                stem, marks = m.groups()
+                stem = stem.lower()
+                ids = pieces.get(stem) or self.piece(stem)
+                self.known[w] = ids + (pieces.get(marks) or self.piece(marks)) if marks else ids
         for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in whole],
                                                                 add_special_tokens=False)):
             self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
@@ -216,11 +218,11 @@ class WordEncoder:
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         tokens = [self.words(t) for t in texts]
         wanted = set().union(*tokens)
-        new = [w for w in wanted if w not in self.known]
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             self.pieces.clear()
-            new = list(wanted)
+            new = wanted
         self.learn(new)
         end = struct.pack("<I", END_ID)
         return [np.frombuffer(b"".join([*map(self.known.__getitem__, ws), end]), "<u4") for ws in tokens]

@@ -77,3 +77,10 @@ def test_pages(spark):
     out = {(r["page_id"], r["text"]) for r in html_extraction.extract_main_text(pages).collect()}
     assert out == {(None, ""), (1, ""), (2, "x"), (3, "y"), (4, "plain & simple")}
     assert html_extraction.extract_main_text(pages.filter("page_id > 9")).collect() == []
+
+
+def test_plain_words_lower_case_letter_by_letter():
+    from strata.llm.token_files import PLAIN
+    for c in map(chr, range(0x2b0)):
+        if PLAIN.fullmatch(c):
+            assert f"A{c}B{c}".lower() == "".join(x.lower() for x in f"A{c}B{c}")
